@@ -93,7 +93,7 @@ def kernel_density(df: DataFrame, key: Sequence[str], x: str, points: int = 64,
     b = F.least(F.floor((F.col(x) - F.col("lo")) / step), F.lit(bins - 1))
     counted = joined.groupBy(*key, b.alias("b")).agg(F.count(F.lit(1)).alias("c"))
     packed = counted.groupBy(*key).agg(F.collect_list(F.struct("b", "c")).alias("cells"))
-    grid = packed.join(lim, list(key)).withColumn(
+    spread = packed.join(lim, list(key)).withColumn(
         "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     )
     at = F.col("lo") + F.col("point") * (F.col("hi") - F.col("lo")) / (points - 1)
@@ -106,7 +106,7 @@ def kernel_density(df: DataFrame, key: Sequence[str], x: str, points: int = 64,
 
     total = F.aggregate("cells", F.lit(0.0), kernel)
     dens = total / (F.col("n") * width * math.sqrt(2 * math.pi))
-    return grid.select(*key, F.col("point").cast("long"), at.alias("at"), dens.alias("density"))
+    return spread.select(*key, F.col("point").cast("long"), at.alias("grid"), dens.alias("density"))
 
 
 def line_fit(df: DataFrame, key: Sequence[str], y: str, x: str) -> DataFrame:

@@ -158,7 +158,10 @@ def select_model(designed: Panel, orders: Orders) -> DataFrame:
 def fit_arima(panel: Panel, y: str, orders: Orders = Orders(), period: int | None = None):
     """Fit one model per series.  Returns (models, designed panel with ``innov``)."""
     m = period or panel.period
-    p = design(with_differencing(panel, y, orders, m), y, orders, m)
+    # The series feed several tests and regressions: store them once, and once
+    # more with their lag columns.
+    p = panel.on(panel.df.select(*panel.key, panel.index, y)).written("series")
+    p = design(with_differencing(p, y, orders, m), y, orders, m).written("lags")
     models = select_model(p, orders)
     df = p.df.join(models.select(*panel.key, F.col("coef").alias("__c")), list(panel.key), "left")
     fitted = F.col("__c")[0]
@@ -176,7 +179,7 @@ def _roller(orders: Orders, m: int, h: int):
     """UDF: model row and tails of y and innovations -> forecast arrays."""
 
     @F.pandas_udf(FORECAST)
-    def roll(batches: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    def roll(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for coefs, ds, Ds, s2s, tails, etails in batches:
             means, sds = [], []
             for coef, d, D, s2, yt, et in zip(coefs, ds, Ds, s2s, tails, etails):

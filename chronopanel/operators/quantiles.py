@@ -1,9 +1,10 @@
 """Exact order statistics without gathering a group in one task.
 
-Values are counted first (partial sums on the map side).  Approximate quantiles
-then cut each group's distinct values into slices of similar size, slices are
-ranked independently, and the running count of earlier slices gives global
-ranks.  Any order statistic is a filter on those ranks.
+A mergeable sketch brackets every wanted quantile.  Rows outside a bracket only
+count (one partial row per map task); rows inside it are counted per value and
+ranked.  A bracket holds a few rows in ten thousand plus repeats of a value, so
+the ranked part stays small however many rows a group has, and the result is
+exact because the counts of the rows outside fix the ranks inside.
 """
 
 from __future__ import annotations
@@ -15,70 +16,94 @@ from pyspark.sql import functions as F
 
 from chronopanel.panel import Panel
 
-SLICES = 64
+ACCURACY = 10000
 
 
-def value_ranks(df: DataFrame, key: Sequence[str], x: str, slices: int = SLICES) -> DataFrame:
-    """Distinct values per key with their first and last rank (``lo``, ``hi``) and ``n``.
+def probe(df: DataFrame, key: Sequence[str], x: str, probs: Sequence[float]) -> DataFrame:
+    """Rank rows around each probability.
 
-    ``key`` must hold at least one column; use a constant for one global group.
+    Columns: key, ``probe`` (position in ``probs``), ``side`` (-1 below the
+    bracket, 0 one value inside it, 1 above), first and last rank ``lo`` and
+    ``hi``, group size ``n``, and ``total``, ``least``, ``most`` of the values.
     """
-    counts = df.where(F.col(x).isNotNull()).groupBy(*key, x).agg(F.count(F.lit(1)).alias("c"))
-    return ranks_of_counts(counts, key, x, "c", slices)
+    df = df.where(F.col(x).isNotNull()).select(*key, F.col(x).cast("double").alias("__x"))
+    slack = 1.5 / ACCURACY
+    cuts = [max(p - slack, 0.0) for p in probs] + [min(p + slack, 1.0) for p in probs]
+    sketch = df.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.approx_percentile("__x", F.lit(cuts), F.lit(ACCURACY)).alias("__b")
+    )
+    v = F.col("__x")
 
+    def cell(i: int) -> Column:
+        side = F.when(v < F.col("__b")[i], -1).when(v > F.col("__b")[i + len(probs)], 1).otherwise(0)
+        return F.struct(F.lit(i).alias("probe"), side.alias("side"))
 
-def ranks_of_counts(
-    counts: DataFrame, key: Sequence[str], x: str, c: str, slices: int = SLICES
-) -> DataFrame:
-    cuts = F.lit([i / slices for i in range(1, slices)])
-    edges = counts.groupBy(*key).agg(F.approx_percentile(x, cuts, F.lit(1000)).alias("__e"))
-    # Edges below the value, as plain comparisons that stay in generated code.
-    above = sum(((F.col(x) > F.col("__e")[i]).cast("int") for i in range(1, slices - 1)),
-                (F.col(x) > F.col("__e")[0]).cast("int"))
-    sliced = counts.join(edges, list(key)).withColumn("__s", above).drop("__e")
-    before = Window.partitionBy(*key).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sliced.groupBy(*key, "__s").agg(F.sum(c).alias("__c"))
-    sizes = sizes.select(
-        *key,
-        "__s",
-        F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"),
-        F.sum("__c").over(Window.partitionBy(*key)).alias("n"),
+    cells = F.explode(F.array(*[cell(i) for i in range(len(probs))]))
+    sided = df.join(sketch, list(key)).select(*key, "n", "__x", cells.alias("c"))
+    inside = F.when(F.col("c.side") == 0, v)
+    out = sided.groupBy(*key, "n", F.col("c.probe").alias("probe"), F.col("c.side").alias("side"), inside.alias("__v")).agg(
+        F.count(F.lit(1)).alias("c"), F.sum(v).alias("total"), F.min(v).alias("least"), F.max(v).alias("most")
+    )
+    order = Window.partitionBy(*key, "probe").orderBy("side", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("hi", F.sum("c").over(order))
+    return out.withColumn("lo", F.col("hi") - F.col("c") + 1).drop("__v")
+
+
+def _value_at(i: int, rank: Column) -> Column:
+    """Aggregate: the value with a given rank, which lies in or next to bracket ``i``."""
+    side = F.col("side")
+    outside = F.when(
+        ((side == -1) & (F.col("hi") > rank)) | ((side == 1) & (F.col("lo") < rank)),
+        F.raise_error(F.lit("rank lies outside its bracket")).cast("double"),
     )
-    inner = Window.partitionBy(*key, "__s").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    out = sliced.join(sizes, [*key, "__s"])
-    hi = F.sum(c).over(inner) + F.col("__off")
-    return out.select(*key, x, F.col(c), hi.alias("hi"), "n").withColumn(
-        "lo", F.col("hi") - F.col(c) + 1
+    here = (
+        F.when((side == -1) & (F.col("hi") == rank), F.col("most"))
+        .when((side == 1) & (F.col("lo") == rank), F.col("least"))
+        .when((side == 0) & (F.col("lo") <= rank) & (rank <= F.col("hi")), F.col("least"))
+        .otherwise(outside)
     )
+    return F.max(F.when(F.col("probe") == i, here))
 
 
-def quantile_agg(x: str, p: float) -> Column:
+def quantile_agg(i: int, p: float) -> Column:
     """Aggregate over rank rows: the linearly interpolated (type 7) quantile."""
     h = (F.col("n") - 1) * F.lit(p)
     lower = F.floor(h) + 1
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("lo") <= rank) & (rank <= F.col("hi")), F.col(x)))
-
-    below, above = at(lower), at(lower + 1)
     frac = F.max(h - F.floor(h))
-    return below + frac * (F.coalesce(above, below) - below)
+    upper = F.least(lower + 1, F.col("n"))
+    below = _value_at(i, lower)
+    return below + frac * (_value_at(i, upper) - below)
+
+
+def _sum_of_least(i: int, rank: Column) -> Column:
+    """Aggregate: the sum of the ``rank`` smallest values."""
+    side = F.col("side")
+    kept = F.greatest(F.lit(0), F.least("hi", rank) - F.col("lo") + 1)
+    bad = ((side == -1) & (F.col("hi") > rank)) | ((side == 1) & (F.col("lo") <= rank))
+    part = (
+        F.when(bad, F.raise_error(F.lit("rank lies outside its bracket")).cast("double"))
+        .when(side == -1, F.col("total"))
+        .when(side == 0, F.col("least") * kept)
+        .otherwise(F.lit(0.0))
+    )
+    return F.sum(F.when(F.col("probe") == i, part))
 
 
-def trimmed_mean_agg(x: str, trim: float) -> Column:
-    """Aggregate over rank rows: mean without the ``trim`` share on either side."""
+def trimmed_mean_agg(i_low: int, i_high: int, trim: float) -> Column:
+    """Aggregate over rank rows probed at ``trim`` and ``1 - trim``: the trimmed mean."""
     cut = F.floor(F.col("n") * F.lit(trim))
-    first, last = cut + 1, F.col("n") - cut
-    kept = F.greatest(F.lit(0), F.least("hi", last) - F.greatest("lo", first) + 1)
-    return F.sum(F.col(x) * kept) / F.sum(kept)
+    size = F.max(F.col("n") - 2 * cut)
+    return (_sum_of_least(i_high, F.col("n") - cut) - _sum_of_least(i_low, cut)) / size
 
 
 def quantiles(
     df: DataFrame, key: Sequence[str], x: str, probs: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
     """Exact type-7 quantiles of ``x`` per key, one column each."""
-    ranks = value_ranks(df, key, x)
-    return ranks.groupBy(*key).agg(*[quantile_agg(x, p).alias(n) for p, n in zip(probs, names)])
+    ranks = probe(df, key, x, probs)
+    return ranks.groupBy(*key).agg(
+        *[quantile_agg(i, p).alias(n) for i, (p, n) in enumerate(zip(probs, names))]
+    )
 
 
 def describe(df: DataFrame, columns: Sequence[str], trim: float = 0.1) -> DataFrame:
@@ -97,23 +122,20 @@ def describe(df: DataFrame, columns: Sequence[str], trim: float = 0.1) -> DataFr
         (F.skewness("x") * F.pow(shrink, 1.5)).alias("skew"),
         ((F.kurtosis("x") + 3) * F.pow(shrink, 2) - 3).alias("kurtosis"),
     )
-    ranks = value_ranks(long, ["variable"], "x")
+    ranks = probe(long, ["variable"], "x", [0.5, 0.25, 0.75, trim, 1 - trim])
     order = ranks.groupBy("variable").agg(
-        quantile_agg("x", 0.5).alias("median"),
-        trimmed_mean_agg("x", trim).alias("trimmed"),
-        quantile_agg("x", 0.25).alias("q25"),
-        quantile_agg("x", 0.75).alias("q75"),
+        quantile_agg(0, 0.5).alias("median"),
+        quantile_agg(1, 0.25).alias("q25"),
+        quantile_agg(2, 0.75).alias("q75"),
+        trimmed_mean_agg(3, 4, trim).alias("trimmed"),
     )
-    away = ranks.join(order.select("variable", "median"), "variable").groupBy(
+    away = long.join(order.select("variable", "median"), "variable").select(
         "variable", F.abs(F.col("x") - F.col("median")).alias("dev")
-    ).agg(F.sum("c").alias("c"))
-    mad = ranks_of_counts(away, ["variable"], "dev", "c").groupBy("variable").agg(
-        (quantile_agg("dev", 0.5) * 1.4826).alias("mad")
     )
+    mad = quantiles(away, ["variable"], "dev", [0.5], ["__mad"])
     out = moments.join(order, "variable").join(mad, "variable")
-    return out.withColumn("range", F.col("max") - F.col("min")).withColumn(
-        "se", F.col("sd") / F.sqrt("n")
-    )
+    out = out.withColumn("mad", F.col("__mad") * 1.4826).drop("__mad")
+    return out.withColumn("range", F.col("max") - F.col("min")).withColumn("se", F.col("sd") / F.sqrt("n"))
 
 
 def winsorise(panel: Panel, x: str, d: float) -> Panel:

@@ -16,6 +16,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from chronopanel.session import written
+
 # Rows per season cycle at each grain: fixed values.
 PERIODS = {"hour": 24, "day": 7, "week": 52, "month": 12, "quarter": 4, "year": 1}
 
@@ -98,6 +100,10 @@ class Panel:
     def whole(self) -> WindowSpec:
         return Window.partitionBy(*self.key)
 
+    def written(self, label: str) -> Panel:
+        """The same panel, stored once in the shared folder."""
+        return self.on(written(self.df, label))
+
     def duplicates(self) -> DataFrame:
         """(key, index) pairs that occur more than once; empty for a valid panel."""
         return self.df.groupBy(*self.key, self.index).count().filter("count > 1")
