@@ -156,7 +156,7 @@ def strengths(
     """Feature row of a decomposed panel: strengths, peak, trough, spikiness, trend shape."""
     m = period or panel.period
     df = panel.df.where(F.col(rest).isNotNull()).select(
-        *panel.key, panel.index, F.col(trend).alias("T"), F.col(seasonal).alias("S"), F.col(rest).alias("R")
+        *panel.key, panel.index, F.col(trend).alias("tr"), F.col(seasonal).alias("se"), F.col(rest).alias("re")
     )
     p = panel.on(df).with_position("t").with_season("s", m)
     whole = panel.whole()
@@ -166,35 +166,35 @@ def strengths(
         p.df.withColumns(
             {
                 "__n": n,
-                "__m": F.avg("R").over(whole),
-                "__v": F.var_samp("R").over(whole),
+                "__m": F.avg("re").over(whole),
+                "__v": F.var_samp("re").over(whole),
                 "__u": F.col("t") - centre,
             }
         )
     )
-    dev = F.pow(F.col("R") - F.col("__m"), 2)
+    dev = F.pow(F.col("re") - F.col("__m"), 2)
     nn = F.col("__n")
     loo = (F.col("__v") * (nn - 1) - dev * nn / (nn - 1)) / (nn - 2)
     bent = F.pow("__u", 2) - (nn * nn - 1) / 12
     df = p.df.withColumns({"__loo": loo, "__bent": bent})
 
     def strength(part: str) -> Column:
-        share = 1 - F.try_divide(F.var_samp("R"), F.var_samp(F.col("R") + F.col(part)))
+        share = 1 - F.try_divide(F.var_samp("re"), F.var_samp(F.col("re") + F.col(part)))
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
 
     shape = df.groupBy(*panel.key).agg(
-        strength("T").alias("trend_strength"),
-        strength("S").alias("seasonal_strength"),
+        strength("tr").alias("trend_strength"),
+        strength("se").alias("seasonal_strength"),
         F.var_samp("__loo").alias("spikiness"),
-        F.try_divide(F.sum(F.col("T") * F.col("__u")), F.sqrt(F.sum(F.pow("__u", 2)))).alias("linearity"),
-        F.try_divide(F.sum(F.col("T") * F.col("__bent")), F.sqrt(F.sum(F.pow("__bent", 2)))).alias("curvature"),
+        F.try_divide(F.sum(F.col("tr") * F.col("__u")), F.sqrt(F.sum(F.pow("__u", 2)))).alias("linearity"),
+        F.try_divide(F.sum(F.col("tr") * F.col("__bent")), F.sqrt(F.sum(F.pow("__bent", 2)))).alias("curvature"),
     )
-    by_season = df.groupBy(*panel.key, "s").agg(F.avg("S").alias("f"))
+    by_season = df.groupBy(*panel.key, "s").agg(F.avg("se").alias("f"))
     turn = by_season.groupBy(*panel.key).agg(
         F.pmod(F.max_by("s", "f") + 1, F.lit(m)).cast("long").alias("seasonal_peak"),
         F.pmod(F.min_by("s", "f") + 1, F.lit(m)).cast("long").alias("seasonal_trough"),
     )
-    rest_acf = acf_wide(panel.on(df.select(*panel.key, panel.index, "R")), "R", range(1, 11))
+    rest_acf = acf_wide(panel.on(df.select(*panel.key, panel.index, "re")), "re", range(1, 11))
     rest_acf = rest_acf.select(*panel.key, F.col("r1").alias("rest_acf1"), _sum_sq(10).alias("rest_acf10"))
     return shape.join(turn, list(panel.key)).join(rest_acf, list(panel.key))
 
