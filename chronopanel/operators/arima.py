@@ -70,35 +70,35 @@ def fixed_order(
 
 
 def with_differencing(panel: Panel, y: str, orders: Orders, m: int) -> Panel:
-    """Adds the difference orders ``d`` and (seasonal) ``ds`` of each series as columns."""
+    """Adds the difference orders ``order_d`` and (seasonal) ``order_ds`` of each series as columns."""
     key = list(panel.key)
     df = panel.df
     if orders.D is not None or m <= 1:
-        df = df.withColumn("ds", F.lit(orders.D or 0).cast("long"))
+        df = df.withColumn("order_ds", F.lit(orders.D or 0).cast("long"))
     else:
         parts = classical(panel, y, period=m)
         strong = features.strengths(parts, "trend", "seasonal", "random", m)
-        table = features.nsdiffs(strong, key).withColumnRenamed("nsdiffs", "ds")
-        df = df.join(table, key, "left").fillna(0, subset=["ds"])
+        table = features.nsdiffs(strong, key).withColumnRenamed("nsdiffs", "order_ds")
+        df = df.join(table, key, "left").fillna(0, subset=["order_ds"])
     if orders.d is not None:
-        return panel.on(df.withColumn("d", F.lit(orders.d).cast("long")))
+        return panel.on(df.withColumn("order_d", F.lit(orders.d).cast("long")))
     p = framed(panel.on(df), {"__s": lambda w: F.col(y) - F.lag(y, m).over(w)}, m)
-    stable = p.on(p.df.withColumn("__s", F.when(F.col("ds") == 1, F.col("__s")).otherwise(F.col(y))))
+    stable = p.on(p.df.withColumn("__s", F.when(F.col("order_ds") == 1, F.col("__s")).otherwise(F.col(y))))
     table = features.ndiffs(stable.on(stable.df.where("__s is not null")), "__s")
-    return panel.on(df.join(table.withColumnRenamed("ndiffs", "d"), key, "left").fillna(0, subset=["d"]))
+    return panel.on(df.join(table.withColumnRenamed("ndiffs", "order_d"), key, "left").fillna(0, subset=["order_d"]))
 
 
 def design(panel: Panel, y: str, orders: Orders, m: int) -> Panel:
     """Differenced series ``w``, innovations ``e`` and all candidate lag columns.
 
-    Expects ``d`` and ``ds``.
+    Expects ``order_d`` and ``order_ds``.
     """
     key, v = list(panel.key), F.col(y).cast("double")
     p = panel.with_position("t")
-    p = framed(p, {"__s": lambda w: F.when(F.col("ds") == 1, v - F.lag(v, m).over(w)).otherwise(v)}, m)
+    p = framed(p, {"__s": lambda w: F.when(F.col("order_ds") == 1, v - F.lag(v, m).over(w)).otherwise(v)}, m)
     p = framed(p, {"__w1": lambda w: F.col("__s") - F.lag("__s").over(w)}, 1)
     p = framed(p, {"__w2": lambda w: F.col("__w1") - F.lag("__w1").over(w)}, 1)
-    wcol = F.when(F.col("d") == 0, F.col("__s")).when(F.col("d") == 1, F.col("__w1")).otherwise(F.col("__w2"))
+    wcol = F.when(F.col("order_d") == 0, F.col("__s")).when(F.col("order_d") == 1, F.col("__w1")).otherwise(F.col("__w2"))
     p = p.on(p.df.withColumn("w", wcol).drop("__s", "__w1", "__w2"))
     ar = [f"__a{k}" for k in range(1, orders.long_ar + 1)]
     w_lags = {f"w{k}": k for k in range(1, orders.p + 1)} | {f"wS{j}": j * m for j in range(1, orders.P + 1)}
@@ -134,21 +134,21 @@ def select_model(designed: Panel, orders: Orders) -> DataFrame:
         full = full & c.isNotNull()
     gram = gram_sums([F.lit(1.0), *cols[1:], cols[0]])
     sums = designed.df.where(full).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), gram.alias("g"), F.first("d").alias("d"), F.first("ds").alias("ds")
+        F.count(F.lit(1)).alias("n"), gram.alias("g"), F.first("order_d").alias("order_d"), F.first("order_ds").alias("order_ds")
     )
     cands = orders.candidates()
     solve = subset_solver(len(names) + 1, [orders.subset(c) for c in cands])
     table = F.lit([list(c) for c in cands])
-    out = sums.withColumn("f", solve("g")).select(*key, "n", "d", "ds", F.posexplode("f").alias("i", "f"))
-    out = out.select(*key, "n", "d", "ds", F.get(table, F.col("i")).alias("o"), "f.coef", "f.rss", "f.rank")
+    out = sums.withColumn("f", solve("g")).select(*key, "n", "order_d", "order_ds", F.posexplode("f").alias("i", "f"))
+    out = out.select(*key, "n", "order_d", "order_ds", F.get(table, F.col("i")).alias("o"), "f.coef", "f.rss", "f.rank")
     n, k = F.col("n"), F.col("rank")
     aicc = n * F.log(F.greatest("rss", F.lit(1e-12)) / n) + 2 * (k + 1) + F.try_divide(2 * (k + 1) * (k + 2), n - k - 2)
     out = out.withColumn("aicc", aicc)
-    allowed = (F.col("o")[4] == 0) | (F.col("d") + F.col("ds") < 2)
+    allowed = (F.col("o")[4] == 0) | (F.col("order_d") + F.col("order_ds") < 2)
     out = out.where((allowed | F.lit(orders.constant is True)) & (n > k + 2))
     pick = F.struct(
-        "n", "d", "ds",
-        *[F.col("o")[i].cast("long").alias(c) for i, c in enumerate(["p", "q", "ps", "qs", "constant"])],
+        "n", "order_d", "order_ds",
+        *[F.col("o")[i].cast("long").alias(c) for i, c in enumerate(["order_p", "order_q", "order_ps", "order_qs", "constant"])],
         "coef", F.try_divide("rss", n - k).alias("sigma2"), "rank", "rss", "aicc",
     )
     best = out.groupBy(*key).agg(F.min_by(pick, F.struct("aicc", "o")).alias("b"))
@@ -235,7 +235,7 @@ def forecast_arima(
         F.array_sort(F.collect_list(row)).alias("__r"), F.max(designed.index).alias("__end")
     )
     df = models.join(tails, key)
-    cells = _roller(orders, m, h)("coef", "d", "ds", "sigma2", F.col("__r.y"), F.col("__r.innov"))
+    cells = _roller(orders, m, h)("coef", "order_d", "order_ds", "sigma2", F.col("__r.y"), F.col("__r.innov"))
     df = df.withColumn("__f", cells)
     out = df.select(*key, "__end", F.posexplode(F.arrays_zip("__f.mean", "__f.sd")).alias("h", "c"))
     return out.select(

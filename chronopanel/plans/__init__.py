@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronopanel.plans import registry
 
-MODULES = ("q_panel", "q_tables", "q_windows", "q_features", "q_models")
+MODULES = ("q_panel", "q_tables", "q_windows", "q_features", "q_models", "q_evaluate")
 
 
 def _load() -> None:

@@ -241,7 +241,7 @@ def m14(t):
     p = monthly(t)
     models, designed = arima.fit_arima(p, "y", orders)
     fc = arima.forecast_arima(models, designed, "y", 12, orders)
-    return fc.join(models.select(*p.key, "p", "d", "q", "ps", "ds", "qs", "aicc"), list(p.key))
+    return fc.join(models.select(*p.key, "order_p", "order_d", "order_q", "order_ps", "order_ds", "order_qs", "aicc"), list(p.key))
 
 
 _AR2 = "a AS (SELECT o_orderstatus, day, CAST(y AS DOUBLE) AS y, lag(y, 1) OVER w AS x1, lag(y, 2) OVER w AS x2, t FROM od WINDOW w AS (PARTITION BY o_orderstatus ORDER BY day))"
