@@ -77,7 +77,7 @@ def with_differencing(panel: Panel, y: str, orders: Orders, m: int) -> Panel:
         df = df.withColumn("order_ds", F.lit(orders.D or 0).cast("long"))
     else:
         parts = classical(panel, y, period=m)
-        strong = features.strengths(parts, "trend", "seasonal", "random", m)
+        strong = features.seasonal_strength(parts, "seasonal", "random")
         table = features.nsdiffs(strong, key).withColumnRenamed("nsdiffs", "order_ds")
         df = df.join(table, key, "left").fillna(0, subset=["order_ds"])
     if orders.d is not None:
@@ -158,10 +158,13 @@ def select_model(designed: Panel, orders: Orders) -> DataFrame:
 def fit_arima(panel: Panel, y: str, orders: Orders = Orders(), period: int | None = None):
     """Fit one model per series.  Returns (models, designed panel with ``innov``)."""
     m = period or panel.period
-    # The series feed several tests and regressions: store them once, and once
-    # more with their lag columns.
+    # Tests, long autoregression and order search each read the series: store
+    # it, then with its difference orders, then with its lag columns.
     p = panel.on(panel.df.select(*panel.key, panel.index, y)).written("series")
-    p = design(with_differencing(p, y, orders, m), y, orders, m).written("lags")
+    p = with_differencing(p, y, orders, m)
+    if orders.d is None or orders.D is None:
+        p = p.written("orders")
+    p = design(p, y, orders, m).written("lags")
     models = select_model(p, orders)
     df = p.df.join(models.select(*panel.key, F.col("coef").alias("__c")), list(panel.key), "left")
     fitted = F.col("__c")[0]

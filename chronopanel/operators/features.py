@@ -109,32 +109,35 @@ def _kpss_pvalue(stat: Column) -> Column:
 def kpss(panel: Panel, x: str, lags: int = 24) -> DataFrame:
     """KPSS level-stationarity statistic with the short Bartlett bandwidth.
 
-    ``lags`` autocovariances are prepared.  A series so long that its bandwidth
-    4(n/100)^(1/4) exceeds them raises instead of being cut.
+    With C the running sum of the centred series and L one more than the
+    bandwidth 4(n/100)^(1/4), the Bartlett long-run variance times n equals
+    2/L (sum C_i^2 - sum C_i C_(i-L)): one lag product replaces the whole set of
+    autocovariances.  Bandwidths up to ``lags`` are prepared (n = 129 600 by
+    default); a longer series raises instead of being cut.
     """
     p = _centred(panel.on(panel.df.where(F.col(x).isNotNull())), x)
-    rows = (Window.unboundedPreceding, 0)
-    exprs = {f"__l{k}": (lambda w, k=k: F.lag("__e", k).over(w)) for k in range(1, lags + 1)}
-    p = framed(p, exprs, lags)
-    df = p.df.withColumn("__cum", F.sum("__e").over(panel.window().rowsBetween(*rows)))
-    e = F.col("__e")
+    w, whole = panel.window(), panel.whole()
+    size = F.count("__e").over(whole)
+    df = p.df.withColumns(
+        {
+            "__cum": F.sum("__e").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "__width": (F.floor(4 * F.pow(size / 100, 0.25)) + 1).cast("int"),
+        }
+    )
+    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in panel.key)} ORDER BY `{panel.index}`)"
+    cases = " ".join(f"WHEN {k} THEN lag(__cum, {k}) {over}" for k in range(1, lags + 2))
+    bad = "CAST(raise_error('kpss: series needs a wider bandwidth than prepared') AS DOUBLE)"
+    df = df.withColumn("__back", F.expr(f"CASE __width {cases} ELSE {bad} END"))
+    c = F.col("__cum")
     sums = df.groupBy(*panel.key).agg(
-        F.count(e).alias("n"),
-        F.sum(F.col("__cum") * F.col("__cum")).alias("__s2"),
-        F.sum(e * e).alias("__g0"),
-        *[F.sum(e * F.col(f"__l{k}")).alias(f"__g{k}") for k in range(1, lags + 1)],
+        F.count("__e").alias("n"),
+        F.sum(c * c).alias("__s2"),
+        F.coalesce(F.sum(c * F.col("__back")), F.lit(0.0)).alias("__sl"),
+        F.sum(F.col("__e") * F.col("__e")).alias("__g0"),
+        F.max("__width").alias("__l"),
     )
-    n = F.col("n")
-    width = F.floor(4 * F.pow(n / 100, 0.25))
-    too_wide = F.raise_error(F.lit("kpss: series needs more lags than prepared")).cast("long")
-    sums = sums.withColumn("__b", F.when(width > lags, too_wide).otherwise(width))
-    b = F.col("__b")
-    long_run = F.col("__g0")
-    for k in range(1, lags + 1):
-        wt = F.greatest(1 - k / (b + 1), F.lit(0.0))
-        long_run = long_run + 2 * wt * F.coalesce(f"__g{k}", F.lit(0.0))
-    # Long-run variance is long_run / n, the statistic sum(S^2) / n^2 over it.
-    stat = F.when(F.col("__g0") > 1e-12, F.try_divide(F.col("__s2"), n * long_run))
+    long_run = 2 * (F.col("__s2") - F.col("__sl")) / F.col("__l")
+    stat = F.when(F.col("__g0") > 1e-12, F.try_divide(F.col("__s2"), F.col("n") * long_run))
     return sums.select(*panel.key, "n", stat.alias("kpss_stat")).withColumn(
         "kpss_pvalue", _kpss_pvalue(F.col("kpss_stat"))
     )
@@ -150,6 +153,18 @@ def ndiffs(panel: Panel, x: str, alpha: float = 0.05) -> DataFrame:
     return out.select(*panel.key, d.otherwise(2).cast("long").alias("ndiffs"))
 
 
+def _strength(part: str, rest: str) -> Column:
+    """Aggregate: share of the variance of part + rest that the rest leaves."""
+    share = 1 - F.try_divide(F.var_samp(rest), F.var_samp(F.col(rest) + F.col(part)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+
+
+def seasonal_strength(panel: Panel, seasonal: str, rest: str) -> DataFrame:
+    """Only the seasonal strength of a decomposed panel: one aggregation."""
+    df = panel.df.where(F.col(rest).isNotNull())
+    return df.groupBy(*panel.key).agg(_strength(seasonal, rest).alias("seasonal_strength"))
+
+
 def strengths(
     panel: Panel, trend: str, seasonal: str, rest: str, period: int | None = None
 ) -> DataFrame:
@@ -178,13 +193,9 @@ def strengths(
     bent = F.pow("__u", 2) - (nn * nn - 1) / 12
     df = p.df.withColumns({"__loo": loo, "__bent": bent})
 
-    def strength(part: str) -> Column:
-        share = 1 - F.try_divide(F.var_samp("re"), F.var_samp(F.col("re") + F.col(part)))
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
-
     shape = df.groupBy(*panel.key).agg(
-        strength("tr").alias("trend_strength"),
-        strength("se").alias("seasonal_strength"),
+        _strength("tr", "re").alias("trend_strength"),
+        _strength("se", "re").alias("seasonal_strength"),
         F.var_samp("__loo").alias("spikiness"),
         F.try_divide(F.sum(F.col("tr") * F.col("__u")), F.sqrt(F.sum(F.pow("__u", 2)))).alias("linearity"),
         F.try_divide(F.sum(F.col("tr") * F.col("__bent")), F.sqrt(F.sum(F.pow("__bent", 2)))).alias("curvature"),

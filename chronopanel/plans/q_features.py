@@ -178,7 +178,7 @@ def x6(t):
 def x7(t):
     """Seasonal differences from the strength of the classical seasonal part."""
     p = monthly(t)
-    s = features.strengths(decompose.classical(p, "y"), "trend", "seasonal", "random")
+    s = features.seasonal_strength(decompose.classical(p, "y"), "seasonal", "random")
     return features.nsdiffs(s, p.key)
 
 
@@ -253,7 +253,7 @@ def x10b(t):
 def x11(t):
     """The most seasonal series, drilled back to its observations."""
     p = monthly(t).written("monthly")
-    s = features.strengths(decompose.classical(p, "y"), "trend", "seasonal", "random").select(*p.key, "seasonal_strength")
+    s = features.seasonal_strength(decompose.classical(p, "y"), "seasonal", "random")
     top = s.where(F.col("seasonal_strength") == s.agg(F.max("seasonal_strength")).scalar()).select(*p.key)
     return joins.drill_back(top, p.df, p.key)
 
