@@ -90,13 +90,17 @@ def forecast_baselines(
 def forecast_for(
     panel: Panel, y: str, horizon: DataFrame, period: int | None = None, models: Sequence[str] = MODELS
 ) -> DataFrame:
-    """Forecasts for given rows: ``horizon`` holds the key and a horizon column ``h``."""
+    """Forecasts for given rows: ``horizon`` holds the key, a horizon column ``h`` and
+    columns to carry along (actual values, say)."""
     m = period or panel.period
-    rows = horizon.select(*panel.key, "h").join(fit_baselines(panel, y, m), list(panel.key))
-    return _forecast_rows(panel, rows, m, models)
+    carried = [c for c in horizon.columns if c not in (*panel.key, "h", panel.index)]
+    rows = horizon.drop(panel.index).join(fit_baselines(panel, y, m), list(panel.key))
+    return _forecast_rows(panel, rows, m, models, carried)
 
 
-def _forecast_rows(panel: Panel, rows: DataFrame, m: int, models: Sequence[str]) -> DataFrame:
+def _forecast_rows(
+    panel: Panel, rows: DataFrame, m: int, models: Sequence[str], carried: Sequence[str] = ()
+) -> DataFrame:
     out = rows.withColumn("__c", F.explode(_forecast_cells(m, models)))
     return out.select(
         *panel.key,
@@ -105,6 +109,7 @@ def _forecast_rows(panel: Panel, rows: DataFrame, m: int, models: Sequence[str])
         shift("end", F.col("h"), panel.grain).alias(panel.index),
         "__c.mean",
         "__c.sd",
+        *carried,
     )
 
 

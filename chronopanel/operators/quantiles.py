@@ -1,10 +1,10 @@
 """Exact order statistics without gathering a group in one task.
 
-A mergeable sketch brackets every wanted quantile.  Rows outside a bracket only
-count (one partial row per map task); rows inside it are counted per value and
-ranked.  A bracket holds a few rows in ten thousand plus repeats of a value, so
-the ranked part stays small however many rows a group has, and the result is
-exact because the counts of the rows outside fix the ranks inside.
+A mergeable sketch brackets every wanted quantile.  The brackets cut the value
+axis into zones.  Rows between brackets only count (one partial row per zone and
+map task); rows inside a bracket are counted per value.  Running counts over the
+zones then give exact ranks.  A bracket holds a few rows in ten thousand plus
+repeats of a value, so the ranked part stays small however large a group is.
 """
 
 from __future__ import annotations
@@ -15,127 +15,140 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.panel import Panel
+from chronopanel.session import written
 
 ACCURACY = 10000
 
 
-def probe(df: DataFrame, key: Sequence[str], x: str, probs: Sequence[float]) -> DataFrame:
-    """Rank rows around each probability.
-
-    Columns: key, ``probe`` (position in ``probs``), ``side`` (-1 below the
-    bracket, 0 one value inside it, 1 above), first and last rank ``lo`` and
-    ``hi``, group size ``n``, and ``total``, ``least``, ``most`` of the values.
-    """
-    df = df.where(F.col(x).isNotNull()).select(*key, F.col(x).cast("double").alias("__x"))
+def _sketch(x: Column, probs: Sequence[float]) -> Column:
+    """Aggregate: lower then upper bracket ends of the sorted probabilities."""
     slack = 1.5 / ACCURACY
-    cuts = [max(p - slack, 0.0) for p in probs] + [min(p + slack, 1.0) for p in probs]
-    sketch = df.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.approx_percentile("__x", F.lit(cuts), F.lit(ACCURACY)).alias("__b")
-    )
-    v = F.col("__x")
+    cuts = [max(p - slack, 0.0) for p in sorted(probs)] + [min(p + slack, 1.0) for p in sorted(probs)]
+    return F.approx_percentile(x, F.lit(cuts), F.lit(ACCURACY))
 
-    def cell(i: int) -> Column:
-        side = F.when(v < F.col("__b")[i], -1).when(v > F.col("__b")[i + len(probs)], 1).otherwise(0)
-        return F.struct(F.lit(i).alias("probe"), side.alias("side"))
 
-    cells = F.explode(F.array(*[cell(i) for i in range(len(probs))]))
-    sided = df.join(sketch, list(key)).select(*key, "n", "__x", cells.alias("c"))
-    inside = F.when(F.col("c.side") == 0, v)
-    out = sided.groupBy(*key, "n", F.col("c.probe").alias("probe"), F.col("c.side").alias("side"), inside.alias("__v")).agg(
+def _zones(df: DataFrame, key: Sequence[str], x: str, sketches: DataFrame, k: int) -> DataFrame:
+    """Rank rows of every key, given ``n`` and the bracket array ``__b`` of ``k`` probabilities.
+
+    Columns: key, first and last rank ``lo`` and ``hi``, ``n``, ``one`` (a single
+    value inside a bracket), and ``total``, ``least``, ``most`` of the values.
+    """
+    v, b = F.col(x), F.col("__b")
+    zone, inside = F.lit(0), F.lit(False)
+    for i in range(k):
+        zone = zone + (v >= b[i]).cast("int") + (v > b[i + k]).cast("int")
+        inside = inside | ((v >= b[i]) & (v <= b[i + k]))
+    rows = df.where(v.isNotNull()).join(sketches, list(key))
+    out = rows.groupBy(*key, "n", zone.alias("__z"), F.when(inside, v).alias("__v")).agg(
         F.count(F.lit(1)).alias("c"), F.sum(v).alias("total"), F.min(v).alias("least"), F.max(v).alias("most")
     )
-    order = Window.partitionBy(*key, "probe").orderBy("side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("hi", F.sum("c").over(order))
-    return out.withColumn("lo", F.col("hi") - F.col("c") + 1).drop("__v")
+    order = Window.partitionBy(*key).orderBy("__z", "least").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("hi", F.sum("c").over(order)).withColumn("one", F.col("__v").isNotNull())
+    return out.withColumn("lo", F.col("hi") - F.col("c") + 1).drop("__z", "__v")
 
 
-def _value_at(i: int, rank: Column) -> Column:
-    """Aggregate: the value with a given rank, which lies in or next to bracket ``i``."""
-    side = F.col("side")
-    outside = F.when(
-        ((side == -1) & (F.col("hi") > rank)) | ((side == 1) & (F.col("lo") < rank)),
-        F.raise_error(F.lit("rank lies outside its bracket")).cast("double"),
+def rank_rows(df: DataFrame, key: Sequence[str], x: str, probs: Sequence[float]) -> DataFrame:
+    """Rank rows of ``x`` per key, fine enough for the given probabilities."""
+    df = df.where(F.col(x).isNotNull()).select(*key, F.col(x).cast("double").alias("__x"))
+    sketches = df.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), _sketch(F.col("__x"), probs).alias("__b")
     )
+    return _zones(df, key, "__x", sketches, len(probs))
+
+
+_OUTSIDE = "rank lies outside its bracket"
+
+
+def _value_at(rank: Column) -> Column:
+    """Aggregate: the value with a given rank."""
     here = (
-        F.when((side == -1) & (F.col("hi") == rank), F.col("most"))
-        .when((side == 1) & (F.col("lo") == rank), F.col("least"))
-        .when((side == 0) & (F.col("lo") <= rank) & (rank <= F.col("hi")), F.col("least"))
-        .otherwise(outside)
+        F.when(F.col("one") | (F.col("lo") == rank), F.col("least"))
+        .when(F.col("hi") == rank, F.col("most"))
+        .otherwise(F.raise_error(F.lit(_OUTSIDE)).cast("double"))
     )
-    return F.max(F.when(F.col("probe") == i, here))
+    return F.max(F.when((F.col("lo") <= rank) & (rank <= F.col("hi")), here))
 
 
-def quantile_agg(i: int, p: float) -> Column:
+def quantile_agg(p: float) -> Column:
     """Aggregate over rank rows: the linearly interpolated (type 7) quantile."""
     h = (F.col("n") - 1) * F.lit(p)
     lower = F.floor(h) + 1
-    frac = F.max(h - F.floor(h))
     upper = F.least(lower + 1, F.col("n"))
-    below = _value_at(i, lower)
-    return below + frac * (_value_at(i, upper) - below)
+    below = _value_at(lower)
+    return below + F.max(h - F.floor(h)) * (_value_at(upper) - below)
 
 
-def _sum_of_least(i: int, rank: Column) -> Column:
+def _sum_of_least(rank: Column) -> Column:
     """Aggregate: the sum of the ``rank`` smallest values."""
-    side = F.col("side")
-    kept = F.greatest(F.lit(0), F.least("hi", rank) - F.col("lo") + 1)
-    bad = ((side == -1) & (F.col("hi") > rank)) | ((side == 1) & (F.col("lo") <= rank))
     part = (
-        F.when(bad, F.raise_error(F.lit("rank lies outside its bracket")).cast("double"))
-        .when(side == -1, F.col("total"))
-        .when(side == 0, F.col("least") * kept)
-        .otherwise(F.lit(0.0))
+        F.when(F.col("hi") <= rank, F.col("total"))
+        .when(F.col("lo") > rank, F.lit(0.0))
+        .when(F.col("one") | (F.col("lo") == rank), F.col("least") * (rank - F.col("lo") + 1))
+        .otherwise(F.raise_error(F.lit(_OUTSIDE)).cast("double"))
     )
-    return F.sum(F.when(F.col("probe") == i, part))
+    return F.sum(part)
 
 
-def trimmed_mean_agg(i_low: int, i_high: int, trim: float) -> Column:
+def trimmed_mean_agg(trim: float) -> Column:
     """Aggregate over rank rows probed at ``trim`` and ``1 - trim``: the trimmed mean."""
     cut = F.floor(F.col("n") * F.lit(trim))
     size = F.max(F.col("n") - 2 * cut)
-    return (_sum_of_least(i_high, F.col("n") - cut) - _sum_of_least(i_low, cut)) / size
+    return (_sum_of_least(F.col("n") - cut) - _sum_of_least(cut)) / size
 
 
 def quantiles(
     df: DataFrame, key: Sequence[str], x: str, probs: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
     """Exact type-7 quantiles of ``x`` per key, one column each."""
-    ranks = probe(df, key, x, probs)
-    return ranks.groupBy(*key).agg(
-        *[quantile_agg(i, p).alias(n) for i, (p, n) in enumerate(zip(probs, names))]
-    )
+    ranks = rank_rows(df, key, x, probs)
+    return ranks.groupBy(*key).agg(*[quantile_agg(p).alias(n) for p, n in zip(probs, names)])
 
 
 def describe(df: DataFrame, columns: Sequence[str], trim: float = 0.1) -> DataFrame:
-    """One row of summary statistics per numeric column."""
+    """One row of summary statistics per numeric column.
+
+    Four passes: moments and brackets of all columns, ranks, brackets of the
+    distances from the median, their ranks.  Per-column tables have one row per
+    column, which is what makes broadcasting them safe.
+    """
+    probs = [0.5, 0.25, 0.75, trim, 1 - trim]
+
+    def moments(c: str) -> Column:
+        x = F.col(c).cast("double")
+        n = F.count(x)
+        shrink = (n - 1) / n
+        return F.struct(
+            F.lit(c).alias("variable"),
+            n.alias("n"),
+            F.avg(x).alias("mean"),
+            F.stddev_samp(x).alias("sd"),
+            F.min(x).alias("min"),
+            F.max(x).alias("max"),
+            (F.max(x) - F.min(x)).alias("range"),
+            (F.skewness(x) * F.pow(shrink, 1.5)).alias("skew"),
+            ((F.kurtosis(x) + 3) * F.pow(shrink, 2) - 3).alias("kurtosis"),
+            (F.stddev_samp(x) / F.sqrt(n)).alias("se"),
+            _sketch(x, probs).alias("__b"),
+        )
+
+    wide = df.agg(F.array(*[moments(c) for c in columns]).alias("s"))
+    # One row per column; stored, so that no later use repeats the pass.
+    stats = written(wide.select(F.explode("s").alias("s")).select("s.*"), "moments")
     pairs = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns]
     long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.variable", "p.x")
-    long = long.where(F.col("x").isNotNull())
-    n = F.count("x")
-    shrink = (n - 1) / n
-    moments = long.groupBy("variable").agg(
-        n.alias("n"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("sd"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        (F.skewness("x") * F.pow(shrink, 1.5)).alias("skew"),
-        ((F.kurtosis("x") + 3) * F.pow(shrink, 2) - 3).alias("kurtosis"),
-    )
-    ranks = probe(long, ["variable"], "x", [0.5, 0.25, 0.75, trim, 1 - trim])
+    ranks = _zones(long, ["variable"], "x", F.broadcast(stats.select("variable", "n", "__b")), len(probs))
     order = ranks.groupBy("variable").agg(
-        quantile_agg(0, 0.5).alias("median"),
-        quantile_agg(1, 0.25).alias("q25"),
-        quantile_agg(2, 0.75).alias("q75"),
-        trimmed_mean_agg(3, 4, trim).alias("trimmed"),
-    )
-    away = long.join(order.select("variable", "median"), "variable").select(
-        "variable", F.abs(F.col("x") - F.col("median")).alias("dev")
+        quantile_agg(0.5).alias("median"),
+        quantile_agg(0.25).alias("q25"),
+        quantile_agg(0.75).alias("q75"),
+        trimmed_mean_agg(trim).alias("trimmed"),
     )
+    order = written(order, "order-statistics")
+    centre = F.broadcast(order.select("variable", "median"))
+    away = long.join(centre, "variable").select("variable", F.abs(F.col("x") - F.col("median")).alias("dev"))
     mad = quantiles(away, ["variable"], "dev", [0.5], ["__mad"])
-    out = moments.join(order, "variable").join(mad, "variable")
-    out = out.withColumn("mad", F.col("__mad") * 1.4826).drop("__mad")
-    return out.withColumn("range", F.col("max") - F.col("min")).withColumn("se", F.col("sd") / F.sqrt("n"))
+    out = stats.drop("__b").join(F.broadcast(order), "variable").join(F.broadcast(mad), "variable")
+    return out.withColumn("mad", F.col("__mad") * 1.4826).drop("__mad")
 
 
 def winsorise(panel: Panel, x: str, d: float) -> Panel:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from chronopanel.panel import Panel, numbered, steps
+from chronopanel.panel import Panel, numbered, slot
 
 FrameExpr = Callable[[WindowSpec], Column]
 
@@ -23,12 +23,12 @@ def framed(panel: Panel, exprs: dict[str, FrameExpr], before: int = 0, after: in
         w = panel.window()
         return panel.on(panel.df.withColumns({n: f(w) for n, f in exprs.items()}))
     size = F.lit(panel.block)
-    df = panel.with_position("__t").df
 
     def block_of(t: Column) -> Column:
         return F.floor(t / size)
 
     t = F.col("__t")
+    df = panel.df.withColumn("__t", slot(panel.index, panel.grain))
     # A row is needed by every block whose rows reach it.
     df = df.withColumn(
         "__b", F.explode(F.sequence(block_of(t - after), block_of(t + before)))
@@ -96,10 +96,8 @@ def difference(panel: Panel, x: str, lags: Sequence[int], name: str) -> Panel:
 def with_row_number(panel: Panel, name: str = "rn") -> Panel:
     if panel.block is None:
         return framed(panel, {name: lambda w: F.row_number().over(w).cast("long")})
-    starts = panel.df.groupBy(*panel.key).agg(F.min(panel.index).alias("__s"))
-    df = panel.df.join(starts, list(panel.key))
-    blk = F.floor(steps("__s", panel.index, panel.grain) / panel.block)
-    return panel.on(numbered(df, panel.key, [panel.index], blk, name).drop("__s"))
+    blk = F.floor(slot(panel.index, panel.grain) / panel.block)
+    return panel.on(numbered(panel.df, panel.key, [panel.index], blk, name))
 
 
 def lag_pairs(panel: Panel, x: str, lags: Sequence[int]) -> DataFrame:
@@ -160,7 +158,7 @@ def cumulative(panel: Panel, x: str, name: str) -> Panel:
     rows = (Window.unboundedPreceding, 0)
     if panel.block is None:
         return framed(panel, {name: lambda w: F.sum(x).over(w.rowsBetween(*rows))})
-    df = panel.with_position("__t").df.withColumn("__b", F.floor(F.col("__t") / panel.block))
+    df = panel.df.withColumn("__b", F.floor(slot(panel.index, panel.grain) / panel.block))
     before = Window.partitionBy(*panel.key).orderBy("__b").rowsBetween(rows[0], -1)
     totals = df.groupBy(*panel.key, "__b").agg(F.sum(x).alias("__s"))
     totals = totals.select(
@@ -169,4 +167,4 @@ def cumulative(panel: Panel, x: str, name: str) -> Panel:
     inner = Window.partitionBy(*panel.key, "__b").orderBy(panel.index).rowsBetween(*rows)
     df = df.join(totals, [*panel.key, "__b"])
     df = df.withColumn(name, F.sum(x).over(inner) + F.col("__o"))
-    return panel.on(df.drop("__b", "__t", "__o"))
+    return panel.on(df.drop("__b", "__o"))

@@ -77,6 +77,17 @@ def index_range(start: Column | str, end: Column | str, grain: str) -> Column:
     return F.sequence(_c(start), _c(end), F.expr(_STEP[grain]))
 
 
+def slot(index: Column | str, grain: str) -> Column:
+    """Absolute step number of an index value: consecutive steps differ by 1 in every series."""
+    if grain == "step":
+        return _c(index).cast("long")
+    origin = F.lit("1969-12-29")  # a Monday
+    start = origin.cast("timestamp") if grain == "hour" else origin.cast("date")
+    if grain in _MONTHS:
+        return F.floor((F.year(_c(index)) * 12 + F.month(_c(index)) - 1) / _MONTHS[grain]).cast("long")
+    return steps(start, index, grain)
+
+
 @dataclass(frozen=True)
 class Panel:
     """A DataFrame with a declared key, index and grain."""

@@ -34,10 +34,10 @@ def _pairs(df: DataFrame, key: Sequence[str], model: str, actual: str = "actual"
 
 
 def baseline_pairs(split: Panel, y: str, period: int | None = None, models=("naive", "snaive", "drift")) -> DataFrame:
-    key, test = list(split.key), splits.test(split).df
-    fc = baseline.forecast_for(splits.train(split), y, test, period, models)
-    actual = test.select(*key, "h", F.col(y).cast("double").alias("actual"))
-    return fc.select(*key, "model", "h", "mean", "sd").join(actual, [*key, "h"])
+    key = list(split.key)
+    rows = splits.test(split).df.select(*key, "h", F.col(y).cast("double").alias("actual"))
+    fc = baseline.forecast_for(splits.train(split), y, rows, period, models)
+    return fc.select(*key, "model", "h", "actual", "mean", "sd")
 
 
 def regression_pairs(split: Panel, y: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators import aggregate, joins
 from chronopanel.panel import Panel, fill_gaps, floor_to
+from chronopanel.session import written
 from chronopanel.sources.calendar import holiday_calendar
 
 Tables = Callable[[str], DataFrame]
@@ -155,7 +156,8 @@ def calendar_days(t: Tables) -> DataFrame:
 
 def weekly_covariates(t: Tables) -> list[DataFrame]:
     """Three covariate tables per week: home games, a policy period, holidays."""
-    days = calendar_days(t).withColumn("week", floor_to("date", "week"))
+    # A few thousand rows that three tables share: stored once.
+    days = written(calendar_days(t).withColumn("week", floor_to("date", "week")), "calendar")
     return [
         days.groupBy("week").agg(F.sum("home").alias("home")),
         days.where("covid = 1").groupBy("week").agg(F.max("covid").cast("long").alias("covid")),

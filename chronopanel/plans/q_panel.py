@@ -173,9 +173,9 @@ def s11(t):
     "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events",
 )
 def s12(t):
-    """Raw events renumbered 1..n per type, day block by day block."""
+    """Raw events renumbered 1..n per type, hour block by hour block."""
     ev = t("events").select("event_id", "event_type", "ts")
-    return numbered(ev, ["event_type"], ["ts", "event_id"], F.date_trunc("day", "ts"), "step").drop("ts")
+    return numbered(ev, ["event_type"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "step").drop("ts")
 
 
 @query(
