@@ -51,7 +51,9 @@ def main() -> None:
     spark = get_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     spark.sparkContext.setLogLevel("ERROR")
     queries = all_queries()
-    spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count().collect()
+    # Untimed: start the executors, the code cache and one Python worker pool.
+    for name in ("W1_moving_means", "M13_covariates_only"):
+        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()

@@ -175,6 +175,24 @@ def m10(t):
     return reg.fit_seasonal(p.df, p.key, "y", [], slope_on="t").select(*p.key, "season", "slope", "alpha")
 
 
+@query(
+    "M10_season_slopes_flag",
+    with_ctes(
+        MODEL, MP_SEASON,
+        """g AS (SELECT o_orderpriority, season, count(*) AS c, avg(yy) AS my, avg(t) AS mt, avg(covid) AS mx,
+  covar_pop(t, t) AS tt, covar_pop(t, yy) AS ty, covar_pop(t, covid) AS tx, covar_pop(covid, covid) AS xx, covar_pop(covid, yy) AS xy FROM mps GROUP BY 1, 2)""",
+        "b AS (SELECT o_orderpriority, sum(c * (xy - tx * ty / tt)) / sum(c * (xx - tx * tx / tt)) AS b FROM g GROUP BY 1)",
+        select=f"""SELECT o_orderpriority, season, {r('b')} AS covid, {r('(ty - b * tx) / tt')} AS slope,
+    {r('my - b * mx - (ty - b * tx) / tt * mt')} AS alpha FROM g JOIN b USING (o_orderpriority)""",
+    ),
+)
+def m10c(t):
+    """Season-specific slopes next to one shared flag."""
+    p = model_panel(t).with_position("t").with_season("season")
+    fit = reg.fit_seasonal(p.df, p.key, "y", ["covid"], slope_on="t")
+    return fit.select(*p.key, "season", F.col("coef")[0].alias("covid"), "slope", "alpha")
+
+
 @query("M10_season_slopes_covariates")
 def m10b(t):
     """The interaction model with covariates."""
@@ -260,6 +278,21 @@ def m15(t):
     return models.select("o_orderstatus", "n", c[0].alias("constant"), c[1].alias("phi1"), c[2].alias("phi2"), "sigma2")
 
 
+@query(
+    "M15_ar2_forecast",
+    with_ctes(OD, _AR2, "b AS (SELECT * FROM a WHERE t > 10)", *cramer("o_orderstatus", "b", "y", ["x1", "x2"]),
+              "e AS (SELECT o_orderstatus, arg_max(y, t) AS y1, arg_max(x1, t) AS y2, max(day) AS last_at FROM a GROUP BY 1)",
+              """st AS (SELECT o_orderstatus, last_at, b0, b1, b2, y1, y2, b0 + b1 * y1 + b2 * y2 AS f1 FROM ls JOIN e USING (o_orderstatus)),
+s2 AS (SELECT *, b0 + b1 * f1 + b2 * y1 AS f2 FROM st), s3 AS (SELECT *, b0 + b1 * f2 + b2 * f1 AS f3 FROM s2), s4 AS (SELECT *, b0 + b1 * f3 + b2 * f2 AS f4 FROM s3)""",
+              select=" UNION ALL ".join(f"SELECT o_orderstatus, {h}::BIGINT AS h, {d(f'last_at + {h}')} AS day, {r(f'f{h}')} AS mean FROM s4" for h in (1, 2, 3, 4))),
+)
+def m15c(t):
+    """Recursive forecast of the same model."""
+    orders = arima.fixed_order((2, 0, 0), constant=True)
+    models, designed = arima.fit_arima(from_tenth(daily(t)), "y", orders)
+    return arima.forecast_arima(models, designed, "y", 4, orders).drop("sd")
+
+
 def from_tenth(p: Panel) -> Panel:
     """From the ninth row on, so that two lags leave the rows after the tenth."""
     q = p.with_position("t")

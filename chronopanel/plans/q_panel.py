@@ -104,6 +104,26 @@ def s5(t):
     return fact.where(dates.in_span("o_orderdate", "1996", "1998")).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "S6_sample_tables",
+    "SELECT r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+)
+def s6(t):
+    """Landed tables as views, used by name in SQL."""
+    files.register_tables(t.spark, t.folder, ["region", "nation", "customer"])
+    return t.spark.sql(
+        "SELECT r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey "
+        "JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
+    )
+
+
+@query("S7_row_numbers", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS row FROM events")
+def s7b(t):
+    """The row-number column some result files carry, numbered hour by hour."""
+    ev = t("events").select("event_id", "ts")
+    return files.with_row_number(ev, ["ts", "event_id"], F.date_trunc("hour", "ts")).drop("ts")
+
+
 @query(
     "S7_write_csv",
     with_ctes(OW, select=f"SELECT o_orderpriority, {d('week')} AS week, y FROM ow"),

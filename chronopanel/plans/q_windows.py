@@ -361,6 +361,19 @@ def d7(t):
     return stl.seasonal_forecast(stl.stl(monthly(t), "y", trend_window=7, robust=True), 24)
 
 
+@query(
+    "D7_classical_forecast",
+    with_ctes(*classical_sql(LM, LMK, "month", 12, "additive", "lm"),
+              f"e AS (SELECT {LMK}, max(n) AS n, max(month) AS last_at, arg_max(season_adjust, month) AS level FROM parts GROUP BY {LMK})",
+              select=f"""SELECT {LMK}, CAST(h AS BIGINT) AS h, {d('last_at + INTERVAL (h) MONTH')} AS month,
+    {r('level + (SELECT seasonal FROM parts p WHERE p.l_returnflag = e.l_returnflag AND p.l_linestatus = e.l_linestatus AND p.t = e.n - 11 + (h - 1) % 12)')} AS mean
+    FROM e, range(1, 25) g(h)"""),
+)
+def d7b(t):
+    """The same forecast on the classical components."""
+    return stl.seasonal_forecast(decompose.classical(monthly(t), "y"), 24)
+
+
 @query("D8_all_decompositions")
 def d8(t):
     """Four decompositions of the smoothed series in one long table."""

@@ -24,6 +24,8 @@ def query(name: str, sql: str | None = None, digits: int = 6):
             def table(t: str) -> DataFrame:
                 return spark.read.parquet(f"{sf_dir}/{t}.parquet")
 
+            table.folder, table.spark = sf_dir, spark
+
             out = fn(table)
             return plain(out.df if isinstance(out, Panel) else out, digits)
 
@@ -44,7 +46,7 @@ def plain(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DateType, T.TimestampType)):
+        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             c = c.cast("string")
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("long")

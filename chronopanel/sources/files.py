@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, StringType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from chronopanel.panel import numbered
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, row_number: bool = False) -> DataFrame:
@@ -72,6 +74,16 @@ def write_latest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row") -> DataFrame:
-    """Row numbers of a small result table, as some sinks want them."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+def with_row_number(df: DataFrame, order: Sequence[str], block: Column, name: str = "row") -> DataFrame:
+    """Row numbers over a whole table, as some sinks want them.
+
+    ``block`` is a coarse bucket that follows the order; rows are numbered block
+    by block, so no task sorts the whole table.
+    """
+    return numbered(df, [], order, block, name)
+
+
+def register_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> None:
+    """Temporary views over landed parquet tables, for SQL by name."""
+    for name in names:
+        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
