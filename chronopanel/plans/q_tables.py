@@ -170,12 +170,12 @@ def a4(t):
 
 @query(
     "A5_monthly_rollup",
-    f"""SELECT o_orderstatus, {d("date_trunc('month', o_orderdate)")} AS month, count(*) AS n, {r('avg(o_totalprice)', 4)} AS avg_price
+    f"""SELECT o_orderstatus, {d("date_trunc('month', o_orderdate)")} AS month, count(*) AS n, {r('sum(o_totalprice)', 2)} AS total
     FROM orders GROUP BY o_orderstatus, date_trunc('month', o_orderdate)""",
-    digits=4,
+    digits=2,
 )
 def a5(t):
-    return aggregate.roll_up(t("orders"), "o_orderdate", "month", ["o_orderstatus"], "month", n=F.count(F.lit(1)), avg_price=F.avg("o_totalprice"))
+    return aggregate.roll_up(t("orders"), "o_orderdate", "month", ["o_orderstatus"], "month", n=F.count(F.lit(1)), total=F.sum("o_totalprice"))
 
 
 @query("A6_conditional_count", with_ctes(CAL, COV, select=f"SELECT {d('week')} AS week, home FROM cov"))

@@ -229,7 +229,11 @@ def classical_sql(cte: str, key: str, idx: str, m: int, kind: str, table: str) -
     ]
 
 
-CLASSICAL_COLS = f"{r('trend')} AS trend, {r('seasonal')} AS seasonal, {r('random')} AS random, {r('season_adjust')} AS season_adjust"
+def component_cols(digits: int = 6) -> str:
+    return ", ".join(f"{r(c, digits)} AS {c}" for c in ("trend", "seasonal", "random", "season_adjust"))
+
+
+CLASSICAL_COLS = component_cols()
 
 
 @query(
@@ -254,7 +258,8 @@ def d2(t):
 @query(
     "D3_components",
     with_ctes(*classical_sql(EH, "event_type", "hour", 24, "additive", "eh"),
-              select=f"SELECT event_type, CAST(hour AS VARCHAR) AS hour, {CLASSICAL_COLS} FROM parts"),
+              select=f"SELECT event_type, CAST(hour AS VARCHAR) AS hour, {component_cols(8)} FROM parts"),
+    digits=8,
 )
 def d3(t):
     """Components of the hourly panel with a daily cycle."""
