@@ -18,6 +18,7 @@ from chronopanel.panel import Panel
 from chronopanel.session import written
 
 ACCURACY = 10000
+SLICES = 64
 
 
 def _sketch(x: Column, probs: Sequence[float]) -> Column:
@@ -34,17 +35,26 @@ def _zones(df: DataFrame, key: Sequence[str], x: str, sketches: DataFrame, k: in
     value inside a bracket), and ``total``, ``least``, ``most`` of the values.
     """
     v, b = F.col(x), F.col("__b")
-    zone, inside = F.lit(0), F.lit(False)
+    zone, inside, part = F.lit(0), F.lit(False), F.lit(0).cast("long")
     for i in range(k):
-        zone = zone + (v >= b[i]).cast("int") + (v > b[i + k]).cast("int")
-        inside = inside | ((v >= b[i]) & (v <= b[i + k]))
+        lower, upper = b[i], b[i + k]
+        zone = zone + (v >= lower).cast("int") + (v > upper).cast("int")
+        inside = inside | ((v >= lower) & (v <= upper))
+        # Equal slices of a bracket: they keep the order and spread its values.
+        piece = F.coalesce(F.floor(F.try_divide(v - lower, upper - lower) * SLICES), F.lit(0))
+        part = F.when((v >= lower) & (v <= upper), piece.cast("long")).otherwise(part)
     rows = df.where(v.isNotNull()).join(sketches, list(key))
-    out = rows.groupBy(*key, "n", zone.alias("__z"), F.when(inside, v).alias("__v")).agg(
+    place = [*key, "__z", "__p"]
+    out = rows.groupBy(*key, "n", zone.alias("__z"), part.alias("__p"), F.when(inside, v).alias("__v")).agg(
         F.count(F.lit(1)).alias("c"), F.sum(v).alias("total"), F.min(v).alias("least"), F.max(v).alias("most")
     )
-    order = Window.partitionBy(*key).orderBy("__z", "least").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("hi", F.sum("c").over(order)).withColumn("one", F.col("__v").isNotNull())
-    return out.withColumn("lo", F.col("hi") - F.col("c") + 1).drop("__z", "__v")
+    before = Window.partitionBy(*key).orderBy("__least").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = out.groupBy(*place).agg(F.sum("c").alias("__c"), F.min("least").alias("__least"))
+    sizes = sizes.select(*place, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    order = Window.partitionBy(*place).orderBy("least").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.join(sizes, place).withColumn("hi", F.sum("c").over(order) + F.col("__off"))
+    out = out.withColumn("lo", F.col("hi") - F.col("c") + 1).withColumn("one", F.col("__v").isNotNull())
+    return out.drop("__z", "__p", "__v", "__off")
 
 
 def rank_rows(df: DataFrame, key: Sequence[str], x: str, probs: Sequence[float]) -> DataFrame:
@@ -107,9 +117,10 @@ def quantiles(
 def describe(df: DataFrame, columns: Sequence[str], trim: float = 0.1) -> DataFrame:
     """One row of summary statistics per numeric column.
 
-    Four passes: moments and brackets of all columns, ranks, brackets of the
-    distances from the median, their ranks.  Per-column tables have one row per
-    column, which is what makes broadcasting them safe.
+    Five passes: moments, brackets, ranks, brackets of the distances from the
+    median, their ranks.  Moments have their own pass because sketches would
+    take them out of generated code.  Per-column tables have one row per column,
+    which is what makes broadcasting them safe.
     """
     probs = [0.5, 0.25, 0.75, trim, 1 - trim]
 
@@ -119,7 +130,6 @@ def describe(df: DataFrame, columns: Sequence[str], trim: float = 0.1) -> DataFr
         shrink = (n - 1) / n
         return F.struct(
             F.lit(c).alias("variable"),
-            n.alias("n"),
             F.avg(x).alias("mean"),
             F.stddev_samp(x).alias("sd"),
             F.min(x).alias("min"),
@@ -128,15 +138,21 @@ def describe(df: DataFrame, columns: Sequence[str], trim: float = 0.1) -> DataFr
             (F.skewness(x) * F.pow(shrink, 1.5)).alias("skew"),
             ((F.kurtosis(x) + 3) * F.pow(shrink, 2) - 3).alias("kurtosis"),
             (F.stddev_samp(x) / F.sqrt(n)).alias("se"),
-            _sketch(x, probs).alias("__b"),
         )
 
-    wide = df.agg(F.array(*[moments(c) for c in columns]).alias("s"))
-    # One row per column; stored, so that no later use repeats the pass.
-    stats = written(wide.select(F.explode("s").alias("s")).select("s.*"), "moments")
+    def bracket(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.struct(F.lit(c).alias("variable"), F.count(x).alias("n"), _sketch(x, probs).alias("__b"))
+
+    def per_column(cell, label: str) -> DataFrame:
+        # One row per column; stored, so that no later use repeats the pass.
+        wide = df.agg(F.array(*[cell(c) for c in columns]).alias("s"))
+        return written(wide.select(F.explode("s").alias("s")).select("s.*"), label)
+
+    stats, brackets = per_column(moments, "moments"), per_column(bracket, "brackets")
     pairs = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns]
     long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.variable", "p.x")
-    ranks = _zones(long, ["variable"], "x", F.broadcast(stats.select("variable", "n", "__b")), len(probs))
+    ranks = _zones(long, ["variable"], "x", F.broadcast(brackets), len(probs))
     order = ranks.groupBy("variable").agg(
         quantile_agg(0.5).alias("median"),
         quantile_agg(0.25).alias("q25"),
@@ -147,7 +163,8 @@ def describe(df: DataFrame, columns: Sequence[str], trim: float = 0.1) -> DataFr
     centre = F.broadcast(order.select("variable", "median"))
     away = long.join(centre, "variable").select("variable", F.abs(F.col("x") - F.col("median")).alias("dev"))
     mad = quantiles(away, ["variable"], "dev", [0.5], ["__mad"])
-    out = stats.drop("__b").join(F.broadcast(order), "variable").join(F.broadcast(mad), "variable")
+    out = stats.join(brackets.drop("__b"), "variable").join(F.broadcast(order), "variable")
+    out = out.join(F.broadcast(mad), "variable")
     return out.withColumn("mad", F.col("__mad") * 1.4826).drop("__mad")
 
 
