@@ -11,7 +11,7 @@ from chronopanel.plans import battery
 from chronopanel.plans.inputs import LM, MODEL, OD, OW, PM, daily, model_panel, monthly, parts_monthly, weekly
 from chronopanel.plans.q_features import acf_ctes, acf_long
 from chronopanel.plans.q_models import MP_SEASON, base_ctes, base_forecast, cramer, demeaned
-from chronopanel.plans.q_windows import LMK, frame
+from chronopanel.plans.q_windows import LMK, classical_sql, frame
 from chronopanel.plans.registry import d, query, r, with_ctes
 
 K = "o_orderpriority"
@@ -122,6 +122,29 @@ def ev3b(t):
     return evaluate.accuracy(out.withColumnRenamed("y", "actual"), key)
 
 
+@query(
+    "EV3_share_sweep_denoised",
+    with_ctes(
+        *classical_sql(OW, K, "week", 52, "additive", "ow"),
+        f"dn AS (SELECT {K}, week, y - random AS y, row_number() OVER (PARTITION BY {K} ORDER BY week) AS t, count(*) OVER (PARTITION BY {K}) AS n FROM parts WHERE random IS NOT NULL)",
+        "ps AS (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3]::DOUBLE[]) AS p)",
+        "sw AS (SELECT *, CAST(floor((1 - p) * n) AS BIGINT) AS k FROM dn, ps)",
+        "tr AS (SELECT * FROM sw WHERE t <= k)",
+        "te AS (SELECT *, t - k AS h FROM sw WHERE t > k)",
+        *base_ctes("", "tr", f"p, {K}", "week", 52),
+        pair_cte(["naive", "snaive", "drift"], f"p, {K}"),
+        *accuracy_ctes(f"p, {K}, model"),
+        select=f"SELECT p, {K}, model, {ACC} FROM acc",
+    ),
+)
+def ev3d(t):
+    """The sweep on the additively denoised target, decomposed over the whole series."""
+    p = decompose.denoise(weekly(t), "y")
+    p = p.on(p.df.where("denoised IS NOT NULL").select(K, "week", "denoised"))
+    s = battery.prepared(p)
+    return evaluate.accuracy(battery.baseline_pairs(s, "denoised"), ["p", K, "model"])
+
+
 @query("EV3_full_battery")
 def ev3c(t):
     """Twelve models over six splits of every series: accuracy with model families."""
@@ -221,6 +244,47 @@ def ev7(t):
     return evaluate.rmse(df, p.key, "y", ["a", "b"])
 
 
+KM = "o_orderstatus, measure"
+
+
+@query(
+    "EV7_ensemble_rmse",
+    with_ctes(
+        OD.replace("count(*) AS y FROM orders", "count(*) AS y, count(*) FILTER (o_totalprice > 250000) AS big FROM orders"),
+        "lg AS (SELECT o_orderstatus, 'orders' AS measure, day, y FROM od UNION ALL SELECT o_orderstatus, 'large', day, coalesce(big, 0) FROM od_fill)",
+        f"sm AS (SELECT {KM}, day, {frame(f'PARTITION BY {KM} ORDER BY day', 3, 3)} AS y FROM lg)",
+        f"kp AS (SELECT *, row_number() OVER (PARTITION BY {KM} ORDER BY day) AS t, count(*) OVER (PARTITION BY {KM}) AS n FROM sm WHERE y IS NOT NULL)",
+        "sp AS (SELECT *, n - CAST(round_even(n * 0.05::DOUBLE, 0) AS BIGINT) AS k FROM kp)",
+        "tr AS (SELECT * FROM sp WHERE t <= k)", "te AS (SELECT *, t - k AS h FROM sp WHERE t > k)",
+        *base_ctes("", "tr", KM, "day", 7), pair_cte(FOUR, KM, 7),
+        f"wd AS (SELECT {KM}, h, max(actual) AS a, " + ", ".join(f"max(mean) FILTER (model = '{m}') AS {m}" for m in FOUR) + f" FROM pairs GROUP BY {KM}, h)",
+        select=f"SELECT {KM}, " + ", ".join(f"{r(f'sqrt(avg(pow(a - {e}, 2)))')} AS {n}" for n, e in {
+            "mean": '"mean"', "naive": "naive", "snaive": "snaive", "drift": "drift", "pair": '(("mean" + snaive) / 2)', "four": '(("mean" + naive + snaive + drift) / 4)'}.items()) + f" FROM wd GROUP BY {KM}",
+    ),
+)
+def ev7b(t):
+    """Two measures as one key: smooth, split, forecast, ensembles, RMSE per column."""
+    from chronopanel.panel import fill_gaps
+
+    raw = aggregate.roll_up(
+        t("orders"), "o_orderdate", "day", ["o_orderstatus"], "day",
+        orders=F.count(F.lit(1)), large=F.count_if(F.col("o_totalprice") > 250000),
+    )
+    wide = fill_gaps(raw, {"orders": 0, "large": 0})
+    long = shape.longer(wide.df, ["o_orderstatus", "day"], ["orders", "large"], "measure", "y")
+    p = windows.moving_mean(Panel(long, ("o_orderstatus", "measure"), "day", "day"), "y", 3, 3, "ma")
+    p = p.on(p.df.where("ma IS NOT NULL").select(*p.key, "day", "ma"))
+    pairs = battery.baseline_pairs(splits.split_last(p, 0.05), "ma", models=baseline.MODELS)
+    rows = shape.wider(pairs, [*p.key, "h", "actual"], "model", baseline.MODELS, F.first("mean"))
+    rows = rows.withColumns(
+        {
+            "pair": (F.col("mean") + F.col("snaive")) / 2,
+            "four": (F.col("mean") + F.col("naive") + F.col("snaive") + F.col("drift")) / 4,
+        }
+    )
+    return evaluate.rmse(rows, p.key, "actual", [*baseline.MODELS, "pair", "four"])
+
+
 def _z(p: float) -> float:
     from chronopanel.functions.tails import normal_quantile
 
