@@ -158,11 +158,12 @@ def select_model(designed: Panel, orders: Orders) -> DataFrame:
 def fit_arima(panel: Panel, y: str, orders: Orders = Orders(), period: int | None = None):
     """Fit one model per series.  Returns (models, designed panel with ``innov``)."""
     m = period or panel.period
-    # Tests, long autoregression and order search each read the series: store
-    # it, then with its difference orders, then with its lag columns.
-    p = panel.on(panel.df.select(*panel.key, panel.index, y)).written("series")
-    p = with_differencing(p, y, orders, m)
-    if orders.d is None or orders.D is None:
+    # Order tests read the series several times and the order search reads the
+    # lag columns several times, so each is stored once.
+    p = panel.on(panel.df.select(*panel.key, panel.index, y))
+    tested = orders.d is None or (orders.D is None and m > 1)
+    p = with_differencing(p.written("series") if tested else p, y, orders, m)
+    if tested:
         p = p.written("orders")
     p = design(p, y, orders, m).written("lags")
     models = select_model(p, orders)
@@ -273,7 +274,7 @@ def arima_regression(
             out = out - F.col(coef)[i] * F.col(f"__z{i + 1}")
         return out
 
-    resid = train.on(own.withColumn("__u", rest("coef")).drop("coef"))
+    resid = train.on(own.withColumn("__u", rest("coef")).drop("coef")).written("residuals")
     arma = Orders(orders.p, orders.q, orders.P, orders.Q, 0, 0, False, orders.fixed, orders.long_ar)
     models, _ = fit_arima(resid.on(resid.df.select(*key, split.index, "__u")), "__u", arma, m)
     phi = models.select(*key, F.slice("coef", 2, arma.p).alias("__phi"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronopanel.panel import Panel, shift
+from chronopanel.session import spread
 
 
 def _train(x, y, hidden, nets, rounds, rng):
@@ -114,7 +115,7 @@ def forecast_nnet(
         out["mean"] = unlink(np.array(preds) * sd + mu)
         return out[[f.name for f in schema]]
 
-    return df.groupBy(*key).applyInPandas(run, schema)
+    return spread(df, key).groupBy(*key).applyInPandas(run, schema)
 
 
 def forecast_nnet_ahead(panel: Panel, y: str, h: int, **options) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from chronopanel.operators.baseline import seasonal_tail
 from chronopanel.panel import Panel, shift
+from chronopanel.session import spread
 
 
 def _odd(x: float) -> int:
@@ -162,7 +163,7 @@ def stl(
             trend=trend, seasonal=seasonal, remainder=v - trend - seasonal, season_adjust=v - seasonal
         )
 
-    out = df.groupBy(*panel.key).applyInPandas(fit, schema)
+    out = spread(df, panel.key).groupBy(*panel.key).applyInPandas(fit, schema)
     return panel.on(out.withColumns({c: F.nanvl(c, F.lit(None)) for c in parts}))
 
 

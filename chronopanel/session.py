@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +56,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Hash rows by key over all shuffle partitions.
+
+    Adaptive execution merges partitions by their bytes.  A kernel that computes
+    long on few bytes needs them kept apart; the grouping that follows uses this
+    partitioning, so it adds no shuffle.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *key)
