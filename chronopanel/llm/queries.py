@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import bpe, token_store
+from chronopanel.llm import bpe, lm_score, repetition, simhash, token_store
 from chronopanel.llm.shared import shared_path
 
 
@@ -24,6 +24,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder(of: int):
+    """crc32 of the id as text, modulo `of`."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact unigram base and bigram-model score of every text, learned outside the fold."""
+    scored = lm_score.score(_documents(spark, sf_dir), _remainder(5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text and the smallest document of its component."""
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position, length and checksum of every document's ids, read back through the index."""
     docs = _documents(spark, sf_dir)
@@ -32,5 +48,37 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("payload").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op9_token_store)}
-ORACLES: dict[str, str] = {}
+def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every text and the verdict of the repetition rules."""
+    return repetition.rules(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: Words, windows of 8, 5 and 51 words found twice or more, and lines, as the rules state them.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (
+  SELECT doc_id, k, i, list_slice(ws, i, i + k - 1) AS g
+  FROM (SELECT doc_id, ws, k, unnest(range(1, CAST(len(ws) - k + 2 AS BIGINT))) AS i FROM w, (VALUES (8), (5), (51)) AS sizes(k) WHERE len(ws) >= k)
+),
+twice AS (SELECT doc_id, k, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, k, count(DISTINCT p) AS n FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS p FROM twice) GROUP BY doc_id, k),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+b AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c8.n, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(c5.n, 0) AS n5, coalesce(c51.n, 0) AS n51
+  FROM w LEFT JOIN dup ON w.doc_id = dup.doc_id LEFT JOIN cov AS c8 ON w.doc_id = c8.doc_id AND c8.k = 8
+  LEFT JOIN cov AS c5 ON w.doc_id = c5.doc_id AND c5.k = 5 LEFT JOIN cov AS c51 ON w.doc_id = c51.doc_id AND c51.k = 51
+),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 10 * n5 <= 3 * n_words AND n51 = 0 AS kept
+FROM f
+"""
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op6_lm_score, op8_simhash, op9_token_store, op10_repetition)}
+ORACLES: dict[str, str] = {"op10_repetition": OP10_SQL}

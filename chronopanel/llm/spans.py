@@ -10,20 +10,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in runs of about this many bytes; one text is never cut.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: Masks that keep the first 0 … 8 bytes of a little-endian number.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,16 +70,6 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all their bits."""
     x = x ^ (x >> np.uint64(32))
@@ -89,12 +79,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _octets(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes at every position as one number, zeros after the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def _lanes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Eight bytes of the spans at a time: (numbers of the spans that reach so far, their bytes)."""
+    octets, at = _octets(raw), 0
+    longest = int(lengths.max()) if len(lengths) else 0
+    live = np.arange(len(starts))
+    while at < longest:
+        if at:
+            live = live[lengths[live] > at]
+        yield live, octets[starts[live] + at] & _KEEP[np.minimum(lengths[live] - at, 8)]
+        at += 8
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes, equal wherever the bytes are equal."""
-    up, down = _power(len(raw))
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    lengths = ends - starts
+    h = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for live, lane in _lanes(raw, starts, lengths):
+        x = (h[live] ^ lane) * np.uint64(0xD6E8FEB86659FD93)
+        h[live] = x ^ (x >> np.uint64(32))
+    return mixed(h)
 
 
 def flat_positions(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -112,16 +123,23 @@ def distinct_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     Hashes find the classes; every span's bytes are then compared with its
     class's first span, and a collision falls back to comparing the texts.
     """
-    _, first, code = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-    lengths = ends - starts
-    model = first[code]
-    if np.array_equal(lengths, lengths[model]) and np.array_equal(
-        raw[flat_positions(starts, lengths)], raw[flat_positions(starts[model], lengths)]
+    code, kinds = pd.factorize(span_hashes(raw, starts, ends))
+    first = _first_of(code, len(kinds))
+    lengths, model = ends - starts, first[code]
+    octets = _octets(raw)
+    if np.array_equal(lengths, lengths[model]) and all(
+        np.array_equal(lane, octets[starts[model[live]] + 8 * k] & _KEEP[np.minimum(lengths[live] - 8 * k, 8)]) for k, (live, lane) in enumerate(_lanes(raw, starts, lengths))
     ):
         return first, code
     data, seen = raw.tobytes(), {}
     code = np.fromiter((seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts, ends)), np.int64, len(starts))
-    return np.unique(code, return_index=True)[1], code
+    return _first_of(code, len(seen)), code
+
+
+def _first_of(code: np.ndarray, kinds: int) -> np.ndarray:
+    first = np.empty(kinds, np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return first
 
 
 def span_texts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:

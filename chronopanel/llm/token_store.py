@@ -3,8 +3,8 @@
 Layout below one folder:
 
 - `ids/*.bin`: a 16-byte header (magic, version, id width, 0), then the ids of the
-  shard's documents, little-endian unsigned 32-bit, in ascending key order, each
-  document closed by the end id;
+  shard's documents, little-endian unsigned, in ascending key order, each document
+  closed by the end id; an id takes 2 bytes where the vocabulary allows, else 4;
 - `manifest`: Parquet, (key, shard, file, at, n) of each document, at counted in ids;
 - `shards`: Parquet, one row per shard with its file, first global id position and size;
 - `index`: Parquet, one row per hash bucket with the bytes of its hash function,
@@ -40,11 +40,11 @@ from chronopanel.llm.bpe import one_word, piece_spans
 from chronopanel.llm.shared import file_system
 
 MAGIC = b"TIDS"
-HEADER = np.frombuffer(MAGIC + np.array([1, 4, 0], "<u4").tobytes(), np.uint8)
+HEADER_BYTES = 16
 #: Keys of an index bucket on average; sets the number of buckets from the number of keys.
 BUCKET_KEYS = 16_384
 #: Distinct pieces remembered between chunks; beyond it the cache starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,21 +75,30 @@ class LibraryEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces by number, and their ids end to end."""
+        self.known: dict[bytes, int] = {}
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, simple: list[bytes], odd: list[bytes]) -> None:
+        ids, sizes = [self.ids], [np.diff(self.bounds)]
         if simple:
             text = " ".join(p.decode() for p in simple)
-            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(simple):
-                bounds = [0, *ends.tolist()]
-            else:  # a vocabulary without word ends
+            flat = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[flat]) + 1
+            if len(ends) != len(simple):  # a vocabulary without word ends
                 enc = self.tokenizer.encode(text, add_special_tokens=False)
-                ids, bounds = enc.ids, np.searchsorted(np.array(enc.word_ids, np.int64), np.arange(len(simple) + 1)).tolist()
-            self.known.update((p, ids[bounds[k] : bounds[k + 1]]) for k, p in enumerate(simple))
-        for p, enc in zip(odd, self.tokenizer.encode_batch_fast([p.decode() for p in odd], add_special_tokens=False)):
-            self.known[p] = enc.ids
+                flat, ends = np.array(enc.ids, np.uint32), np.searchsorted(np.array(enc.word_ids, np.int64), np.arange(1, len(simple) + 1))
+            ids.append(flat)
+            sizes.append(np.diff(ends, prepend=0))
+        for enc in self.tokenizer.encode_batch_fast([p.decode() for p in odd], add_special_tokens=False):
+            ids.append(np.array(enc.ids, np.uint32))
+            sizes.append(np.array([len(enc.ids)]))
+        for p in (*simple, *odd):
+            self.known[p] = len(self.known)
+        self.ids, self.bounds = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each closed by the end id, and the n + 1 bounds between texts."""
@@ -107,13 +116,12 @@ class LibraryEncoder:
             model, code = spans.distinct_spans(low, starts, ends)
             pieces = spans.span_texts(low, starts[model], ends[model])
             if len(self.known) > CACHE_ENTRIES:
-                self.known = {}
+                self._forget()
             new = [(p, s) for p, s in zip(pieces, simple[model].tolist()) if p not in self.known]
-            self._learn([p for p, s in new if s], [p for p, s in new if not s])
-            runs = [self.known[p] for p in pieces]
-            bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))])
-            flat = np.fromiter((i for run in runs for i in run), np.uint32, int(bounds[-1]))
-            ids, lengths = spans.gathered(flat, bounds, code)
+            if new:
+                self._learn([p for p, s in new if s], [p for p, s in new if not s])
+            number = np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
+            ids, lengths = spans.gathered(self.ids, self.bounds, number[code])
             totals = np.concatenate([[0], np.cumsum(lengths)])
         bounds = totals[first]
         return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
@@ -128,7 +136,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     ordered = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard, at, out = None, TaskContext.get().partitionId(), 0, None
+        coder, shard, at, out, width = None, TaskContext.get().partitionId(), 0, None, 4
         name = f"ids-{shard:05d}-{uuid.uuid4().hex[:12]}.bin"
         for batch in batches:
             for part in spans.chunks(batch, "text"):
@@ -137,9 +145,10 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                     fs, where = file_system(folder)
                     fs.create_dir(where, recursive=True)
                     out = fs.open_output_stream(f"{where}/{name}", compression=None)
-                    out.write(HEADER.tobytes())
+                    width = 2 if max(len(coder.closes) - 1, end_id) < 1 << 16 else 4
+                    out.write(MAGIC + np.array([1, width, 0], "<u4").tobytes())
                 ids, bounds = coder.encode(*spans.text_buffer(part.column(1)), end_id)
-                out.write(ids.astype("<u4").tobytes())
+                out.write(ids.astype(f"<u{width}").tobytes())
                 n = len(part)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.full(n, shard, np.int32)), pa.array([name] * n), pa.array(at + bounds[:-1]), pa.array(np.diff(bounds))],
@@ -267,7 +276,7 @@ def locate(spark: SparkSession, path: str, keys: DataFrame, key: str = "key") ->
 
 
 def read(spark: SparkSession, path: str, keys: DataFrame, key: str = "key") -> DataFrame:
-    """(key, start, n, payload) of the stored documents of each key; payload holds the ids as stored."""
+    """(key, start, n, payload) of the stored documents of each key; payload holds the ids as little-endian unsigned 32-bit."""
     where = locate(spark, path, keys, key)
     kind, folder = dict(where.dtypes)["key"], os.path.join(path, "ids")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -275,7 +284,7 @@ def read(spark: SparkSession, path: str, keys: DataFrame, key: str = "key") -> D
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
-        name, source, checked = None, None, len(HEADER)
+        name, source, width = None, None, 4
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.slice(lo, 1024)
@@ -285,9 +294,12 @@ def read(spark: SparkSession, path: str, keys: DataFrame, key: str = "key") -> D
                         if source is not None:
                             source.close()
                         name, source = file, fs.open_input_file(f"{root}/{file}")
-                        if source.read(checked)[:4] != MAGIC:
+                        head = source.read(HEADER_BYTES)
+                        if head[:4] != MAGIC:
                             raise ValueError(f"{file} is no shard")
-                    payload.append(source.read_at(4 * n, checked + 4 * at))
+                        width = int(np.frombuffer(head, "<u4", 1, 8)[0])
+                    ids = np.frombuffer(source.read_at(width * n, HEADER_BYTES + width * at), f"<u{width}")
+                    payload.append(ids.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("start"), part.column("n"), pa.array(payload, pa.binary())], ["key", "start", "n", "payload"])
         if source is not None:
             source.close()
