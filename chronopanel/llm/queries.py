@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import bpe, lm_score, repetition, simhash, token_store
+from chronopanel.llm import bpe, decontaminate, langid, line_dedup, lm_score, quality, repetition, simhash, token_store, toxicity
+from chronopanel.llm.sampling import labelled_sample
 from chronopanel.llm.shared import shared_path
 
 
@@ -29,12 +30,48 @@ def _remainder(of: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the repeated passages, and how many of its lines went."""
+    return line_dedup.dedup(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned outside the fold; at most 1000 labelled rows of up to 6000 bytes of either class."""
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(labelled_sample(docs, labels, "toxic", _remainder(5) != 0, 1000, 6000))
+    return toxicity.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item: 0.8 or more of its five-word shingles."""
+    return decontaminate.contained(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned outside the fold; at most 400 rows of up to 20000 bytes of each language."""
+    docs = _documents(spark, sf_dir)
+    model = langid.fit(langid.labelled_sample(docs, _remainder(4) != 2, 400, 20_000))
+    return langid.identify(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact unigram base and bigram-model score of every text, learned outside the fold."""
     scored = lm_score.score(_documents(spark, sf_dir), _remainder(5) != 1)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Learned outside the fold; at most 1500 labelled rows of up to 65536 bytes of either class."""
+    return quality.fit(labelled_sample(docs, labels, "quality", _remainder(5) != 0, 1500, 65_536))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text."""
+    docs = _documents(spark, sf_dir)
+    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every text and the smallest document of its component."""
     return simhash.near_duplicates(_documents(spark, sf_dir))
@@ -80,5 +117,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op6_lm_score, op8_simhash, op9_token_store, op10_repetition)}
-ORACLES: dict[str, str] = {"op10_repetition": OP10_SQL}
+#: All shingles against all items' shingles, without the search.
+OP4_SQL = r"""
+WITH iw AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ish AS (SELECT DISTINCT item_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, CAST(greatest(len(ws) - 4, 1) + 1 AS BIGINT))) AS i FROM iw WHERE len(ws) > 0)),
+dsh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, CAST(greatest(len(ws) - 4, 1) + 1 AS BIGINT))) AS i FROM dw WHERE len(ws) > 0)),
+size AS (SELECT item_id, count(*) AS n FROM ish GROUP BY item_id),
+hits AS (SELECT doc_id, item_id, count(*) AS c FROM dsh JOIN ish ON dsh.s = ish.s GROUP BY doc_id, item_id)
+SELECT doc_id, hits.item_id, CAST(n AS BIGINT) AS n_shingles, CAST(c AS BIGINT) AS n_shared, CAST(c AS DOUBLE) / n AS containment
+FROM hits JOIN size ON hits.item_id = size.item_id WHERE c >= 0.8 * n - 1e-9
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_line_dedup, op3_toxicity, op4_decontamination, op5_langid, op6_lm_score, op7_quality, op8_simhash, op9_token_store, op10_repetition)
+}
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op10_repetition": OP10_SQL}

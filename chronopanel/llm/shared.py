@@ -6,6 +6,11 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a table that may be broadcast, at ROW_BYTES a row of a few short columns.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 64
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -24,6 +29,11 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_within(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table of short rows, marked for broadcast if counting shows that it stays within the limit; else a shuffle joins it."""
+    return F.broadcast(table) if table.count() * ROW_BYTES <= limit else table
+
+
 def file_system(path: str):
     """(pyarrow file system, path in it) of a local path or URI."""
     from pyarrow import fs

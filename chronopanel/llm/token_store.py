@@ -28,6 +28,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from chronopanel.llm.shared import file_system
 MAGIC = b"TIDS"
 HEADER_BYTES = 16
 #: Keys of an index bucket on average; sets the number of buckets from the number of keys.
-BUCKET_KEYS = 16_384
+BUCKET_KEYS = 4_096
 #: Distinct pieces remembered between chunks; beyond it the cache starts anew.
 CACHE_ENTRIES = 600_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -127,6 +128,12 @@ class LibraryEncoder:
         return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> LibraryEncoder:
+    """One encoder for each Python worker, with the pieces it knows."""
+    return LibraryEncoder(path)
+
+
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, end_id: int = 2) -> str:
     """Encode every text, write shards in ascending key order and their index below `path`; returns `path`."""
     spark, vocab = docs.sparkSession, vocab_path or default_vocabulary()
@@ -141,7 +148,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             for part in spans.chunks(batch, "text"):
                 if out is None:
-                    coder = LibraryEncoder(vocab)
+                    coder = encoder(vocab)
                     fs, where = file_system(folder)
                     fs.create_dir(where, recursive=True)
                     out = fs.open_output_stream(f"{where}/{name}", compression=None)
