@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -255,11 +254,11 @@ class Vocabulary:
         again = np.flatnonzero(fails)
         exact_word, exact_token = self.merged_words(raw, starts[short[again]], lengths[short[again]])
         passed = ~fails[word]
-        word = np.concatenate([short[word[passed]], short[again[exact_word]]])
-        token = np.concatenate([token[passed], exact_token])
+        words, tokens = [short[word[passed]], short[again[exact_word]]], [token[passed], exact_token]
         for i in np.flatnonzero(lengths > WALK_BYTES).tolist():
-            ids = self.merged(raw[starts[i] : ends[i]].tobytes())
-            word, token = np.append(word, np.full(len(ids), i)), np.append(token, ids)
+            tokens.append(np.array(self.merged(raw[starts[i] : ends[i]].tobytes()), np.int64))
+            words.append(np.full(len(tokens[-1]), i))
+        word, token = np.concatenate(words), np.concatenate(tokens)
         order = np.argsort(word, kind="stable")
         return token[order], np.searchsorted(word[order], np.arange(len(starts) + 1))
 
@@ -412,7 +411,3 @@ def decode(ids: DataFrame, vocab_path: str | None = None, pattern: str | None =
             yield pa.RecordBatch.from_arrays([batch.column(0), decoded(vocab, flat, bounds)], ["doc_id", "text"])
 
     return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
-
-
-def available() -> bool:
-    return os.path.exists(default_vocabulary())

@@ -117,7 +117,7 @@ def _ambiguous(docs: DataFrame, text_col: str, gone: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 200) -> DataFrame:
-    """All rows and columns, the repeated lines taken out of the text; n_lines and n_removed are added."""
+    """All rows and columns, repeated lines taken out of the text; n_lines and n_removed are added, or replaced."""
     gone = repeated_lines(docs, id_col, text_col, min_chars)
     # Runs of removed lines: line number minus rank is constant inside a run.
     per_doc = gone.groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("gone"))
@@ -125,7 +125,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     ends = F.filter("gone", lambda x, i: F.coalesce(F.get("gone", i + 1) != x + 1, F.lit(True)))
     begins = F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", F.greatest(i - 1, F.lit(0))) != x - 1))
     per_doc = per_doc.select(F.col("key").alias("__key"), F.size("gone").cast("long").alias("__removed"), F.concat(F.array(F.lit(0)), F.transform(ends, lambda x: x + 1)).alias("__a"), begins.alias("__b"))
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.withColumn("__key", _key(id_col, text_col))
     lines = _lines(F.col(text_col))
     kept = F.transform(F.arrays_zip(F.col("__a").alias("a"), F.concat("__b", F.array(F.size(lines))).alias("b")), lambda r: F.slice(lines, r["a"] + 1, r["b"] - r["a"]))

@@ -31,6 +31,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -41,7 +42,7 @@ from chronopanel.llm import spans
 from chronopanel.llm.shared import file_system, shared_path, stored
 
 #: Text bytes worked up together in one task.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Text bytes per segment on average; sets the number of segments from the input.
 SEGMENT_BYTES = 16 << 20
 PROBES = 7
@@ -109,11 +110,10 @@ def packed_filter(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
 class Filter:
     """Segments first … of the filter, end to end in one byte array."""
 
-    def __init__(self, parts: list[np.ndarray]):
-        self.flat = np.concatenate(parts)
-        sizes = np.array([len(p) for p in parts], np.int64)
+    def __init__(self, flat: np.ndarray, sizes: list[int]):
+        self.flat = flat
         self.start = np.cumsum(sizes) - sizes
-        self.bits = np.array([int(p[:8].view("<u8")[0]) for p in parts], np.int64)
+        self.bits = np.array([int(flat[a : a + 8].view("<u8")[0]) for a in self.start.tolist()], np.int64)
 
     def levels(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
         level, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
@@ -138,6 +138,10 @@ def _load(folder: str, segment: int) -> np.ndarray:
         return np.frombuffer(f.read(), np.uint8)
 
 
+def _one(data: np.ndarray) -> Filter:
+    return Filter(data, [len(data)])
+
+
 def find_levels(keys: np.ndarray, segments: int, whole: Filter | None, folder: str) -> np.ndarray:
     segment = segment_of(keys, segments)
     if whole is not None:
@@ -146,7 +150,7 @@ def find_levels(keys: np.ndarray, segments: int, whole: Filter | None, folder: s
     edge = np.searchsorted(segment[order], np.arange(segments + 1))
     for s in np.flatnonzero(np.diff(edge)).tolist():
         own = order[edge[s] : edge[s + 1]]
-        level[own] = Filter([_load(folder, s)]).levels(keys[own], np.zeros(len(own), np.int64))
+        level[own] = _one(_load(folder, s)).levels(keys[own], np.zeros(len(own), np.int64))
     return level
 
 
@@ -247,11 +251,12 @@ def _whole(folder: str, shared) -> Filter | None:
         return None
     if folder not in _unpacked:
         _unpacked.clear()
-        _unpacked[folder] = Filter([np.frombuffer(x, np.uint8) for x in shared.value])
+        data, sizes = shared.value
+        _unpacked[folder] = Filter(np.frombuffer(data, np.uint8), sizes)
     return _unpacked[folder]
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", ratio: float = 1.5, share: float = 0.3, broadcast_bytes: int = 256 << 20) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", ratio: float = 1.5, share: float = 0.3, broadcast_bytes: int = 192 << 20) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from the rows where `train` holds.
 
     Scores are log10 probabilities of the whole text with its end.
@@ -265,7 +270,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     built = learn(rows, folder, segments, ratio).agg(F.sum("bytes"), F.sum("tokens"), F.sum("words")).first()
     shared = None
     if built[0] <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast([_load(folder, s).tobytes() for s in range(segments)])
+        parts = [_load(folder, s) for s in range(segments)]
+        shared = spark.sparkContext.broadcast((b"".join(parts), [len(p) for p in parts]))
+        del parts
     n_all, n_words, count_at = built[1] or 0, built[2] or 0, level_counts(ratio)
     floor = n_all + 0.5 * (n_words + 1)
 
@@ -307,16 +314,28 @@ def _counts8(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<i8")
 
 
+def _scores(token: np.ndarray, before: np.ndarray, bounds: np.ndarray, segments: int, whole: Filter | None, folder: str, count_at: np.ndarray, floor: float, share: float) -> np.ndarray:
+    """The log10 probability of every text of a chunk; each distinct string is probed once."""
+    keys = np.concatenate([single_keys(token), single_keys(before), pair_keys(before, token)])
+    code, distinct = pd.factorize(keys)
+    single, context, pair = count_at[find_levels(distinct, segments, whole, folder)][code].reshape(3, -1)
+    base = (single + 0.5) / floor
+    # The start of a text is no token: what follows it has the base alone.
+    context = np.where(before == _START, 0.0, context)
+    p = np.where(context > 0, share * np.minimum(pair / np.maximum(context, 1), 1) + (1 - share) * base, base)
+    return np.add.reduceat(np.log10(p), bounds[:-1])
+
+
 def _block_rows(block: list[pa.RecordBatch], uid: int, segments: int, whole: Filter | None, folder: str, count_at: np.ndarray, floor: float, share: float) -> Iterator[pa.RecordBatch]:
     """A block's words by segment, and one row with its documents' scores and word counts."""
     words: dict[bytes, int] = {}
-    word_hash, word_train, keys, sizes, owners, codes, tfs = [], [], [], [], [], [], []
+    word_hash, word_train, scores, sizes, owners, codes, tfs = [], [], [], [], [], [], []
     flags, ids, before_docs = [], [], 0
     for part in block:
         raw, starts, ends, first, hashes = _hashed(part)
         token, before, bounds = token_hashes(hashes, first)
-        keys.append(np.stack([single_keys(token), single_keys(before), pair_keys(before, token)]))
         sizes.append(np.diff(bounds))
+        scores.append(_scores(token, before, bounds, segments, whole, folder, count_at, floor, share))
         train = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
         flags.append(train)
         ids.append(part.column(0))
@@ -337,19 +356,8 @@ def _block_rows(block: list[pa.RecordBatch], uid: int, segments: int, whole: Fil
             tfs.append(n)
             word_train.append(np.bincount(own, weights=n * train[owner], minlength=len(words)))
         before_docs += len(part)
-    key, code = np.unique(np.concatenate([k.reshape(-1) for k in keys]), return_inverse=True)
-    count = count_at[find_levels(key, segments, whole, folder)]
-    probability, at = [], 0
-    for k in keys:
-        single, context, pair = count[code[at : at + k.size]].reshape(3, -1)
-        at += k.size
-        base = (single + 0.5) / floor
-        # No context, no continuation: the base has it all.
-        start = k[1] == single_keys(np.array([_START], np.uint64))[0]
-        context = np.where(start, 0.0, context)
-        probability.append(np.where(context > 0, share * np.minimum(pair / np.maximum(context, 1), 1) + (1 - share) * base, base))
-    size = np.concatenate(sizes)
-    score = np.add.reduceat(np.log10(np.concatenate(probability)), np.cumsum(size) - size) if len(size) else np.zeros(0)
+    size, score = np.concatenate(sizes), np.concatenate(scores)
+    all_ids = pa.concat_arrays(ids)
     if words:
         hashes = np.concatenate(word_hash)
         train_count = np.zeros(len(words))
@@ -362,36 +370,32 @@ def _block_rows(block: list[pa.RecordBatch], uid: int, segments: int, whole: Fil
         texts, edge = list(words), np.searchsorted(segment[order], np.arange(segments + 1))
         for s in np.flatnonzero(np.diff(edge)).tolist():
             own = order[edge[s] : edge[s + 1]]
-            yield _row(uid=uid, segment=s, words=b" ".join([texts[k] for k in own.tolist()]).decode(), counts=train_count[own].astype("<u4").tobytes())
+            yield _row(all_ids, uid=uid, segment=s, words=b" ".join([texts[k] for k in own.tolist()]).decode(), counts=train_count[own].astype("<u4").tobytes())
         owner, own, n = np.concatenate(owners), place[np.concatenate(codes)], np.concatenate(tfs)
     else:
         owner = own = n = np.zeros(0, np.int64)
     train = np.concatenate(flags)
     bounds = np.searchsorted(owner, np.arange(len(train) + 1))
     yield _row(
-        uid=uid, segment=-1, n=int(train.sum()), doc_id=pa.chunked_array(ids).combine_chunks(), train=train.astype(np.uint8).tobytes(), n_tokens=size.astype("<i8").tobytes(), score=score.astype("<f8").tobytes(),
+        all_ids, uid=uid, segment=-1, n=int(train.sum()), train=train.astype(np.uint8).tobytes(), n_tokens=size.astype("<i8").tobytes(), score=score.astype("<f8").tobytes(),
         bounds=bounds.astype("<i8").tobytes(), code=own.astype("<u4").tobytes(), tf=n.astype("<u4").tobytes(),
     )
 
 
-def _row(**given) -> pa.RecordBatch:
+def _row(ids: pa.Array, **given) -> pa.RecordBatch:
     kinds = {"uid": pa.int64(), "segment": pa.int32(), "words": pa.string(), "counts": pa.binary(), "n": pa.int32(), "doc_id": None, **dict.fromkeys(["train", "n_tokens", "score", "bounds", "code", "tf"], pa.binary())}
     columns = []
     for name, kind in kinds.items():
         value = given.get(name)
         if name == "doc_id":
             # A block's ids are one list; the other rows have none.
-            value = pa.array([], _ID_TYPE[0]) if value is None else value
-            _ID_TYPE[0] = value.type
+            value = ids if given["segment"] < 0 else ids.slice(0, 0)
             columns.append(pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value))
         else:
             columns.append(pa.array([value], kind))
     return pa.RecordBatch.from_arrays(columns, list(kinds))
 
 
-_ID_TYPE = [pa.int64()]
-
-
 def _word_counts(table: pa.Table) -> pa.Table:
     """The training count of every word of a segment, in the order in which each block sent its words."""
     lists = pc.split_pattern(table.column("words").combine_chunks(), " ")
