@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.shared import broadcast_within, stored
+from chronopanel.llm.shared import bound, broadcast_within, stored
 
 #: Items' shingle counts grow by this factor from one size partition to the next.
 SIZE_STEP = 1.5
@@ -57,7 +57,7 @@ def shingle_texts(w: Column, shingle: int) -> Column:
 
 def sketches(items: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """(item, h): the drawn hashes of every item of columns item, w."""
-    hashed = items.select("item", F.array_distinct(shingle_hashes(F.col("w"), shingle)).alias("all")).where("size(all) > 0")
+    hashed = items.select("item", F.array_distinct(bound(F.col("w"), lambda w: shingle_hashes(w, shingle))).alias("all")).where("size(all) > 0")
     part = F.ceil(F.log(SIZE_STEP, F.size("all").cast("double")) - F.lit(1e-9))
     largest = F.floor(F.pow(F.lit(SIZE_STEP), part) + 1e-9)
     draw = (F.floor((1 - threshold) * largest + 1e-9) + 1).cast("int")
@@ -73,12 +73,13 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     drawn = stored(sketches(items.select(F.col("number").alias("item"), "w").distinct(), threshold, shingle), "leak-sketches")
     asked = broadcast_within(drawn)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    probes = rows.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_hashes(F.col("w"), shingle)).alias("h"))
+    probes = rows.select("doc_id", F.explode(bound(words(F.col("text")), lambda w: shingle_hashes(w, shingle))).alias("h"))
     candidates = stored(probes.join(asked, "h").select("doc_id", F.col("item").alias("number")).distinct(), "leak-candidates")
     found = broadcast_within(candidates.select(F.col("doc_id").alias("id"), "number"))
     texts = rows.join(found, F.col("doc_id") == F.col("id")).select("doc_id", "number", "text")
-    own = items.select("number", shingle_texts(F.col("w"), shingle).alias("parts")).distinct()
-    shared = F.size(F.array_intersect(shingle_texts(words(F.col("text")), shingle), F.col("parts")))
+    own = items.select("number", bound(F.col("w"), lambda w: shingle_texts(w, shingle)).alias("parts")).distinct()
+    own_parts = bound(words(F.col("text")), lambda w: shingle_texts(w, shingle))
+    shared = F.size(F.array_intersect(own_parts, F.col("parts")))
     checked = texts.join(own, "number").select("doc_id", "number", F.size("parts").cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
     kept = checked.where(F.col("n_shared") >= threshold * F.col("n_shingles") - 1e-9)
     # Rows with the same id count as one document: its best row.

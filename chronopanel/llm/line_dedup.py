@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.shared import broadcast_within, stored
+from chronopanel.llm.shared import bound, broadcast_within, stored
 
 #: Modulus and multipliers of the rolling hashes.
 MODULUS = 1_000_003
@@ -128,8 +128,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.withColumn("__key", _key(id_col, text_col))
     lines = _lines(F.col(text_col))
-    kept = F.transform(F.arrays_zip(F.col("__a").alias("a"), F.concat("__b", F.array(F.size(lines))).alias("b")), lambda r: F.slice(lines, r["a"] + 1, r["b"] - r["a"]))
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(kept), "\n"))
+
+    def rest(own: Column) -> Column:
+        ranges = F.arrays_zip(F.col("__a").alias("a"), F.concat("__b", F.array(F.size(own))).alias("b"))
+        return F.array_join(F.flatten(F.transform(ranges, lambda r: F.slice(own, r["a"] + 1, r["b"] - r["a"]))), "\n")
+
+    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(bound(lines, rest))
     joined = keyed.join(per_doc, "__key", "left")
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a table that may be broadcast, at ROW_BYTES a row of a few short columns.
@@ -34,6 +35,11 @@ def broadcast_within(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFram
     return F.broadcast(table) if table.count() * ROW_BYTES <= limit else table
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once a row: inside a lambda a plain expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def file_system(path: str):
     """(pyarrow file system, path in it) of a local path or URI."""
     from pyarrow import fs

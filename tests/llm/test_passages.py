@@ -58,7 +58,8 @@ def test_shared_passages_go_but_for_the_first(spark):
         assert sum("\n".join(p) in t for t in whole) >= 1 or not any("\n".join(p) in t for _, t in rows)
         missed += sum(t.count("\n".join(p)) for t in whole) - 1
     assert missed <= 1
-    assert all(out[200 + i].text == "" for i in range(5))
+    # A copied document goes whole if it is as long as a passage.
+    assert all(out[200 + i].text == "" for i in range(5) if len(rows[i][1].replace("\n", "")) >= 200)
     # Short lines that repeat alone stay everywhere.
     for b in boiler:
         assert sum(b in t.split("\n") for t in whole) >= sum(b in t.split("\n") for i, t in rows if i < 200) - 3
