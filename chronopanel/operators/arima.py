@@ -95,15 +95,25 @@ def design(panel: Panel, y: str, orders: Orders, m: int) -> Panel:
     """
     key, v = list(panel.key), F.col(y).cast("double")
     p = panel.with_position("t")
-    p = framed(p, {"__s": lambda w: F.when(F.col("order_ds") == 1, v - F.lag(v, m).over(w)).otherwise(v)}, m)
-    p = framed(p, {"__w1": lambda w: F.col("__s") - F.lag("__s").over(w)}, 1)
-    p = framed(p, {"__w2": lambda w: F.col("__w1") - F.lag("__w1").over(w)}, 1)
-    wcol = F.when(F.col("order_d") == 0, F.col("__s")).when(F.col("order_d") == 1, F.col("__w1")).otherwise(F.col("__w2"))
-    p = p.on(p.df.withColumn("w", wcol).drop("__s", "__w1", "__w2"))
-    ar = [f"__a{k}" for k in range(1, orders.long_ar + 1)]
+    # Nested differences up to the highest order that any series may have; each series takes its own.
+    p = p.on(p.df.withColumn("w", v))
+    most_s = orders.D if orders.D is not None else 1
+    for k in range(1, most_s + 1 if m > 1 else 1):
+        p = framed(p, {"__next": lambda w: F.col("w") - F.lag("w", m).over(w)}, m)
+        p = p.on(p.df.withColumn("w", F.when(F.col("order_ds") >= k, F.col("__next")).otherwise(F.col("w"))).drop("__next"))
+    most = orders.d if orders.d is not None else 2
+    for k in range(1, most + 1):
+        p = framed(p, {"__next": lambda w: F.col("w") - F.lag("w").over(w)}, 1)
+        p = p.on(p.df.withColumn("w", F.when(F.col("order_d") >= k, F.col("__next")).otherwise(F.col("w"))).drop("__next"))
+    ar = [f"__a{k}" for k in range(1, orders.long_ar + 1)] if orders.q + orders.Q else []
     w_lags = {f"w{k}": k for k in range(1, orders.p + 1)} | {f"wS{j}": j * m for j in range(1, orders.P + 1)}
-    lags = {f"__a{k}": k for k in range(1, orders.long_ar + 1)} | w_lags
+    lags = {a: k for k, a in enumerate(ar, 1)} | w_lags
+    if not lags:
+        return p
     p = framed(p, {n: (lambda win, k=k: F.lag("w", k).over(win)) for n, k in lags.items()}, max(lags.values()))
+    if not orders.q + orders.Q:
+        # A pure AR model needs no innovations.
+        return p.on(p.df.drop(*ar))
     long_fit = fit_ols(p.df, key, "w", ar).select(*key, F.col("coef").alias("__b"))
     df = p.df.join(long_fit, key, "left")
     fitted = F.col("__b")[0]
@@ -179,14 +189,14 @@ def fit_arima(panel: Panel, y: str, orders: Orders = Orders(), period: int | Non
 FORECAST = "struct<mean:array<double>,sd:array<double>>"
 
 
-def _roller(orders: Orders, m: int, h: int):
-    """UDF: model row and tails of y and innovations -> forecast arrays."""
+def _roller(orders: Orders, m: int):
+    """UDF: model row, horizon and tails of y and innovations -> forecast arrays."""
 
     @F.pandas_udf(FORECAST)
     def roll(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for coefs, ds, Ds, s2s, tails, etails in batches:
+        for coefs, ds, Ds, s2s, hs, tails, etails in batches:
             means, sds = [], []
-            for coef, d, D, s2, yt, et in zip(coefs, ds, Ds, s2s, tails, etails):
+            for coef, d, D, s2, h, yt, et in zip(coefs, ds, Ds, s2s, hs, tails, etails):
                 coef, yt, et = np.asarray(coef, float), np.asarray(yt, float), np.asarray(et, float)
                 ar = np.zeros(max(orders.p, m * orders.P) + 1)
                 ma = np.zeros(max(orders.q, m * orders.Q) + 1)
@@ -226,9 +236,12 @@ def _roller(orders: Orders, m: int, h: int):
 
 
 def forecast_arima(
-    models: DataFrame, designed: Panel, y: str, h: int, orders: Orders = Orders(), period: int | None = None
+    models: DataFrame, designed: Panel, y: str, h: int | DataFrame, orders: Orders = Orders(), period: int | None = None
 ) -> DataFrame:
-    """Forecast table (key, h, index, mean, sd) from the last rows of each series."""
+    """Forecast table (key, h, index, mean, sd) from the last rows of each series.
+
+    ``h`` is one horizon for all, or a table with the key and each series' ``horizon``.
+    """
     m = period or designed.period
     key = list(designed.key)
     keep = max(orders.p, m * orders.P, orders.q, m * orders.Q) + m + 3
@@ -239,7 +252,8 @@ def forecast_arima(
         F.array_sort(F.collect_list(row)).alias("__r"), F.max(designed.index).alias("__end")
     )
     df = models.join(tails, key)
-    cells = _roller(orders, m, h)("coef", "order_d", "order_ds", "sigma2", F.col("__r.y"), F.col("__r.innov"))
+    df = df.withColumn("horizon", F.lit(h)) if isinstance(h, int) else df.join(h.select(*key, "horizon"), key)
+    cells = _roller(orders, m)("coef", "order_d", "order_ds", "sigma2", "horizon", F.col("__r.y"), F.col("__r.innov"))
     df = df.withColumn("__f", cells)
     out = df.select(*key, "__end", F.posexplode(F.arrays_zip("__f.mean", "__f.sd")).alias("h", "c"))
     return out.select(
@@ -251,10 +265,16 @@ def forecast_arima(
     )
 
 
+def horizons(split: Panel) -> DataFrame:
+    """The last test step of every series of a split."""
+    tests = split.df.where("part = 'test'")
+    return tests.groupBy(*split.key).agg(F.max("h").cast("int").alias("horizon"))
+
+
 def arima_regression(
-    split: Panel, y: str, xs: Sequence[str], orders: Orders, h: int, season: str = "season", period: int | None = None
+    split: Panel, y: str, xs: Sequence[str], orders: Orders, season: str = "season", period: int | None = None
 ) -> DataFrame:
-    """Seasonal regression with ARMA errors, forecast on the test rows of a split.
+    """Seasonal regression with ARMA errors, forecast on all test rows of a split.
 
     Ordinary fit, ARMA orders of its residuals, one refit of the slopes on
     columns filtered with the AR part, and the error forecast added on top.
@@ -294,7 +314,7 @@ def arima_regression(
     second = fit_ols(filtered.df, key, "__q0", names[1:], intercept=False).select(*key, F.col("coef").alias("beta"))
     refit = resid.on(resid.df.join(second, key).withColumn("__v", rest("beta")))
     models, designed = fit_arima(refit.on(refit.df.select(*key, split.index, "__v")), "__v", arma, m)
-    noise = forecast_arima(models, designed, "__v", h, arma, m).select(*key, "h", F.col("mean").alias("__e"), "sd")
+    noise = forecast_arima(models, designed, "__v", horizons(split), arma, m).select(*key, "h", F.col("mean").alias("__e"), "sd")
     means = train.df.groupBy(*key, season).agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate([y, *xs])])
     out = rows.where("part = 'test'").join(means, [*key, season], "left").join(second, key, "left")
     value = F.col("__m0")

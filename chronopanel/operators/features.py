@@ -106,28 +106,27 @@ def _kpss_pvalue(stat: Column) -> Column:
     return out.when(stat > KPSS_TABLE[-1][1], F.lit(KPSS_TABLE[-1][0]))
 
 
-def kpss(panel: Panel, x: str, lags: int = 24) -> DataFrame:
+def kpss(panel: Panel, x: str) -> DataFrame:
     """KPSS level-stationarity statistic with the short Bartlett bandwidth.
 
     With C the running sum of the centred series and L one more than the
     bandwidth 4(n/100)^(1/4), the Bartlett long-run variance times n equals
     2/L (sum C_i^2 - sum C_i C_(i-L)): one lag product replaces the whole set of
-    autocovariances.  Bandwidths up to ``lags`` are prepared (n = 129 600 by
-    default); a longer series raises instead of being cut.
+    autocovariances.  L differs between series, so the lag is a second ordering of
+    the same rows by position, joined on (key, position - L); any length works.
     """
     p = _centred(panel.on(panel.df.where(F.col(x).isNotNull())), x)
-    w, whole = panel.window(), panel.whole()
+    w, whole, key = panel.window(), panel.whole(), list(panel.key)
     size = F.count("__e").over(whole)
     df = p.df.withColumns(
         {
             "__cum": F.sum("__e").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "__at": F.row_number().over(w),
             "__width": (F.floor(4 * F.pow(size / 100, 0.25)) + 1).cast("int"),
         }
-    )
-    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in panel.key)} ORDER BY `{panel.index}`)"
-    cases = " ".join(f"WHEN {k} THEN lag(__cum, {k}) {over}" for k in range(1, lags + 2))
-    bad = "CAST(raise_error('kpss: series needs a wider bandwidth than prepared') AS DOUBLE)"
-    df = df.withColumn("__back", F.expr(f"CASE __width {cases} ELSE {bad} END"))
+    ).select(*key, "__e", "__cum", "__at", "__width")
+    ahead = df.select(*key, (F.col("__at") + F.col("__width")).alias("__at"), F.col("__cum").alias("__back"))
+    df = df.join(ahead, [*key, "__at"], "left")
     c = F.col("__cum")
     sums = df.groupBy(*panel.key).agg(
         F.count("__e").alias("n"),

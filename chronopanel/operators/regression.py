@@ -61,6 +61,54 @@ def gram_sums(columns: Sequence[Column]) -> Column:
     )
 
 
+def centred_sums(columns: Sequence[Column]) -> Column:
+    """Aggregate: n, the column means, and the upper triangle of the centred products.
+
+    Covariances are merged from partial means, so a large level costs no digits.
+    """
+    cols = list(columns)
+    n = F.count(F.lit(1)).cast("double")
+    return F.struct(
+        n.alias("n"),
+        F.array(*[F.avg(c) for c in cols]).alias("mean"),
+        F.array(*[F.covar_pop(cols[i], cols[j]) * n for i in range(len(cols)) for j in range(i, len(cols))]).alias("gram"),
+    )
+
+
+def centred_solver(k: int):
+    """UDF: centred sums of k columns and y (last) -> fit with the intercept first.
+
+    ``inv`` is the inverse of the raw products with the intercept, put together
+    from the centred inverse and the means.
+    """
+
+    @F.pandas_udf(FIT)
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for sums in batches:
+            if len(sums) == 0:
+                yield pd.DataFrame({"coef": [], "inv": [], "rss": [], "rank": []})
+                continue
+            a, used = sweep(unpack(sums["gram"], k + 1), range(k))
+            mean = np.array([np.asarray(m, float) for m in sums["mean"]])
+            slope = np.where(used[:, :k], a[:, :k, k], 0.0)
+            inner = np.where(used[:, :k, None] & used[:, None, :k], a[:, :k, :k], 0.0)
+            cross = -np.einsum("bi,bij->bj", mean[:, :k], inner)
+            inv = np.zeros((len(a), k + 1, k + 1))
+            inv[:, 1:, 1:], inv[:, 0, 1:], inv[:, 1:, 0] = inner, cross, cross
+            inv[:, 0, 0] = 1 / sums["n"].to_numpy() - np.einsum("bi,bi->b", cross, mean[:, :k])
+            level = mean[:, k] - np.einsum("bi,bi->b", slope, mean[:, :k])
+            yield pd.DataFrame(
+                {
+                    "coef": list(np.concatenate([level[:, None], slope], axis=1)),
+                    "inv": list(inv.reshape(len(a), -1)),
+                    "rss": np.maximum(a[:, k, k], 0.0),
+                    "rank": (used[:, :k].sum(1) + 1).astype("int32"),
+                }
+            )
+
+    return solve
+
+
 def solver(k: int):
     """UDF: Gram array of k columns and y (last) -> coefficients, inverse, rss, rank."""
 
@@ -127,11 +175,10 @@ def fit_ols(
     full = yc.isNotNull()
     for c in cols:
         full = full & c.isNotNull()
-    design = ([F.lit(1.0)] if intercept else []) + cols + [yc]
-    sums = df.where(full).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), gram_sums(design).alias("__g"), (F.var_pop(yc) * F.count(yc)).alias("tss")
-    )
-    out = sums.withColumn("__f", solver(len(design) - 1)("__g"))
+    tss = (F.var_pop(yc) * F.count(yc)).alias("tss")
+    gram, solve = (centred_sums, centred_solver) if intercept else (gram_sums, solver)
+    sums = df.where(full).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), gram([*cols, yc]).alias("__g"), tss)
+    out = sums.withColumn("__f", solve(len(cols))("__g"))
     return out.select(*key, "n", "tss", "__f.coef", "__f.inv", "__f.rss", "__f.rank")
 
 
@@ -230,6 +277,14 @@ def fourier_columns(t: str, m: float, k: int) -> dict[str, Column]:
     return out
 
 
+def with_level(fit: Column) -> Column:
+    """A fit of centred columns with the intercept put first; means are in ``g.mean``, y's last."""
+    mean = F.col("g.mean")
+    share = F.aggregate(F.zip_with(fit["coef"], mean, lambda b, m: F.coalesce(b * m, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    level = F.element_at(mean, -1) - share
+    return F.struct(F.concat(F.array(level), fit["coef"]).alias("coef"), fit["rss"].alias("rss"), (fit["rank"] + 1).alias("rank"))
+
+
 def fourier_fits(panel: Panel, y: str, k_max: int, period: int | None = None) -> DataFrame:
     """Trend plus 1..k_max harmonics per series: (key, k, n, rank, rss, tss, coef).
 
@@ -240,12 +295,12 @@ def fourier_fits(panel: Panel, y: str, k_max: int, period: int | None = None) ->
     waves = fourier_columns("t", m, k_max)
     df = p.df.withColumns(waves).where(F.col(y).isNotNull())
     yc = F.col(y).cast("double")
-    cols = [F.lit(1.0), F.col("t").cast("double"), *[F.col(c) for c in waves], yc]
+    cols = [F.col("t").cast("double"), *[F.col(c) for c in waves], yc]
     sums = df.groupBy(*panel.key).agg(
-        F.count(F.lit(1)).alias("n"), gram_sums(cols).alias("g"), (F.var_pop(yc) * F.count(yc)).alias("tss")
+        F.count(F.lit(1)).alias("n"), centred_sums(cols).alias("g"), (F.var_pop(yc) * F.count(yc)).alias("tss")
     )
-    subsets = [range(2 + 2 * j) for j in range(1, k_max + 1)]
-    fits = sums.withColumn("f", subset_solver(len(cols) - 1, subsets)("g"))
+    subsets = [range(1 + 2 * j) for j in range(1, k_max + 1)]
+    fits = sums.withColumn("f", F.transform(subset_solver(len(cols) - 1, subsets)("g.gram"), with_level))
     out = fits.select(*panel.key, "n", "tss", F.posexplode("f").alias("k", "f"))
     return out.select(
         *panel.key, (F.col("k") + 1).cast("long").alias("k"), "n", "tss", "f.coef", "f.rss", "f.rank"

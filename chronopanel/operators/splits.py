@@ -108,20 +108,26 @@ def expanding_one_step(panel: Panel, y: str, init: int = 3) -> DataFrame:
     return out.select(*panel.key, origin.alias("origin"), "__c.model", "actual", "__c.pred")
 
 
-def expanding_folds(panel: Panel, init: int, step: int, max_origin_rows: int) -> DataFrame:
-    """Materialised folds (column ``origin``) for models without a running form.
+def expanding_sums(panel: Panel, columns: Sequence[str], init: int, step: int) -> DataFrame:
+    """Running sums at every fold's last row: (key, origin, n, sums, products).
 
-    The number of rows grows with the square of the series length, so the
-    caller states the longest series it accepts; longer ones raise.
+    A fold's rows are all rows up to its origin, so its count, sums and products
+    (upper triangle) are running sums read at the origin: one row a fold, and a
+    model on them costs what its sums cost.  Rows with a NULL column count for nothing.
     """
     p = panel.with_position("t")
-    n = F.max("t").over(panel.whole())
-    df = p.df.withColumn("__n", n)
-    too_long = F.raise_error(F.lit("series is longer than max_origin_rows")).cast("long")
-    last = F.when(F.col("__n") > max_origin_rows, too_long).otherwise(F.col("__n"))
-    first = F.greatest(F.lit(init), init + F.ceil((F.col("t") - init) / step) * step)
-    df = df.where(F.greatest(F.col("t"), F.lit(init)) <= F.col("__n")).withColumn("__last", last)
-    df = df.where(first <= F.col("__last"))
-    return df.withColumn(
-        "origin", F.explode(F.sequence(first.cast("long"), F.col("__last"), F.lit(step).cast("long")))
-    ).drop("__n", "__last")
+    upto = p.window().rowsBetween(Window.unboundedPreceding, 0)
+    cols = [F.col(c).cast("double") for c in columns]
+    full = cols[0].isNotNull()
+    for c in cols[1:]:
+        full = full & c.isNotNull()
+
+    def running(value):
+        return F.coalesce(F.sum(F.when(full, value)).over(upto), F.lit(0.0))
+
+    products = [running(cols[i] * cols[j]) for i in range(len(cols)) for j in range(i, len(cols))]
+    sums = p.df.select(
+        *panel.key, F.col("t").cast("long").alias("origin"), F.count(F.when(full, 1)).over(upto).alias("n"),
+        F.array(*map(running, cols)).alias("sums"), F.array(*products).alias("products"),
+    )
+    return sums.where((F.col("origin") >= init) & ((F.col("origin") - init) % step == 0))

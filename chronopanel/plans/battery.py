@@ -13,9 +13,10 @@ from chronopanel.panel import Panel
 SHARES = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3)
 FLAGS = ("home", "covid", "holiday", "ice_present")
 
+# The names under which results are reported.
 FAMILIES = {
     "Neural Networks": ["nn_base", "nn_vars"],
-    "ARIMA": ["arima_full", "arima_plain", "arima_sdif", "arima_no_comp"],
+    "ARIMA": ["arima_full", "arima_plain", "arima_sdif"],
     "Regression": ["tslm_base", "tslm_inter", "tslm_vars", "tslm_vars_no_comp"],
     "Baseline": ["drift", "naive", "snaive"],
 }
@@ -55,14 +56,14 @@ def regression_pairs(split: Panel, y: str) -> DataFrame:
     return shape.bind_rows(*[_pairs(df, key, m, y) for m, df in named.items()])
 
 
-def arima_pairs(split: Panel, y: str, horizon: int, orders: arima.Orders = arima.Orders(2, 2)) -> DataFrame:
+def arima_pairs(split: Panel, y: str, orders: arima.Orders = arima.Orders(2, 2)) -> DataFrame:
     key = list(split.key)
     test = splits.test(split).df.select(*key, "h", F.col(y).cast("double").alias("actual"))
     models, designed = arima.fit_arima(splits.train(split), y, orders.nonseasonal())
-    plain = arima.forecast_arima(models, designed, y, horizon, orders.nonseasonal())
+    plain = arima.forecast_arima(models, designed, y, arima.horizons(split), orders.nonseasonal())
     plain = plain.drop(split.index).join(test, [*key, "h"])
-    full = arima.arima_regression(split, y, ["t", *FLAGS], orders.nonseasonal(), horizon)
-    sdif = arima.arima_regression(split, y, ["t", "home", "covid", "holiday"], orders.nonseasonal(), horizon)
+    full = arima.arima_regression(split, y, ["t", *FLAGS], orders.nonseasonal())
+    sdif = arima.arima_regression(split, y, ["t", "home", "covid", "holiday"], orders.nonseasonal())
     named = {"arima_plain": plain, "arima_full": full, "arima_sdif": sdif}
     return shape.bind_rows(*[_pairs(df, key, m) for m, df in named.items()])
 
@@ -74,11 +75,11 @@ def neural_pairs(split: Panel, y: str, networks: int = 10, rounds: int = 150) ->
     return shape.bind_rows(_pairs(base, key, "nn_base"), _pairs(flags, key, "nn_vars"))
 
 
-def all_pairs(split: Panel, y: str, horizon: int) -> DataFrame:
+def all_pairs(split: Panel, y: str) -> DataFrame:
     """Forecast and actual of every model, split and test row."""
     key = list(split.key)
     base = baseline_pairs(split, y).select(*key, "model", "h", "actual", "mean")
-    return shape.bind_rows(base, regression_pairs(split, y), arima_pairs(split, y, horizon), neural_pairs(split, y))
+    return shape.bind_rows(base, regression_pairs(split, y), arima_pairs(split, y), neural_pairs(split, y))
 
 
 def result_table(scores: DataFrame) -> DataFrame:

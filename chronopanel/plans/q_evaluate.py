@@ -149,7 +149,7 @@ def ev3d(t):
 def ev3c(t):
     """Twelve models over six splits of every series: accuracy with model families."""
     s = battery.prepared(model_panel(t)).written("splits")
-    pairs = battery.all_pairs(s, "y", horizon=140)
+    pairs = battery.all_pairs(s, "y")
     scores = evaluate.accuracy(pairs, ["p", K, "model"])
     return battery.result_table(scores)
 
@@ -199,10 +199,9 @@ def ev5b(t):
     with_ctes(LM, select=f"SELECT {LMK}, CAST(o AS BIGINT) AS origin, count(*) AS n, {r('avg(y)')} AS mean FROM lm, range(24, 1000, 12) g(o) WHERE t <= o AND o <= n GROUP BY {LMK}, o"),
 )
 def ev5c(t):
-    """Folds every twelve months as rows, for models without a running form."""
-    p = monthly(t)
-    folds = splits.expanding_folds(p, 24, 12, max_origin_rows=2000)
-    return folds.groupBy(*p.key, "origin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+    """Sums of every twelve-month fold, one row a fold, however long the series is."""
+    folds = splits.expanding_sums(monthly(t), ["y"], 24, 12)
+    return folds.select(*LMK.split(", "), "origin", "n", (F.col("sums")[0] / F.col("n")).alias("mean"))
 
 
 @query("EV6_accuracy", with_ctes(*SPLIT20, pair_cte(FOUR), *accuracy_ctes(f"{K}, model"),

@@ -267,20 +267,20 @@ _AR2 = "a AS (SELECT o_orderstatus, day, CAST(y AS DOUBLE) AS y, lag(y, 1) OVER
 
 @query(
     "M15_fixed_ar2",
-    with_ctes(OD, _AR2, "b AS (SELECT * FROM a WHERE t > 10)", *cramer("o_orderstatus", "b", "y", ["x1", "x2"]),
+    with_ctes(OD, _AR2, "b AS (SELECT * FROM a WHERE t > 2)", *cramer("o_orderstatus", "b", "y", ["x1", "x2"]),
               select=f"SELECT o_orderstatus, n, {r('b0')} AS constant, {r('b1')} AS phi1, {r('b2')} AS phi2, {r('rss / (n - 3)')} AS sigma2 FROM ls"),
 )
 def m15(t):
     """A pure AR(2) with constant: least squares on two lags."""
     orders = arima.fixed_order((2, 0, 0), constant=True)
-    models, _ = arima.fit_arima(from_tenth(daily(t)), "y", orders)
+    models, _ = arima.fit_arima(daily(t), "y", orders)
     c = F.col("coef")
     return models.select("o_orderstatus", "n", c[0].alias("constant"), c[1].alias("phi1"), c[2].alias("phi2"), "sigma2")
 
 
 @query(
     "M15_ar2_forecast",
-    with_ctes(OD, _AR2, "b AS (SELECT * FROM a WHERE t > 10)", *cramer("o_orderstatus", "b", "y", ["x1", "x2"]),
+    with_ctes(OD, _AR2, "b AS (SELECT * FROM a WHERE t > 2)", *cramer("o_orderstatus", "b", "y", ["x1", "x2"]),
               "e AS (SELECT o_orderstatus, arg_max(y, t) AS y1, arg_max(x1, t) AS y2, max(day) AS last_at FROM a GROUP BY 1)",
               """st AS (SELECT o_orderstatus, last_at, b0, b1, b2, y1, y2, b0 + b1 * y1 + b2 * y2 AS f1 FROM ls JOIN e USING (o_orderstatus)),
 s2 AS (SELECT *, b0 + b1 * f1 + b2 * y1 AS f2 FROM st), s3 AS (SELECT *, b0 + b1 * f2 + b2 * f1 AS f3 FROM s2), s4 AS (SELECT *, b0 + b1 * f3 + b2 * f2 AS f4 FROM s3)""",
@@ -289,16 +289,10 @@ s2 AS (SELECT *, b0 + b1 * f1 + b2 * y1 AS f2 FROM st), s3 AS (SELECT *, b0 + b1
 def m15c(t):
     """Recursive forecast of the same model."""
     orders = arima.fixed_order((2, 0, 0), constant=True)
-    models, designed = arima.fit_arima(from_tenth(daily(t)), "y", orders)
+    models, designed = arima.fit_arima(daily(t), "y", orders)
     return arima.forecast_arima(models, designed, "y", 4, orders).drop("sd")
 
 
-def from_tenth(p: Panel) -> Panel:
-    """From the ninth row on, so that two lags leave the rows after the tenth."""
-    q = p.with_position("t")
-    return p.on(q.df.where("t > 8").drop("t"))
-
-
 @query("M15_arima_401")
 def m15b(t):
     """The fixed (4,0,1) model on the smoothed daily series."""
@@ -315,7 +309,7 @@ def m15b(t):
 def m16(t):
     """Seasonal regression with covariates and ARMA errors, forecast on the test rows."""
     s = splits.split_by_share(model_panel(t), 0.2).with_season("season").written("split")
-    return arima.arima_regression(s, "y", ["t", "covid", "holiday", "ice_present"], arima.Orders(2, 2, 0, 0), 80)
+    return arima.arima_regression(s, "y", ["t", "covid", "holiday", "ice_present"], arima.Orders(2, 2, 0, 0))
 
 
 @query("M17_neural_net")
@@ -479,7 +473,8 @@ def m26(t):
 def j6(t):
     """Naive forecasts matched with the actual weeks by key and index."""
     s = splits.split_by_share(weekly(t), 0.1)
-    fc = baseline.forecast_baselines(splits.train(s), "y", 60, models=("naive",))
-    actual = splits.test(s).df.select("o_orderpriority", "week", F.col("y").alias("actual"))
+    rows = splits.test(s).df
+    fc = baseline.forecast_for(splits.train(s), "y", rows.select("o_orderpriority", "h"), models=("naive",))
+    actual = rows.select("o_orderpriority", "week", F.col("y").alias("actual"))
     out = joins.pair_forecasts(fc, actual, ["o_orderpriority", "week"])
     return out.select("o_orderpriority", "week", "actual", "mean")

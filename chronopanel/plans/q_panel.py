@@ -64,10 +64,13 @@ def s2(t):
     SELECT o_orderstatus, {d("day")} AS day, CAST(sum(c) OVER (PARTITION BY o_orderstatus ORDER BY day) AS BIGINT) AS total FROM x""",
 )
 def s3(t):
-    """Daily cumulative feed per status, as a landed CSV folder would hold it."""
+    """Daily counts per status landed as a CSV folder, read with a schema and cumulated."""
     from chronopanel.operators.windows import cumulative
 
-    raw = t("orders").groupBy("o_orderstatus", F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("c"))
+    days = t("orders").groupBy("o_orderstatus", F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("c"))
+    path = scratch_path(t.spark, "feed")
+    files.write_csv(days, path)
+    raw = files.read_csv(t.spark, path, T.StructType.fromDDL("o_orderstatus string, day date, c bigint"))
     p = cumulative(Panel(raw, ("o_orderstatus",), "day", "day"), "c", "total")
     return p.df.select("o_orderstatus", "day", "total")
 
@@ -79,19 +82,11 @@ def s3(t):
     WHERE year(o_orderdate) * 100 + month(o_orderdate) = ym GROUP BY 1""",
 )
 def s4(t):
-    """Monthly snapshots named by date; the newest file name wins."""
-    orders = t("orders")
-    spark = orders.sparkSession
-    path = scratch_path(spark, "snapshots")
-    ym = F.date_format("o_orderdate", "'raw'_M_1_yyyy").alias("name")
-    # One file name per month: the folder listing is the snapshot catalogue.
-    months = orders.select("o_orderkey", "o_orderpriority", ym)
-    months.write.partitionBy("name").parquet(path)
-    names = spark.read.parquet(path)
-    token = F.split("name", "_")
-    score = token[1].cast("long") * 50 + token[2].cast("long") + token[3].cast("long") * 1000
-    best = names.select("name").distinct().agg(F.max_by("name", score).alias("name"))
-    newest = names.where(F.col("name") == best.scalar())
+    """Monthly CSV snapshots named by date; the newest name wins and only its files are read."""
+    orders, path = t("orders"), scratch_path(t.spark, "snapshots")
+    named = orders.select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "'raw'_M_1_yyyy").alias("name"))
+    named.repartition("name").write.option("header", True).partitionBy("name").csv(path)
+    newest = files.latest_snapshot(t.spark, path, T.StructType.fromDDL("o_orderkey bigint, o_orderpriority string"))
     return newest.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -506,27 +501,27 @@ def f3(t):
 
 @query(
     "F4_math",
-    with_ctes(LM, select=f"""SELECT l_returnflag, l_linestatus, {d('month')} AS month, {r('ln(y)')} AS log_y, {r('sqrt(y)')} AS sqrt_y,
-    {r('y / 3')} AS third, {r('-1 / y')} AS inverse, {r('exp(y / 10000)')} AS exp_y, CAST(round_even(y / 2, 0) AS BIGINT) AS half_even,
-    CAST(floor(y / 7) AS BIGINT) AS floor_y FROM lm WHERE y > 0"""),
+    with_ctes(LM, select=f"""SELECT l_returnflag, l_linestatus, {d('month')} AS month, {r('ln(CASE WHEN y > 0 THEN y END)')} AS log_y, {r('sqrt(CASE WHEN y >= 0 THEN y END)')} AS sqrt_y,
+    {r('y / 3')} AS third, {r('-1 / nullif(y, 0)')} AS inverse, {r('exp(y / 10000)')} AS exp_y, CAST(round_even(y / 2, 0) AS BIGINT) AS half_even,
+    CAST(floor(y / 7) AS BIGINT) AS floor_y FROM lm"""),
 )
 def f4(t):
-    df = monthly(t).df.where("y > 0")
-    y = F.col("y")
+    df, y = monthly(t).df, F.col("y")
+    positive = F.when(y > 0, y)
     return df.select(
         "l_returnflag", "l_linestatus", "month",
-        F.log(y).alias("log_y"), F.sqrt(y).alias("sqrt_y"), (y / 3).alias("third"), (-1 / y).alias("inverse"),
+        F.log(positive).alias("log_y"), F.sqrt(F.when(y >= 0, y)).alias("sqrt_y"), (y / 3).alias("third"), F.try_divide(F.lit(-1), y).alias("inverse"),
         F.exp(y / 10000).alias("exp_y"), F.bround(y / 2).cast("long").alias("half_even"), F.floor(y / 7).alias("floor_y"),
     )
 
 
 @query(
     "F5_box_cox",
-    with_ctes(LM, select=f"""SELECT l_returnflag, l_linestatus, {d('month')} AS month, {r('(pow(y, 0.0895) - 1) / 0.0895')} AS bc,
-    {r('ln(y)')} AS bc0, {r('y')} AS back FROM lm WHERE y > 0"""),
+    with_ctes(LM, select=f"""SELECT l_returnflag, l_linestatus, {d('month')} AS month, {r('(pow(p, 0.0895) - 1) / 0.0895')} AS bc,
+    {r('ln(p)')} AS bc0, {r('p')} AS back FROM (SELECT *, CASE WHEN y > 0 THEN y END AS p FROM lm)"""),
 )
 def f5(t):
-    df = monthly(t).df.where("y > 0")
+    df = monthly(t).df.withColumn("y", F.when(F.col("y") > 0, F.col("y")))
     bc = transforms.box_cox("y", 0.0895)
     return df.select(
         "l_returnflag", "l_linestatus", "month", bc.alias("bc"), transforms.box_cox("y", 0.0).alias("bc0"),

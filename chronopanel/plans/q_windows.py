@@ -106,13 +106,13 @@ def w5b(t):
 
 @query(
     "W6_seasonal_difference",
-    with_ctes(LM, f"a AS (SELECT *, ln(y) - lag(ln(y), 12) OVER w AS s FROM lm WHERE y > 0 {W_LM})",
+    with_ctes(LM, f"a AS (SELECT *, ln(CASE WHEN y > 0 THEN y END) - lag(ln(CASE WHEN y > 0 THEN y END), 12) OVER w AS s FROM lm {W_LM})",
               select=f"SELECT {LMK}, {d('month')} AS month, {r('s')} AS sdiff, {r('s - lag(s) OVER w')} AS ddiff FROM a {W_LM}"),
 )
 def w6(t):
     """Seasonal and doubly differenced logarithm."""
     p = monthly(t)
-    p = p.on(p.df.where("y > 0").withColumn("ly", F.log("y")))
+    p = p.on(p.df.withColumn("ly", F.log(F.when(F.col("y") > 0, F.col("y")))))
     p = windows.difference(p, "ly", [12], "sdiff")
     return windows.difference(p, "ly", [12, 1], "ddiff").df.drop("y", "ly")
 

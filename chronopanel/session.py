@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 def get_session(cpus: int | str = "*", name: str = "chronopanel") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     parts = "8" if cpus == "*" else str(cpus)
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", parts)
@@ -25,26 +26,38 @@ def get_session(cpus: int | str = "*", name: str = "chronopanel") -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        spark.conf.set("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "chronopanel-checkpoints"))
+    return spark
 
 
-# Temporary folders of local sessions, by application.
-_LOCAL_DIRS: dict[str, str] = {}
+# Applications whose workers have the package.
+_SHIPPED: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once an application; Spark serves the archive from the driver."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(), "chronopanel.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
 
-    Only a local session that names none gets a temporary folder of its own.
-    """
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach, as the session names it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="chronopanel-")
-    return _LOCAL_DIRS[app]
+    return named
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -40,19 +40,22 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def latest_snapshot(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """Rows of the newest snapshot file ``<name>_<month>_<day>_<year>.csv``.
+    """Rows of the newest snapshot ``<name>_<month>_<day>_<year>``, a CSV file or a folder of CSV files.
 
-    The file name alone decides.  The score ``50 month + day + 1000 year`` keeps
-    calendar order; the first name in order wins a tie.
+    Names alone decide, from the folder listing; only the newest snapshot's files
+    are read.  The score ``50 month + day + 1000 year`` keeps calendar order; the
+    first name in order wins a tie.  A folder without snapshots gives no rows.
     """
-    df = spark.read.schema(schema).option("header", True).csv(folder)
-    df = df.withColumn("__file", F.col("_metadata.file_name"))
-    token = F.split(F.split("__file", r"\.").getItem(0), "_")
-    score = token[1].cast("long") * 50 + token[2].cast("long") + token[3].cast("long") * 1000
-    files = df.select("__file").distinct().withColumn("__score", score)
-    first = files.groupBy("__score").agg(F.min("__file").alias("__file"))
-    newest = first.agg(F.max_by("__file", "__score").alias("__file"))
-    return df.where(F.col("__file") == newest.scalar()).drop("__file")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder).select("path")
+    parts = [F.regexp_extract("path", r"([^/]*)_(\d+)_(\d+)_(\d+)(\.csv)?(/[^/]*)?$", k) for k in range(1, 5)]
+    name = F.regexp_extract("path", r"([^/]*_\d+_\d+_\d+)(\.csv)?(/[^/]*)?$", 1)
+    files = listing.select("path", name.alias("name"), *[x.try_cast("long").alias(c) for x, c in zip(parts[1:], ("m", "d", "y"))]).where("name <> ''")
+    best = files.groupBy((F.col("y") * 1000 + F.col("m") * 50 + F.col("d")).alias("score")).agg(F.min("name").alias("name"))
+    top = best.agg(F.max_by("name", "score")).first()[0]
+    if top is None:
+        return spark.createDataFrame([], schema)
+    paths = [r.path for r in files.where(F.col("name") == top).select("path").collect()]
+    return spark.read.schema(schema).option("header", True).csv(paths)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -283,14 +283,57 @@ def test_split_last_rounds_half_to_even(spark):
     assert splits.test(s).df.count() == 2
 
 
-def test_expanding_folds_match_the_running_form(spark, noise):
+def test_expanding_sums_match_the_running_form(spark, noise):
     p = panel_of(spark, {"a": noise["a"][:30]})
-    folds = splits.expanding_folds(p, 3, 1, 100).groupBy("origin").agg(F.avg("y").alias("m"))
-    want = {r.origin: r.m for r in folds.collect()}
+    folds = splits.expanding_sums(p, ["y"], 3, 1)
+    want = {r.origin: r.sums[0] / r.n for r in folds.collect()}
     got = splits.expanding_one_step(p, "y", 3).where("model = 'mean'").collect()
     assert all(r.pred == pytest.approx(want[r.origin]) for r in got) and len(got) == 27
-    with pytest.raises(Exception):
-        splits.expanding_folds(p, 3, 1, 20).count()
+    # One row a fold, whatever the length.
+    long = panel_of(spark, {"a": range(5000)})
+    assert splits.expanding_sums(long, ["y"], 24, 12).count() == 415
+
+
+def test_ols_keeps_columns_at_a_high_level(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e6, 10, 400)
+    rows = [("a", float(v), float(2 * (v - 1e6) + e)) for v, e in zip(x, rng.normal(0, 1, 400))]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    r = reg.fit_ols(df, ["k"], "y", ["x"]).first()
+    slope, level = np.polyfit(x - 1e6, [v[2] for v in rows], 1)
+    assert r["rank"] == 2 and r.coef[1] == pytest.approx(slope, rel=1e-6) and r.coef[0] + 1e6 * r.coef[1] == pytest.approx(level, abs=1e-3)
+
+
+def test_kpss_of_a_long_series(spark):
+    v = np.sin(np.arange(200_000) * 0.37) + np.arange(200_000) % 7
+    got = features.kpss(panel_of(spark, {"a": v.tolist()}), "y").first()
+    e = v - v.mean()
+    n, width = len(e), int(4 * (len(e) / 100) ** 0.25)
+    lrv = (e @ e + 2 * sum((1 - k / (width + 1)) * (e[k:] @ e[:-k]) for k in range(1, width + 1))) / n
+    assert got.kpss_stat == pytest.approx((np.cumsum(e) ** 2).sum() / n**2 / lrv, rel=1e-6)
+
+
+def test_differencing_takes_the_given_orders(spark):
+    t = np.arange(80.0)
+    cubic, m = t**3, 4
+    p = panel_of(spark, {"a": cubic.tolist()})
+    p = arima.with_differencing(p, "y", arima.fixed_order((1, 3, 0), (0, 0, 0)), m)
+    w = [r.w for r in arima.design(p, "y", arima.fixed_order((1, 3, 0)), m).df.orderBy("t").collect() if r.w is not None]
+    assert np.allclose(w, 6)
+    q = panel_of(spark, {"a": (t**2 + t % 4).tolist()})
+    q = arima.with_differencing(q, "y", arima.fixed_order((1, 0, 0), (0, 2, 0)), m)
+    w = [r.w for r in arima.design(q, "y", arima.fixed_order((1, 0, 0), (0, 2, 0)), m).df.orderBy("t").collect() if r.w is not None]
+    assert np.allclose(w, 32)
+
+
+def test_horizons_follow_the_test_rows(spark, noise):
+    p = panel_of(spark, {"a": noise["a"][:60], "b": noise["a"][:40]})
+    s = splits.split_by_share(p, 0.3)
+    models, designed = arima.fit_arima(splits.train(s), "y", arima.fixed_order((1, 0, 0), constant=True))
+    got = arima.forecast_arima(models, designed, "y", arima.horizons(s), arima.fixed_order((1, 0, 0), constant=True))
+    counts = {tuple(r[:-1]): r[-1] for r in got.groupBy(*p.key).count().collect()}
+    want = {tuple(r[:-1]): r[-1] for r in splits.test(s).df.groupBy(*p.key).count().collect()}
+    assert counts == want
 
 
 def test_accuracy_and_ties(spark):

@@ -126,6 +126,11 @@ def test_latest_snapshot_by_file_name(spark, tmp_path):
     for name, value in [("raw_1_5_2021", 1), ("raw_12_31_2020", 2), ("raw_1_2_2021", 3)]:
         (tmp_path / f"{name}.csv").write_text(f"n\n{value}\n")
     assert [r.n for r in files.latest_snapshot(spark, str(tmp_path), schema).collect()] == [1]
+    folder = tmp_path / "name=raw_2_1_2021"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("n\n7\n")
+    (folder / "part-1.csv").write_text("n\n8\n")
+    assert sorted(r.n for r in files.latest_snapshot(spark, str(tmp_path), schema).collect()) == [7, 8]
 
 
 def test_partitioned_results_replace_only_their_share(spark, tmp_path):
