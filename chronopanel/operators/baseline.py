@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions.tails import Z_LEVEL
 from chronopanel.operators.windows import framed
+from chronopanel.sources.noise import draw_bits
 from chronopanel.panel import Panel, shift
 
 MODELS = ("mean", "naive", "snaive", "drift")
@@ -173,31 +174,24 @@ def hilo(fc: DataFrame, levels: Sequence[int] = (80, 95)) -> DataFrame:
 def bootstrap_paths(panel: Panel, y: str, h: int, times: int, seed: int = 1) -> DataFrame:
     """Simulated naive paths (key, rep, h, sim) from resampled residuals.
 
-    The draw is a hash of (seed, key, rep, h), so a recomputed task draws the
-    same numbers.
+    Residuals are numbered per series; a draw is a number from a hash of (seed,
+    key, rep, h), joined to the residual of that number.  A recomputed task draws
+    the same, and no series' residuals are gathered.
     """
-    v = F.col(y).cast("double")
-    p = panel.on(panel.df.select(*panel.key, panel.index, v.alias("y")))
+    v, key = F.col(y).cast("double"), list(panel.key)
+    p = panel.on(panel.df.select(*key, panel.index, v.alias("y")))
     p = framed(p.with_position("t"), {"__e": lambda w: F.col("y") - F.lag("y").over(w)}, 1)
-    fit = p.df.groupBy(*panel.key).agg(
-        F.max_by("y", "t").alias("__last"), F.array_sort(F.collect_list("__e")).alias("__es")
-    )
-    centred = F.transform("__es", lambda e: e - F.aggregate("__es", F.lit(0.0), lambda a, b: a + b) / F.size("__es"))
-    fit = fit.withColumn("__es", centred).where(F.size("__es") > 0)
-    rows = fit.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(times))))
-
-    def draw(i: Column) -> Column:
-        u = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in panel.key], F.col("rep"), i), F.size("__es"))
-        return F.get("__es", u.cast("int"))
-
-    steps = F.transform(F.sequence(F.lit(1), F.lit(h)), draw)
-    out = rows.select(*panel.key, "rep", "__last", F.posexplode(steps).alias("__h", "__d"))
-    run = Window.partitionBy(*panel.key, "rep").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
+    fit = p.df.groupBy(*key).agg(F.max_by("y", "t").alias("__last"), F.count("__e").alias("__n"), F.avg("__e").alias("__m"))
+    fit = fit.where("__n > 0")
+    known = p.df.where("__e IS NOT NULL").select(*key, "__e", F.col("t").alias("__t"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("__t")) - 1
+    residuals = known.select(*key, number.cast("long").alias("__at"), "__e")
+    rows = fit.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(h))))
+    drawn = rows.withColumn("__at", F.pmod(draw_bits(seed, *[F.col(k) for k in key], F.col("rep"), F.col("h")), F.col("__n")))
+    run = Window.partitionBy(*key, "rep").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    out = drawn.join(residuals, [*key, "__at"])
     return out.select(
-        *panel.key,
-        F.col("rep").cast("long"),
-        (F.col("__h") + 1).cast("long").alias("h"),
-        (F.col("__last") + F.sum("__d").over(run)).alias("sim"),
+        *key, F.col("rep").cast("long"), F.col("h").cast("long"), (F.col("__last") + F.sum(F.col("__e") - F.col("__m")).over(run)).alias("sim")
     )
 
 

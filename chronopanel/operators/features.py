@@ -252,13 +252,27 @@ def guerrero(
     df = p.df.select(*panel.key, v.alias("v"), back.alias("__blk"), F.floor(n / m).alias("__nb"))
     df = df.where(F.col("__blk") < F.col("__nb"))
     blocks = df.groupBy(*panel.key, "__blk").agg(F.avg("v").alias("mu"), F.stddev_samp("v").alias("sd"))
+    # A series' blocks are n / m pairs of numbers; the grid is folded over them in the JVM.
+    cells = F.sort_array(F.collect_list(F.when(F.col("sd").isNotNull(), F.struct("__blk", "mu", "sd"))))
+    series = blocks.groupBy(*panel.key).agg(cells.alias("__c"))
     count = int(round((upper - lower) / step)) + 1
-    lam = (F.lit(lower) + F.col("i") * step).alias("lam")
-    tried = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select("*", lam)
-    ratio = F.col("sd") / F.pow("mu", 1 - F.col("lam"))
-    cv = F.try_divide(F.stddev_samp(ratio), F.avg(ratio))
-    score = tried.groupBy(*panel.key, "lam").agg(cv.alias("cv"))
-    return score.groupBy(*panel.key).agg(F.min_by("lam", F.struct("cv", "lam")).alias("lambda_guerrero"))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+    def spread(ratios: Column) -> Column:
+        mean = total(ratios) / F.size(ratios)
+        around = F.transform(F.array(mean), lambda m: F.sqrt(F.try_divide(total(F.transform(ratios, lambda r: (r - m) * (r - m))), F.size(ratios) - 1)))
+        return F.try_divide(F.get(around, F.lit(0)), mean)
+
+    def tried(i: Column) -> Column:
+        lam = F.lit(lower) + i * step
+        ratios = F.transform("__c", lambda c: c["sd"] / F.pow(c["mu"], 1 - lam))
+        return F.struct(F.get(F.transform(F.array(ratios), spread), F.lit(0)).alias("cv"), lam.alias("lam"))
+
+    grid = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), tried)
+    best = F.array_min(F.filter(grid, lambda g: g["cv"].isNotNull()))
+    return series.select(*panel.key, best["lam"].alias("lambda_guerrero"))
 
 
 def tiled(panel: Panel, x: str, width: int | None = None) -> DataFrame:

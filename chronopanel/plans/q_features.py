@@ -10,7 +10,7 @@ from chronopanel.panel import Panel
 from chronopanel.plans.inputs import EH, LM, OD, OW, PM, daily, hourly, monthly, parts_monthly, weekly
 from chronopanel.plans.q_windows import LMK, classical_sql
 from chronopanel.plans.registry import d, query, r, with_ctes
-from chronopanel.sources.noise import white_noise
+from chronopanel.sources.noise import noise_ctes, white_noise
 
 
 def acf_ctes(src: str, key: str, idx: str, x: str, lags: list[int], name: str = "ac") -> list[str]:
@@ -352,7 +352,7 @@ def a24(t):
     return joins.drill_back(far, p.df, ["l_partkey"])
 
 
-@query("S10_white_noise_acf")
+@query("S10_white_noise_acf", with_ctes(OW, *noise_ctes("ow", 30, ["o_orderpriority"], "week"), *acf_ctes("noise", "o_orderpriority", "week", "wn", L10), select=acf_long("ac", "o_orderpriority", L10)))
 def white(t):
     """Autocorrelations of a generated white-noise panel."""
     return features.acf(white_noise(weekly(t), "wn", 30), "wn", 10)

@@ -11,6 +11,7 @@ from chronopanel.operators.windows import framed
 from chronopanel.panel import Panel, future_rows
 from chronopanel.plans.inputs import LM, MODEL, OD, OW, PM, daily, model_panel, monthly, parts_monthly, weekly
 from chronopanel.plans.q_windows import LMK
+from chronopanel.sources.noise import draw_sql
 from chronopanel.plans.registry import d, query, r, with_ctes
 
 H = 60
@@ -436,13 +437,32 @@ def m23(t):
     )
 
 
-@query("M24_simulated_paths")
+def _paths(src: str, key: str, reps: int, steps: int) -> list[str]:
+    """Resampled residuals by number, summed along each path."""
+    parts = ["'1'", *[k.strip() for k in key.split(",")], "rep", "h"]
+    return [
+        f"bs_e AS (SELECT {key}, t, y, y - lag(y) OVER (PARTITION BY {key} ORDER BY t) AS e FROM {src})",
+        f"bs_r AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY t) - 1 AS pos, e FROM bs_e WHERE e IS NOT NULL)",
+        f"bs_f AS (SELECT {key}, arg_max(y, t) AS last, count(e) AS n, avg(e) AS m FROM bs_e GROUP BY {key})",
+        f"bs_d AS (SELECT *, {draw_sql(*parts)} % n AS pos FROM bs_f, range(1, {reps + 1}) AS a(rep), range(1, {steps + 1}) AS b(h) WHERE n > 0)",
+        f"bs AS (SELECT {key}, rep, h, last + sum(e - m) OVER (PARTITION BY {key}, rep ORDER BY h) AS sim FROM bs_d JOIN bs_r USING ({key}, pos))",
+    ]
+
+
+@query(
+    "M24_simulated_paths",
+    with_ctes(OW, *_paths("ow", "o_orderpriority", 5, 30), select=f"SELECT o_orderpriority, CAST(rep AS BIGINT) AS rep, CAST(h AS BIGINT) AS h, {r('sim')} AS sim FROM bs"),
+)
 def m24(t):
     """Five bootstrapped paths of thirty steps per series."""
     return baseline.bootstrap_paths(weekly(t), "y", 30, 5)
 
 
-@query("M25_bootstrap_forecast")
+@query(
+    "M25_bootstrap_forecast",
+    with_ctes(LM, *_paths("lm", "l_returnflag, l_linestatus", 1000, 10),
+              select=f"SELECT l_returnflag, l_linestatus, CAST(h AS BIGINT) AS h, {r('avg(sim)')} AS mean, {r('quantile_cont(sim, 0.1)')} AS lower, {r('quantile_cont(sim, 0.9)')} AS upper FROM bs GROUP BY l_returnflag, l_linestatus, h"),
+)
 def m25(t):
     """Interval from a thousand bootstrapped paths."""
     return baseline.bootstrap_forecast(monthly(t), "y", 10, 1000)

@@ -15,7 +15,7 @@ from chronopanel.plans.inputs import (
 from chronopanel.plans.registry import d, query, r, with_ctes
 from chronopanel.session import scratch_path
 from chronopanel.sources import files
-from chronopanel.sources.noise import white_noise
+from chronopanel.sources.noise import noise_ctes, white_noise
 
 ORDER_COLS = T.StructType(
     [
@@ -166,7 +166,7 @@ def s9(t):
     return calendar_days(t)
 
 
-@query("S10_white_noise")
+@query("S10_white_noise", with_ctes(OW, *noise_ctes("ow", 30, ["o_orderpriority"], "week"), select=f"SELECT o_orderpriority, {d('week')} AS week, y, {r('wn')} AS wn FROM noise"))
 def s10(t):
     """One normal draw per row of the weekly panel."""
     return white_noise(weekly(t), "wn", seed=30)

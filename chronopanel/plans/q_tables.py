@@ -382,12 +382,16 @@ def l4(t):
     return p.df.withColumn("k", F.row_number().over(w)).where("k <= 20").drop("k")
 
 
-@query("L5_random_series")
+@query(
+    "L5_random_series",
+    with_ctes(LM, "pick AS (SELECT DISTINCT l_returnflag, l_linestatus FROM lm ORDER BY md5(concat_ws('|', '7', l_returnflag, l_linestatus)) LIMIT 1)",
+              select=f"SELECT l_returnflag, l_linestatus, {d('month')} AS month, y FROM lm JOIN pick USING (l_returnflag, l_linestatus)"),
+)
 def l5(t):
     """One series picked at random (hash order with a seed), with all its rows."""
     p = monthly(t)
     ids = p.df.select(*p.key).distinct()
-    pick = ids.orderBy(F.xxhash64(F.lit(7), *p.key)).limit(1)
+    pick = ids.orderBy(F.md5(F.concat_ws("|", F.lit("7"), *p.key))).limit(1)
     return pick.join(p.df, list(p.key))
 
 
