@@ -1,9 +1,12 @@
 """ARIMA-type models by two regressions (Hannan-Rissanen).
 
 A long autoregression gives innovations; a second regression on lags of the
-differenced series and of the innovations gives the model.  All candidate
-orders are sub-blocks of one Gram matrix per series, so the order search costs
-one aggregation.  Seasonal terms enter as additional lags of one period.
+differenced series and of the innovations gives the model.  Seasonal and plain
+polynomials multiply: the lags k, m j and m j + k carry the coefficients phi_k,
+PHI_j and -phi_k PHI_j.  The sum of squares is a quadratic form in these, so the
+product models are fitted by Gauss-Newton steps on one Gram matrix per series;
+all candidate orders are sub-blocks of it and the order search costs one
+aggregation.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators import features
 from chronopanel.operators.decompose import classical
-from chronopanel.operators.regression import fit_ols, fit_seasonal, gram_sums, subset_solver
+from chronopanel.operators.regression import fit_ols, fit_seasonal, gram_sums, unpack
 from chronopanel.operators.windows import framed
 from chronopanel.panel import Panel, shift
 
@@ -49,18 +52,6 @@ class Orders:
         consts = [1, 0] if self.constant is None else [int(self.constant)]
         return list(product(range(self.p + 1), range(self.q + 1), range(self.P + 1), range(self.Q + 1), consts))
 
-    def subset(self, cand: tuple[int, int, int, int, int]) -> list[int]:
-        p, q, P, Q, c = cand
-        at_P, at_q = 1 + self.p, 1 + self.p + self.P
-        at_Q = at_q + self.q
-        return [
-            *([0] if c else []),
-            *range(1, 1 + p),
-            *range(at_P, at_P + P),
-            *range(at_q, at_q + q),
-            *range(at_Q, at_Q + Q),
-        ]
-
 
 def fixed_order(
     pdq: tuple[int, int, int], PDQ: tuple[int, int, int] = (0, 0, 0), constant: bool | None = None
@@ -105,9 +96,13 @@ def design(panel: Panel, y: str, orders: Orders, m: int) -> Panel:
     for k in range(1, most + 1):
         p = framed(p, {"__next": lambda w: F.col("w") - F.lag("w").over(w)}, 1)
         p = p.on(p.df.withColumn("w", F.when(F.col("order_d") >= k, F.col("__next")).otherwise(F.col("w"))).drop("__next"))
-    ar = [f"__a{k}" for k in range(1, orders.long_ar + 1)] if orders.q + orders.Q else []
-    w_lags = {f"w{k}": k for k in range(1, orders.p + 1)} | {f"wS{j}": j * m for j in range(1, orders.P + 1)}
-    lags = {a: k for k, a in enumerate(ar, 1)} | w_lags
+    # Innovations for a seasonal part need the lags around one and two periods.
+    long_lags = [*range(1, orders.long_ar + 1)] if orders.q + orders.Q else []
+    if orders.Q:
+        long_lags = sorted({*long_lags, *range(m, m + orders.long_ar + 1), 2 * m})
+    ar = [f"__a{k}" for k in long_lags]
+    w_lags = lag_columns("w", orders.p, orders.P, m)
+    lags = dict(zip(ar, long_lags)) | w_lags
     if not lags:
         return p
     p = framed(p, {n: (lambda win, k=k: F.lag("w", k).over(win)) for n, k in lags.items()}, max(lags.values()))
@@ -120,19 +115,94 @@ def design(panel: Panel, y: str, orders: Orders, m: int) -> Panel:
     for i, a in enumerate(ar):
         fitted = fitted + F.col("__b")[i + 1] * F.col(a)
     p = p.on(df.withColumn("e", F.col("w") - fitted).drop("__b", *ar))
-    e_lags = {f"e{k}": k for k in range(1, orders.q + 1)} | {f"eS{j}": j * m for j in range(1, orders.Q + 1)}
+    e_lags = lag_columns("e", orders.q, orders.Q, m)
     if e_lags:
         p = framed(p, {n: (lambda win, k=k: F.lag("e", k).over(win)) for n, k in e_lags.items()}, max(e_lags.values()))
     return p
 
 
+def lag_columns(name: str, short: int, seasonal: int, m: int) -> dict[str, int]:
+    """Columns of the plain, seasonal and product lags, in the order of the coefficients."""
+    plain = {f"{name}{k}": k for k in range(1, short + 1)}
+    yearly = {f"{name}S{j}": j * m for j in range(1, seasonal + 1)}
+    return plain | yearly | {f"{name}X{j}_{k}": j * m + k for j in range(1, seasonal + 1) for k in range(1, short + 1)}
+
+
 def _columns(orders: Orders) -> list[str]:
-    return (
-        [f"w{k}" for k in range(1, orders.p + 1)]
-        + [f"wS{j}" for j in range(1, orders.P + 1)]
-        + [f"e{k}" for k in range(1, orders.q + 1)]
-        + [f"eS{j}" for j in range(1, orders.Q + 1)]
-    )
+    return [*lag_columns("w", orders.p, orders.P, 1), *lag_columns("e", orders.q, orders.Q, 1)]
+
+
+class Product:
+    """One candidate: its free coefficients as positions, and how they make up all columns' coefficients."""
+
+    def __init__(self, orders: Orders, cand: tuple[int, int, int, int, int]):
+        p, q, P, Q, constant = cand
+        self.size = 1 + len(_columns(orders))
+        self.free, self.crosses = [0] if constant else [], []
+        at = 1
+        for short, seasonal, most, most_seasonal, sign in ((p, P, orders.p, orders.P, -1), (q, Q, orders.q, orders.Q, 1)):
+            self.free += [at + k for k in range(short)] + [at + most + j for j in range(seasonal)]
+            base = at + most + most_seasonal
+            self.crosses += [(base + j * most + k, at + k, at + most + j, sign) for j in range(seasonal) for k in range(short)]
+            at = base + most * most_seasonal
+
+    def expanded(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All coefficients, and their derivatives by the free ones."""
+        full, slope = np.zeros(self.size), np.zeros((self.size, len(self.free)))
+        full[self.free] = beta
+        slope[self.free, range(len(self.free))] = 1
+        place = {c: i for i, c in enumerate(self.free)}
+        for cross, a, b, sign in self.crosses:
+            full[cross] = sign * full[a] * full[b]
+            slope[cross, place[a]], slope[cross, place[b]] = sign * full[b], sign * full[a]
+        return full, slope
+
+    def fit(self, gram: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float, int]:
+        """Coefficients of all columns, sum of squares and rank, from the products with y last."""
+        inner, side, total = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
+        scale = 1 / np.sqrt(np.maximum(np.diag(inner), 1e-300))
+
+        def steps(matrix: np.ndarray, target: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, int]:
+            out, _, rank, _ = np.linalg.lstsq(matrix * by[:, None] * by[None, :], target * by, rcond=1e-9)
+            return out * by, int(rank)
+
+        def loss(full: np.ndarray) -> float:
+            return float(total - 2 * full @ side + full @ inner @ full)
+
+        if not self.free:
+            return np.zeros(self.size), float(total), 0
+        beta, rank = steps(inner[np.ix_(self.free, self.free)], side[self.free], scale[self.free])
+        full, slope = self.expanded(beta)
+        best = loss(full)
+        for _ in range(rounds if self.crosses else 0):
+            move, rank = steps(slope.T @ inner @ slope, slope.T @ (side - inner @ full), scale[self.free])
+            for _ in range(12):
+                new, new_slope = self.expanded(beta + move)
+                if loss(new) <= best:
+                    break
+                move = move / 2
+            else:
+                break
+            gain, beta, full, slope, best = best - loss(new), beta + move, new, new_slope, loss(new)
+            if gain <= 1e-12 * max(abs(total), 1e-300):
+                break
+        return full, max(best, 0.0), rank
+
+
+def product_solver(orders: Orders):
+    """UDF: one Gram array -> fits of all candidates, in order."""
+    models, k = [Product(orders, c) for c in orders.candidates()], 1 + len(_columns(orders))
+
+    @F.pandas_udf("array<struct<coef:array<double>,rss:double,rank:int>>")
+    def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for grams in batches:
+            rows = []
+            for gram in unpack(grams, k + 1) if len(grams) else ():
+                fits = [model.fit(gram) for model in models]
+                rows.append([{"coef": full.tolist(), "rss": rss, "rank": rank} for full, rss, rank in fits])
+            yield pd.Series(rows, dtype=object)
+
+    return solve
 
 
 def select_model(designed: Panel, orders: Orders) -> DataFrame:
@@ -147,7 +217,7 @@ def select_model(designed: Panel, orders: Orders) -> DataFrame:
         F.count(F.lit(1)).alias("n"), gram.alias("g"), F.first("order_d").alias("order_d"), F.first("order_ds").alias("order_ds")
     )
     cands = orders.candidates()
-    solve = subset_solver(len(names) + 1, [orders.subset(c) for c in cands])
+    solve = product_solver(orders)
     table = F.lit([list(c) for c in cands])
     out = sums.withColumn("f", solve("g")).select(*key, "n", "order_d", "order_ds", F.posexplode("f").alias("i", "f"))
     out = out.select(*key, "n", "order_d", "order_ds", F.get(table, F.col("i")).alias("o"), "f.coef", "f.rss", "f.rank")
@@ -198,14 +268,14 @@ def _roller(orders: Orders, m: int):
             means, sds = [], []
             for coef, d, D, s2, h, yt, et in zip(coefs, ds, Ds, s2s, hs, tails, etails):
                 coef, yt, et = np.asarray(coef, float), np.asarray(yt, float), np.asarray(et, float)
-                ar = np.zeros(max(orders.p, m * orders.P) + 1)
-                ma = np.zeros(max(orders.q, m * orders.Q) + 1)
+                ar = np.zeros(orders.p + m * orders.P + 1)
+                ma = np.zeros(orders.q + m * orders.Q + 1)
                 ar[0] = ma[0] = 1.0
                 pos = 1
-                for lag in [*range(1, orders.p + 1), *[m * j for j in range(1, orders.P + 1)]]:
+                for lag in lag_columns("w", orders.p, orders.P, m).values():
                     ar[lag] -= coef[pos]
                     pos += 1
-                for lag in [*range(1, orders.q + 1), *[m * j for j in range(1, orders.Q + 1)]]:
+                for lag in lag_columns("e", orders.q, orders.Q, m).values():
                     ma[lag] += coef[pos]
                     pos += 1
                 for _ in range(int(d)):
@@ -244,7 +314,8 @@ def forecast_arima(
     """
     m = period or designed.period
     key = list(designed.key)
-    keep = max(orders.p, m * orders.P, orders.q, m * orders.Q) + m + 3
+    most_d, most_ds = 2 if orders.d is None else orders.d, 1 if orders.D is None else orders.D
+    keep = max(orders.p + m * orders.P, orders.q + m * orders.Q) + most_d + m * most_ds + 1
     n = F.max("t").over(designed.whole())
     last = designed.df.withColumn("__n", n).where(F.col("t") > F.col("__n") - keep)
     row = F.struct("t", F.col(y).cast("double").alias("y"), "innov")

@@ -294,6 +294,21 @@ def m15c(t):
     return arima.forecast_arima(models, designed, "y", 4, orders).drop("sd")
 
 
+@query(
+    "M15_seasonal_walk",
+    with_ctes(LM, select=f"""SELECT a.l_returnflag, a.l_linestatus, CAST(a.t - a.n + 12 AS BIGINT) AS h,
+    {d("CAST(e.month AS DATE) + to_months(CAST(a.t - a.n + 12 AS INTEGER))")} AS month, {r('e.y + a.y - s.y')} AS mean
+    FROM lm a JOIN lm e ON a.l_returnflag = e.l_returnflag AND a.l_linestatus = e.l_linestatus AND e.t = e.n
+    JOIN lm s ON a.l_returnflag = s.l_returnflag AND a.l_linestatus = s.l_linestatus AND s.t = s.n - 12
+    WHERE a.t > a.n - 12"""),
+)
+def m15d(t):
+    """Twelve months of (0,1,0)(0,1,0): the last value moves as it did a year before."""
+    orders = arima.fixed_order((0, 1, 0), (0, 1, 0), constant=False)
+    models, designed = arima.fit_arima(monthly(t), "y", orders)
+    return arima.forecast_arima(models, designed, "y", 12, orders).drop("sd")
+
+
 @query("M15_arima_401")
 def m15b(t):
     """The fixed (4,0,1) model on the smoothed daily series."""

@@ -326,6 +326,34 @@ def test_differencing_takes_the_given_orders(spark):
     assert np.allclose(w, 32)
 
 
+def test_seasonal_polynomials_multiply(spark):
+    rng, m, n = np.random.default_rng(17), 12, 6000
+    e = rng.normal(0, 1, n)
+    ar, ma = np.zeros(n), np.zeros(n)
+    for t in range(n):
+        ar[t] = e[t] + (0.6 * ar[t - 1] if t else 0) + (0.5 * ar[t - m] if t >= m else 0) - (0.3 * ar[t - m - 1] if t > m else 0)
+        ma[t] = e[t] + (0.8 * e[t - m] if t >= m else 0)
+    p = panel_of(spark, {"a": ar.tolist()})
+    model = arima.fit_arima(p, "y", arima.fixed_order((1, 0, 0), (1, 0, 0), constant=True), m)[0].first()
+    assert model.coef[1] == pytest.approx(0.6, abs=0.05) and model.coef[2] == pytest.approx(0.5, abs=0.05)
+    assert model.coef[3] == pytest.approx(-model.coef[1] * model.coef[2]) and model.sigma2 == pytest.approx(1, abs=0.05)
+    q = panel_of(spark, {"a": ma.tolist()})
+    model = arima.fit_arima(q, "y", arima.fixed_order((0, 0, 0), (0, 0, 1), constant=True), m)[0].first()
+    # Two periods of long autoregression see most of a seasonal moving average.
+    assert model.coef[1] == pytest.approx(0.8, abs=0.1)
+
+
+def test_seasonal_random_walk_with_drift_has_a_closed_form(spark, noise):
+    y, m = np.cumsum(noise["a"][:80]), 4
+    orders = arima.fixed_order((0, 1, 0), (0, 1, 0), constant=False)
+    models, designed = arima.fit_arima(panel_of(spark, {"a": y.tolist()}), "y", orders, m)
+    got = [r["mean"] for r in arima.forecast_arima(models, designed, "y", 6, orders, m).orderBy("h").collect()]
+    level = y.tolist()
+    for _ in range(6):
+        level.append(level[-1] + level[-m] - level[-m - 1])
+    assert got == pytest.approx(level[80:])
+
+
 def test_horizons_follow_the_test_rows(spark, noise):
     p = panel_of(spark, {"a": noise["a"][:60], "b": noise["a"][:40]})
     s = splits.split_by_share(p, 0.3)
