@@ -42,7 +42,7 @@ from chronopanel.llm import spans
 from chronopanel.llm.shared import file_system, shared_path, stored
 
 #: Text bytes worked up together in one task.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Text bytes per segment on average; sets the number of segments from the input.
 SEGMENT_BYTES = 16 << 20
 PROBES = 7
@@ -284,6 +284,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     blob = "uid bigint, segment int, words string, counts binary, n int, doc_id array<" + kind + ">, train binary, n_tokens binary, score binary, bounds binary, code binary, tf binary"
     table = stored(rows.mapInArrow(work, blob), "lm-blocks")
+    if shared is not None:
+        # The blocks are stored, so no task reads the filter again.
+        shared.unpersist(blocking=True)
     known = stored(table.where("segment >= 0").select("uid", "segment", "words", "counts").groupBy("segment").applyInArrow(_word_counts, "uid bigint, segment int, counts binary, tokens bigint, words bigint"), "lm-counts")
     texts = table.where("segment < 0")
     n_tokens, n_distinct = known.agg(F.sum("tokens"), F.sum("words")).first()
