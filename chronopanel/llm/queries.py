@@ -117,6 +117,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+#: Chunks by boundaries between neighbouring lines, pairs of documents and shifts, runs of equal lines.
+OP2_SQL = """
+WITH l AS (
+  SELECT doc_id, i, line, md5(line) AS h, length(line) AS n, CAST('0x' || substr(md5(line), 1, 12) AS BIGINT) % 1000003 AS m
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL)
+),
+w AS (
+  SELECT *, lag(m) OVER o AS m1, coalesce(lag(m, 2) OVER o, 0) AS m2, coalesce(lead(m) OVER o, 0) AS m3, lag(n) OVER o AS n1
+  FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+),
+cuts AS (
+  SELECT *, n1 >= 200 OR n >= 200 AS long,
+    (m1 * 48271 + 1) % 1000003 % 4 <> 0 OR (m * 16807 + 1) % 1000003 % 4 <> 0 AS c1,
+    (m1 * 48271 + 2 + m2 * 69621) % 1000003 % 4 <> 0 OR (m * 16807 + 2 + m3 * 39373) % 1000003 % 4 <> 0 AS c2
+  FROM w
+),
+numbered AS (
+  SELECT doc_id, i, h, n, sum(CASE WHEN i > 0 AND (long OR c1) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k1,
+    sum(CASE WHEN i > 0 AND (long OR c2) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k2 FROM cuts
+),
+chunks AS (
+  SELECT doc_id, min(i) AS pos, list(h ORDER BY i) AS hs FROM numbered GROUP BY doc_id, k1 HAVING sum(n) > 0
+  UNION SELECT doc_id, min(i) AS pos, list(h ORDER BY i) AS hs FROM numbered GROUP BY doc_id, k2 HAVING sum(n) > 0
+),
+firsts AS (SELECT hs, min({'d': doc_id, 'p': pos}) AS f FROM chunks GROUP BY hs HAVING count(*) > 1),
+pairs AS (
+  SELECT DISTINCT doc_id, f.d AS from_id, pos - f.p AS shift FROM chunks JOIN firsts ON chunks.hs = firsts.hs
+  WHERE doc_id <> f.d OR pos <> f.p
+),
+same AS (
+  SELECT p.doc_id, p.from_id, p.shift, a.i, a.n, a.i - row_number() OVER (PARTITION BY p.doc_id, p.from_id, p.shift ORDER BY a.i) AS island
+  FROM pairs AS p JOIN l AS a ON a.doc_id = p.doc_id JOIN l AS b ON b.doc_id = p.from_id AND b.i = a.i - p.shift AND b.line = a.line
+),
+runs AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, from_id, shift, island) AS chars FROM same),
+gone AS (SELECT DISTINCT doc_id, i FROM runs WHERE chars >= 200),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS text
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+FROM documents AS d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
 #: All shingles against all items' shingles, without the search.
 OP4_SQL = r"""
 WITH iw AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
@@ -133,4 +177,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_bpe, op2_line_dedup, op3_toxicity, op4_decontamination, op5_langid, op6_lm_score, op7_quality, op8_simhash, op9_token_store, op10_repetition)
 }
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op10_repetition": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op10_repetition": OP10_SQL}
