@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.llm import spans
+from chronopanel.llm.sampling import mixed, bounded_sample
 
 BUCKETS = 4096
 GRAMS = (1, 2, 3)
@@ -132,10 +133,9 @@ def fit(sample: list[tuple[str, str]], rounds: int = 150, ridge: float = 1e-4) -
 
 def labelled_sample(docs: DataFrame, fold: Column, rows_per_language: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """At most `rows_per_language` training texts of each language, drawn by a hash of the id."""
-    rows = docs.where(fold).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes))
-    known = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    return [tuple(r) for lang in known for r in rows.where(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id", "text").limit(rows_per_language).select("text", "lang").collect()]
+    rows = docs.where(fold).where(F.col(text_col).rlike(r"\p{L}"))
+    known = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label")).where("label IS NOT NULL")
+    return mixed(bounded_sample(rows, known, rows_per_language, max_bytes, id_col, text_col))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", ambiguous_below: float = 0.05) -> DataFrame:

@@ -61,8 +61,8 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
-    """Learned outside the fold; at most 1500 labelled rows of up to 65536 bytes of either class."""
-    return quality.fit(labelled_sample(docs, labels, "quality", _remainder(5) != 0, 1500, 65_536))
+    """Learned outside the fold; at most 1500 labelled rows of up to 30000 bytes of either class."""
+    return quality.fit(labelled_sample(docs, labels, "quality", _remainder(5) != 0, 1500, 30_000))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
