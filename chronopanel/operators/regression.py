@@ -268,11 +268,12 @@ def predict_ols(
 
 
 def fourier_columns(t: str, m: float, k: int) -> dict[str, Column]:
-    """sin and cos pairs 1..k of a period ``m``."""
+    """sin and cos pairs 1..k of a period ``m``; at half the period the sine is zero everywhere and left out."""
     out = {}
     for j in range(1, k + 1):
         angle = F.col(t) * (2 * math.pi * j / m)
-        out[f"s{j}"] = F.sin(angle)
+        if 2 * j != m:
+            out[f"s{j}"] = F.sin(angle)
         out[f"c{j}"] = F.cos(angle)
     return out
 
@@ -286,7 +287,7 @@ def with_level(fit: Column) -> Column:
 
 
 def fourier_fits(panel: Panel, y: str, k_max: int, period: int | None = None) -> DataFrame:
-    """Trend plus 1..k_max harmonics per series: (key, k, n, rank, rss, tss, coef).
+    """Trend plus 1..k_max harmonics per series, k_max at most half the period: (key, k, n, rank, rss, tss, coef).
 
     One set of sums covers the largest model; the smaller ones are sub-blocks.
     """
@@ -299,7 +300,7 @@ def fourier_fits(panel: Panel, y: str, k_max: int, period: int | None = None) ->
     sums = df.groupBy(*panel.key).agg(
         F.count(F.lit(1)).alias("n"), centred_sums(cols).alias("g"), (F.var_pop(yc) * F.count(yc)).alias("tss")
     )
-    subsets = [range(1 + 2 * j) for j in range(1, k_max + 1)]
+    subsets = [range(1 + 2 * j - (2 * j >= m)) for j in range(1, k_max + 1)]
     fits = sums.withColumn("f", F.transform(subset_solver(len(cols) - 1, subsets)("g.gram"), with_level))
     out = fits.select(*panel.key, "n", "tss", F.posexplode("f").alias("k", "f"))
     return out.select(

@@ -219,7 +219,33 @@ def m11(t):
     )
 
 
-@query("M11_fourier_choice")
+def projected(src: str, key: str, y: str, xs: list[str]) -> list[str]:
+    """CTEs gs0..gsk: y and the columns centred, then one column after the other taken out of all that follow."""
+    def over(e: str) -> str:
+        return f"{e} OVER (PARTITION BY {key})"
+
+    out = ["gs0 AS MATERIALIZED (SELECT " + ", ".join([key, *[f"{c} - {over(f'avg({c})')} AS {c}" for c in [y, *xs]]]) + f" FROM {src})"]
+    for j, x in enumerate(xs):
+        rest = [f"{c} - {x} * {over(f'sum({c} * {x})')} / {over(f'sum({x} * {x})')} AS {c}" for c in [y, *xs[j + 1 :]]]
+        out.append(f"gs{j + 1} AS MATERIALIZED (SELECT {', '.join([key, *rest])} FROM gs{j})")
+    return out
+
+
+_WAVES = [c for j in range(1, 7) for c in ([f"s{j}", f"c{j}"] if j < 6 else ["c6"])]
+_WAVE_COLS = ", ".join(f"{'sin' if c[0] == 's' else 'cos'}(2 * pi() * {c[1:]} * t / 12) AS {c}" for c in _WAVES)
+
+
+@query(
+    "M11_fourier_choice",
+    with_ctes(
+        LM, f"w AS (SELECT {LMK}, CAST(y AS DOUBLE) AS y, CAST(t AS DOUBLE) AS t, {_WAVE_COLS} FROM lm)", *projected("w", LMK, "y", ["t", *_WAVES]),
+        "f AS (" + " UNION ALL ".join(f"SELECT {LMK}, {k}::BIGINT AS k, {2 + len([c for c in _WAVES if int(c[1:]) <= k])}::BIGINT AS rank, sum(y * y) AS rss FROM gs{1 + len([c for c in _WAVES if int(c[1:]) <= k])} GROUP BY {LMK}" for k in range(1, 7)) + ")",
+        f"q AS (SELECT f.*, n, tss, n * ln(rss / n) AS logs FROM f JOIN (SELECT {LMK}, count(*) AS n, sum(y * y) AS tss FROM gs0 GROUP BY {LMK}) USING ({LMK}))",
+        select=f"""SELECT {LMK}, k, n, rank, {r('1 - rss / tss')} AS r2, {r('1 - rss / tss * (n - 1) / (n - rank)')} AS adj_r2, {r('rss / (n - rank)')} AS sigma2,
+    {r('-(n * (ln(2 * pi()) + 1) + logs) / 2')} AS log_lik, {r('logs + 2 * (rank + 1)')} AS aic, {r('logs + 2 * (rank + 1) + 2.0 * (rank + 1) * (rank + 2) / (n - rank - 2)')} AS aicc,
+    {r('logs + (rank + 1) * ln(n)')} AS bic FROM q""",
+    ),
+)
 def m11b(t):
     """Six harmonic models per series, ranked by AICc."""
     fits = reg.glance(reg.fourier_fits(monthly(t), "y", 6), ["l_returnflag", "l_linestatus", "k"])
