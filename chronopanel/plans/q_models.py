@@ -194,7 +194,38 @@ def m10c(t):
     return fit.select(*p.key, "season", F.col("coef")[0].alias("covid"), "slope", "alpha")
 
 
-@query("M10_season_slopes_covariates")
+def projected(src: str, key: str, y: str, xs: list[str]) -> list[str]:
+    """CTEs gs0..gsk: y and the columns centred, then one column after the other taken out of all that follow."""
+    def over(e: str) -> str:
+        return f"{e} OVER (PARTITION BY {key})"
+
+    out = ["gs0 AS MATERIALIZED (SELECT " + ", ".join([key, *[f"{c} - {over(f'avg({c})')} AS {c}" for c in [y, *xs]]]) + f" FROM {src})"]
+    for j, x in enumerate(xs):
+        rest = [f"{c} - {x} * {over(f'sum({c} * {x})')} / {over(f'sum({x} * {x})')} AS {c}" for c in [y, *xs[j + 1 :]]]
+        out.append(f"gs{j + 1} AS MATERIALIZED (SELECT {', '.join([key, *rest])} FROM gs{j})")
+    return out
+
+
+def _season_free(c: str) -> str:
+    """A column without its season means and season slopes on t."""
+    p = "OVER (PARTITION BY o_orderpriority, season)"
+    return f"({c} - avg({c}) {p} - coalesce((t - avg(t) {p}) * covar_pop({c}, t) {p} / nullif(var_pop(t) {p}, 0), 0))"
+
+
+@query(
+    "M10_season_slopes_covariates",
+    with_ctes(
+        MODEL, MP_SEASON,
+        "z AS (SELECT o_orderpriority, " + ", ".join(f"{_season_free(c)} AS {n}" for c, n in (("CAST(yy AS DOUBLE)", "y"), ("home", "x1"), ("covid", "x2"), ("ice_present", "x3"))) + " FROM mps)",
+        *projected("z", "o_orderpriority", "y", ["x1", "x2", "x3"]),
+        "cells AS (SELECT o_orderpriority, sum(1 + CASE WHEN v > 0 THEN 1 ELSE 0 END) + 3 AS rank FROM (SELECT o_orderpriority, season, var_pop(t) AS v FROM mps GROUP BY 1, 2) GROUP BY 1)",
+        "f AS (SELECT o_orderpriority, sum(y * y) AS rss FROM gs3 GROUP BY 1)",
+        "q AS (SELECT f.*, rank, n, tss, n * ln(rss / n) AS logs FROM f JOIN cells USING (o_orderpriority) JOIN (SELECT o_orderpriority, count(*) AS n, var_pop(yy) * count(*) AS tss FROM mps GROUP BY 1) USING (o_orderpriority))",
+        select=f"""SELECT o_orderpriority, n, CAST(rank AS BIGINT) AS rank, {r('1 - rss / tss')} AS r2, {r('1 - rss / tss * (n - 1) / (n - rank)')} AS adj_r2, {r('rss / (n - rank)')} AS sigma2,
+    {r('-(n * (ln(2 * pi()) + 1) + logs) / 2')} AS log_lik, {r('logs + 2 * (rank + 1)')} AS aic, {r('logs + 2 * (rank + 1) + 2.0 * (rank + 1) * (rank + 2) / (n - rank - 2)')} AS aicc,
+    {r('logs + (rank + 1) * ln(n)')} AS bic FROM q""",
+    ),
+)
 def m10b(t):
     """The interaction model with covariates."""
     p = model_panel(t).with_position("t").with_season("season")
@@ -219,18 +250,6 @@ def m11(t):
     )
 
 
-def projected(src: str, key: str, y: str, xs: list[str]) -> list[str]:
-    """CTEs gs0..gsk: y and the columns centred, then one column after the other taken out of all that follow."""
-    def over(e: str) -> str:
-        return f"{e} OVER (PARTITION BY {key})"
-
-    out = ["gs0 AS MATERIALIZED (SELECT " + ", ".join([key, *[f"{c} - {over(f'avg({c})')} AS {c}" for c in [y, *xs]]]) + f" FROM {src})"]
-    for j, x in enumerate(xs):
-        rest = [f"{c} - {x} * {over(f'sum({c} * {x})')} / {over(f'sum({x} * {x})')} AS {c}" for c in [y, *xs[j + 1 :]]]
-        out.append(f"gs{j + 1} AS MATERIALIZED (SELECT {', '.join([key, *rest])} FROM gs{j})")
-    return out
-
-
 _WAVES = [c for j in range(1, 7) for c in ([f"s{j}", f"c{j}"] if j < 6 else ["c6"])]
 _WAVE_COLS = ", ".join(f"{'sin' if c[0] == 's' else 'cos'}(2 * pi() * {c[1:]} * t / 12) AS {c}" for c in _WAVES)
 
