@@ -12,6 +12,7 @@ from chronopanel.plans.inputs import LM, MODEL, OD, OW, PM, daily, model_panel,
 from chronopanel.plans.q_features import acf_ctes, acf_long
 from chronopanel.plans.q_models import MP_SEASON, base_ctes, base_forecast, cramer, demeaned
 from chronopanel.plans.q_windows import LMK, classical_sql, frame
+from chronopanel.plans.projection import projected
 from chronopanel.plans.registry import d, query, r, with_ctes
 
 K = "o_orderpriority"
@@ -388,7 +389,33 @@ def ev13(t):
     return features.portmanteau(p, "resid", 1).select("p", K, "model", "lb_stat")
 
 
-@query("EV13_residual_tests_all")
+def _chi1_tail(q: str) -> str:
+    """P(X > q) with one degree of freedom; below the sixth digit from 30 on."""
+    return f"CASE WHEN {q} > 30 THEN 0 ELSE 2 * (1 - {PHI.replace('z', f'sqrt({q})')}) END"
+
+
+_PK = f"p, {K}"
+_SEASON_MEAN = f"OVER (PARTITION BY {_PK}, season)"
+_FREE = ", ".join(f"{c} - avg({c}) {_SEASON_MEAN} AS {n}" for c, n in [("yy", "y"), ("t", "x0"), *[(f, f"x{i + 1}") for i, f in enumerate(battery.FLAGS)]])
+_RESIDUALS = {"naive": "a1", "drift": "a1", "snaive": "a2", "tslm_base": "a3", "tslm_vars": "a4"}
+
+
+@query(
+    "EV13_residual_tests_all",
+    with_ctes(
+        MODEL, MP_SEASON,
+        "ps AS (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3]::DOUBLE[]) AS p)",
+        "sw AS (SELECT * FROM mps, ps WHERE t <= CAST(floor((1 - p) * n) AS BIGINT))",
+        f"rs AS (SELECT {_PK}, week, yy - lag(yy) OVER w AS naive, yy - lag(yy, 52) OVER w AS snaive FROM sw WINDOW w AS (PARTITION BY {_PK} ORDER BY week))",
+        f"z AS (SELECT {_PK}, week, {_FREE} FROM sw)",
+        *projected("z", _PK, "y", ["x0"], "week", "gb"), *projected("z", _PK, "y", ["x0", "x1", "x2", "x3", "x4"], "week", "gv"),
+        *acf_ctes("(SELECT * FROM rs WHERE naive IS NOT NULL)", _PK, "week", "naive", [1], "a1"),
+        *acf_ctes("(SELECT * FROM rs WHERE snaive IS NOT NULL)", _PK, "week", "snaive", [1], "a2"),
+        *acf_ctes("gb1", _PK, "week", "y", [1], "a3"), *acf_ctes("gv5", _PK, "week", "y", [1], "a4"),
+        "q AS (" + " UNION ALL ".join(f"SELECT {_PK}, '{m}' AS model, n, n * (n + 2) * r1 * r1 / (n - 1) AS lb, n * r1 * r1 AS bp FROM {a}" for m, a in _RESIDUALS.items()) + ")",
+        select=f"SELECT {_PK}, model, n, {r('lb')} AS lb_stat, {r('bp')} AS bp_stat, {r(_chi1_tail('lb'))} AS lb_pvalue, {r(_chi1_tail('bp'))} AS bp_pvalue FROM q",
+    ),
+)
 def ev13b(t):
     """The same with tail probabilities, for regression and benchmark residuals."""
     s = battery.prepared(model_panel(t)).written("splits")

@@ -12,6 +12,7 @@ from chronopanel.panel import Panel, future_rows
 from chronopanel.plans.inputs import LM, MODEL, OD, OW, PM, daily, model_panel, monthly, parts_monthly, weekly
 from chronopanel.plans.q_windows import LMK
 from chronopanel.sources.noise import draw_sql
+from chronopanel.plans.projection import projected
 from chronopanel.plans.registry import d, query, r, with_ctes
 
 H = 60
@@ -194,18 +195,6 @@ def m10c(t):
     return fit.select(*p.key, "season", F.col("coef")[0].alias("covid"), "slope", "alpha")
 
 
-def projected(src: str, key: str, y: str, xs: list[str]) -> list[str]:
-    """CTEs gs0..gsk: y and the columns centred, then one column after the other taken out of all that follow."""
-    def over(e: str) -> str:
-        return f"{e} OVER (PARTITION BY {key})"
-
-    out = ["gs0 AS MATERIALIZED (SELECT " + ", ".join([key, *[f"{c} - {over(f'avg({c})')} AS {c}" for c in [y, *xs]]]) + f" FROM {src})"]
-    for j, x in enumerate(xs):
-        rest = [f"{c} - {x} * {over(f'sum({c} * {x})')} / {over(f'sum({x} * {x})')} AS {c}" for c in [y, *xs[j + 1 :]]]
-        out.append(f"gs{j + 1} AS MATERIALIZED (SELECT {', '.join([key, *rest])} FROM gs{j})")
-    return out
-
-
 def _season_free(c: str) -> str:
     """A column without its season means and season slopes on t."""
     p = "OVER (PARTITION BY o_orderpriority, season)"
