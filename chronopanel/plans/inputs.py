@@ -150,7 +150,7 @@ def calendar_days(t: Tables) -> DataFrame:
     )
     days = holiday_calendar(span, "first", "last")
     autumn_saturday = (F.weekday("date") == 5) & F.month("date").between(9, 11)
-    closed = F.col("date").between(F.lit("1998-03-22").cast("date"), F.lit("1999-06-30").cast("date"))
+    closed = F.col("date").between(F.lit("1998-05-04").cast("date"), F.lit("1999-06-30").cast("date"))
     return days.withColumns({"home": autumn_saturday.cast("int"), "covid": closed.cast("int")})
 
 
@@ -182,7 +182,7 @@ cal AS (SELECT date, CAST(CASE
     WHEN month(date) = 11 AND isodow(date) = 4 AND day(date) BETWEEN 22 AND 28 THEN 1
     WHEN date = sunday - 47 OR date = sunday - 2 THEN 1 ELSE 0 END AS BIGINT) AS holiday,
   CAST(CASE WHEN isodow(date) = 6 AND month(date) BETWEEN 9 AND 11 THEN 1 ELSE 0 END AS BIGINT) AS home,
-  CAST(CASE WHEN date BETWEEN DATE '1998-03-22' AND DATE '1999-06-30' THEN 1 ELSE 0 END AS BIGINT) AS covid
+  CAST(CASE WHEN date BETWEEN DATE '1998-05-04' AND DATE '1999-06-30' THEN 1 ELSE 0 END AS BIGINT) AS covid
   FROM dd JOIN easter ON year(date) = yr)"""
 
 COV = """

@@ -193,19 +193,17 @@ def w12b(t):
     return quantiles.log_excess(quantiles.winsorise(weekly(t), "y", 0.05))
 
 
-EVENTS = {
-    0: "Lockdown", 74: "Phase 2 Reopening", 111: "Mask Mandate", 151: "Schools Open", 177: "Phase 3 Reopening",
-    248: "Modified Phase 2", 288: "Vaccinations Started", 346: "Phase 3",
-}
+EVENTS_FROM = "1996-02-29"
+EVENTS = {0: "pilot", 45: "launch", 130: "spring offer", 365: "first anniversary", 500: "new depot", 900: "second launch"}
 _LABEL_SQL = "CASE " + " ".join(
-    f"WHEN day >= DATE '1998-03-22' + {k} THEN '{v}'" for k, v in sorted(EVENTS.items(), reverse=True)
+    f"WHEN day >= DATE '{EVENTS_FROM}' + {k} THEN '{v}'" for k, v in sorted(EVENTS.items(), reverse=True)
 ) + " END"
 
 
 @query("W13_event_labels", with_ctes(OD, select=f"SELECT o_orderstatus, {d('day')} AS day, y, {_LABEL_SQL} AS phase FROM od"))
 def w13(t):
-    """Daily panel with the policy phase in force, from one base date and offsets."""
-    return windows.label_events(daily(t).df, "day", dt.date(1998, 3, 22), EVENTS, "phase")
+    """Daily panel with the phase in force, from one base date and offsets."""
+    return windows.label_events(daily(t).df, "day", dt.date.fromisoformat(EVENTS_FROM), EVENTS, "phase")
 
 
 def classical_sql(cte: str, key: str, idx: str, m: int, kind: str, table: str) -> list[str]:
