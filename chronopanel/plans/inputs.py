@@ -144,9 +144,9 @@ cls AS (SELECT o_orderpriority, CAST(date_trunc('week', o_orderdate) AS DATE) AS
 
 
 def calendar_days(t: Tables) -> DataFrame:
-    """One row per day of the order span: holiday, home game and policy flags."""
+    """One row per day of the order span and four weeks beyond: holiday, home game and policy flags."""
     span = t("orders").agg(
-        F.min("o_orderdate").cast("date").alias("first"), F.max("o_orderdate").cast("date").alias("last")
+        F.min("o_orderdate").cast("date").alias("first"), F.date_add(F.max("o_orderdate").cast("date"), 28).alias("last")
     )
     days = holiday_calendar(span, "first", "last")
     autumn_saturday = (F.weekday("date") == 5) & F.month("date").between(9, 11)
@@ -166,7 +166,7 @@ def weekly_covariates(t: Tables) -> list[DataFrame]:
 
 
 CAL = """
-span AS (SELECT CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last FROM orders),
+span AS (SELECT CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) + 28 AS last FROM orders),
 dd AS (SELECT CAST(unnest(generate_series(CAST(first AS TIMESTAMP), CAST(last AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM span),
 yy AS (SELECT DISTINCT year(date) AS yr FROM dd),
 e1 AS (SELECT yr, yr % 19 AS a, yr // 100 AS b, yr % 100 AS c FROM yy),

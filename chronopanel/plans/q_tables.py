@@ -30,28 +30,26 @@ def j1(t):
 
 @query(
     "J2_full_outer_merge",
-    with_ctes(CLASSES, CAL, "late AS (SELECT * FROM cls WHERE week >= DATE '1997-01-01')", COV,
+    with_ctes(CLASSES, CAL, COV,
               select=f"""SELECT coalesce(o_orderpriority, '0') AS o_orderpriority, {d('coalesce(l.week, c.week)')} AS week, coalesce(y, 0) AS y,
     coalesce(home, 0) AS home, CASE WHEN covid = 1 THEN 1 ELSE 0 END::BIGINT AS covid, coalesce(holiday, 0) AS holiday
-    FROM late l FULL OUTER JOIN cov c ON l.week = c.week"""),
+    FROM cls l FULL OUTER JOIN cov c ON l.week = c.week"""),
 )
 def j2(t):
-    """Full outer merge: weeks only the covariates have become the phantom series '0'."""
-    late = weekly_classes(t).df.where(F.col("week") >= F.lit("1997-01-01").cast("date"))
-    late = late.select("o_orderpriority", "week", "y")
-    return joins.outer_merge(late, weekly_covariates(t), "week", "o_orderpriority")
+    """Full outer merge: the weeks after the last order, which only the covariates have, become the phantom series '0'."""
+    facts = weekly_classes(t).df.select("o_orderpriority", "week", "y")
+    return joins.outer_merge(facts, weekly_covariates(t), "week", "o_orderpriority")
 
 
 @query(
     "J2_without_phantom",
-    with_ctes(CLASSES, CAL, "late AS (SELECT * FROM cls WHERE week >= DATE '1997-01-01')", COV,
+    with_ctes(CLASSES, CAL, COV,
               select=f"""SELECT o_orderpriority, {d('week')} AS week, y, coalesce(home, 0) AS home,
-    coalesce(covid, 0) AS covid, coalesce(holiday, 0) AS holiday FROM late LEFT JOIN cov USING (week)"""),
+    coalesce(covid, 0) AS covid, coalesce(holiday, 0) AS holiday FROM cls LEFT JOIN cov USING (week)"""),
 )
 def j2b(t):
-    late = weekly_classes(t).df.where(F.col("week") >= F.lit("1997-01-01").cast("date"))
-    late = late.select("o_orderpriority", "week", "y")
-    return joins.outer_merge(late, weekly_covariates(t), "week", "o_orderpriority", drop_phantom=True)
+    facts = weekly_classes(t).df.select("o_orderpriority", "week", "y")
+    return joins.outer_merge(facts, weekly_covariates(t), "week", "o_orderpriority", drop_phantom=True)
 
 
 YEARLY = """
