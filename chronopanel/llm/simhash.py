@@ -44,8 +44,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_values(texts: pa.Array, shingle: int, seed: int) -> np.ndarray:
-    """The fingerprint of every text of a chunk, as unsigned numbers."""
+def shingle_values(texts: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all shingles of a chunk's texts, and the n + 1 positions between texts."""
     raw, offsets = spans.text_buffer(texts)
     raw = spans.lowered(raw)
     starts, ends, first = spans.word_spans(raw, offsets)
@@ -61,8 +61,12 @@ def fingerprint_values(texts: pa.Array, shingle: int, seed: int) -> np.ndarray:
     tail = np.minimum(lead + shingle - 1, np.repeat(first[1:], count) - 1)
     view, digest = memoryview(joined.tobytes()), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(view[a:b], seed) for a, b in zip(begin[lead].tolist(), stop[tail].tolist())), "<u8", len(lead))
-    out = np.zeros((len(words), 8), np.uint8)
-    bounds = np.concatenate([[0], np.cumsum(count)])
+    return hashes, np.concatenate([[0], np.cumsum(count)])
+
+
+def majority_bits(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The bits set in over half of each text's hashes, as unsigned numbers."""
+    out = np.zeros((len(bounds) - 1, 8), np.uint8)
     octets = hashes.view(np.uint8).reshape(-1, 8)
     for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         if b > a:
@@ -71,6 +75,11 @@ def fingerprint_values(texts: pa.Array, shingle: int, seed: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def fingerprint_values(texts: pa.Array, shingle: int, seed: int) -> np.ndarray:
+    """The fingerprint of every text of a chunk, as unsigned numbers."""
+    return majority_bits(*shingle_values(texts, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, bits): the fingerprint of every text as a signed 64-bit number.
 

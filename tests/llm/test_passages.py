@@ -184,3 +184,41 @@ def test_fingerprints_follow_the_builtin_hash(spark):
     row = spark.createDataFrame([("One two  three",)], "text string").select(F.xxhash64(F.lit("one two three")).alias("h"), "text")
     bits = simhash.fingerprints(row.withColumn("doc_id", F.lit(1))).first().bits
     assert bits == row.first().h
+
+
+def edited(rng, text, share):
+    return " ".join(line(rng, 1) if rng.random() < share else w for w in text.split())
+
+
+def jaccard_groups(texts):
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+
+    pairs = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                pairs += a != sets[j]
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(texts))], pairs
+
+
+def test_near_copies_of_the_pipeline_equal_brute_force_jaccard(spark):
+    """Long and short texts with changed words, one large group, shared passages, empty texts."""
+    rng = random.Random(21)
+    texts = ["", " ", "a b", "A  b", "a b c"]
+    for n in (6, 9, 14, 30, 80, 300):
+        for _ in range(8):
+            base = line(rng, n)
+            texts += [base, *(edited(rng, base, share) for share in (0.0, 0.01, 0.02, 0.03, 0.05)), base + " " + line(rng, max(1, n // 6))]
+    hot = line(rng, 200)
+    texts += [edited(rng, hot, 0.015) for _ in range(120)] + [hot + " " + line(rng, 300) for _ in range(10)]
+    rng.shuffle(texts)
+    groups, pairs = jaccard_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == sorted(set(groups)) and pairs > 1000
