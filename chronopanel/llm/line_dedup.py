@@ -1,24 +1,25 @@
-"""Line dedup: content-defined chunks of lines find passages that stand elsewhere too.
+"""Line dedup: content-defined windows of lines find passages that stand elsewhere too.
 
 DataFrame functions only.
 
-1. Every line gets a hash.  Rolling hashes over one and over two line hashes,
-   looking back and looking ahead, choose chunk boundaries; a boundary depends on
-   the lines beside it alone, so shifted copies are cut alike.  Long lines are
-   chunks of their own.
-2. Chunks are grouped by their line hashes.  Each chunk that is not the first of
-   its group names a pair of documents and a shift; one row a pair and shift.
-3. On such a diagonal all runs of equal lines are read off, which adds the lines at
-   a passage's ends that share a chunk with other text.  Runs of `min_chars`
-   characters or more are repeated passages.
+1. Every line gets a hash.  Lines whose hash stands once in the corpus end a run of
+   recurring lines; runs below `min_chars` characters hold no repeated passage.
+2. In the other runs every line starts a window, the fewest lines from it on that
+   have `min_chars` characters, and ends one, the fewest up to it.  A window
+   depends on its own lines alone, so every copy of a passage has the same ones, and
+   each line of a run of equal lines of `min_chars` or more is in a window inside
+   the run: no repeated passage is missed, wherever its lines stand otherwise.
+3. Windows are grouped by their line hashes.  The lines of each window that is not
+   the first of its group are repeated.
 4. The bytes of all lines with a hash to be removed are compared; a hash that
    stands for two different lines removes nothing.
 5. The lines go, and the earliest copy of every passage stays: by id, then by
    line number.  A line is only removed for an equal line before it in that order.
 
 Joins between hashes are on stored tables, so adaptive execution splits a hot
-hash; groups are combined before the shuffle; no group is gathered.  Per
-document there is one row of line hashes, 32 bytes a line.
+hash; groups are combined before the shuffle; no group is gathered.  Windows hold
+16 bytes a line, and a line is in as many as min_chars characters have lines;
+recurring lines without characters lengthen them.
 
 Defined results: null text stays null; an empty text stays empty; a text whose
 lines all go becomes empty, its row stays; rows equal in id and text get equal
@@ -28,16 +29,13 @@ columns pass through unread.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.llm.shared import bound, broadcast_within, stored
 
-#: Modulus and multipliers of the rolling hashes.
-MODULUS = 1_000_003
-BACK, AHEAD = (48_271, 69_621), (16_807, 39_373)
-#: Of this many values of a rolling hash, all but one make a boundary.
-SPREAD = 4
+#: A character counts so much and a line one, so that lines without characters keep their order.
+STEP = 1 << 30
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -48,64 +46,55 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _hits(of: Column) -> Column:
-    return of % MODULUS % SPREAD != 0
+def _recurring(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(id, key, i, h, n, run, before) of the lines in runs of lines that all stand somewhere else too.
 
-
-def _chunks(window: int, long_line: int) -> Column:
-    """Chunks (pos, lines) of arrays h (hashes), m (their residues), n (lengths)."""
-    h, m, n = F.col("h"), F.col("m"), F.col("n")
-    zero = F.lit(0).cast("long")
-
-    def residue(i: Column) -> Column:
-        return F.coalesce(F.when(i >= 0, F.get(m, i)), zero)
-
-    def rolled(i: Column, step: int, by: tuple[int, int]) -> Column:
-        value = residue(i) * by[0] + window
-        return value if window == 1 else value + residue(i + step) * by[1]
-
-    def boundary(i: Column) -> Column:
-        """Between line i - 1 and line i (from 0)."""
-        return _hits(rolled(i - 1, -1, BACK)) | _hits(rolled(i, 1, AHEAD)) | (F.get(n, i - 1) >= long_line) | (F.get(n, i) >= long_line)
-
-    size = F.size(h)
-    cuts = F.filter(F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>")), boundary)
-    starts, stops = F.concat(F.array(F.lit(0)), cuts), F.concat(cuts, F.array(size))
-    return F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda c: F.struct(c["a"].alias("pos"), F.slice(h, c["a"] + 1, c["b"] - c["a"]).alias("lines"), F.aggregate(F.slice(n, c["a"] + 1, c["b"] - c["a"]), F.lit(0), lambda s, x: s + x).alias("chars")))
-
-
-def _tables(docs: DataFrame, id_col: str, text_col: str, long_line: int) -> tuple[DataFrame, DataFrame]:
-    """Line hashes of each document, and all its chunks."""
+    `before` grows by the step of every line and tells the characters before it in its run.
+    """
     lines = _lines(F.col("text"))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _key(id_col, text_col).alias("key"))
-    hashed = rows.select("id", "key", F.transform(lines, F.md5).alias("h"), F.transform(lines, F.length).alias("n"))
+    hashed = rows.select("id", "key", F.transform(lines, lambda x: F.struct(F.unhex(F.md5(x)).alias("h"), F.length(x).alias("n"))).alias("l"))
     base = stored(hashed.dropDuplicates(["key"]), "lines-base")
-    cut = base.withColumn("m", F.transform("h", lambda x: F.conv(F.substring(x, 1, 12), 16, 10).cast("long") % MODULUS))
-    pieces = cut.select("id", "key", F.explode(F.array_distinct(F.concat(_chunks(1, long_line), _chunks(2, long_line)))).alias("c"))
-    return base, stored(pieces.where("c.chars > 0").select("id", "key", "c.pos", "c.lines"), "lines-chunks")
+    each = base.select("id", "key", F.posexplode("l").alias("i", "l")).select("id", "key", "i", "l.h", "l.n")
+    twice = broadcast_within(stored(each.groupBy("h").count().where("count > 1").select("h"), "lines-twice"))
+    found = stored(each.join(twice, "h", "left_semi"), "lines-found")
+    in_doc = Window.partitionBy("key").orderBy("i")
+    found = found.withColumn("run", F.col("i") - F.row_number().over(in_doc))
+    in_run = Window.partitionBy("key", "run")
+    found = found.withColumn("all", F.sum(F.col("n").cast("long")).over(in_run)).where(F.col("all") >= min_chars).drop("all")
+    step = F.col("n").cast("long") * STEP + 1
+    return stored(found.withColumn("before", F.sum(step).over(in_run.orderBy("i")) - step), "lines-runs")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 200) -> DataFrame:
     """(key, line): the lines, from 0, that stand in a repeated passage and are not its first copy."""
-    base, chunks = _tables(docs, id_col, text_col, min_chars)
-    firsts = chunks.groupBy("lines").agg(F.min(F.struct("id", "key", "pos")).alias("f"), F.count(F.lit(1)).alias("copies"))
-    firsts = stored(firsts.where("copies > 1").select("lines", F.col("f.key").alias("from_key"), F.col("f.pos").alias("from_pos")), "lines-firsts")
-    pairs = chunks.join(firsts, "lines").where((F.col("key") != F.col("from_key")) | (F.col("pos") != F.col("from_pos")))
-    pairs = stored(pairs.select("key", "from_key", (F.col("pos") - F.col("from_pos")).alias("shift")).distinct(), "lines-pairs")
-    both = stored(pairs.join(base.select("key", "h", "n"), "key"), "lines-left").join(base.select(F.col("key").alias("from_key"), F.col("h").alias("g")), "from_key")
-    index = F.sequence(F.lit(0), F.size("h") - 1)
-    same = F.transform(index, lambda i: F.coalesce(F.when(i >= F.col("shift"), F.get("h", i) == F.get("g", i - F.col("shift"))), F.lit(False)))
-    both = both.select("key", "h", "n", same.alias("same"), index.alias("index"))
-
-    def at(i: Column) -> Column:
-        return F.coalesce(F.when(i >= 0, F.get("same", i)), F.lit(False))
-
-    starts = F.filter("index", lambda i: at(i) & ~at(i - 1))
-    ends = F.filter("index", lambda i: at(i) & ~at(i + 1))
-    runs = both.select("key", "h", "n", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("r")).select("key", "h", "n", "r.a", "r.b")
-    chars = F.aggregate(F.slice("n", F.col("a") + 1, F.col("b") - F.col("a") + 1), F.lit(0), lambda s, x: s + x)
-    gone = runs.where(chars >= min_chars).select("key", F.explode(F.transform(F.sequence("a", "b"), lambda i: F.struct(i.alias("line"), F.get("h", i).alias("hash")))).alias("x")).select("key", "x.line", "x.hash")
-    gone = stored(gone.distinct(), "lines-gone")
+    lines = _recurring(docs, id_col, text_col, min_chars)
+    in_run = Window.partitionBy("key", "run")
+    total = F.sum(F.col("n").cast("long")).over
+    reach = min_chars * STEP - 1
+    # From line i on, the lines before which fewer than min_chars characters stand; and the same backwards.
+    forward = in_run.orderBy("before").rangeBetween(0, reach)
+    after = F.col("before") + F.col("n").cast("long") * STEP + 1
+    backward = in_run.orderBy("after").rangeBetween(-reach, 0)
+
+    def windows(frame: Window, first: Column, last: Column) -> DataFrame:
+        own = lines.withColumn("after", after).withColumn("hs", F.collect_list("h").over(frame)).withColumn("chars", total(frame))
+        own = own.where(F.col("chars") >= min_chars)
+        return own.select("id", "key", first.cast("int").alias("a"), last.cast("int").alias("b"), F.md5(F.array_join(F.transform("hs", F.hex), "")).alias("w"))
+
+    size = F.size("hs") - 1
+    found = windows(forward, F.col("i"), F.col("i") + size).union(windows(backward, F.col("i") - size, F.col("i")))
+    found = stored(found, "lines-windows")
+    firsts = found.groupBy("w").agg(F.min(F.struct("id", "key", "a")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    firsts = stored(firsts.where("copies > 1").select("w", F.col("f.key").alias("from_key"), F.col("f.a").alias("from_a")), "lines-firsts")
+    later = found.join(firsts, "w").where((F.col("key") != F.col("from_key")) | (F.col("a") != F.col("from_a"))).select("key", "a", "b")
+    # Windows that overlap or touch make one span.
+    in_doc = Window.partitionBy("key").orderBy("a", "b")
+    later = later.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True)))
+    later = later.withColumn("span", F.sum(F.col("new").cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = later.groupBy("key", "span").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    gone = spans.select("key", F.explode(F.sequence("a", "b")).alias("line"))
+    gone = stored(gone.join(lines.select("key", F.col("i").alias("line"), F.lower(F.hex("h")).alias("hash")), ["key", "line"]), "lines-gone")
     return gone.join(_ambiguous(docs, text_col, gone), "hash", "left_anti").select("key", "line")
 
 

@@ -222,3 +222,40 @@ def test_near_copies_of_the_pipeline_equal_brute_force_jaccard(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert got == sorted(set(groups)) and pairs > 1000
+
+
+def brute_repeats(docs, least=200):
+    """Lines of every run of equal lines of `least` characters or more whose other copy stands earlier."""
+    texts, gone = [(i, t.split("\n")) for i, t in sorted(docs)], set()
+    for y, (i, own) in enumerate(texts):
+        for x, (_, other) in enumerate(texts[: y + 1]):
+            for shift in range(1 if x == y else 1 - len(other), len(own)):
+                run = []
+                for k in range(max(shift, 0), len(own) + 1):
+                    if k < len(own) and 0 <= k - shift < len(other) and own[k] == other[k - shift]:
+                        run.append(k)
+                        continue
+                    if sum(len(own[r]) for r in run) >= least:
+                        gone |= {(i, r) for r in run}
+                    run = []
+    return gone
+
+
+def test_line_dedup_equals_brute_force_over_all_runs(spark):
+    """Also passages whose lines all stand earlier in other documents, one by one or in parts."""
+    rng = random.Random(22)
+    docs = []
+    for _ in range(12):
+        a, b, c, d = (line(rng, 11) for _ in range(4))
+        docs += ["\n".join([a, b]), "\n".join([c, d]), "\n".join([a, b, c, d]), "\n".join([line(rng, 4), a, b, c, d, line(rng, 5)])]
+    pool = [line(rng, rng.choice([0, 1, 2, 9, 15, 40])) for _ in range(14)] + [""]
+    docs += ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(60)]
+    rng.shuffle(docs)
+    rows = list(enumerate(docs))
+    out = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    gone = brute_repeats(rows)
+    for i, t in rows:
+        lines = t.split("\n")
+        assert out[i].text == "\n".join(x for k, x in enumerate(lines) if (i, k) not in gone)
+        assert out[i].n_removed == sum((i, k) in gone for k in range(len(lines)))
+    assert len(gone) > 100
