@@ -117,3 +117,13 @@ def test_sample_of_labelled_rows(spark):
     sample = labelled_sample(docs, labels, "quality", F.col("doc_id") < 40, 4, 30)
     assert sorted(v for _, v in sample) == [0] * 4 + [1] * 4 and all(len(t) <= 30 and (len(t) % 2 == v or not t) for t, v in sample)
     assert sample == labelled_sample(docs.repartition(3), labels, "quality", F.col("doc_id") < 40, 4, 30)
+
+
+def test_quality_sample_takes_texts_of_up_to_65536_bytes(spark, monkeypatch):
+    from chronopanel.llm import queries
+
+    monkeypatch.setattr(queries.quality, "fit", lambda sample: sample)
+    docs = spark.createDataFrame([(i, chr(97 + i) * (65_536 + i // 10)) for i in range(20)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    sample = queries.quality_model(docs, labels)
+    assert sample and {len(t) for t, _ in sample} == {65_536}
