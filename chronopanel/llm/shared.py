@@ -27,7 +27,17 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote; only once everything made from them is stored itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_within(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -35,6 +45,11 @@ def broadcast_within(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFram
     return F.broadcast(table) if table.count() * ROW_BYTES <= limit else table
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits that tell rows apart by id and text."""
+    return F.md5(F.concat_ws("\x1f", F.xxhash64(id_col, text_col).cast("string"), F.xxhash64(text_col, id_col).cast("string")))
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), the value computed once a row: inside a lambda a plain expression would be computed for every element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

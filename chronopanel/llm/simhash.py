@@ -17,6 +17,7 @@ times, so a shard never exceeds 2**15 fingerprints at radius 2.
 Defined results: null and empty texts have fingerprint zero and link like any
 other; exact copies share a fingerprint; repeated rows stay; a null id takes its
 component's smallest id, null if there is none; other columns are not read.
+`one_of_each` keeps one row of every component, whatever its ids.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.llm import spans
 from chronopanel.llm.components import connected, forest
-from chronopanel.llm.shared import stored
+from chronopanel.llm.shared import broadcast_within, freed, stored
 
 BITS = 64
 #: Shards with more fingerprints are dealt again.
@@ -80,21 +81,22 @@ def fingerprint_values(texts: pa.Array, shingle: int, seed: int) -> np.ndarray:
     return majority_bits(*shingle_values(texts, shingle, seed))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, bits): the fingerprint of every text as a signed 64-bit number.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, *more: str) -> DataFrame:
+    """(doc_id, bits): the fingerprint of every text as a signed 64-bit number; the columns `more` are carried along.
 
     Words of `[^\\x20\\x09-\\x0D]+` in lower-cased A-Z; a bit is 1 if it is set in over half of the shingles' XXH64.
     """
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c] for c in more])
+    kinds = dict(rows.dtypes)
+    names = ["doc_id", "bits", *more]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in spans.chunks(batch, "text"):
                 bits = fingerprint_values(part.column(1), shingle, seed)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits.view("<i8"))], ["doc_id", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits.view("<i8")), *part.columns[2:]], names)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, bits bigint")
+    return rows.mapInArrow(run, ", ".join(["doc_id " + kinds["doc_id"], "bits bigint", *[f"`{c}` {kinds[c]}" for c in more]]))
 
 
 class BKTree:
@@ -218,13 +220,51 @@ def links(distinct: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) ->
     return dealt.select("mask", "value", "bits").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row; component_id is the smallest id reachable over links."""
-    prints = stored(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-prints")
+def _named(prints: DataFrame, radius: int) -> DataFrame:
+    """(bits, node, component_id) of every distinct fingerprint: a fingerprint that stands for its component, and the component's smallest id."""
     classes = stored(prints.groupBy("bits").agg(F.min("doc_id").alias("first")), "simhash-classes")
     nodes = connected(links(classes, radius), "simhash-links")
     nodes = stored(nodes.join(classes.withColumnRenamed("bits", "node"), "node"), "simhash-nodes")
-    smallest = stored(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-roots")
-    linked = nodes.join(smallest, "root").select(F.col("node").alias("bits"), "component_id")
-    named = stored(classes.join(linked, "bits", "left").select("bits", F.coalesce("component_id", "first").alias("component_id")), "simhash-named")
+    smallest = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = stored(smallest, "simhash-roots")
+    linked = nodes.join(smallest, "root").select(F.col("node").alias("bits"), F.col("root").alias("linked"), "component_id")
+    out = classes.join(linked, "bits", "left").select("bits", F.coalesce("linked", "bits").alias("node"), F.coalesce("component_id", "first").alias("component_id"))
+    out = stored(out, "simhash-named")
+    freed(classes, nodes, smallest)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row; component_id is the smallest id reachable over links."""
+    prints = stored(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-prints")
+    named = _named(prints, radius).drop("node")
     return prints.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+    """One row of every component, with all its columns: the one of the smallest id, null ids last.
+
+    Rows are told apart by id and text, so another text under the same id is judged
+    for itself.  Only rows equal in both are compared in their other columns, to
+    keep one of them.
+    """
+    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    prints = stored(fingerprints(docs.withColumn("__h", own), id_col, text_col, shingle, seed, "__h"), "simhash-prints")
+    named = _named(prints, radius)
+    each = prints.join(named.select("bits", "node"), "bits")
+    best = each.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h")).alias("k"))
+    best = stored(best.select(F.col("k.doc_id").alias("__id"), F.col("k.__h").alias("__kept")), "simhash-best")
+    rows = prints.groupBy("doc_id", "__h").count()
+    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kept")), "left")
+    kept = stored(kept.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__text"), F.col("__kept").isNotNull().alias("__stays"), "count"), "simhash-kept")
+    freed(prints, named, best)
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (own == F.col("__text"))
+    gone = broadcast_within(kept.where("NOT __stays").select("__id", "__text"))
+    rest = docs.join(gone, same, "left_anti")
+    again = kept.where("__stays AND count > 1").select("__id", "__text")
+    if again.isEmpty():
+        return rest
+    again = broadcast_within(again)
+    # Repeated rows of a kept text: one of them, chosen by all columns.
+    numbered = docs.join(again, same, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(id_col, own).orderBy(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])))
+    return rest.join(again, same, "left_anti").union(numbered.where("__n = 1").drop("__n"))
