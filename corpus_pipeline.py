@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again before the next stage.  All stages but the last return the columns
 of `documents`.  Null texts count as empty, except in line dedup, which passes them
-through; rows without an id are never judged as copies or leaks of another id and
-stay.
+through.  Copies and leaks are judged by id and text: rows without an id take part,
+another text under the same id is judged for itself, and of repeated rows one stays.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import bpe, decontaminate, line_dedup, near_copies, quality
+from chronopanel.llm import bpe, decontaminate, line_dedup, quality, simhash
 from chronopanel.llm.queries import quality_model
-from chronopanel.llm.shared import broadcast_within, stored
+from chronopanel.llm.shared import stored
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share 0.8 or more of their five-word shingles the smallest id stays, once."""
-    groups = near_copies.near_copies(docs, shingle=5, threshold=0.8).where("doc_id <> component_id")
-    gone = stored(groups.select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(broadcast_within(gone), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of texts linked by fingerprints within 2 bits, of three-word shingles, one document stays: the smallest id."""
+    return simhash.one_of_each(docs, shingle=3, radius=2).select(docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
