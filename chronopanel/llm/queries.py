@@ -117,38 +117,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-#: Chunks by boundaries between neighbouring lines, pairs of documents and shifts, runs of equal lines.
+#: The rule itself: longest runs of equal lines at any two places, and of 200 characters or more; the later run goes.
 OP2_SQL = """
 WITH l AS (
-  SELECT doc_id, i, line, md5(line) AS h, length(line) AS n, CAST('0x' || substr(md5(line), 1, 12) AS BIGINT) % 1000003 AS m
+  SELECT doc_id, i, line, length(line) AS n
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL)
 ),
-w AS (
-  SELECT *, lag(m) OVER o AS m1, coalesce(lag(m, 2) OVER o, 0) AS m2, coalesce(lead(m) OVER o, 0) AS m3, lag(n) OVER o AS n1
-  FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)
-),
-cuts AS (
-  SELECT *, n1 >= 200 OR n >= 200 AS long,
-    (m1 * 48271 + 1) % 1000003 % 4 <> 0 OR (m * 16807 + 1) % 1000003 % 4 <> 0 AS c1,
-    (m1 * 48271 + 2 + m2 * 69621) % 1000003 % 4 <> 0 OR (m * 16807 + 2 + m3 * 39373) % 1000003 % 4 <> 0 AS c2
-  FROM w
-),
-numbered AS (
-  SELECT doc_id, i, h, n, sum(CASE WHEN i > 0 AND (long OR c1) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k1,
-    sum(CASE WHEN i > 0 AND (long OR c2) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k2 FROM cuts
-),
-chunks AS (
-  SELECT doc_id, min(i) AS pos, list(h ORDER BY i) AS hs FROM numbered GROUP BY doc_id, k1 HAVING sum(n) > 0
-  UNION SELECT doc_id, min(i) AS pos, list(h ORDER BY i) AS hs FROM numbered GROUP BY doc_id, k2 HAVING sum(n) > 0
-),
-firsts AS (SELECT hs, min({'d': doc_id, 'p': pos}) AS f FROM chunks GROUP BY hs HAVING count(*) > 1),
-pairs AS (
-  SELECT DISTINCT doc_id, f.d AS from_id, pos - f.p AS shift FROM chunks JOIN firsts ON chunks.hs = firsts.hs
-  WHERE doc_id <> f.d OR pos <> f.p
-),
 same AS (
-  SELECT p.doc_id, p.from_id, p.shift, a.i, a.n, a.i - row_number() OVER (PARTITION BY p.doc_id, p.from_id, p.shift ORDER BY a.i) AS island
-  FROM pairs AS p JOIN l AS a ON a.doc_id = p.doc_id JOIN l AS b ON b.doc_id = p.from_id AND b.i = a.i - p.shift AND b.line = a.line
+  SELECT a.doc_id, b.doc_id AS from_id, a.i - b.i AS shift, a.i, a.n,
+    a.i - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, a.i - b.i ORDER BY a.i) AS island
+  FROM l AS a JOIN l AS b ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.i < a.i))
 ),
 runs AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, from_id, shift, island) AS chars FROM same),
 gone AS (SELECT DISTINCT doc_id, i FROM runs WHERE chars >= 200),
@@ -165,8 +143,9 @@ FROM documents AS d LEFT JOIN kept ON d.doc_id = kept.doc_id
 OP4_SQL = r"""
 WITH iw AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
 dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-ish AS (SELECT DISTINCT item_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, CAST(greatest(len(ws) - 4, 1) + 1 AS BIGINT))) AS i FROM iw WHERE len(ws) > 0)),
-dsh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, CAST(greatest(len(ws) - 4, 1) + 1 AS BIGINT))) AS i FROM dw WHERE len(ws) > 0)),
+ish AS (SELECT DISTINCT item_id, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS s FROM (SELECT item_id, ws, least(len(ws), 5) AS k, unnest(range(1, CAST(greatest(len(ws) - 4, 1) + 1 AS BIGINT))) AS i FROM iw WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT least(len(ws), 5) AS k FROM iw WHERE len(ws) > 0),
+dsh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS s FROM (SELECT doc_id, ws, k, unnest(range(1, CAST(len(ws) - k + 2 AS BIGINT))) AS i FROM dw, sizes WHERE len(ws) >= k)),
 size AS (SELECT item_id, count(*) AS n FROM ish GROUP BY item_id),
 hits AS (SELECT doc_id, item_id, count(*) AS c FROM dsh JOIN ish ON dsh.s = ish.s GROUP BY doc_id, item_id)
 SELECT doc_id, hits.item_id, CAST(n AS BIGINT) AS n_shingles, CAST(c AS BIGINT) AS n_shared, CAST(c AS DOUBLE) / n AS containment
