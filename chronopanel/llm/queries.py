@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import bpe, decontaminate, langid, line_dedup, lm_score, quality, repetition, simhash, token_store, toxicity
+from chronopanel.llm import bpe, conversation, decontaminate, langid, line_dedup, lm_score, quality, repetition, simhash, token_store, toxicity
 from chronopanel.llm.sampling import labelled_sample
 from chronopanel.llm.shared import shared_path
 
@@ -90,6 +90,12 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, cheapest edits and a digest of every repaired conversation, after the damage that the contract names."""
+    rows = conversation.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation.report(rows, present=F.col("present")).withColumnRenamed("conv", "conv_id")
+
+
 #: Words, windows of 8, 5 and 51 words found twice or more, and lines, as the rules state them.
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -152,8 +158,70 @@ SELECT doc_id, hits.item_id, CAST(n AS BIGINT) AS n_shingles, CAST(c AS BIGINT)
 FROM hits JOIN size ON hits.item_id = size.item_id WHERE c >= 0.8 * n - 1e-9
 """
 
+#: CRC-32 by its polynomial, faults by windows, and all edits row by row: of each state the cheapest, then least, remains.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hashed AS (
+  SELECT conv_id, turn, role, text,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(name) + 1), lambda k: CAST(ascii(substr(name, CAST(k AS BIGINT), 1)) AS BIGINT))), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS how
+  FROM named, crc
+),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+    CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE how <> 0
+),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) || role[1] AS pair
+  FROM hurt
+),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault FROM numbered
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+    count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n
+  FROM faulty GROUP BY conv_id
+),
+nexts AS (SELECT * FROM (VALUES ('-', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) AS t(st, nx)),
+inserts AS (SELECT st, '' AS pre, 0 AS paid, st AS mid, '' AS made FROM nexts UNION ALL SELECT st, 'I', 3, nx, nx FROM nexts),
+moves AS (
+  SELECT st, NULL AS initial, 'D' AS edit, 4 AS cost, st AS st2, '' AS made, NULL AS as_role FROM nexts
+  UNION ALL SELECT i.st, NULL, pre || 'R', paid + 3, nx, made, nx FROM inserts AS i JOIN nexts AS n ON n.st = i.mid
+  UNION ALL SELECT i.st, nx, pre || 'K', paid, nx, made, NULL FROM inserts AS i JOIN nexts AS n ON n.st = i.mid
+  UNION ALL SELECT '-', 's', 'K', 0, 's', '', NULL
+),
+search AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, '-' AS st, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS made FROM counts
+  UNION ALL
+  SELECT conv_id, k, st, x.cost, x.audit, x.made FROM (
+    SELECT f.conv_id, f.k, m.st2 AS st, min({'cost': s.cost + m.cost + CASE WHEN fault = 't' AND edit <> 'D' THEN 3 ELSE 0 END, 'audit': audit || edit,
+      'made': s.made || CASE m.made WHEN 'u' THEN chr(10) || 'user:' WHEN 'a' THEN chr(10) || 'assistant:' ELSE '' END
+        || CASE WHEN edit = 'D' THEN '' ELSE chr(10) || coalesce(CASE as_role WHEN 'u' THEN 'user' WHEN 'a' THEN 'assistant' END, role) || ':' || text END}) AS x
+    FROM search AS s JOIN faulty AS f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.k = s.k + 1
+    JOIN moves AS m ON m.st = s.st AND (m.initial IS NULL OR m.initial = role[1]) AND (edit = 'D' OR fault NOT IN ('b', 'd'))
+    GROUP BY f.conv_id, f.k, m.st2
+  )
+),
+ends AS (SELECT * FROM (VALUES ('-', '', 0, ''), ('a', '', 0, ''), ('u', 'I', 3, chr(10) || 'assistant:'), ('s', 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:')) AS t(st, edit, cost, made)),
+best AS (
+  SELECT s.conv_id, min({'cost': s.cost + e.cost, 'audit': audit || edit, 'made': s.made || e.made}) AS x
+  FROM search AS s JOIN ends AS e ON s.st = e.st JOIN counts AS c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.n = s.k GROUP BY s.conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(x.cost, 0) AS BIGINT) AS cost,
+  coalesce(x.audit, '') AS audit, sha256(coalesce(x.made[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN counts AS c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best AS b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_line_dedup, op3_toxicity, op4_decontamination, op5_langid, op6_lm_score, op7_quality, op8_simhash, op9_token_store, op10_repetition)
+    for f in (op1_bpe, op2_line_dedup, op3_toxicity, op4_decontamination, op5_langid, op6_lm_score, op7_quality, op8_simhash, op9_token_store, op10_repetition, op13_conversation_repair)
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op10_repetition": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op10_repetition": OP10_SQL, "op13_conversation_repair": OP13_SQL}
