@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import bpe, conversation, decontaminate, langid, line_dedup, lm_score, quality, repetition, simhash, token_store, toxicity
+from chronopanel.llm import bpe, conversation, decontaminate, langid, licenses, line_dedup, lm_score, phrases, quality, repetition, simhash, token_store, toxicity
 from chronopanel.llm.sampling import labelled_sample
 from chronopanel.llm.shared import shared_path
 
@@ -90,6 +90,17 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of every language by their weakest cut."""
+    return phrases.mine(_documents(spark, sf_dir))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license labels of every text."""
+    docs = _documents(spark, sf_dir)
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, cheapest edits and a digest of every repaired conversation, after the damage that the contract names."""
     rows = conversation.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -158,6 +169,36 @@ SELECT doc_id, hits.item_id, CAST(n AS BIGINT) AS n_shingles, CAST(c AS BIGINT)
 FROM hits JOIN size ON hits.item_id = size.item_id WHERE c >= 0.8 * n - 1e-9
 """
 
+#: All phrases of one to four words, all cuts, all longer phrases, in 128-bit whole numbers.
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d)),
+f AS (
+  SELECT lang, k, p, CAST(count(*) AS HUGEINT) AS c
+  FROM (SELECT lang, k, list_slice(ws, i, i + k - 1) AS p FROM (SELECT lang, ws, k, unnest(range(1, CAST(len(ws) - k + 2 AS BIGINT))) AS i FROM pieces, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(ws) >= k))
+  GROUP BY lang, k, p
+),
+totals AS (SELECT lang, sum(c) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, p, c AS a FROM f WHERE k > 1 AND c >= 30),
+cuts AS (SELECT *, unnest(range(1, k)) AS j FROM candidates),
+best AS (
+  SELECT x.lang, x.p, x.a, min({'score': 2000000 * x.a // (h.c + t.c), 'j': j, 'l': h.c, 'r': t.c}) AS b
+  FROM cuts AS x JOIN f AS h ON h.lang = x.lang AND h.p = list_slice(x.p, 1, j) JOIN f AS t ON t.lang = x.lang AND t.p = list_slice(x.p, j + 1, x.k)
+  GROUP BY x.lang, x.p, x.a
+),
+inside AS (
+  SELECT lang, p, max(a) AS g FROM (
+    SELECT lang, a, list_slice(p, i, i + m - 1) AS p FROM (SELECT lang, a, p, m, unnest(range(1, k - m + 2)) AS i FROM candidates, (VALUES (2), (3)) AS sizes(m) WHERE m < k)
+  ) GROUP BY lang, p
+),
+ranked AS (
+  SELECT best.lang, array_to_string(best.p, ' ') AS phrase, a, b, row_number() OVER (PARTITION BY best.lang ORDER BY b.score DESC, a DESC, encode(array_to_string(best.p, ' '))) AS rank
+  FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.p = best.p WHERE g IS NULL OR 100 * g < 80 * a
+)
+SELECT ranked.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(b.l AS BIGINT) AS l, CAST(b.r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(b.score AS BIGINT) AS score
+FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""
+
 #: CRC-32 by its polynomial, faults by windows, and all edits row by row: of each state the cheapest, then least, remains.
 OP13_SQL = r"""
 WITH RECURSIVE crc AS (
@@ -222,6 +263,6 @@ FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN counts AS c ON
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_line_dedup, op3_toxicity, op4_decontamination, op5_langid, op6_lm_score, op7_quality, op8_simhash, op9_token_store, op10_repetition, op13_conversation_repair)
+    for f in (op1_bpe, op2_line_dedup, op3_toxicity, op4_decontamination, op5_langid, op6_lm_score, op7_quality, op8_simhash, op9_token_store, op10_repetition, op11_collocations, op12_licenses, op13_conversation_repair)
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op10_repetition": OP10_SQL, "op13_conversation_repair": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op10_repetition": OP10_SQL, "op11_collocations": OP11_SQL, "op13_conversation_repair": OP13_SQL}

@@ -39,13 +39,13 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most CHUNK_BYTES of text, or one row."""
+def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most `size` bytes of text, or one row."""
     column = batch.column(batch.schema.get_field_index(text))
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start, before = 0, 0
     while start < len(ends):
-        stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield batch.slice(start, stop - start)
         start, before = stop, int(ends[stop - 1])
 
@@ -55,9 +55,12 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word `[^\\x20\\x09-\\x0D]+`, and each text's first word (n + 1 entries)."""
-    ink = ~_SPACE[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and each text's first word (n + 1 entries).
+
+    `space` tells of each of the 256 bytes whether it stands between words; as given, words are `[^\\x20\\x09-\\x0D]+`.
+    """
+    ink = ~space[raw]
     before = np.zeros_like(ink)
     before[1:] = ink[:-1]
     inner = offsets[offsets < len(raw)]
@@ -136,6 +139,51 @@ def distinct_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return _first_of(code, len(seen)), code
 
 
+class Lexicon:
+    """Known words with a number each; `kinds` tells equal words of several lists apart."""
+
+    def __init__(self, words: list[bytes], kinds: np.ndarray | None = None):
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        self.raw = np.frombuffer(bytearray(b"".join(words)), np.uint8) if self.ends.any() else np.zeros(0, np.uint8)
+        self.kinds = np.zeros(len(words), np.int64) if kinds is None else kinds
+        hashes = self._hashes(self.raw, self.starts, self.ends, self.kinds)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+
+    @staticmethod
+    def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        return mixed(span_hashes(raw, starts, ends) + kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def find(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
+        """The number of each span's word, -1 if it is unknown; found by hash, then compared byte by byte."""
+        out = np.full(len(starts), -1, np.int64)
+        if not len(self.hashes) or not len(starts):
+            return out
+        kinds = np.zeros(len(starts), np.int64) if kinds is None else kinds
+        h = self._hashes(raw, starts, ends, kinds)
+        slot = np.searchsorted(self.hashes, h)
+        open_ = np.flatnonzero(self.hashes[np.minimum(slot, len(self.hashes) - 1)] == h)
+        mine, theirs = _octets(raw), _octets(self.raw)
+        while len(open_):
+            word = self.order[slot[open_]]
+            lengths = ends[open_] - starts[open_]
+            same = (lengths == self.ends[word] - self.starts[word]) & (kinds[open_] == self.kinds[word])
+            live, at = np.flatnonzero(same), 0
+            while len(live := live[lengths[live] > at]):
+                keep = _KEEP[np.minimum(lengths[live] - at, 8)]
+                same[live] = (mine[starts[open_[live]] + at] & keep) == (theirs[self.starts[word[live]] + at] & keep)
+                live, at = live[same[live]], at + 8
+            out[open_[same]] = word[same]
+            # Another word with the same hash stands next.
+            open_ = open_[~same]
+            slot[open_] += 1
+            open_ = open_[(slot[open_] < len(self.hashes))]
+            open_ = open_[self.hashes[slot[open_]] == h[open_]]
+        return out
+
+
 def _first_of(code: np.ndarray, kinds: int) -> np.ndarray:
     first = np.empty(kinds, np.int64)
     first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
