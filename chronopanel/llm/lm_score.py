@@ -13,7 +13,8 @@ absent.  With c() the count at a level's middle, the probability of w after v is
 
 the first share falling away where c(v) = 0.  Workers get the whole filter as a
 broadcast while its measured size is within `broadcast_bytes`; beyond that they
-open one segment at a time from the shared folder and get the same levels.
+open one segment at a time from the shared folder, each once for a block of texts,
+and get the same levels.
 
 Base: exact counts.  Every block of texts sends its distinct words, once each, to
 word segments, gets their training counts back, and sums per document.  Nothing
@@ -41,8 +42,10 @@ from pyspark.sql import functions as F
 from chronopanel.llm import spans
 from chronopanel.llm.shared import file_system, shared_path, stored
 
-#: Text bytes worked up together in one task.
-BLOCK_BYTES = 8 << 20
+#: Text bytes worked up together in one task; a usual input partition is one block.
+BLOCK_BYTES = 32 << 20
+#: Counted strings that a task holds before it sends them.
+HELD_KEYS = 2_000_000
 #: Text bytes per segment on average; sets the number of segments from the input.
 SEGMENT_BYTES = 16 << 20
 PROBES = 7
@@ -86,24 +89,27 @@ def level_counts(ratio: float) -> np.ndarray:
     return np.where(q == 0, 0.0, (low + high) / 2)
 
 
-def _places(keys: np.ndarray, number: np.ndarray | int, bits: np.ndarray | int) -> np.ndarray:
+def _seeds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every key, from which all its places follow."""
     keys = keys & _LOW48
-    a = spans.mixed(keys + np.uint64(0x2545F4914F6CDD1D))
-    b = spans.mixed(keys ^ np.uint64(0x9E6C63D0876A9A75)) | np.uint64(1)
-    number = np.asarray(number, np.uint64)
-    return ((a + number * b + number * number * np.uint64(0x1B873593)) % np.asarray(bits, np.uint64)).astype(np.int64)
+    return spans.mixed(keys + np.uint64(0x2545F4914F6CDD1D)), spans.mixed(keys ^ np.uint64(0x9E6C63D0876A9A75)) | np.uint64(1)
+
+
+def _places(a: np.ndarray, b: np.ndarray, number: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """The place of a numbered probe in a filter of so many bits, below 2**32."""
+    x = a + b * np.uint64(number) + np.uint64(number * number * 0x1B873593)
+    return ((x >> np.uint64(32)) * bits >> np.uint64(32)).astype(np.int64)
 
 
 def packed_filter(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The Bloom filter of one segment; first 8 bytes its number of bits."""
     size = 64 * (int(level.sum() * PROBES / np.log(2)) // 64 + 1)
     held = np.zeros(size, bool)
-    q, live = 1, np.arange(len(keys))
-    while len(live):
+    first, second = _seeds(keys)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        live = level >= q
         for i in range(PROBES):
-            held[_places(keys[live], q * PROBES + i, size)] = True
-        q += 1
-        live = live[level[live] >= q]
+            held[_places(first[live], second[live], q * PROBES + i, np.uint64(size))] = True
     return np.concatenate([np.array([size], "<u8").view(np.uint8), np.packbits(held)])
 
 
@@ -117,14 +123,16 @@ class Filter:
 
     def levels(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
         level, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        start, bits = 8 * (self.start[segment] + 8), self.bits[segment]
+        state = [live, 8 * (self.start[segment] + 8), self.bits[segment].astype(np.uint64), *_seeds(keys)]
         for q in range(1, TOP_LEVEL + 1):
             for i in range(PROBES):
-                at = start[live] + _places(keys[live], q * PROBES + i, bits[live])
-                live = live[(self.flat[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
-            if not len(live):
+                _, start, bits, a, b = state
+                at = start + _places(a, b, q * PROBES + i, bits)
+                held = (self.flat[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                state = [x[held] for x in state]
+            if not len(state[0]):
                 break
-            level[live] = q
+            level[state[0]] = q
         return level
 
 
@@ -179,23 +187,32 @@ def learn(rows: DataFrame, folder: str, segments: int, ratio: float) -> DataFram
     """Write the filter's segments below `folder`; (segment, bytes, tokens, words) of each segment."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            keys = []
-            for part in block:
+        held = {1: [], 0: []}
+        for batch in batches:
+            for part in spans.chunks(batch, "text"):
                 _, _, _, first, hashes = _hashed(part)
                 token, before, _ = token_hashes(hashes, first)
-                keys.append(np.stack([single_keys(token), pair_keys(before, token)]))
-            # Bit 63 of the packed count tells single tokens from pairs when the segment sums N and V.
-            for single, own in ((1, np.concatenate([k[0] for k in keys])), (0, np.concatenate([k[1] for k in keys]))):
-                key, n = np.unique(own, return_counts=True)
-                edge = np.searchsorted(segment_of(key, segments), np.arange(segments + 1))
-                octets = key.view(np.uint8).reshape(-1, 8)[:, :6]
-                kept = [s for s in range(segments) if edge[s] < edge[s + 1]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(kept, pa.int32()), pa.array([single] * len(kept), pa.int32()),
-                    pa.array([octets[edge[s] : edge[s + 1]].tobytes() for s in kept], pa.binary()),
-                    pa.array([_packed_counts(n[edge[s] : edge[s + 1]]) for s in kept], pa.binary()),
-                ], ["segment", "single", "keys", "counts"])
+                for single, keys in ((1, single_keys(token)), (0, pair_keys(before, token))):
+                    held[single].append(np.unique(keys, return_counts=True))
+                    if sum(len(k) for k, _ in held[single]) > HELD_KEYS:
+                        held[single] = [_summed(held[single])]
+                        if len(held[single][0][0]) > HELD_KEYS // 2:
+                            yield _sent(single, *held[single].pop())
+        for single, counted in held.items():
+            if counted:
+                yield _sent(single, *_summed(counted))
+
+    def _sent(single: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """One row for every segment that has strings; `single` tells tokens from pairs when a segment sums N and V."""
+        segment = segment_of(key, segments)
+        edge = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+        stop = np.append(edge[1:], len(key))
+        octets = key.view(np.uint8).reshape(-1, 8)[:, :6]
+        return pa.RecordBatch.from_arrays([
+            pa.array(segment[edge].astype(np.int32)), pa.array([single] * len(edge), pa.int32()),
+            pa.array([octets[a:b].tobytes() for a, b in zip(edge, stop)], pa.binary()),
+            pa.array([_packed_counts(n[a:b]) for a, b in zip(edge, stop)], pa.binary()),
+        ], ["segment", "single", "keys", "counts"])
 
     def build(table: pa.Table) -> pa.Table:
         segment, sums = table.column("segment")[0].as_py(), []
@@ -221,6 +238,15 @@ def learn(rows: DataFrame, folder: str, segments: int, ratio: float) -> DataFram
     return stored(counted.union(empty).groupBy("segment").applyInArrow(build, "segment int, bytes bigint, tokens bigint, words bigint"), "lm-segments")
 
 
+def _summed(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their counts, from several such lists."""
+    key, n = (np.concatenate(x) for x in zip(*counted))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[head], np.add.reduceat(n[order], head)
+
+
 def _packed_counts(n: np.ndarray) -> bytes:
     """One byte per count; 255 announces a four-byte count after the bytes."""
     large = n >= 255
@@ -265,7 +291,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = dict(rows.dtypes)["doc_id"]
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    segments = min(max(1, -(-size // SEGMENT_BYTES)), 1 << 16)
+    segments = max(1, -(-size // SEGMENT_BYTES))
     folder = shared_path(spark, "lm-filter")
     built = learn(rows, folder, segments, ratio).agg(F.sum("bytes"), F.sum("tokens"), F.sum("words")).first()
     shared = None
@@ -317,14 +343,35 @@ def _counts8(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<i8")
 
 
-def _scores(token: np.ndarray, before: np.ndarray, bounds: np.ndarray, segments: int, whole: Filter | None, folder: str, count_at: np.ndarray, floor: float, share: float) -> np.ndarray:
-    """The log10 probability of every text of a chunk; each distinct string is probed once."""
-    keys = np.concatenate([single_keys(token), single_keys(before), pair_keys(before, token)])
-    code, distinct = pd.factorize(keys)
-    single, context, pair = count_at[find_levels(distinct, segments, whole, folder)][code].reshape(3, -1)
+def _levels_of(block: list, segments: int, whole: Filter | None, folder: str):
+    """A function from keys to their levels.
+
+    Without the whole filter, the distinct keys of all chunks of the block are
+    found first, so that every segment is opened once a block.
+    """
+    if whole is not None:
+
+        def probe(keys: np.ndarray) -> np.ndarray:
+            code, distinct = pd.factorize(keys)
+            return whole.levels(distinct, segment_of(distinct, segments))[code]
+
+        return probe
+    known = np.zeros(0, np.uint64)
+    for part in block:
+        _, _, _, first, hashes = _hashed(part)
+        token, before, _ = token_hashes(hashes, first)
+        known = np.union1d(known, np.concatenate([single_keys(token), pair_keys(before, token)]))
+    levels = find_levels(known, segments, None, folder).astype(np.int8)
+    return lambda keys: levels[np.searchsorted(known, keys)]
+
+
+def _scores(token: np.ndarray, before: np.ndarray, bounds: np.ndarray, levels_of, count_at: np.ndarray, floor: float, share: float) -> np.ndarray:
+    """The log10 probability of every text of a chunk."""
+    single, pair = count_at[levels_of(np.concatenate([single_keys(token), pair_keys(before, token)]))].reshape(2, -1)
     base = (single + 0.5) / floor
     # The start of a text is no token: what follows it has the base alone.
-    context = np.where(before == _START, 0.0, context)
+    context = np.append(0.0, single[:-1])
+    context[bounds[:-1]] = 0.0
     p = np.where(context > 0, share * np.minimum(pair / np.maximum(context, 1), 1) + (1 - share) * base, base)
     return np.add.reduceat(np.log10(p), bounds[:-1])
 
@@ -334,11 +381,12 @@ def _block_rows(block: list[pa.RecordBatch], uid: int, segments: int, whole: Fil
     words: dict[bytes, int] = {}
     word_hash, word_train, scores, sizes, owners, codes, tfs = [], [], [], [], [], [], []
     flags, ids, before_docs = [], [], 0
+    levels_of = _levels_of(block, segments, whole, folder)
     for part in block:
         raw, starts, ends, first, hashes = _hashed(part)
         token, before, bounds = token_hashes(hashes, first)
         sizes.append(np.diff(bounds))
-        scores.append(_scores(token, before, bounds, segments, whole, folder, count_at, floor, share))
+        scores.append(_scores(token, before, bounds, levels_of, count_at, floor, share))
         train = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
         flags.append(train)
         ids.append(part.column(0))
