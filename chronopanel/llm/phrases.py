@@ -44,7 +44,7 @@ SHARD_KEYS = HELD_KEYS = 2_000_000
 PAIR_BITS = 1 << 26
 #: Buckets in which words are numbered.
 BUCKETS = 256
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 _END = np.zeros(256, bool)
 _END[list(PIECE_ENDS)] = True

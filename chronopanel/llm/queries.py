@@ -174,26 +174,31 @@ OP11_SQL = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d)),
 f AS (
-  SELECT lang, k, p, CAST(count(*) AS HUGEINT) AS c
-  FROM (SELECT lang, k, list_slice(ws, i, i + k - 1) AS p FROM (SELECT lang, ws, k, unnest(range(1, CAST(len(ws) - k + 2 AS BIGINT))) AS i FROM pieces, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(ws) >= k))
-  GROUP BY lang, k, p
+  SELECT lang, k, s, CAST(count(*) AS HUGEINT) AS c
+  FROM (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS s FROM (SELECT lang, ws, k, unnest(range(1, CAST(len(ws) - k + 2 AS BIGINT))) AS i FROM pieces, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(ws) >= k))
+  GROUP BY lang, k, s
 ),
 totals AS (SELECT lang, sum(c) AS n FROM f WHERE k = 1 GROUP BY lang),
-candidates AS (SELECT lang, k, p, c AS a FROM f WHERE k > 1 AND c >= 30),
-cuts AS (SELECT *, unnest(range(1, k)) AS j FROM candidates),
+frequent AS MATERIALIZED (SELECT lang, s, c FROM f WHERE c >= 30),
+candidates AS MATERIALIZED (SELECT lang, k, s, c AS a, string_split(s, ' ') AS p FROM f WHERE k > 1 AND c >= 30),
+cuts AS (
+  SELECT lang, s, a, j, array_to_string(p[1:j], ' ') AS head, array_to_string(p[j + 1:], ' ') AS tail
+  FROM candidates, (VALUES (1), (2), (3)) AS places(j) WHERE j < k
+),
 best AS (
-  SELECT x.lang, x.p, x.a, min({'score': 2000000 * x.a // (h.c + t.c), 'j': j, 'l': h.c, 'r': t.c}) AS b
-  FROM cuts AS x JOIN f AS h ON h.lang = x.lang AND h.p = list_slice(x.p, 1, j) JOIN f AS t ON t.lang = x.lang AND t.p = list_slice(x.p, j + 1, x.k)
-  GROUP BY x.lang, x.p, x.a
+  SELECT x.lang, x.s, x.a, min({'score': 2000000 * x.a // (h.c + t.c), 'j': j, 'l': h.c, 'r': t.c}) AS b
+  FROM cuts AS x JOIN frequent AS h ON h.lang = x.lang AND h.s = x.head JOIN frequent AS t ON t.lang = x.lang AND t.s = x.tail
+  GROUP BY x.lang, x.s, x.a
 ),
 inside AS (
-  SELECT lang, p, max(a) AS g FROM (
-    SELECT lang, a, list_slice(p, i, i + m - 1) AS p FROM (SELECT lang, a, p, m, unnest(range(1, k - m + 2)) AS i FROM candidates, (VALUES (2), (3)) AS sizes(m) WHERE m < k)
-  ) GROUP BY lang, p
+  SELECT lang, s, max(a) AS g FROM (
+    SELECT lang, a, array_to_string(p[i:i + m - 1], ' ') AS s
+    FROM candidates, (VALUES (3, 2, 1), (3, 2, 2), (4, 2, 1), (4, 2, 2), (4, 2, 3), (4, 3, 1), (4, 3, 2)) AS parts(n, m, i) WHERE n = k
+  ) GROUP BY lang, s
 ),
 ranked AS (
-  SELECT best.lang, array_to_string(best.p, ' ') AS phrase, a, b, row_number() OVER (PARTITION BY best.lang ORDER BY b.score DESC, a DESC, encode(array_to_string(best.p, ' '))) AS rank
-  FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.p = best.p WHERE g IS NULL OR 100 * g < 80 * a
+  SELECT best.lang, best.s AS phrase, a, b, row_number() OVER (PARTITION BY best.lang ORDER BY b.score DESC, a DESC, encode(best.s)) AS rank
+  FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.s = best.s WHERE g IS NULL OR 100 * g < 80 * a
 )
 SELECT ranked.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(b.l AS BIGINT) AS l, CAST(b.r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(b.score AS BIGINT) AS score
 FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
