@@ -5,14 +5,14 @@ differenced series and of the innovations gives the model.  Seasonal and plain
 polynomials multiply: the lags k, m j and m j + k carry the coefficients phi_k,
 PHI_j and -phi_k PHI_j.  The sum of squares is a quadratic form in these, so the
 product models are fitted by Gauss-Newton steps on one Gram matrix per series;
-all candidate orders are sub-blocks of it and the order search costs one
-aggregation.
+all candidate orders are sub-blocks of it, so the stepwise order search, whose
+frontiers are fitted in batches of series, costs one aggregation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import product
 
 import numpy as np
@@ -40,9 +40,10 @@ class Orders:
     constant: bool | None = None
     fixed: bool = False
     long_ar: int = 10
+    stepwise: bool = True
 
     def nonseasonal(self) -> Orders:
-        return Orders(self.p, self.q, 0, 0, self.d, 0, self.constant, self.fixed, self.long_ar)
+        return replace(self, P=0, Q=0, D=0)
 
     def candidates(self) -> list[tuple[int, int, int, int, int]]:
         """(p, q, P, Q, constant) of every candidate."""
@@ -52,12 +53,25 @@ class Orders:
         consts = [1, 0] if self.constant is None else [int(self.constant)]
         return list(product(range(self.p + 1), range(self.q + 1), range(self.P + 1), range(self.Q + 1), consts))
 
+    def first_round(self) -> list[tuple[int, int, int, int, int]]:
+        """The models that a stepwise search begins with: large, empty, autoregressive and moving average, as the limits allow."""
+        starts = ((2, 2, 1, 1), (0, 0, 0, 0), (1, 0, 1, 0), (0, 1, 0, 1))
+        clipped = [tuple(min(x, most) for x, most in zip(s, (self.p, self.q, self.P, self.Q))) for s in starts]
+        return [c for c in self.candidates() if c[:4] in clipped]
+
+    def neighbours(self, cand: tuple[int, int, int, int, int]) -> list[tuple[int, int, int, int, int]]:
+        """Candidates one step away: one order, both plain or both seasonal orders, or the constant."""
+        p, q, P, Q, c = cand
+        steps = [(1, 0, 0, 0), (0, 1, 0, 0), (1, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (0, 0, 1, 1)]
+        near = {(p + s * a, q + s * b, P + s * x, Q + s * y, c) for a, b, x, y in steps for s in (1, -1)} | {(p, q, P, Q, 1 - c)}
+        return [x for x in self.candidates() if x in near]
+
 
 def fixed_order(
     pdq: tuple[int, int, int], PDQ: tuple[int, int, int] = (0, 0, 0), constant: bool | None = None
 ) -> Orders:
     (p, d, q), (P, D, Q) = pdq, PDQ
-    return Orders(p, q, P, Q, d, D, constant, fixed=True)
+    return Orders(p, q, P, Q, d, D, constant, fixed=True, stepwise=False)
 
 
 def with_differencing(panel: Panel, y: str, orders: Orders, m: int) -> Panel:
@@ -189,17 +203,51 @@ class Product:
         return full, max(best, 0.0), rank
 
 
-def product_solver(orders: Orders):
-    """UDF: one Gram array -> fits of all candidates, in order."""
-    models, k = [Product(orders, c) for c in orders.candidates()], 1 + len(_columns(orders))
+def criterion(n, rss, rank):
+    """AICc of a fit; a model with too many coefficients for its rows has none."""
+    if n <= rank + 2:
+        return float("inf")
+    return n * np.log(max(rss, 1e-12) / n) + 2 * (rank + 1) + 2 * (rank + 1) * (rank + 2) / (n - rank - 2)
 
-    @F.pandas_udf("array<struct<coef:array<double>,rss:double,rank:int>>")
-    def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for grams in batches:
+
+def searched(orders: Orders, fit, allowed) -> dict:
+    """Fits of the candidates that the search meets, by candidate; ``fit`` gives (coefficients, rss, rank, AICc).
+
+    A frontier of candidates is fitted round by round: first the starting models,
+    then the neighbours of the best so far, until no neighbour is better.
+    """
+    if not orders.stepwise:
+        return {c: fit(c) for c in orders.candidates() if allowed(c)}
+    fits, frontier, best = {}, orders.first_round(), None
+    while frontier:
+        fits |= {c: fit(c) for c in frontier if allowed(c)}
+        leader = min(fits, key=lambda c: (fits[c][3], c), default=None)
+        if leader is None or leader == best:
+            break
+        best = leader
+        frontier = [c for c in orders.neighbours(best) if c not in fits]
+    return fits
+
+
+def product_solver(orders: Orders):
+    """UDF: a Gram array, its number of rows and the differences -> fits of the searched candidates, by their number."""
+    candidates = orders.candidates()
+    models, k = {c: Product(orders, c) for c in candidates}, 1 + len(_columns(orders))
+    number = {c: i for i, c in enumerate(candidates)}
+
+    @F.pandas_udf("array<struct<i:int,coef:array<double>,rss:double,rank:int>>")
+    def solve(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for grams, ns, differences in batches:
             rows = []
-            for gram in unpack(grams, k + 1) if len(grams) else ():
-                fits = [model.fit(gram) for model in models]
-                rows.append([{"coef": full.tolist(), "rss": rss, "rank": rank} for full, rss, rank in fits])
+            for gram, n, d in zip(unpack(grams, k + 1) if len(grams) else (), ns, differences):
+
+                def fit(cand, gram=gram, n=n):
+                    full, rss, rank = models[cand].fit(gram)
+                    return full, rss, rank, criterion(n, rss, rank)
+
+                # A constant beside two differences would be a quadratic trend.
+                fits = searched(orders, fit, lambda c, d=d: c[4] == 0 or d < 2 or orders.constant is True)
+                rows.append([{"i": number[c], "coef": full.tolist(), "rss": rss, "rank": rank} for c, (full, rss, rank, _) in sorted(fits.items())])
             yield pd.Series(rows, dtype=object)
 
     return solve
@@ -219,13 +267,12 @@ def select_model(designed: Panel, orders: Orders) -> DataFrame:
     cands = orders.candidates()
     solve = product_solver(orders)
     table = F.lit([list(c) for c in cands])
-    out = sums.withColumn("f", solve("g")).select(*key, "n", "order_d", "order_ds", F.posexplode("f").alias("i", "f"))
-    out = out.select(*key, "n", "order_d", "order_ds", F.get(table, F.col("i")).alias("o"), "f.coef", "f.rss", "f.rank")
+    out = sums.withColumn("f", solve("g", "n", F.col("order_d") + F.col("order_ds"))).select(*key, "n", "order_d", "order_ds", F.explode("f").alias("f"))
+    out = out.select(*key, "n", "order_d", "order_ds", F.get(table, F.col("f.i")).alias("o"), "f.coef", "f.rss", "f.rank")
     n, k = F.col("n"), F.col("rank")
     aicc = n * F.log(F.greatest("rss", F.lit(1e-12)) / n) + 2 * (k + 1) + F.try_divide(2 * (k + 1) * (k + 2), n - k - 2)
     out = out.withColumn("aicc", aicc)
-    allowed = (F.col("o")[4] == 0) | (F.col("order_d") + F.col("order_ds") < 2)
-    out = out.where((allowed | F.lit(orders.constant is True)) & (n > k + 2))
+    out = out.where(n > k + 2)
     pick = F.struct(
         "n", "order_d", "order_ds",
         *[F.col("o")[i].cast("long").alias(c) for i, c in enumerate(["order_p", "order_q", "order_ps", "order_qs", "constant"])],
@@ -366,22 +413,26 @@ def arima_regression(
         return out
 
     resid = train.on(own.withColumn("__u", rest("coef")).drop("coef")).written("residuals")
-    arma = Orders(orders.p, orders.q, orders.P, orders.Q, 0, 0, False, orders.fixed, orders.long_ar)
+    arma = replace(orders, d=0, D=0, constant=False)
     models, _ = fit_arima(resid.on(resid.df.select(*key, split.index, "__u")), "__u", arma, m)
-    phi = models.select(*key, F.slice("coef", 2, arma.p).alias("__phi"))
+    # Plain, seasonal and product lags of the autoregressive part.
+    lags = list(lag_columns("w", arma.p, arma.P, m).values())
+    phi = models.select(*key, F.slice("coef", 2, len(lags)).alias("__phi"))
     filtered = resid.on(resid.df.join(phi, key))
 
     def quasi(col: str):
         def expr(w):
             out = F.col(col)
-            for k in range(1, arma.p + 1):
-                out = out - F.col("__phi")[k - 1] * F.lag(col, k).over(w)
+            for i, k in enumerate(lags):
+                weight = F.col("__phi")[i]
+                # A lag that the model does not use costs no rows.
+                out = out - F.when(weight == 0, F.lit(0.0)).otherwise(weight * F.lag(col, k).over(w))
             return out
 
         return expr
 
     names = [f"__q{i}" for i in range(len(xs) + 1)]
-    filtered = framed(filtered, {n: quasi(f"__z{i}") for i, n in enumerate(names)}, max(arma.p, 1))
+    filtered = framed(filtered, {n: quasi(f"__z{i}") for i, n in enumerate(names)}, max([1, *lags]))
     second = fit_ols(filtered.df, key, "__q0", names[1:], intercept=False).select(*key, F.col("coef").alias("beta"))
     refit = resid.on(resid.df.join(second, key).withColumn("__v", rest("beta")))
     models, designed = fit_arima(refit.on(refit.df.select(*key, split.index, "__v")), "__v", arma, m)

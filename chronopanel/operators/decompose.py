@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from chronopanel.operators.windows import centred_ma, framed
-from chronopanel.panel import Panel
+from chronopanel.operators.windows import centred_ma
+from chronopanel.panel import Panel, framed
 
 
 def classical(panel: Panel, y: str, kind: str = "additive", period: int | None = None) -> Panel:
@@ -28,17 +28,30 @@ def classical(panel: Panel, y: str, kind: str = "additive", period: int | None =
     p = centred_ma(p, y, m, "trend")
     value = F.col(y).cast("double")
     df = p.df.withColumn("__detrended", without(value, F.col("trend")))
-    figure = F.avg("__detrended").over(Window.partitionBy(*panel.key, "season"))
-    df = df.withColumn("__figure", figure)
-    whole = panel.whole()
-    # Each position occurs exactly once among the first m rows.
-    level = F.avg(F.when(F.col("t") <= m, F.col("__figure"))).over(whole)
-    long_enough = F.max("t").over(whole) >= 2 * m
+    df = _with_figure(p.on(df), m)
+    long_enough = F.col("__n") >= 2 * m
+    level = F.col("__mean")
     df = df.withColumn("seasonal", F.when(long_enough, without(F.col("__figure"), level)))
     df = df.withColumn("trend", F.when(F.col("seasonal").isNotNull(), F.col("trend")))
     df = df.withColumn("season_adjust", without(value, F.col("seasonal")))
     df = df.withColumn("random", without(F.col("season_adjust"), F.col("trend")))
-    return panel.on(df.drop("__detrended", "__figure"))
+    return p.on(df.drop("__detrended", "__figure", "__mean", "__n"))
+
+
+def _with_figure(p: Panel, m: int) -> DataFrame:
+    """Adds the mean of each season position, the mean of these over the first ``m`` rows, and the series length.
+
+    With blocks these are aggregations joined back, of one row a season position.
+    """
+    if p.block is None:
+        df = p.df.withColumn("__figure", F.avg("__detrended").over(Window.partitionBy(*p.key, "season")))
+        # Each position occurs exactly once among the first m rows.
+        mean = F.avg(F.when(F.col("t") <= m, F.col("__figure"))).over(p.whole())
+        return df.withColumn("__mean", mean).withColumn("__n", F.max("t").over(p.whole()))
+    figures = p.df.groupBy(*p.key, "season").agg(F.avg("__detrended").alias("__figure"), F.max("t").alias("__last"))
+    own = figures.groupBy(*p.key).agg(F.avg("__figure").alias("__mean"), F.max("__last").alias("__n"))
+    figures = figures.join(own, list(p.key)).drop("__last")
+    return p.df.join(figures, [*p.key, "season"]).select(*p.df.columns, "__figure", "__mean", "__n")
 
 
 def denoise(
@@ -105,6 +118,7 @@ def x11_filters(panel: Panel, y: str, period: int | None = None) -> Panel:
     2xm trend, 3x3 seasonal filter, Henderson trend, 3x5 seasonal filter,
     Henderson trend.  At the ends filters use the rows that exist.
     """
+    panel.need_whole("x11_filters")
     m = period or panel.period
     h = henderson_weights(13)
     p = panel.with_position("t").with_season("season", m)

@@ -67,6 +67,7 @@ def forecast_nnet(
     Inputs are lags, seasonal lags and the covariates of the forecast row.
     ``lam`` is an optional Box-Cox parameter.
     """
+    split.need_whole("forecast_nnet")
     m = period or split.period
     index, key = split.index, list(split.key)
     at = [*range(1, lags + 1), *[m * j for j in range(1, seasonal_lags + 1)]]

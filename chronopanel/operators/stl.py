@@ -147,6 +147,7 @@ def stl(
 
     Series with missing values or fewer than two periods get NULL components.
     """
+    panel.need_whole("stl")
     periods = tuple(periods or (panel.period,))
     index = panel.index
     df = panel.df.select(*panel.key, index, F.col(y).cast("double").alias(y))

@@ -1,41 +1,19 @@
 """Moving frames, lags and plot data over ordered series.
 
-Every operator goes through :func:`framed`, which uses one shared window per
-panel, or blocks with copied edge rows when the panel asks for them.
+Every operator goes through :func:`chronopanel.panel.framed`, which uses one
+shared window per panel, or blocks with copied edge rows when the panel asks for
+them.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from chronopanel.panel import Panel, numbered, slot
-
-FrameExpr = Callable[[WindowSpec], Column]
-
-
-def framed(panel: Panel, exprs: dict[str, FrameExpr], before: int = 0, after: int = 0) -> Panel:
-    """Add columns that look at most ``before`` rows back and ``after`` ahead."""
-    if panel.block is None:
-        w = panel.window()
-        return panel.on(panel.df.withColumns({n: f(w) for n, f in exprs.items()}))
-    size = F.lit(panel.block)
-
-    def block_of(t: Column) -> Column:
-        return F.floor(t / size)
-
-    t = F.col("__t")
-    df = panel.df.withColumn("__t", slot(panel.index, panel.grain))
-    # A row is needed by every block whose rows reach it.
-    df = df.withColumn(
-        "__b", F.explode(F.sequence(block_of(t - after), block_of(t + before)))
-    )
-    w = Window.partitionBy(*panel.key, "__b").orderBy(panel.index)
-    df = df.withColumns({n: f(w) for n, f in exprs.items()})
-    return panel.on(df.where(F.col("__b") == block_of(t)).drop("__b", "__t"))
+from chronopanel.panel import FrameExpr, Panel, framed
 
 
 def _complete_mean(x: str, before: int, after: int) -> FrameExpr:
@@ -94,10 +72,7 @@ def difference(panel: Panel, x: str, lags: Sequence[int], name: str) -> Panel:
 
 
 def with_row_number(panel: Panel, name: str = "rn") -> Panel:
-    if panel.block is None:
-        return framed(panel, {name: lambda w: F.row_number().over(w).cast("long")})
-    blk = F.floor(slot(panel.index, panel.grain) / panel.block)
-    return panel.on(numbered(panel.df, panel.key, [panel.index], blk, name))
+    return panel.on(panel.with_position(name).df)
 
 
 def lag_pairs(panel: Panel, x: str, lags: Sequence[int]) -> DataFrame:
@@ -138,8 +113,12 @@ def season_plot(panel: Panel, x: str, cycle: str) -> DataFrame:
 def subseries(panel: Panel, x: str, season: Column, name: str = "season") -> DataFrame:
     """Each value with the mean of its season position."""
     df = panel.df.withColumn(name, season)
-    mean = F.avg(x).over(Window.partitionBy(*panel.key, name))
-    return df.select(*panel.key, panel.index, name, x, mean.alias("season_mean"))
+    place = [*panel.key, name]
+    if panel.block is None:
+        df = df.withColumn("season_mean", F.avg(x).over(Window.partitionBy(*place)))
+    else:
+        df = df.join(df.groupBy(*place).agg(F.avg(x).alias("season_mean")), place)
+    return df.select(*panel.key, panel.index, name, x, "season_mean")
 
 
 def label_events(
@@ -158,13 +137,17 @@ def cumulative(panel: Panel, x: str, name: str) -> Panel:
     rows = (Window.unboundedPreceding, 0)
     if panel.block is None:
         return framed(panel, {name: lambda w: F.sum(x).over(w.rowsBetween(*rows))})
-    df = panel.df.withColumn("__b", F.floor(slot(panel.index, panel.grain) / panel.block))
+    p = panel.placed()
+    df = p.df.withColumn("__b", F.floor((F.col(p.position) - 1) / panel.block))
     before = Window.partitionBy(*panel.key).orderBy("__b").rowsBetween(rows[0], -1)
     totals = df.groupBy(*panel.key, "__b").agg(F.sum(x).alias("__s"))
     totals = totals.select(
         *panel.key, "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o")
     )
-    inner = Window.partitionBy(*panel.key, "__b").orderBy(panel.index).rowsBetween(*rows)
+    inner = Window.partitionBy(*panel.key, "__b").orderBy(p.position).rowsBetween(*rows)
     df = df.join(totals, [*panel.key, "__b"])
-    df = df.withColumn(name, F.sum(x).over(inner) + F.col("__o"))
-    return panel.on(df.drop("__b", "__o"))
+    total = F.sum(x).over(inner)
+    # A block may begin with missing values: the sum so far is the earlier blocks'.
+    started = F.coalesce(total, F.when(F.col("__o") != 0, F.lit(0)))
+    df = df.withColumn(name, started + F.col("__o")).drop("__b", "__o")
+    return panel.on(df if panel.position else df.drop(p.position))

@@ -57,12 +57,13 @@ def regression_pairs(split: Panel, y: str) -> DataFrame:
 
 
 def arima_pairs(split: Panel, y: str, orders: arima.Orders = arima.Orders(2, 2)) -> DataFrame:
+    """Stepwise searches: seasonal orders for the plain and the full model, none where the season is in the regression."""
     key = list(split.key)
     test = splits.test(split).df.select(*key, "h", F.col(y).cast("double").alias("actual"))
-    models, designed = arima.fit_arima(splits.train(split), y, orders.nonseasonal())
-    plain = arima.forecast_arima(models, designed, y, arima.horizons(split), orders.nonseasonal())
+    models, designed = arima.fit_arima(splits.train(split), y, orders)
+    plain = arima.forecast_arima(models, designed, y, arima.horizons(split), orders)
     plain = plain.drop(split.index).join(test, [*key, "h"])
-    full = arima.arima_regression(split, y, ["t", *FLAGS], orders.nonseasonal())
+    full = arima.arima_regression(split, y, ["t", *FLAGS], orders)
     sdif = arima.arima_regression(split, y, ["t", "home", "covid", "holiday"], orders.nonseasonal())
     named = {"arima_plain": plain, "arima_full": full, "arima_sdif": sdif}
     return shape.bind_rows(*[_pairs(df, key, m) for m, df in named.items()])

@@ -66,8 +66,8 @@ def ev1b(t):
     """Ordered split of raw events in blocks, without gathering a type in one task."""
     from chronopanel.panel import numbered
 
-    ev = numbered(t("events").select("event_id", "event_type", "ts"), ["event_type"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "step")
-    p = Panel(ev, ("event_type",), "step", block=500)
+    ev = numbered(t("events").select("event_id", "event_type", "ts"), ["event_type"], ["ts", "event_id"], "step")
+    p = Panel(ev, ("event_type",), "step", block=500, position="step")
     return splits.split_by_share(p, 0.3).df.select("event_id", "event_type", "t", "part")
 
 

@@ -62,8 +62,8 @@ def x1d(t):
     from chronopanel.panel import numbered
 
     li = t("lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_quantity").alias("y"))
-    df = numbered(li, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], F.to_date("l_shipdate"), "t")
-    return features.acf(Panel(df.select("l_partkey", "t", "y"), ("l_partkey",), "t", block=1000), "y", 3)
+    df = numbered(li, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"], "t")
+    return features.acf(Panel(df.select("l_partkey", "t", "y"), ("l_partkey",), "t", block=1000, position="t"), "y", 3)
 
 
 def _pacf_sql(kmax: int) -> tuple[list[str], str]:

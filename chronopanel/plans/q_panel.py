@@ -114,9 +114,9 @@ def s6(t):
 
 @query("S7_row_numbers", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS row FROM events")
 def s7b(t):
-    """The row-number column some result files carry, numbered hour by hour."""
+    """The row-number column some result files carry, numbered over ranges of time."""
     ev = t("events").select("event_id", "ts")
-    return files.with_row_number(ev, ["ts", "event_id"], F.date_trunc("hour", "ts")).drop("ts")
+    return files.with_row_number(ev, ["ts", "event_id"]).drop("ts")
 
 
 @query(
@@ -188,9 +188,9 @@ def s11(t):
     "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events",
 )
 def s12(t):
-    """Raw events renumbered 1..n per type, hour block by hour block."""
+    """Raw events renumbered 1..n per type, a type spread over many tasks."""
     ev = t("events").select("event_id", "event_type", "ts")
-    return numbered(ev, ["event_type"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "step").drop("ts")
+    return numbered(ev, ["event_type"], ["ts", "event_id"], "step").drop("ts")
 
 
 @query(

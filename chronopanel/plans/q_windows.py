@@ -96,11 +96,11 @@ def w5(t):
     f"SELECT event_id, {r('value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id)')} AS change FROM events",
 )
 def w5b(t):
-    """First differences of raw events: numbered by hour blocks, then cut into blocks of 500 rows."""
+    """First differences of raw events: numbered over ranges of time, then cut into blocks of 500 rows."""
     ev = numbered(
-        t("events").select("event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "step"
+        t("events").select("event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"], "step"
     )
-    p = Panel(ev, ("event_type",), "step", block=500)
+    p = Panel(ev, ("event_type",), "step", block=500, position="step")
     return windows.difference(p, "value", [1], "change").df.select("event_id", "change")
 
 

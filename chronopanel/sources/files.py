@@ -77,13 +77,9 @@ def write_latest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def with_row_number(df: DataFrame, order: Sequence[str], block: Column, name: str = "row") -> DataFrame:
-    """Row numbers over a whole table, as some sinks want them.
-
-    ``block`` is a coarse bucket that follows the order; rows are numbered block
-    by block, so no task sorts the whole table.
-    """
-    return numbered(df, [], order, block, name)
+def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row") -> DataFrame:
+    """Row numbers over a whole table, as some sinks want them; no task sorts the whole table."""
+    return numbered(df, [], order, name)
 
 
 def register_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> None:

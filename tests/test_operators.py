@@ -42,21 +42,51 @@ def test_even_order_is_the_mean_of_two_means(spark):
     assert out == [None, None, *[float(x) for x in range(2, 8)], None, None]
 
 
-def test_blocks_give_the_same_frames(spark, noise):
+def gapped(spark, series, block, seed=4):
+    """The same values on an index with holes of any size, some of them missing."""
+    rng, rows = np.random.default_rng(seed), []
+    for k, vs in series.items():
+        at = np.cumsum(rng.choice([1, 1, 1, 2, 9, 40], len(vs)))
+        rows += [(k, int(i), None if rng.random() < 0.05 else float(v)) for i, v in zip(at, vs)]
+    return Panel(spark.createDataFrame(rows, "k string, i long, y double"), ("k",), "i", "step", block)
+
+
+@pytest.mark.parametrize("make", [panel_of, gapped])
+def test_blocks_give_the_same_frames(spark, noise, make):
+    """Blocked equals unblocked for every operator that takes blocks, on regular and on gapped indices."""
+
+    def only(p, name):
+        return p.on(p.df.withColumnRenamed(name, "v"))
+
     for fn in (
         lambda p: windows.moving_mean(p, "y", 12, 13, "v"),
         lambda p: windows.difference(p, "y", [12, 1], "v"),
         lambda p: windows.cumulative(p, "y", "v"),
+        lambda p: windows.daily_from_cumulative(p, "y", "v"),
         lambda p: windows.with_row_number(p, "v"),
         lambda p: windows.centred_ma(p, "y", 12, "v"),
+        lambda p: only(decompose.classical(p, "y", "additive", 6), "random"),
+        lambda p: only(decompose.classical(p, "y", "multiplicative", 4), "seasonal"),
+        lambda p: only(decompose.denoise(p, "y", "additive", 5), "denoised"),
+        lambda p: p.on(windows.subseries(p, "y", F.col("i") % 5).withColumnRenamed("season_mean", "v")),
+        lambda p: only(splits.split_by_share(p, 0.3), "h"),
     ):
-        a, b = (fn(panel_of(spark, noise, block=n)).df.orderBy("k", "i").collect() for n in (None, 10))
-        assert len(a) == len(b)
+        tables = [fn(make(spark, noise, block=n)).df for n in (None, 10)]
+        assert tables[0].columns == tables[1].columns
+        a, b = (t.orderBy("k", "i").collect() for t in tables)
+        assert len(a) == len(b) > 0
         for x, y in zip(a, b):
             assert (x.k, x.i) == (y.k, y.i)
             assert x.v == pytest.approx(y.v, abs=1e-9) if x.v is not None else y.v is None
 
 
+def test_operators_that_need_whole_series_refuse_blocks(spark, noise):
+    p = panel_of(spark, noise, block=10)
+    for fn in (lambda: decompose.x11_filters(p, "y", 4), lambda: stl.stl(p, "y", 6)):
+        with pytest.raises(ValueError, match="whole series"):
+            fn()
+
+
 def test_blocked_acf_equals_numpy(spark, noise):
     for block in (None, 20):
         rows = features.acf(panel_of(spark, noise, block=block), "y", 5).collect()
@@ -397,3 +427,42 @@ def test_guerrero_prefers_the_log_for_proportional_spread(spark):
 def test_dates_grain_shift(spark):
     p = Panel(spark.createDataFrame([("a", dt.date(2024, 1, 31), 1.0)], "k string, i date, y double"), ("k",), "i", "day")
     assert str(baseline.forecast_baselines(p, "y", 1, models=("naive",)).first().i) == "2024-02-01"
+
+
+def test_stepwise_search_over_any_landscape():
+    """Never worse than the first round, at a local best, and the whole grid on small limits."""
+    rng = np.random.default_rng(12)
+    for limits in ((3, 3, 1, 1), (2, 2, 1, 1), (1, 1, 0, 0), (2, 0, 1, 0), (0, 0, 0, 0)):
+        orders = arima.Orders(*limits)
+        for _ in range(20):
+            value = {c: float(v) for c, v in zip(orders.candidates(), rng.normal(size=len(orders.candidates())))}
+            fits = arima.searched(orders, lambda c: (None, 0.0, 0, value[c]), lambda c: True)
+            best = min(fits, key=lambda c: fits[c][3])
+            assert fits[best][3] <= min(value[c] for c in orders.first_round())
+            assert all(value[c] >= value[best] for c in orders.neighbours(best))
+            if limits == (1, 1, 0, 0):
+                assert fits.keys() == value.keys()
+        none = arima.searched(orders, lambda c: (None, 0.0, 0, 0.0), lambda c: c[4] == 0)
+        assert all(c[4] == 0 for c in none)
+
+
+def test_stepwise_orders_of_a_seasonal_series(spark):
+    """A product model of lags 1 and 12: the search takes the seasonal order; on small limits it equals the full grid."""
+    rng = np.random.default_rng(5)
+    series = {}
+    for k in "ab":
+        e, y = rng.normal(size=460), np.zeros(460)
+        for t in range(14, 460):
+            y[t] = 0.5 * y[t - 1] + 0.7 * y[t - 12] - 0.35 * y[t - 13] + e[t]
+        series[k] = 20 + y[60:]
+    p = panel_of(spark, series)
+    for limits, same in (((1, 1, 0, 0), True), ((2, 2, 1, 1), False)):
+        found, grid = (
+            {r.k: r for r in arima.fit_arima(p, "y", arima.Orders(*limits, d=0, D=0, stepwise=how), period=12)[0].collect()} for how in (True, False)
+        )
+        for k in "ab":
+            assert found[k].aicc >= grid[k].aicc - 1e-9
+            if same:
+                assert found[k].aicc == pytest.approx(grid[k].aicc, abs=1e-9)
+            else:
+                assert found[k].order_ps == 1 and found[k].aicc < grid[k].aicc + 3

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions import dates
@@ -52,19 +53,37 @@ def test_position(gap, block):
     ]
 
 
-def test_reindex_in_blocks_equals_one_window(gap):
-    plain = {(r.k, r.d): r.i for r in reindex(gap, "i").df.collect()}
-    block = F.floor(F.dayofmonth("d") / 2)
-    assert {(r.k, r.d): r.i for r in reindex(gap, "i", block).df.collect()} == plain
+@pytest.mark.parametrize("block", [None, 1, 2])
+def test_position_counts_rows_on_a_gapped_index(gap, block):
+    rows = gap.on(gap.df, block=block).with_position("t").df.collect()
+    assert sorted((r.k, r.d.day, r.t) for r in rows) == [("a", 1, 1), ("a", 2, 2), ("a", 5, 3), ("b", 3, 1), ("b", 4, 2)]
+
 
+def test_gaps_filled_in_blocks(gap):
+    assert sorted(fill_gaps(gap.on(gap.df, block=1)).df.collect()) == sorted(fill_gaps(gap).df.collect())
 
-def test_numbered_on_a_hot_key(spark):
-    df = spark.range(5000).select(
-        F.when(F.col("id") % 3 == 0, "rare").otherwise("hot").alias("k"), F.hash("id").alias("x"), "id"
-    )
-    out = numbered(df, ["k"], ["x", "id"], F.floor(F.col("x") / 100_000_000), "rn")
-    bad = out.groupBy("k").agg(F.count("rn").alias("n"), F.countDistinct("rn").alias("u"), F.max("rn").alias("m"))
-    assert bad.where("n <> u OR n <> m").count() == 0
+
+def test_spread_reindex_equals_one_window(gap):
+    plain = {(r.k, r.d): r.i for r in reindex(gap, "i").df.collect()}
+    assert {(r.k, r.d): r.i for r in reindex(gap, "i", spread=True).df.collect()} == plain
+
+
+def test_numbered_on_a_hot_key_and_a_hot_hour(spark):
+    """Nine of ten rows in one hour of one key: numbers are right, and no range holds more than its share."""
+    hour = F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(3)
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 30 == 0, F.lit(None)).when(F.col("id") % 3 == 0, "rare").otherwise("hot").alias("k"),
+        hour.alias("hour"), F.xxhash64("id").alias("x"), "id",
+    )
+    out = numbered(df.repartition(7), ["k"], ["hour", "x"], "rn")
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("hour", "x")))
+    assert out.columns == want.columns and out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, "k", "hour", "x").groupBy(F.spark_partition_id().alias("p")).count()
+    assert max(r["count"] for r in ranged.collect()) < 2 * 20_000 / parts
+    whole = numbered(df, [], ["x"], "rn").agg(F.min("rn"), F.max("rn"), F.countDistinct("rn")).first()
+    assert tuple(whole) == (1, 20_000, 20_000)
+    assert numbered(df.limit(0), ["k"], ["x"], "rn").collect() == []
 
 
 def test_iso_week_53(spark):
