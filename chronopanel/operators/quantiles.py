@@ -1,10 +1,15 @@
 """Exact order statistics without gathering a group in one task.
 
-A mergeable sketch brackets every wanted quantile.  The brackets cut the value
-axis into zones.  Rows between brackets only count (one partial row per zone and
-map task); rows inside a bracket are counted per value.  Running counts over the
-zones then give exact ranks.  A bracket holds a few rows in ten thousand plus
-repeats of a value, so the ranked part stays small however large a group is.
+The value axis is cut into zones of equal ratio, ``STEPS`` to a factor of two, so a
+value tells its zone without a look at the others.  The first scan counts and sums
+per key and zone, on the map side first; this zone table has a few thousand rows a
+key, however many rows the key has, and running counts over it tell in which zone a
+rank lies.  The second scan takes only rows in such zones, counts equal values, and
+ranks them inside their zone.
+
+One zone table serves quantiles, trimmed sums and the median of distances from the
+median: a zone's distances lie between two bounds even before the median is known,
+which leaves the few zones that can hold their middle.
 """
 
 from __future__ import annotations
@@ -15,114 +20,152 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.panel import Panel
-from chronopanel.session import written
 
-ACCURACY = 10000
-SLICES = 64
+#: Zones in a factor of two, and what keeps the numbers of positive zones positive.
+STEPS, LIFT = 4096, 1100
+NAN_ZONE = 1 << 40
 
 
-def _sketch(x: Column, probs: Sequence[float]) -> Column:
-    """Aggregate: lower then upper bracket ends of the sorted probabilities."""
-    slack = 1.5 / ACCURACY
-    cuts = [max(p - slack, 0.0) for p in sorted(probs)] + [min(p + slack, 1.0) for p in sorted(probs)]
-    return F.approx_percentile(x, F.lit(cuts), F.lit(ACCURACY))
+def _zone(x: Column) -> Column:
+    """Number of a value's zone: 0 for zero, negative for negative values; NaN comes last."""
+    size = F.floor((F.least(F.log2(F.abs(x)), F.lit(float(LIFT))) + LIFT) * STEPS) + 1
+    return F.when(F.isnan(x), F.lit(NAN_ZONE)).when(x == 0, F.lit(0)).when(x < 0, -size).otherwise(size).cast("long")
 
 
-def _zones(df: DataFrame, key: Sequence[str], x: str, sketches: DataFrame, k: int) -> DataFrame:
-    """Rank rows of every key, given ``n`` and the bracket array ``__b`` of ``k`` probabilities.
+def _edges(zone: Column) -> tuple[Column, Column]:
+    """Bounds of a zone's values, a little wide for rounding."""
+    size = F.abs(zone)
+    inner = F.pow(F.lit(2.0), (size - 1) / STEPS - LIFT) * (1 - 1e-9)
+    outer = F.pow(F.lit(2.0), size / STEPS - LIFT) * (1 + 1e-9)
+    none = F.lit(0.0)
+    low = F.when(zone == 0, none).when(zone < 0, -outer).otherwise(inner)
+    high = F.when(zone == 0, none).when(zone < 0, -inner).otherwise(outer)
+    return low, high
 
-    Columns: key, first and last rank ``lo`` and ``hi``, ``n``, ``one`` (a single
-    value inside a bracket), and ``total``, ``least``, ``most`` of the values.
-    """
-    v, b = F.col(x), F.col("__b")
-    zone, inside, part = F.lit(0), F.lit(False), F.lit(0).cast("long")
-    for i in range(k):
-        lower, upper = b[i], b[i + k]
-        zone = zone + (v >= lower).cast("int") + (v > upper).cast("int")
-        inside = inside | ((v >= lower) & (v <= upper))
-        # Equal slices of a bracket: they keep the order and spread its values.
-        piece = F.coalesce(F.floor(F.try_divide(v - lower, upper - lower) * SLICES), F.lit(0))
-        part = F.when((v >= lower) & (v <= upper), piece.cast("long")).otherwise(part)
-    rows = df.where(v.isNotNull()).join(sketches, list(key))
-    place = [*key, "__z", "__p"]
-    out = rows.groupBy(*key, "n", zone.alias("__z"), part.alias("__p"), F.when(inside, v).alias("__v")).agg(
-        F.count(F.lit(1)).alias("c"), F.sum(v).alias("total"), F.min(v).alias("least"), F.max(v).alias("most")
-    )
-    before = Window.partitionBy(*key).orderBy("__least").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = out.groupBy(*place).agg(F.sum("c").alias("__c"), F.min("least").alias("__least"))
-    sizes = sizes.select(*place, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    order = Window.partitionBy(*place).orderBy("least").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.join(sizes, place).withColumn("hi", F.sum("c").over(order) + F.col("__off"))
-    out = out.withColumn("lo", F.col("hi") - F.col("c") + 1).withColumn("one", F.col("__v").isNotNull())
-    return out.drop("__z", "__p", "__v", "__off")
-
-
-def rank_rows(df: DataFrame, key: Sequence[str], x: str, probs: Sequence[float]) -> DataFrame:
-    """Rank rows of ``x`` per key, fine enough for the given probabilities."""
-    df = df.where(F.col(x).isNotNull()).select(*key, F.col(x).cast("double").alias("__x"))
-    sketches = df.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), _sketch(F.col("__x"), probs).alias("__b")
-    )
-    return _zones(df, key, "__x", sketches, len(probs))
 
+def _distances(zone: Column, least: Column, most: Column) -> tuple[Column, Column]:
+    """Bounds of the distances between a zone's values and a middle from ``least`` to ``most``."""
+    low, high = _edges(zone)
+    return F.greatest(F.lit(0.0), low - most, least - high), F.greatest(high - least, most - low)
 
-_OUTSIDE = "rank lies outside its bracket"
 
+def _place(n: Column, p: float) -> tuple[Column, Column, Column]:
+    """Lower and upper rank of the linearly interpolated (type 7) quantile, and the share of the upper."""
+    h = (n - 1) * F.lit(float(p))
+    lower = (F.floor(h) + 1).cast("long")
+    return lower, F.least(lower + 1, n), h - F.floor(h)
 
-def _value_at(rank: Column) -> Column:
-    """Aggregate: the value with a given rank."""
-    here = (
-        F.when(F.col("one") | (F.col("lo") == rank), F.col("least"))
-        .when(F.col("hi") == rank, F.col("most"))
-        .otherwise(F.raise_error(F.lit(_OUTSIDE)).cast("double"))
-    )
-    return F.max(F.when((F.col("lo") <= rank) & (rank <= F.col("hi")), here))
 
+def _ranks(n: Column, probs: Sequence[float], trim: float | None) -> dict[str, Column]:
+    """All ranks that are looked up, by name."""
+    out = {}
+    for i, p in enumerate(probs):
+        out[f"l{i}"], out[f"u{i}"], _ = _place(n, p)
+    if trim is not None:
+        cut = F.floor(n * F.lit(trim)).cast("long")
+        out |= {"cut": cut, "top": n - cut}
+    return out
 
-def quantile_agg(p: float) -> Column:
-    """Aggregate over rank rows: the linearly interpolated (type 7) quantile."""
-    h = (F.col("n") - 1) * F.lit(p)
-    lower = F.floor(h) + 1
-    upper = F.least(lower + 1, F.col("n"))
-    below = _value_at(lower)
-    return below + F.max(h - F.floor(h)) * (_value_at(upper) - below)
-
-
-def _sum_of_least(rank: Column) -> Column:
-    """Aggregate: the sum of the ``rank`` smallest values."""
-    part = (
-        F.when(F.col("hi") <= rank, F.col("total"))
-        .when(F.col("lo") > rank, F.lit(0.0))
-        .when(F.col("one") | (F.col("lo") == rank), F.col("least") * (rank - F.col("lo") + 1))
-        .otherwise(F.raise_error(F.lit(_OUTSIDE)).cast("double"))
-    )
-    return F.sum(part)
 
+def order_statistics(
+    df: DataFrame, key: Sequence[str], x: str, probs: Sequence[float], names: Sequence[str], trim: float | None = None, mad: str | None = None, few_keys: bool = False
+) -> DataFrame:
+    """Per key: ``n``, exact type-7 quantiles, with ``trim`` the mean ``trimmed``, with ``mad`` the median distance from the median.
 
-def trimmed_mean_agg(trim: float) -> Column:
-    """Aggregate over rank rows probed at ``trim`` and ``1 - trim``: the trimmed mean."""
-    cut = F.floor(F.col("n") * F.lit(trim))
-    size = F.max(F.col("n") - 2 * cut)
-    return (_sum_of_least(F.col("n") - cut) - _sum_of_least(cut)) / size
+    Two scans.  ``few_keys`` says that the keys are known to be few, so that what is
+    looked up of them may be broadcast.
+    """
+    if mad and 0.5 not in probs:
+        raise ValueError("the median distance needs the median among the probabilities")
+    rows = df.where(F.col(x).isNotNull()).select(*key, F.col(x).cast("double").alias("__x")).withColumn("__z", _zone(F.col("__x")))
+    own = Window.partitionBy(*key)
+    upward = own.orderBy("__z").rowsBetween(Window.unboundedPreceding, 0)
+    n, c, zone = F.col("n"), F.col("c"), F.col("__z")
+
+    zones = rows.groupBy(*key, "__z").agg(F.count(F.lit(1)).alias("c"), F.sum("__x").alias("total"), F.min("__x").alias("least"), F.max("__x").alias("most"))
+    zones = zones.select("*", F.sum("c").over(own).alias("n"), F.sum("c").over(upward).alias("hi"), F.sum("total").over(upward).alias("upto"))
+    zones = zones.withColumn("lo", F.col("hi") - c + 1).withColumn("under", F.col("upto") - F.col("total"))
+
+    def here(rank: Column) -> Column:
+        return (F.col("lo") <= rank) & (rank <= F.col("hi"))
+
+    looked = [F.max(F.when(here(r), F.struct(zone.alias("z"), "lo", "under"))).alias(name) for name, r in _ranks(n, probs, trim).items()]
+    if mad:
+        lower, upper, _ = _place(n, 0.5)
+        zones = zones.withColumn("m_lo", F.max(F.when(here(lower), F.col("least"))).over(own)).withColumn("m_hi", F.max(F.when(here(upper), F.col("most"))).over(own))
+        near, far = _distances(zone, F.col("m_lo"), F.col("m_hi"))
+        zones = zones.withColumn("near", near).withColumn("far", far)
+        by = {d: F.sum("c").over(own.orderBy(d).rangeBetween(Window.unboundedPreceding, 0)) for d in ("near", "far")}
+        zones = zones.withColumns({f"{d}_upto": column for d, column in by.items()})
+        zones = zones.withColumn("d_lo", F.min(F.when(F.col("near_upto") >= lower, F.col("near"))).over(own))
+        zones = zones.withColumn("d_hi", F.min(F.when(F.col("far_upto") >= upper, F.col("far"))).over(own))
+        looked += [F.max(d).alias(d) for d in ("m_lo", "m_hi", "d_lo", "d_hi")]
+        looked.append(F.sum(F.when(F.col("far") < F.col("d_lo"), c).otherwise(0)).alias("closer"))
+    brief = zones.groupBy(*key).agg(F.max("n").alias("n"), *looked)
+    brief = brief.select(*key, F.struct(*[f for f in brief.columns if f not in key]).alias("b"))
+
+    n = F.col("b.n")
+    ranks = _ranks(n, probs, trim)
+    wanted = F.array_contains(F.array(*[F.col(f"b.{name}.z") for name in ranks]), zone)
+    middle = F.lit(False)
+    if mad:
+        near, far = _distances(zone, F.col("b.m_lo"), F.col("b.m_hi"))
+        middle = (far >= F.col("b.d_lo")) & (near <= F.col("b.d_hi"))
+    kept = rows.join(F.broadcast(brief) if few_keys else brief, list(key)).where(wanted | middle)
+    kept = kept.groupBy(*key, "__z", "__x").agg(F.count(F.lit(1)).alias("c"), F.first("b").alias("b"))
+    inside = Window.partitionBy(*key, "__z").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col("__x")
+    kept = kept.withColumn("upto", F.sum("c").over(inside)).withColumn("sum", F.sum(v * c).over(inside))
+
+    def at(name: str) -> tuple[Column, Column]:
+        """Whether a row holds the rank, and the rows before it."""
+        before = F.col(f"b.{name}.lo") - 1 + F.col("upto") - c
+        return (zone == F.col(f"b.{name}.z")) & (ranks[name] > before) & (ranks[name] <= before + c), before
+
+    def value(name: str) -> Column:
+        return F.max(F.when(at(name)[0], v))
+
+    def sum_of_least(name: str) -> Column:
+        hit, before = at(name)
+        part = F.col(f"b.{name}.under") + F.col("sum") - v * c + v * (ranks[name] - before)
+        # The rank 0 stands in no zone.
+        return F.coalesce(F.max(F.when(hit, part)), F.lit(0.0))
+
+    def between(low: Column, high: Column, share: Column) -> Column:
+        return low + share * (high - low)
+
+    share = {name: F.max(_place(n, p)[2]) for name, p in zip(names, probs)}
+    out = [between(value(f"l{i}"), value(f"u{i}"), share[name]).alias(name) for i, name in enumerate(names)]
+    if trim is not None:
+        size = F.max(ranks["top"] - ranks["cut"])
+        out.append(((sum_of_least("top") - sum_of_least("cut")) / size).alias("trimmed"))
+    if mad:
+        i = list(probs).index(0.5)
+        median = between(value(f"l{i}").over(own), value(f"u{i}").over(own), F.max(_place(n, 0.5)[2]).over(own))
+        kept = kept.withColumn("away", F.when(middle, F.abs(v - median)))
+        closer = own.orderBy("away").rangeBetween(Window.unboundedPreceding, 0)
+        kept = kept.withColumn("rank", F.sum(F.when(middle, c).otherwise(0)).over(closer) + F.col("b.closer"))
+        lower, upper, part = _place(n, 0.5)
+        held = [F.min(F.when(middle & (F.col("rank") >= r), F.col("away"))) for r in (lower, upper)]
+        out.append(between(*held, F.max(part)).alias(mad))
+    return kept.groupBy(*key).agg(F.max(n).alias("n"), *out)
 
 
 def quantiles(
     df: DataFrame, key: Sequence[str], x: str, probs: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
     """Exact type-7 quantiles of ``x`` per key, one column each."""
-    ranks = rank_rows(df, key, x, probs)
-    return ranks.groupBy(*key).agg(*[quantile_agg(p).alias(n) for p, n in zip(probs, names)])
+    return order_statistics(df, key, x, probs, names).drop("n")
 
 
 def describe(df: DataFrame, columns: Sequence[str], trim: float = 0.1) -> DataFrame:
     """One row of summary statistics per numeric column.
 
-    Five passes: moments, brackets, ranks, brackets of the distances from the
-    median, their ranks.  Moments have their own pass because sketches would
-    take them out of generated code.  Per-column tables have one row per column,
-    which is what makes broadcasting them safe.
+    Three scans: moments, zones, and the rows of the zones that hold a wanted rank.
+    Moments have their own pass, as generated code over the columns side by side.
+    Per-column tables have one row per column, which is what makes broadcasting
+    them safe.
     """
-    probs = [0.5, 0.25, 0.75, trim, 1 - trim]
 
     def moments(c: str) -> Column:
         x = F.col(c).cast("double")
@@ -140,31 +183,11 @@ def describe(df: DataFrame, columns: Sequence[str], trim: float = 0.1) -> DataFr
             (F.stddev_samp(x) / F.sqrt(n)).alias("se"),
         )
 
-    def bracket(c: str) -> Column:
-        x = F.col(c).cast("double")
-        return F.struct(F.lit(c).alias("variable"), F.count(x).alias("n"), _sketch(x, probs).alias("__b"))
-
-    def per_column(cell, label: str) -> DataFrame:
-        # One row per column; stored, so that no later use repeats the pass.
-        wide = df.agg(F.array(*[cell(c) for c in columns]).alias("s"))
-        return written(wide.select(F.explode("s").alias("s")).select("s.*"), label)
-
-    stats, brackets = per_column(moments, "moments"), per_column(bracket, "brackets")
+    stats = df.agg(F.array(*[moments(c) for c in columns]).alias("s")).select(F.explode("s").alias("s")).select("s.*")
     pairs = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns]
     long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.variable", "p.x")
-    ranks = _zones(long, ["variable"], "x", F.broadcast(brackets), len(probs))
-    order = ranks.groupBy("variable").agg(
-        quantile_agg(0.5).alias("median"),
-        quantile_agg(0.25).alias("q25"),
-        quantile_agg(0.75).alias("q75"),
-        trimmed_mean_agg(trim).alias("trimmed"),
-    )
-    order = written(order, "order-statistics")
-    centre = F.broadcast(order.select("variable", "median"))
-    away = long.join(centre, "variable").select("variable", F.abs(F.col("x") - F.col("median")).alias("dev"))
-    mad = quantiles(away, ["variable"], "dev", [0.5], ["__mad"])
-    out = stats.join(brackets.drop("__b"), "variable").join(F.broadcast(order), "variable")
-    out = out.join(F.broadcast(mad), "variable")
+    order = order_statistics(long, ["variable"], "x", [0.5, 0.25, 0.75], ["median", "q25", "q75"], trim, "__mad", few_keys=True)
+    out = stats.join(F.broadcast(order), "variable")
     return out.withColumn("mad", F.col("__mad") * 1.4826).drop("__mad")
 
 

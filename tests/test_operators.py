@@ -95,6 +95,28 @@ def test_blocked_acf_equals_numpy(spark, noise):
             assert r.acf == pytest.approx((e[r.lag:] * e[:-r.lag]).sum() / (e * e).sum(), abs=1e-10)
 
 
+def test_order_statistics_equal_numpy_at_any_scale(spark):
+    """Quantiles, trimmed mean and MAD over signs, zeros, ties, one value, huge and tiny numbers."""
+    rng = np.random.default_rng(9)
+    series = {
+        "mixed": rng.normal(0, 1, 4001), "far": 1e6 + rng.normal(0, 1, 3000), "ones": np.ones(50), "zeros": np.concatenate([np.zeros(300), rng.normal(size=99)]),
+        "ints": rng.integers(-3, 4, 2000), "log": np.exp(rng.normal(0, 40, 1500)) * rng.choice([-1, 1], 1500), "two": [-5.0, 7.0], "one": [3.5], "edge": 2.0 ** np.arange(-30, 30),
+        "half": np.concatenate([np.full(500, 1.0), rng.uniform(0, 1e-3, 499), [2.0, 5.0]]),
+    }
+    rows = [(k, float(v)) for k, vs in series.items() for v in vs] + [("mixed", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, y double").repartition(5)
+    probs = [0.5, 0.0, 0.05, 0.25, 0.9, 1.0]
+    found = {r.k: r for r in quantiles.order_statistics(df, ["k"], "y", probs, [f"q{i}" for i in range(6)], 0.1, "mad").collect()}
+    assert found.keys() == series.keys()
+    for k, vs in series.items():
+        v = np.sort(np.asarray(vs, float))
+        cut = int(np.floor(len(v) * 0.1))
+        want = [*np.quantile(v, probs), v[cut : len(v) - cut].mean(), np.median(np.abs(v - np.median(v)))]
+        scale = np.abs(v).max()
+        got = [*(found[k][f"q{i}"] for i in range(6)), found[k].trimmed, found[k].mad]
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-12 * scale), k
+
+
 def test_quantiles_equal_numpy_on_ties_and_small_groups(spark):
     rng = np.random.default_rng(1)
     series = {"a": rng.integers(0, 5, 400), "b": rng.normal(0, 1, 3), "c": [4.0], "d": rng.normal(size=25001)}
