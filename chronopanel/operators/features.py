@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -106,35 +107,39 @@ def _kpss_pvalue(stat: Column) -> Column:
     return out.when(stat > KPSS_TABLE[-1][1], F.lit(KPSS_TABLE[-1][0]))
 
 
-def kpss(panel: Panel, x: str) -> DataFrame:
-    """KPSS level-stationarity statistic with the short Bartlett bandwidth.
+def _running_products(panel: Panel, e: str) -> DataFrame:
+    """Per series: ``n``, sums of squares of the running sum and of ``e``, the lag product of the running sum, and the lag.
 
-    With C the running sum of the centred series and L one more than the
+    With C the running sum of a column that sums to zero and L one more than the
     bandwidth 4(n/100)^(1/4), the Bartlett long-run variance times n equals
     2/L (sum C_i^2 - sum C_i C_(i-L)): one lag product replaces the whole set of
     autocovariances.  L differs between series, so the lag is a second ordering of
     the same rows by position, joined on (key, position - L); any length works.
     """
-    p = _centred(panel.on(panel.df.where(F.col(x).isNotNull())), x)
     w, whole, key = panel.window(), panel.whole(), list(panel.key)
-    size = F.count("__e").over(whole)
-    df = p.df.withColumns(
+    size = F.count(e).over(whole)
+    df = panel.df.withColumns(
         {
-            "__cum": F.sum("__e").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "__cum": F.sum(e).over(w.rowsBetween(Window.unboundedPreceding, 0)),
             "__at": F.row_number().over(w),
             "__width": (F.floor(4 * F.pow(size / 100, 0.25)) + 1).cast("int"),
         }
-    ).select(*key, "__e", "__cum", "__at", "__width")
+    ).select(*key, F.col(e).alias("__e"), "__cum", "__at", "__width")
     ahead = df.select(*key, (F.col("__at") + F.col("__width")).alias("__at"), F.col("__cum").alias("__back"))
     df = df.join(ahead, [*key, "__at"], "left")
     c = F.col("__cum")
-    sums = df.groupBy(*panel.key).agg(
+    return df.groupBy(*panel.key).agg(
         F.count("__e").alias("n"),
         F.sum(c * c).alias("__s2"),
         F.coalesce(F.sum(c * F.col("__back")), F.lit(0.0)).alias("__sl"),
         F.sum(F.col("__e") * F.col("__e")).alias("__g0"),
         F.max("__width").alias("__l"),
     )
+
+
+def kpss(panel: Panel, x: str) -> DataFrame:
+    """KPSS level-stationarity statistic with the short Bartlett bandwidth."""
+    sums = _running_products(_centred(panel.on(panel.df.where(F.col(x).isNotNull())), x), "__e")
     long_run = 2 * (F.col("__s2") - F.col("__sl")) / F.col("__l")
     stat = F.when(F.col("__g0") > 1e-12, F.try_divide(F.col("__s2"), F.col("n") * long_run))
     return sums.select(*panel.key, "n", stat.alias("kpss_stat")).withColumn(
@@ -142,6 +147,45 @@ def kpss(panel: Panel, x: str) -> DataFrame:
     )
 
 
+def long_run_variance(panel: Panel, e: str) -> DataFrame:
+    """(key, n, short, long): variance of a column that sums to zero, alone and with its autocovariances under Bartlett weights."""
+    sums, n = _running_products(panel, e), F.col("n")
+    long_run = 2 * (F.col("__s2") - F.col("__sl")) / F.col("__l") / n
+    return sums.select(*panel.key, "n", (F.col("__g0") / n).alias("short"), long_run.alias("long"))
+
+
+# Critical values of the unit-root statistic with a constant: fixed values (p, limit, by 1/n, by 1/n^2).
+UNIT_ROOT_TABLE = [(0.01, -3.4335, -5.999, -29.25), (0.05, -2.8621, -2.738, -8.36), (0.1, -2.5671, -1.438, -4.48)]
+
+
+def phillips_perron(panel: Panel, x: str) -> DataFrame:
+    """Phillips-Perron unit-root statistic with a constant, and its p-value between 0.01 and 0.1.
+
+    One lag is the regressor, so the fit is one aggregation of sums; the residuals'
+    long-run variance corrects its t value.  Series without spread get NULL.
+    """
+    key, v = list(panel.key), F.col(x).cast("double")
+    p = panel.on(panel.df.where(F.col(x).isNotNull()).select(*key, panel.index, v.alias("__y")))
+    p = framed(p, {"__x": lambda w: F.lag("__y").over(w)}, 1)
+    p = p.on(p.df.where(F.col("__x").isNotNull()))
+    sums = p.df.groupBy(*key).agg(
+        F.regr_slope("__y", "__x").alias("slope"), F.regr_intercept("__y", "__x").alias("level"), F.regr_sxx("__y", "__x").alias("sxx"), F.var_pop("__y").alias("spread")
+    )
+    rows = p.df.join(sums.select(*key, "slope", "level"), key)
+    rows = rows.withColumn("__u", F.col("__y") - F.col("level") - F.col("slope") * F.col("__x"))
+    out = long_run_variance(p.on(rows.where(F.col("__u").isNotNull())), "__u").join(sums, key)
+    n, short, long = F.col("n"), F.col("short"), F.col("long")
+    t_value = F.try_divide(F.col("slope") - 1, F.sqrt(F.try_divide(short * n / (n - 2), F.col("sxx"))))
+    shift = F.try_divide((long - short) / 2, F.sqrt(long) * F.sqrt(F.col("spread") / n))
+    stat = F.when((n > 2) & (short > 1e-12) & (long > 0), F.sqrt(short / long) * t_value - shift)
+    limits = [(q, a + b / n + c / (n * n)) for q, a, b, c in UNIT_ROOT_TABLE]
+    value = F.when(F.col("pp_stat") <= limits[0][1], F.lit(limits[0][0]))
+    for (q0, c0), (q1, c1) in zip(limits, limits[1:]):
+        value = value.when(F.col("pp_stat") <= c1, q0 + (F.col("pp_stat") - c0) * (q1 - q0) / (c1 - c0))
+    value = value.when(F.col("pp_stat").isNotNull(), F.lit(limits[-1][0]))
+    return out.select(*key, "n", stat.alias("pp_stat")).withColumn("pp_pvalue", value).drop("n")
+
+
 def ndiffs(panel: Panel, x: str, alpha: float = 0.05) -> DataFrame:
     """Differences (0..2) until the level-stationarity test no longer rejects."""
     one = difference(panel, x, [1], "__x1")
@@ -290,7 +334,7 @@ def tiled(panel: Panel, x: str, width: int | None = None) -> DataFrame:
 
 
 def level_shifts(panel: Panel, x: str, width: int | None = None) -> DataFrame:
-    """Largest change of mean and variance between two neighbouring windows."""
+    """Largest change of mean and variance between two neighbouring windows, and the last row before it."""
     k = width or max(panel.period, 10)
 
     def shift_of(agg):
@@ -301,12 +345,122 @@ def level_shifts(panel: Panel, x: str, width: int | None = None) -> DataFrame:
 
         return expr
 
-    p = framed(panel, {"__lm": shift_of(F.avg), "__lv": shift_of(F.var_samp)}, k, k)
-    return p.df.groupBy(*panel.key).agg(
-        F.max("__lm").alias("shift_level_max"), F.max("__lv").alias("shift_var_max")
+    p = framed(panel.with_position("t"), {"__lm": shift_of(F.avg), "__lv": shift_of(F.var_samp)}, k, k)
+
+    def largest(c: str) -> Column:
+        # Of equal changes the first.
+        return F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), (-F.col("t")).alias("t"))))
+
+    out = p.df.groupBy(*panel.key).agg(largest("__lm").alias("m"), largest("__lv").alias("v"))
+    return out.select(
+        *panel.key, F.col("m.v").alias("shift_level_max"), (-F.col("m.t")).alias("shift_level_index"), F.col("v.v").alias("shift_var_max"), (-F.col("v.t")).alias("shift_var_index")
     )
 
 
+def kl_shift(panel: Panel, x: str, width: int | None = None, grid: int = 50) -> DataFrame:
+    """Largest Kullback-Leibler divergence between the densities of two neighbouring windows, and the last row before it.
+
+    Every value spreads as a normal kernel of the series' rule-of-thumb bandwidth over
+    a grid from its smallest to its largest value; a window's density is the mean of
+    its rows, so one pair of frames a grid point serves all windows.  Series of fewer
+    than two windows get NULL.
+    """
+    k, v, key = width or max(panel.period, 10), F.col(x).cast("double"), list(panel.key)
+    p = panel.on(panel.df.where(F.col(x).isNotNull()).select(*key, panel.index, v.alias("__v"))).with_position("t")
+    quarter = F.percentile("__v", F.array(F.lit(0.25), F.lit(0.75)))
+    stats = p.df.groupBy(*key).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.stddev_samp("__v").alias("sd"), quarter.alias("q"), F.count(F.lit(1)).alias("n"))
+    narrow = F.nullif(F.least(F.col("sd"), (F.col("q")[1] - F.col("q")[0]) / 1.34), F.lit(0.0))
+    band = 0.9 * F.coalesce(narrow, F.nullif("sd", F.lit(0.0)), F.lit(1.0)) * F.pow(F.col("n"), -0.2)
+    stats = stats.select(*key, "lo", ((F.col("hi") - F.col("lo")) / (grid - 1)).alias("step"), band.alias("band"))
+    rows = p.df.join(stats, key).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    z = (F.col("lo") + F.col("g") * F.col("step") - F.col("__v")) / F.col("band")
+    least = math.exp(-38 * 38 / 2) / math.sqrt(2 * math.pi)
+    rows = rows.select(*key, "t", "g", "step", F.greatest(F.exp(-z * z / 2) / (F.col("band") * math.sqrt(2 * math.pi)), F.lit(least)).alias("d"))
+    cell = Panel(rows, (*key, "g"), "t", block=panel.block, position="t")
+
+    def mean(first: int, last: int):
+        def expr(w):
+            frame = w.rowsBetween(first, last)
+            return F.when(F.count("d").over(frame) == k, F.avg("d").over(frame))
+
+        return expr
+
+    cell = framed(cell, {"left": mean(-k + 1, 0), "right": mean(1, k)}, k, k)
+    part = F.col("left") * (F.ln("left") - F.ln("right")) * F.col("step")
+    each = cell.df.groupBy(*key, "t").agg(F.sum(part).alias("kl"))
+    top = F.max(F.when(F.col("kl").isNotNull(), F.struct("kl", (-F.col("t")).alias("t"))))
+    out = each.groupBy(*key).agg(top.alias("top"))
+    return out.select(*key, F.col("top.kl").alias("shift_kl_max"), (-F.col("top.t")).alias("shift_kl_index"))
+
+
+def spectral_entropy(panel: Panel, x: str, lags: int = 12, points: int = 32) -> DataFrame:
+    """Entropy of the normalised spectral density, between 0 (one frequency) and 1 (white noise).
+
+    The density is the Fourier transform of the autocorrelations under Bartlett
+    weights, at evenly spaced frequencies: sums of cosines over the ``lags`` numbers that
+    one aggregation gives.
+    """
+    wide = acf_wide(panel, x, range(1, lags + 1))
+    rs = F.array(*[F.coalesce(F.col(f"r{k}"), F.lit(0.0)) for k in range(1, lags + 1)])
+
+    def density(j: Column) -> Column:
+        def add(total: Column, k: Column) -> Column:
+            return total + (1 - k / (lags + 1)) * F.get("rs", k - 1) * F.cos(j * k * (math.pi / points))
+
+        return F.greatest(1 + 2 * F.aggregate(F.sequence(F.lit(1), F.lit(lags)), F.lit(0.0), add), F.lit(0.0))
+
+    out = wide.select(*panel.key, "r1", rs.alias("rs")).withColumn("s", F.transform(F.sequence(F.lit(0), F.lit(points)), density))
+    total = F.aggregate("s", F.lit(0.0), lambda a, b: a + b)
+    out = out.withColumn("total", total)
+
+    def term(a: Column, s: Column) -> Column:
+        share = s / F.col("total")
+        return a - F.when(share > 0, share * F.ln(share)).otherwise(0.0)
+
+    entropy = F.aggregate("s", F.lit(0.0), term) / math.log(points + 1)
+    return out.select(*panel.key, F.when(F.col("r1").isNotNull(), entropy).alias("spectral_entropy"))
+
+
+def hurst(panel: Panel, x: str, least: int = 3) -> DataFrame:
+    """Hurst exponent by rescaled ranges: the slope of log range over log scale, scales 2**least, doubled up to the length.
+
+    A window's range is that of the running sum of its centred values, over their
+    standard deviation; windows without spread count for nothing, series with fewer
+    than two scales get NULL.  Every scale cuts a series into windows, which are the
+    groups, so no task sees more than the largest.
+    """
+    key, v = list(panel.key), F.col(x).cast("double")
+    p = panel.on(panel.df.where(F.col(x).isNotNull()).select(*key, panel.index, v.alias("__v"))).with_position("t")
+    sizes = p.df.groupBy(*key).agg(F.max("t").alias("n"))
+    rows = p.df.join(sizes.where(F.col("n") >= 2 ** (least + 1)), key)
+    rows = rows.withColumn("size", F.explode(F.sequence(F.lit(least), F.floor(F.log2("n")).cast("int"))))
+    rows = rows.withColumn("size", F.pow(F.lit(2), F.col("size")).cast("long")).withColumn("tile", F.floor((F.col("t") - 1) / F.col("size")))
+    rows = rows.where((F.col("tile") + 1) * F.col("size") <= F.col("n"))
+    tile = Window.partitionBy(*key, "size", "tile")
+    rows = rows.withColumn("__c", F.col("__v") - F.avg("__v").over(tile))
+    rows = rows.withColumn("__sum", F.sum("__c").over(tile.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    spread = F.when(F.max("__v") > F.min("__v"), F.stddev_pop("__v"))
+    tiles = rows.groupBy(*key, "size", "tile").agg(((F.max("__sum") - F.min("__sum")) / spread).alias("rs"))
+    scales = tiles.groupBy(*key, "size").agg(F.avg("rs").alias("rs")).where(F.col("rs") > 0)
+    slopes = scales.groupBy(*key).agg(F.regr_slope(F.ln("rs"), F.ln("size")).alias("coef_hurst"))
+    return p.df.select(*key).distinct().join(slopes, key, "left")
+
+
+def feat_pacf(panel: Panel, x: str, period: int | None = None) -> DataFrame:
+    """Sums of the first five squared partial autocorrelations of the series and its differences, and the one at the season."""
+    m, key = period or panel.period, list(panel.key)
+
+    def five(p: Panel, c: str, name: str, more: int = 0) -> DataFrame:
+        wide = pacf_wide(p, c, max(5, more))
+        total = F.aggregate(F.slice("pacf", 1, 5), F.lit(0.0), lambda a, b: a + b * b)
+        season = [F.get("pacf", F.lit(more - 1)).alias("season_pacf")] if more > 1 else []
+        return wide.select(*key, F.nanvl(total, F.lit(None)).alias(name), *season)
+
+    one, two = difference(panel, x, [1], "__x1"), difference(panel, x, [1, 1], "__x2")
+    tables = [five(panel, x, "pacf5", m), five(one, "__x1", "diff1_pacf5"), five(two, "__x2", "diff2_pacf5")]
+    return reduce(lambda a, b: a.join(b, key, "left"), tables)
+
+
 def crossings(panel: Panel, x: str) -> DataFrame:
     """Crossings of the median, and the longest run inside one of ten value bands."""
     whole = panel.whole()
@@ -370,20 +524,21 @@ def feature_table(panel: Panel, x: str, decomposed: Panel, rest: str = "random")
     key = list(panel.key)
     unit = kpss(panel, x).select(*key, "kpss_stat", "kpss_pvalue")
     white = portmanteau(panel, x, 1).select(*key, "bp_stat", "bp_pvalue", "lb_stat", "lb_pvalue")
-    part = pacf_wide(panel, x, 5).select(
-        *key, F.aggregate("pacf", F.lit(0.0), lambda a, b: a + b * b).alias("pacf5")
-    )
     strong = strengths(decomposed, "trend", "seasonal", rest)
     tables = [
         feat_acf(panel, x),
-        part,
+        feat_pacf(panel, x),
         strong,
         unit,
+        phillips_perron(panel, x),
+        spectral_entropy(panel, x),
+        hurst(panel, x),
         ndiffs(panel, x),
         nsdiffs(strong, key),
         white,
         tiled(panel, x),
         level_shifts(panel, x),
+        kl_shift(panel, x),
         crossings(panel, x),
         intermittency(panel, x),
         arch_lm(panel, x),

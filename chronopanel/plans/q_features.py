@@ -286,6 +286,132 @@ def x12b(t):
     return features.tiled(p, "y", 10).join(features.crossings(p, "y"), "o_orderstatus")
 
 
+def _entropy_sql(lags: int, points: int) -> str:
+    cosines = " + ".join(f"{1 - k / (lags + 1)!r} * coalesce(r{k}, 0) * cos(j * {k} * pi() / {points})" for k in range(1, lags + 1))
+    return f"greatest(1 + 2 * ({cosines}), 0)"
+
+
+@query(
+    "X12_spectral_entropy",
+    with_ctes(
+        OW, *acf_ctes("ow", "o_orderpriority", "week", "y", list(range(1, 13))),
+        f"sp AS (SELECT o_orderpriority, {_entropy_sql(12, 32)} AS s FROM ac, range(0, 33) g(j))",
+        "pr AS (SELECT o_orderpriority, s / sum(s) OVER (PARTITION BY o_orderpriority) AS p FROM sp)",
+        select=f"SELECT o_orderpriority, {r('-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(33)')} AS spectral_entropy FROM pr GROUP BY 1",
+    ),
+)
+def x12d(t):
+    """Entropy of the spectral density of every weekly series."""
+    return features.spectral_entropy(weekly(t), "y")
+
+
+@query(
+    "X12_hurst",
+    with_ctes(
+        OD,
+        "sc AS (SELECT o_orderstatus, t, CAST(y AS DOUBLE) AS y, n, unnest(range(3, CAST(floor(log2(n)) AS BIGINT) + 1)) AS e FROM od)",
+        "ti AS (SELECT o_orderstatus, t, y, 1 << e AS size, (t - 1) // (1 << e) AS tile FROM sc WHERE ((t - 1) // (1 << e) + 1) * (1 << e) <= n)",
+        "ce AS (SELECT *, y - avg(y) OVER (PARTITION BY o_orderstatus, size, tile) AS c FROM ti)",
+        "cu AS (SELECT *, sum(c) OVER (PARTITION BY o_orderstatus, size, tile ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM ce)",
+        "rs AS (SELECT o_orderstatus, size, tile, (max(s) - min(s)) / CASE WHEN max(y) > min(y) THEN stddev_pop(y) END AS rs FROM cu GROUP BY 1, 2, 3)",
+        "sl AS (SELECT o_orderstatus, size, avg(rs) AS rs FROM rs GROUP BY 1, 2)",
+        select=f"SELECT o_orderstatus, {r('regr_slope(ln(rs), ln(size))')} AS coef_hurst FROM sl GROUP BY 1",
+    ),
+)
+def x12e(t):
+    """Hurst exponent of every daily series."""
+    return features.hurst(daily(t), "y")
+
+
+@query(
+    "X12_kl_shift",
+    with_ctes(
+        LM,
+        f"st AS (SELECT {LMK}, min(y) AS lo, max(y) AS hi, stddev_samp(y) AS sd, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr, count(*) AS n FROM (SELECT {LMK}, CAST(y AS DOUBLE) AS y FROM lm) GROUP BY {LMK})",
+        f"bw AS (SELECT {LMK}, lo, (hi - lo) / 49 AS step, 0.9 * coalesce(nullif(least(sd, iqr / 1.34), 0), nullif(sd, 0), 1) * pow(n, -0.2) AS h FROM st)",
+        f"de AS (SELECT {LMK}, t, g, step, greatest(exp(-pow((lo + g * step - y) / h, 2) / 2) / (h * sqrt(2 * pi())), exp(-722.0::DOUBLE) / sqrt(2 * pi())) AS dn FROM lm JOIN bw USING ({LMK}), range(0, 50) r(g))",
+        f"wi AS (SELECT {LMK}, t, g, step, CASE WHEN count(*) OVER l = 12 THEN avg(dn) OVER l END AS a, CASE WHEN count(*) OVER f = 12 THEN avg(dn) OVER f END AS b FROM de "
+        f"WINDOW l AS (PARTITION BY {LMK}, g ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), f AS (PARTITION BY {LMK}, g ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING))",
+        f"kl AS (SELECT {LMK}, t, sum(a * (ln(a) - ln(b)) * step) AS kl FROM wi GROUP BY {LMK}, t)",
+        select=f"SELECT {LMK}, {r('max(kl)')} AS shift_kl_max, arg_max(t, kl) AS shift_kl_index FROM kl GROUP BY {LMK}",
+    ),
+)
+def x12f(t):
+    """Largest change of distribution between two neighbouring years of every monthly series."""
+    return features.kl_shift(monthly(t), "y")
+
+
+@query(
+    "X12_level_shifts",
+    with_ctes(
+        LM,
+        f"wi AS (SELECT {LMK}, t, CASE WHEN count(y) OVER l = 12 AND count(y) OVER f = 12 THEN abs(avg(y) OVER f - avg(y) OVER l) END AS m, "
+        f"CASE WHEN count(y) OVER l = 12 AND count(y) OVER f = 12 THEN abs(var_samp(y) OVER f - var_samp(y) OVER l) END AS v FROM lm "
+        f"WINDOW l AS (PARTITION BY {LMK} ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), f AS (PARTITION BY {LMK} ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING))",
+        select=f"SELECT {LMK}, {r('max(m)', 4)} AS shift_level_max, arg_max(t, m) AS shift_level_index, {r('max(v)', 4)} AS shift_var_max, arg_max(t, v) AS shift_var_index FROM wi GROUP BY {LMK}",
+    ),
+    digits=4,
+)
+def x12g(t):
+    """Largest change of mean and of variance between two neighbouring years, and where."""
+    return features.level_shifts(monthly(t), "y")
+
+
+_PP_VALUE = """CASE WHEN stat <= c1 THEN 0.01 WHEN stat <= c5 THEN 0.01 + (stat - c1) * 0.04 / (c5 - c1) WHEN stat <= c10 THEN 0.05 + (stat - c5) * 0.05 / (c10 - c5) ELSE 0.1 END"""
+
+
+@query(
+    "X12_phillips_perron",
+    with_ctes(
+        LM,
+        f"ll AS (SELECT {LMK}, t, CAST(y AS DOUBLE) AS y, CAST(lag(y) OVER (PARTITION BY {LMK} ORDER BY t) AS DOUBLE) AS x FROM lm)",
+        f"ft AS (SELECT {LMK}, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, var_pop(y) AS vy, count(*) AS n FROM ll WHERE x IS NOT NULL GROUP BY {LMK})",
+        f"re AS (SELECT {LMK}, t, y - a - b * x AS u, n, CAST(floor(4 * pow(n / 100.0, 0.25)) AS BIGINT) AS w FROM ll JOIN ft USING ({LMK}) WHERE x IS NOT NULL)",
+        f"co AS (SELECT i.l_returnflag, i.l_linestatus, sum((1 - (i.t - j.t) / (i.w + 1.0)) * i.u * j.u) AS s FROM re AS i JOIN re AS j ON i.l_returnflag = j.l_returnflag AND i.l_linestatus = j.l_linestatus AND j.t < i.t AND j.t >= i.t - i.w GROUP BY 1, 2)",
+        f"va AS (SELECT {LMK}, avg(u * u) AS s FROM re GROUP BY {LMK})",
+        f"st AS (SELECT {LMK}, n, va.s AS s, va.s + 2 * co.s / n AS g, b, sxx, vy FROM ft JOIN va USING ({LMK}) JOIN co USING ({LMK}))",
+        f"pp AS (SELECT {LMK}, n, sqrt(s / g) * (b - 1) / sqrt(s * n / (n - 2) / sxx) - (g - s) / 2 / (sqrt(g) * sqrt(vy / n)) AS stat, "
+        "-3.4335 - 5.999 / n - 29.25 / (n * n) AS c1, -2.8621 - 2.738 / n - 8.36 / (n * n) AS c5, -2.5671 - 1.438 / n - 4.48 / (n * n) AS c10 FROM st)",
+        select=f"SELECT {LMK}, {r('stat')} AS pp_stat, {r(_PP_VALUE)} AS pp_pvalue FROM pp",
+    ),
+)
+def x12h(t):
+    """Unit-root test with a long-run variance, for every monthly series."""
+    return features.phillips_perron(monthly(t), "y")
+
+
+def _pacf_ctes(kmax: int, src: str, tag: str) -> list[str]:
+    """Durbin-Levinson in SQL: the last CTE, <tag>p<kmax>, has the partial autocorrelations as f<k>_<k>."""
+    ctes = [f"{tag}p1 AS (SELECT *, r1 AS f1_1 FROM {src})"]
+    for k in range(2, kmax + 1):
+        num = f"r{k} - (" + " + ".join(f"f{k-1}_{j} * r{k-j}" for j in range(1, k)) + ")"
+        den = "1 - (" + " + ".join(f"f{k-1}_{j} * r{j}" for j in range(1, k)) + ")"
+        ctes.append(f"{tag}q{k} AS (SELECT *, ({num}) / ({den}) AS f{k}_{k} FROM {tag}p{k-1})")
+        rest = ", ".join(f"f{k-1}_{j} - f{k}_{k} * f{k-1}_{k-j} AS f{k}_{j}" for j in range(1, k))
+        ctes.append(f"{tag}p{k} AS (SELECT *, {rest} FROM {tag}q{k})")
+    return ctes
+
+
+_FIVE = " + ".join(f"pow(f{k}_{k}, 2)" for k in range(1, 6))
+_LM_T = f"OVER (PARTITION BY {LMK} ORDER BY t)"
+
+
+@query(
+    "X12_pacf_features",
+    with_ctes(
+        LM,
+        f"e1 AS (SELECT {LMK}, t, y - lag(y) {_LM_T} AS y FROM lm)", f"e2 AS (SELECT {LMK}, t, y - lag(y) {_LM_T} AS y FROM e1)",
+        *acf_ctes("lm", LMK, "t", "y", list(range(1, 13)), "a0"), *acf_ctes("e1", LMK, "t", "y", list(range(1, 6)), "a1"), *acf_ctes("e2", LMK, "t", "y", list(range(1, 6)), "a2"),
+        *_pacf_ctes(12, "a0", "u"), *_pacf_ctes(5, "a1", "v"), *_pacf_ctes(5, "a2", "w"),
+        f"s0 AS (SELECT {LMK}, {r(_FIVE)} AS pacf5, {r('f12_12')} AS season_pacf FROM up12)", f"s1 AS (SELECT {LMK}, {r(_FIVE)} AS diff1_pacf5 FROM vp5)", f"s2 AS (SELECT {LMK}, {r(_FIVE)} AS diff2_pacf5 FROM wp5)",
+        select=f"SELECT * FROM s0 JOIN s1 USING ({LMK}) JOIN s2 USING ({LMK})",
+    ),
+)
+def x12i(t):
+    """The four features of partial autocorrelations of every monthly series."""
+    return features.feat_pacf(monthly(t), "y")
+
+
 @query(
     "X12_intermittency",
     with_ctes(

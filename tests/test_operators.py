@@ -488,3 +488,41 @@ def test_stepwise_orders_of_a_seasonal_series(spark):
                 assert found[k].aicc == pytest.approx(grid[k].aicc, abs=1e-9)
             else:
                 assert found[k].order_ps == 1 and found[k].aicc < grid[k].aicc + 3
+
+
+def test_unit_root_statistic_equals_numpy(spark):
+    rng = np.random.default_rng(21)
+    series = {"walk": np.cumsum(rng.normal(size=150)), "noise": rng.normal(5, 1, 90), "flat": np.ones(30), "one": [2.0], "two": [1.0, 2.0]}
+    found = {r.k: r for r in features.phillips_perron(panel_of(spark, series), "y").collect()}
+    for k in ("walk", "noise"):
+        y, x = series[k][1:], series[k][:-1]
+        n = len(y)
+        design = np.column_stack([np.ones(n), x])
+        beta, *_ = np.linalg.lstsq(design, y, rcond=None)
+        u = y - design @ beta
+        width = int(4 * (n / 100) ** 0.25)
+        short = (u @ u) / n
+        long = short + 2 / n * sum((1 - j / (width + 1)) * (u[j:] @ u[:-j]) for j in range(1, width + 1))
+        se = np.sqrt(u @ u / (n - 2) / ((x - x.mean()) ** 2).sum())
+        want = np.sqrt(short / long) * (beta[1] - 1) / se - (long - short) / 2 / np.sqrt(long) / np.sqrt(y.var() / n)
+        assert found[k].pp_stat == pytest.approx(want, rel=1e-8)
+    assert found["noise"].pp_pvalue == 0.01 and found["walk"].pp_pvalue > 0.05
+    assert all(found[k].pp_stat is None and found[k].pp_pvalue is None for k in ("flat", "two") if k in found)
+
+
+def test_features_of_short_flat_and_gappy_series(spark):
+    """No error and NULL where a feature has no meaning; known values where it has."""
+    rng = np.random.default_rng(22)
+    jump = np.concatenate([rng.normal(0, 1, 40), rng.normal(9, 1, 40)])
+    series = {"one": [1.0], "flat": np.full(64, 3.0), "jump": jump, "gaps": [None if k % 9 == 4 else float(v) for k, v in enumerate(jump)], "noise": rng.normal(size=2048)}
+    p = panel_of(spark, series)
+    kl = {r.k: r for r in features.kl_shift(p, "y", 12).collect()}
+    level = {r.k: r for r in features.level_shifts(p, "y", 12).collect()}
+    assert kl["one"].shift_kl_max is None and kl["flat"].shift_kl_max == 0
+    assert abs(kl["jump"].shift_kl_index - 40) <= 1 and level["jump"].shift_level_index == 40
+    entropy = {r.k: r.spectral_entropy for r in features.spectral_entropy(p, "y").collect()}
+    assert entropy["one"] is None and entropy["flat"] is None and entropy["noise"] > 0.97 > entropy["jump"]
+    slope = {r.k: r.coef_hurst for r in features.hurst(p, "y").collect()}
+    assert slope["one"] is None and slope["flat"] is None and 0.45 < slope["noise"] < 0.7 and slope["jump"] > slope["noise"]
+    blocked = {r.k: r for r in features.kl_shift(panel_of(spark, series, block=7), "y", 12).collect()}
+    assert all(blocked[k].shift_kl_index == kl[k].shift_kl_index for k in ("jump", "gaps"))
