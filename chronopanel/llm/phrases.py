@@ -40,7 +40,7 @@ BLANKS = b"\x20\x09"
 #: Words of the dictionary that may be broadcast, at some 60 bytes each.
 DICTIONARY_ROWS = 1_000_000
 #: Expected phrases of a shard, and phrases held by a task before they are counted.
-SHARD_KEYS = HELD_KEYS = 2_000_000
+SHARD_KEYS = HELD_KEYS = 1_000_000
 PAIR_BITS = 1 << 26
 #: Buckets in which words are numbered.
 BUCKETS = 256
