@@ -11,6 +11,7 @@ frontiers are fitted in batches of series, costs one aggregation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from itertools import product
@@ -202,6 +203,15 @@ class Product:
                 break
         return full, max(best, 0.0), rank
 
+    def unit_variances(self, gram: np.ndarray, full: np.ndarray) -> list[float | None]:
+        """Variances of the free coefficients for a residual variance of 1, from the Gauss-Newton products; None for the others."""
+        slope = self.expanded(full[self.free])[1]
+        inner = np.linalg.pinv(slope.T @ gram[:-1, :-1] @ slope, rcond=1e-13, hermitian=True) if self.free else np.zeros((0, 0))
+        out: list[float | None] = [None] * self.size
+        for i, place in enumerate(self.free):
+            out[place] = float(inner[i, i])
+        return out
+
 
 def criterion(n, rss, rank):
     """AICc of a fit; a model with too many coefficients for its rows has none."""
@@ -235,7 +245,7 @@ def product_solver(orders: Orders):
     models, k = {c: Product(orders, c) for c in candidates}, 1 + len(_columns(orders))
     number = {c: i for i, c in enumerate(candidates)}
 
-    @F.pandas_udf("array<struct<i:int,coef:array<double>,rss:double,rank:int>>")
+    @F.pandas_udf("array<struct<i:int,coef:array<double>,rss:double,rank:int,unit:array<double>>>")
     def solve(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for grams, ns, differences in batches:
             rows = []
@@ -247,7 +257,7 @@ def product_solver(orders: Orders):
 
                 # A constant beside two differences would be a quadratic trend.
                 fits = searched(orders, fit, lambda c, d=d: c[4] == 0 or d < 2 or orders.constant is True)
-                rows.append([{"i": number[c], "coef": full.tolist(), "rss": rss, "rank": rank} for c, (full, rss, rank, _) in sorted(fits.items())])
+                rows.append([{"i": number[c], "coef": full.tolist(), "rss": rss, "rank": rank, "unit": models[c].unit_variances(gram, full)} for c, (full, rss, rank, _) in sorted(fits.items())])
             yield pd.Series(rows, dtype=object)
 
     return solve
@@ -268,7 +278,7 @@ def select_model(designed: Panel, orders: Orders) -> DataFrame:
     solve = product_solver(orders)
     table = F.lit([list(c) for c in cands])
     out = sums.withColumn("f", solve("g", "n", F.col("order_d") + F.col("order_ds"))).select(*key, "n", "order_d", "order_ds", F.explode("f").alias("f"))
-    out = out.select(*key, "n", "order_d", "order_ds", F.get(table, F.col("f.i")).alias("o"), "f.coef", "f.rss", "f.rank")
+    out = out.select(*key, "n", "order_d", "order_ds", F.get(table, F.col("f.i")).alias("o"), "f.coef", "f.rss", "f.rank", "f.unit")
     n, k = F.col("n"), F.col("rank")
     aicc = n * F.log(F.greatest("rss", F.lit(1e-12)) / n) + 2 * (k + 1) + F.try_divide(2 * (k + 1) * (k + 2), n - k - 2)
     out = out.withColumn("aicc", aicc)
@@ -276,7 +286,7 @@ def select_model(designed: Panel, orders: Orders) -> DataFrame:
     pick = F.struct(
         "n", "order_d", "order_ds",
         *[F.col("o")[i].cast("long").alias(c) for i, c in enumerate(["order_p", "order_q", "order_ps", "order_qs", "constant"])],
-        "coef", F.try_divide("rss", n - k).alias("sigma2"), "rank", "rss", "aicc",
+        "coef", F.try_divide("rss", n - k).alias("sigma2"), "rank", "rss", "aicc", "unit",
     )
     best = out.groupBy(*key).agg(F.min_by(pick, F.struct("aicc", "o")).alias("b"))
     return best.select(*key, "b.*")
@@ -303,6 +313,29 @@ def fit_arima(panel: Panel, y: str, orders: Orders = Orders(), period: int | Non
     return models, p.on(df)
 
 
+def glance_arima(models: DataFrame, key: Sequence[str]) -> DataFrame:
+    """n, orders, sigma2, log_lik, aic, aicc, bic of fitted models; criteria as those of the regressions."""
+    n, k = F.col("n"), F.col("rank")
+    logs = n * F.log(F.greatest("rss", F.lit(1e-12)) / n)
+    return models.select(
+        *key, "n", "order_p", "order_d", "order_q", "order_ps", "order_ds", "order_qs", "sigma2", (-(n * (math.log(2 * math.pi) + 1) + logs) / 2).alias("log_lik"),
+        (logs + 2 * (k + 1)).alias("aic"), "aicc", (logs + (k + 1) * F.log(n)).alias("bic"),
+    )
+
+
+def tidy_arima(models: DataFrame, key: Sequence[str], orders: Orders) -> DataFrame:
+    """Coefficient table of fitted models: term, estimate, std_error, statistic; product lags follow from the others and have no row."""
+    kinds = {"w": "ar", "wS": "sar", "e": "ma", "eS": "sma"}
+    names = ["constant"]
+    for c in _columns(orders):
+        letters = c.rstrip("0123456789")
+        names.append(kinds.get(letters, "") + c[len(letters) :] if letters in kinds else "")
+    cells = F.posexplode(F.arrays_zip("coef", "unit"))
+    out = models.select(*key, "sigma2", cells.alias("i", "c")).where("c.unit IS NOT NULL")
+    out = out.select(*key, F.get(F.lit(names), F.col("i")).alias("term"), F.col("c.coef").alias("estimate"), F.sqrt(F.col("sigma2") * F.col("c.unit")).alias("std_error"))
+    return out.withColumn("statistic", F.try_divide("estimate", "std_error"))
+
+
 FORECAST = "struct<mean:array<double>,sd:array<double>>"
 
 
@@ -390,12 +423,13 @@ def horizons(split: Panel) -> DataFrame:
 
 
 def arima_regression(
-    split: Panel, y: str, xs: Sequence[str], orders: Orders, season: str = "season", period: int | None = None
+    split: Panel, y: str, xs: Sequence[str], orders: Orders, season: str = "season", period: int | None = None, residuals: bool = False
 ) -> DataFrame:
     """Seasonal regression with ARMA errors, forecast on all test rows of a split.
 
     Ordinary fit, ARMA orders of its residuals, one refit of the slopes on
-    columns filtered with the AR part, and the error forecast added on top.
+    columns filtered with the AR part, and the error forecast added on top.  With
+    ``residuals`` the innovations of the training rows instead: (key, index, resid).
     """
     m = period or split.period
     key = list(split.key)
@@ -436,6 +470,8 @@ def arima_regression(
     second = fit_ols(filtered.df, key, "__q0", names[1:], intercept=False).select(*key, F.col("coef").alias("beta"))
     refit = resid.on(resid.df.join(second, key).withColumn("__v", rest("beta")))
     models, designed = fit_arima(refit.on(refit.df.select(*key, split.index, "__v")), "__v", arma, m)
+    if residuals:
+        return designed.df.select(*key, split.index, F.col("innov").alias("resid"))
     noise = forecast_arima(models, designed, "__v", horizons(split), arma, m).select(*key, "h", F.col("mean").alias("__e"), "sd")
     means = train.df.groupBy(*key, season).agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate([y, *xs])])
     out = rows.where("part = 'test'").join(means, [*key, season], "left").join(second, key, "left")

@@ -559,20 +559,28 @@ def label_turns(features: DataFrame, columns: Sequence[str], period: int, letter
 def principal_scores(features: DataFrame, columns: Sequence[str], k: int = 2) -> DataFrame:
     """Scores on the first ``k`` principal components of the standardised columns.
 
-    Columns without spread are left out.  Each component is turned so that its
+    Columns without spread are left out, and rows with a missing value.  One
+    aggregation gives the correlations, a small matrix whose eigenvectors the driver
+    finds; scores are sums over a row's columns.  Each component is turned so that its
     largest loading is positive.
     """
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     spread = features.agg(*[F.stddev_samp(c).alias(c) for c in columns]).first()
     used = [c for c in columns if spread[c] and spread[c] > 0]
     df = features.na.drop(subset=used)
-    df = VectorAssembler(inputCols=used, outputCol="__v").transform(df)
-    df = StandardScaler(withMean=True, withStd=True, inputCol="__v", outputCol="__z").fit(df).transform(df)
-    model = PCA(k=k, inputCol="__z", outputCol="__pc").fit(df)
-    load = model.pc.toArray()
-    signs = [float(np.sign(load[np.abs(load[:, j]).argmax(), j])) for j in range(k)]
-    df = model.transform(df).withColumn("__a", vector_to_array("__pc"))
-    df = df.withColumns({f"pc{j + 1}": F.col("__a")[j] * signs[j] for j in range(k)})
-    return df.drop("__v", "__z", "__pc", "__a")
+    pairs = [(a, b) for i, a in enumerate(used) for b in used[i:]]
+    stats = df.agg(
+        F.array(*[F.avg(c) for c in used]).alias("mean"), F.array(*[F.stddev_samp(c) for c in used]).alias("sd"), F.array(*[F.covar_samp(a, b) for a, b in pairs]).alias("cov")
+    ).first()
+    mean, sd = np.array(stats.mean, float), np.array(stats.sd, float)
+    both = np.zeros((len(used), len(used)))
+    both[np.triu_indices(len(used))] = np.array(stats.cov, float)
+    both = both + both.T - np.diag(np.diag(both))
+    _, vectors = np.linalg.eigh(both / sd[:, None] / sd[None, :])
+    load = vectors[:, ::-1][:, :k]
+    load = load * np.sign(load[np.abs(load).argmax(0), range(load.shape[1])])
+
+    def score(j: int) -> Column:
+        parts = [(F.col(c) - float(mean[i])) * float(load[i, j] / sd[i]) for i, c in enumerate(used)]
+        return reduce(lambda a, b: a + b, parts)
+
+    return df.withColumns({f"pc{j + 1}": score(j) for j in range(load.shape[1])})

@@ -61,11 +61,13 @@ def forecast_nnet(
     seed: int = 1,
     period: int | None = None,
     lam: float | None = None,
+    residuals: bool = False,
 ) -> DataFrame:
     """Forecast the test rows of a split: (key, h, index, actual, mean).
 
     Inputs are lags, seasonal lags and the covariates of the forecast row.
-    ``lam`` is an optional Box-Cox parameter.
+    ``lam`` is an optional Box-Cox parameter.  With ``residuals`` the fitted training
+    rows instead: (key, index, resid).
     """
     split.need_whole("forecast_nnet")
     m = period or split.period
@@ -76,6 +78,8 @@ def forecast_nnet(
     df = split.df.select(*key, index, "part", "h", F.col(y).cast("double").alias("__y"), *xs)
     fields = [f for f in df.schema.fields if f.name in (*key, index, "h")]
     schema = T.StructType([*fields, T.StructField("actual", T.DoubleType()), T.StructField("mean", T.DoubleType())])
+    if residuals:
+        schema = T.StructType([*[f for f in fields if f.name != "h"], T.StructField("resid", T.DoubleType())])
 
     def link(v):
         if lam is None:
@@ -92,6 +96,8 @@ def forecast_nnet(
         fut = pdf[pdf["part"] == "test"]
         out = fut[[*key, index, "h"]].assign(actual=fut["__y"], mean=np.nan)
         past = pdf[pdf["part"] == "train"]
+        if residuals:
+            out = past[[*key, index]].assign(resid=np.nan)
         raw = link(past["__y"].to_numpy(float))
         mu, sd = np.nanmean(raw) if len(raw) else 0.0, np.nanstd(raw) if len(raw) else 0.0
         if len(raw) <= max(at) + 5 or not sd > 0:
@@ -108,6 +114,11 @@ def forecast_nnet(
         name = "|".join(str(pdf[c].iloc[0]) for c in key)
         rng = np.random.default_rng([seed, zlib.crc32(name.encode())])
         w = _train(x[ok], z[deep:][ok], units, networks, rounds, rng)
+        if residuals:
+            act = 1 / (1 + np.exp(-(x[ok][None] @ w[0] + w[1])))
+            fitted = unlink((act @ w[2] + w[3]).mean(0)[:, 0] * sd + mu)
+            out.iloc[np.flatnonzero(ok) + deep, -1] = past["__y"].to_numpy(float)[deep:][ok] - fitted
+            return out[[f.name for f in schema]]
         run_z, preds = list(z), []
         for i in range(len(fut)):
             row = np.array([run_z[-k] for k in at] + list(reg_new[i] if len(xs) else []))

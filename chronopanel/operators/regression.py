@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.panel import Panel
+from chronopanel.functions.tails import normal_quantile
+from chronopanel.functions.transforms import Response
+from chronopanel.panel import Panel, future_rows
 
 FIT = "struct<coef:array<double>,inv:array<double>,rss:double,rank:int>"
 
@@ -251,6 +253,11 @@ def leave_one_out(
     return rows.groupBy(*key).agg(F.avg(err * err).alias("cv"))
 
 
+def glance_with_cv(df: DataFrame, fit: DataFrame, key: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
+    """The glance row with the mean squared leave-one-out error ``cv``."""
+    return glance(fit, key).join(leave_one_out(df, fit, key, y, xs), list(key))
+
+
 def predict_ols(
     rows: DataFrame, fit: DataFrame, key: Sequence[str], xs: Sequence[str]
 ) -> DataFrame:
@@ -278,6 +285,30 @@ def fourier_columns(t: str, m: float, k: int) -> dict[str, Column]:
     return out
 
 
+def forecast_tslm(
+    panel: Panel, y: str, h: int, harmonics: int = 1, response: Response = Response(), period: int | None = None, level: float = 0.95
+) -> DataFrame:
+    """Trend and ``harmonics`` Fourier pairs, fitted to a transformed response and forecast ``h`` steps ahead.
+
+    (key, h, index, median, mean, lower, upper) on the values' scale; the mean is
+    bias-adjusted, the interval's ends are transformed quantiles.  Half the period of
+    harmonics is the model with a dummy for every season.
+    """
+    key, m = list(panel.key), period or panel.period
+    p = panel.with_position("t")
+    waves = fourier_columns("t", m, harmonics)
+    xs = ["t", *waves]
+    fit = fit_ols(p.df.withColumns(waves).withColumn("__z", response.forward(y)), key, "__z", xs)
+    ends = p.df.groupBy(*key).agg(F.max("t").alias("__last"))
+    rows = future_rows(panel, h).join(ends, key).withColumn("t", F.col("__last") + F.col("h"))
+    out = predict_ols(rows.withColumns(waves), fit, key, xs).withColumnRenamed("mean", "__mu")
+    reach = F.col("sd") * normal_quantile((1 + level) / 2)
+    return out.select(
+        *key, "h", panel.index, response.median("__mu").alias("median"), response.mean("__mu", "sd").alias("mean"),
+        response.median(F.col("__mu") - reach).alias("lower"), response.median(F.col("__mu") + reach).alias("upper"),
+    )
+
+
 def with_level(fit: Column) -> Column:
     """A fit of centred columns with the intercept put first; means are in ``g.mean``, y's last."""
     mean = F.col("g.mean")

@@ -76,6 +76,30 @@ def neural_pairs(split: Panel, y: str, networks: int = 10, rounds: int = 150) ->
     return shape.bind_rows(_pairs(base, key, "nn_base"), _pairs(flags, key, "nn_vars"))
 
 
+def all_residuals(split: Panel, y: str, orders: arima.Orders = arima.Orders(2, 2), networks: int = 10, rounds: int = 150) -> DataFrame:
+    """(key, model, index, resid): one-step residuals of all twelve models on the training rows of every split."""
+    key, index = list(split.key), split.index
+    train = splits.train(split)
+    some, full = ["home", "covid", "ice_present"], ["t", *FLAGS]
+    base = baseline.fitted_baselines(train, y).where("model <> 'mean'").select(*key, "model", index, "resid")
+    fits = {
+        "tslm_base": reg.predict_seasonal(train.df, reg.fit_seasonal(train.df, key, y, ["t"]), key, ["t"]),
+        "tslm_inter": reg.predict_seasonal(train.df, reg.fit_seasonal(train.df, key, y, some, slope_on="t"), key, some, slope_on="t"),
+        "tslm_vars": reg.predict_seasonal(train.df, reg.fit_seasonal(train.df, key, y, full), key, full),
+        "tslm_vars_no_comp": reg.predict_ols(train.df, reg.fit_ols(train.df, key, y, list(FLAGS)), key, list(FLAGS)),
+    }
+    named = {m: df.withColumn("resid", F.col(y) - F.col("mean")) for m, df in fits.items()}
+    designed = arima.fit_arima(train, y, orders)[1]
+    named["arima_plain"] = designed.df.withColumnRenamed("innov", "resid")
+    named["arima_full"] = arima.arima_regression(split, y, ["t", *FLAGS], orders, residuals=True)
+    named["arima_sdif"] = arima.arima_regression(split, y, ["t", "home", "covid", "holiday"], orders.nonseasonal(), residuals=True)
+    nets = {"networks": networks, "rounds": rounds, "lags": 4, "residuals": True}
+    named["nn_base"] = neural.forecast_nnet(split, y, **nets)
+    named["nn_vars"] = neural.forecast_nnet(split, y, list(FLAGS), **nets)
+    rows = [df.select(*key, F.lit(m).alias("model"), index, F.nanvl(F.col("resid"), F.lit(None)).alias("resid")) for m, df in named.items()]
+    return shape.bind_rows(base, *rows).where("resid IS NOT NULL")
+
+
 def all_pairs(split: Panel, y: str) -> DataFrame:
     """Forecast and actual of every model, split and test row."""
     key = list(split.key)

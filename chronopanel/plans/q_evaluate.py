@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronopanel.functions.dates import in_month, in_span
-from chronopanel.operators import aggregate, baseline, decompose, evaluate, features, regression as reg, shape, splits, windows
+from chronopanel.operators import aggregate, baseline, decompose, evaluate, features, regression as reg, shape, splits, stl, windows
 from chronopanel.panel import Panel
 from chronopanel.plans import battery
 from chronopanel.plans.inputs import LM, MODEL, OD, OW, PM, daily, model_panel, monthly, parts_monthly, weekly
@@ -155,6 +155,27 @@ def ev3c(t):
     return battery.result_table(scores)
 
 
+def _denoised_battery(p):
+    """All twelve models on a denoised target, with the covariates of the original panel."""
+    s = battery.prepared(p).written("splits")
+    return battery.result_table(evaluate.accuracy(battery.all_pairs(s, "denoised"), ["p", K, "model"]))
+
+
+@query("EV3_battery_additive")
+def ev3e(t):
+    """The battery on the target without the rest of its additive decomposition."""
+    p = decompose.denoise(model_panel(t), "y")
+    return _denoised_battery(p.on(p.df.where("denoised IS NOT NULL").drop("y", "trend", "seasonal", "random", "season_adjust", "detrended", "t", "season")))
+
+
+@query("EV3_battery_stl")
+def ev3f(t):
+    """The battery on the target without the remainder of its STL decomposition."""
+    p = model_panel(t).written("panel")
+    parts = stl.stl(p, "y").df.select(*p.key, p.index, (F.col("y") - F.col("remainder")).alias("denoised"))
+    return _denoised_battery(p.on(p.df.join(parts, [*p.key, p.index]).where("denoised IS NOT NULL").drop("y", "t", "season")))
+
+
 @query(
     "EV4_date_windows",
     with_ctes(OW, select=f"""SELECT {K}, {d('week')} AS week, y, CASE WHEN week < DATE '2000-01-01' THEN 'train' ELSE 'test' END AS part FROM ow
@@ -434,6 +455,14 @@ def ev13b(t):
     return features.portmanteau(Panel(rows, (*key, "model"), "week", "week"), "resid", 1)
 
 
+@query("EV13_residual_tests_battery")
+def ev13c(t):
+    """White-noise tests of the residuals of all twelve models, for every split and series."""
+    s = battery.prepared(model_panel(t)).written("splits")
+    rows = battery.all_residuals(s, "y")
+    return features.portmanteau(Panel(rows, (*s.key, "model"), "week", "week"), "resid", 1)
+
+
 _NAIVE_RES = f"nr AS (SELECT {K}, week, y - lag(y) OVER (PARTITION BY {K} ORDER BY week) AS resid FROM ow)"
 
 

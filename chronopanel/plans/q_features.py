@@ -10,6 +10,7 @@ from chronopanel.panel import Panel
 from chronopanel.plans.inputs import EH, LM, OD, OW, PM, daily, hourly, monthly, parts_monthly, weekly
 from chronopanel.plans.q_windows import LMK, classical_sql
 from chronopanel.plans.registry import d, query, r, with_ctes
+from chronopanel.session import written
 from chronopanel.sources.noise import noise_ctes, white_noise
 
 
@@ -456,28 +457,68 @@ def x14(t):
     return features.guerrero(monthly(t), "y")
 
 
-@query("A23_principal_scores")
-def a23(t):
-    """Two principal components of the standardised features of all parts."""
+_PC = ["zero_run_mean", "nonzero_squared_cv", "zero_start_prop", "zero_end_prop", "mean", "sd", "top"]
+
+
+def _leading(matrix: str, name: str) -> list[str]:
+    """CTEs <name>: value and vector of a symmetric matrix's largest eigenvalue by power iteration, its largest loading positive."""
+    start = "[" + ", ".join(f"{1 + k / 7!r}" for k in range(len(_PC))) + "]"
+    by = "list_transform(m, lambda row: list_dot_product(row, {0}))"
+    return [
+        f"{name}_i AS (SELECT 0 AS k, CAST({start} AS DOUBLE[]) AS v UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT k, {by.format('v')} AS w FROM {name}_i, {matrix} WHERE k < 1500))",
+        f"{name}_v AS (SELECT v, list_max(v) AS hi, list_min(v) AS lo FROM {name}_i WHERE k = 1500)",
+        f"{name}_s AS (SELECT CASE WHEN hi >= -lo THEN v ELSE list_transform(v, lambda x: -x) END AS v FROM {name}_v)",
+        f"{name} AS (SELECT v, list_dot_product(v, {by.format('v')}) AS value FROM {name}_s, {matrix})",
+    ]
+
+
+_PC_CTES = [
+    PM,
+    "ft_s AS (SELECT *, CASE WHEN y = 0 AND coalesce(lag(y) OVER (PARTITION BY l_partkey ORDER BY month), 1) <> 0 THEN 1 ELSE 0 END AS st FROM pm)",
+    """ft AS (SELECT l_partkey, coalesce(count(*) FILTER (y = 0) / nullif(sum(st), 0), 0) AS zero_run_mean, pow(stddev_samp(y) FILTER (y <> 0) / avg(y) FILTER (y <> 0), 2) AS nonzero_squared_cv,
+  coalesce(min(t) FILTER (y <> 0) - 1, count(*)) / count(*) AS zero_start_prop, coalesce(count(*) - max(t) FILTER (y <> 0), count(*)) / count(*) AS zero_end_prop,
+  avg(y) AS mean, stddev_samp(y) AS sd, max(y) AS top FROM ft_s GROUP BY 1)""",
+    "ok AS (SELECT * FROM ft WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _PC) + ")",
+    # A column without spread has no correlations: it is left out as a row and column of zeros.
+    "cm AS (SELECT [" + ", ".join("[" + ", ".join(f"coalesce(CASE WHEN stddev_samp({a}) > 0 AND stddev_samp({b}) > 0 THEN corr({a}, {b}) END, 0)" for b in _PC) + "]" for a in _PC) + "] AS m FROM ok)",
+    *_leading("cm", "e1"),
+    "dm AS (SELECT list_transform(m, lambda row, i: list_transform(row, lambda x, j: x - value * v[i] * v[j])) AS m FROM cm, e1)",
+    *_leading("dm", "e2"),
+    f"zs AS (SELECT *, [{', '.join(f'coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0)' for c in _PC)}] AS z FROM ok)",
+    "sc AS (SELECT zs.*, list_dot_product(z, e1.v) AS pc1, list_dot_product(z, e2.v) AS pc2 FROM zs, e1, e2)",
+]
+
+
+def _part_scores(t):
     p = parts_monthly(t).written("parts")
     f = features.intermittency(p, "y").join(
         p.df.groupBy("l_partkey").agg(F.avg("y").alias("mean"), F.stddev_samp("y").alias("sd"), F.max("y").alias("top")), "l_partkey"
     )
-    return features.principal_scores(f, [c for c in f.columns if c != "l_partkey"])
+    return p, features.principal_scores(f, _PC)
 
 
-@query("A24_outliers_in_pc_space")
+@query("A23_principal_scores", with_ctes(*_PC_CTES, select="SELECT l_partkey, " + ", ".join(f"{r(c, 5)} AS {c}" for c in [*_PC, "pc1", "pc2"]) + " FROM sc").replace("WITH", "WITH RECURSIVE", 1), digits=5)
+def a23(t):
+    """Two principal components of the standardised features of all parts."""
+    return _part_scores(t)[1]
+
+
+@query("A24_outliers_in_pc_space", with_ctes(*_PC_CTES, select=f"SELECT l_partkey, {r('pc1', 5)} AS pc1, {r('pc2', 5)} AS pc2, {d('month')} AS month, {r('y', 5)} AS y FROM sc JOIN pm USING (l_partkey) WHERE abs(pc1) > 4").replace("WITH", "WITH RECURSIVE", 1), digits=5)
 def a24(t):
     """Series far out on the first component, with their observations."""
-    p = parts_monthly(t).written("parts")
-    f = features.intermittency(p, "y").join(
-        p.df.groupBy("l_partkey").agg(F.avg("y").alias("mean"), F.stddev_samp("y").alias("sd"), F.max("y").alias("top")), "l_partkey"
-    )
-    pcs = features.principal_scores(f, [c for c in f.columns if c != "l_partkey"])
+    p, pcs = _part_scores(t)
     far = pcs.where(F.abs("pc1") > 4).select("l_partkey", "pc1", "pc2")
     return joins.drill_back(far, p.df, ["l_partkey"])
 
 
+@query("A23_principal_features")
+def a23b(t):
+    """Two components of the whole feature table of every monthly series."""
+    p = monthly(t).written("monthly")
+    table = written(features.feature_table(p, "y", decompose.classical(p, "y").written("classical")), "features")
+    return features.principal_scores(table, [c for c, kind in table.dtypes if c not in p.key and kind in ("double", "bigint", "int")])
+
+
 @query("S10_white_noise_acf", with_ctes(OW, *noise_ctes("ow", 30, ["o_orderpriority"], "week"), *acf_ctes("noise", "o_orderpriority", "week", "wn", L10), select=acf_long("ac", "o_orderpriority", L10)))
 def white(t):
     """Autocorrelations of a generated white-noise panel."""

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from chronopanel.functions.transforms import Response
 from chronopanel.operators import arima, baseline, joins, neural, regression as reg, shape, splits
 from chronopanel.operators.windows import framed
 from chronopanel.panel import Panel, future_rows
@@ -119,6 +120,36 @@ def cramer(key: str, src: str, y: str, xs: list[str], name: str = "ls") -> list[
     ]
 
 
+def _tslm_sql(forward: str, median: str, bend: str) -> str:
+    """Trend and one pair of waves on a transformed response, with the leverage by cofactors."""
+    waves = "sin({0} * pi() / 6) AS x2, cos({0} * pi() / 6) AS x3"
+    cof = {"00": "s11 * s22 - s12 * s12", "01": "s02 * s12 - s01 * s22", "02": "s01 * s12 - s02 * s11", "11": "s00 * s22 - s02 * s02", "12": "s01 * s02 - s00 * s12", "22": "s00 * s11 - s01 * s01"}
+    det = f"(s00 * ({cof['00']}) + s01 * ({cof['01']}) + s02 * ({cof['02']}))"
+    z = ["(x1 - m0)", "(x2 - m1)", "(x3 - m2)"]
+    quad = " + ".join(f"{1 if a == b else 2} * ({c}) * {z[int(a)]} * {z[int(b)]}" for (a, b), c in cof.items())
+    low, high = "mu - 1.959963984540054 * sd", "mu + 1.959963984540054 * sd"
+    return with_ctes(
+        LM,
+        f"lx AS (SELECT {LMK}, {forward.format('y')} AS ly, CAST(t AS DOUBLE) AS x1, {waves.format('t')} FROM lm)", *cramer(LMK, "(SELECT * FROM lx WHERE ly IS NOT NULL)", "ly", ["x1", "x2", "x3"]),
+        f"fu AS (SELECT {LMK}, h, last_at, CAST(tt + h AS DOUBLE) AS x1, {waves.format('(tt + h)')} FROM (SELECT {LMK}, max(t) AS tt, max(month) AS last_at FROM lm GROUP BY {LMK}), range(1, 13) g(h))",
+        f"pr AS (SELECT {LMK}, h, last_at, b0 + b1 * x1 + b2 * x2 + b3 * x3 AS mu, sqrt(rss / (n - 4) * (1 + 1.0 / n + ({quad}) / {det})) AS sd FROM fu JOIN ls USING ({LMK}))",
+        select=f"""SELECT {LMK}, CAST(h AS BIGINT) AS h, {d('last_at + INTERVAL (h) MONTH')} AS month, {r(median.format('mu'), 4)} AS median, {r('(' + median.format('mu') + ') * (1 + ' + bend + ')', 4)} AS mean,
+    {r(median.format(f'({low})'), 4)} AS lower, {r(median.format(f'({high})'), 4)} AS upper FROM pr""",
+    )
+
+
+@query("M6_log_tslm", _tslm_sql("CASE WHEN {0} > 0 THEN ln({0}) END", "exp({0})", "sd * sd / 2"), digits=4)
+def m6b(t):
+    """Trend and season waves on the logarithm, transformed back with the bias taken out."""
+    return reg.forecast_tslm(monthly(t), "y", 12, 1, Response(0.0))
+
+
+@query("M6_root_tslm", _tslm_sql("CASE WHEN {0} >= 0 THEN (sqrt({0}) - 1) / 0.5 END", "CASE WHEN {0} * 0.5 + 1 > 0 THEN pow({0} * 0.5 + 1, 2) END", "sd * sd * 0.5 / (2 * pow(mu * 0.5 + 1, 2))"), digits=4)
+def m6c(t):
+    """The same on the square root."""
+    return reg.forecast_tslm(monthly(t), "y", 12, 1, Response(0.5))
+
+
 @query(
     "M7_multiple_regression",
     with_ctes("li AS (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS y, l_discount AS x1, l_tax AS x2, CAST(l_linenumber AS DOUBLE) AS x3 FROM lineitem)",
@@ -445,6 +476,40 @@ def m22(t):
     return reg.glance(reg.fit_ols(p.df, p.key, "y", ["covid", "ice_present"]), p.key)
 
 
+@query(
+    "M22_glance_cv",
+    with_ctes(OW, "w AS (SELECT o_orderpriority, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, regr_sxx(y, t) AS sxx, regr_syy(y, t) AS syy, avg(t) AS mt, count(*) AS nn FROM ow GROUP BY 1)",
+              "e AS (SELECT o_orderpriority, nn, syy, y - a - b * t AS e, 1.0 / nn + (t - mt) * (t - mt) / sxx AS lev FROM ow JOIN w USING (o_orderpriority))",
+              select=f"SELECT o_orderpriority, nn AS n, {r('1 - sum(e * e) / syy')} AS r2, {r('nn * ln(sum(e * e) / nn) + 6')} AS aic, {r('avg(pow(e / (1 - lev), 2))')} AS cv FROM e GROUP BY o_orderpriority, nn, syy"),
+)
+def m22d(t):
+    """The summary row of a regression with its leave-one-out error."""
+    p = weekly(t).with_position("t")
+    fit = reg.fit_ols(p.df, p.key, "y", ["t"])
+    return reg.glance_with_cv(p.df, fit, p.key, "y", ["t"]).select(*p.key, "n", "r2", "aic", "cv")
+
+
+_AR2_LS = [OD, _AR2, "b AS (SELECT * FROM a WHERE t > 2)", *cramer("o_orderstatus", "b", "y", ["x1", "x2"]), "v AS (SELECT *, rss / (n - 3) AS s2, s00 * s11 - s01 * s01 AS det FROM ls)"]
+_AR2_TERMS = {"constant": ("b0", "1.0 / n + (m0 * m0 * s11 - 2 * m0 * m1 * s01 + m1 * m1 * s00) / det"), "ar1": ("b1", "s11 / det"), "ar2": ("b2", "s00 / det")}
+
+
+@query("M22_tidy_arima", with_ctes(*_AR2_LS, select=" UNION ALL ".join(
+    f"SELECT o_orderstatus, '{term}' AS term, {r(b, 5)} AS estimate, {r(f'sqrt(s2 * ({u}))', 5)} AS std_error, {r(f'{b} / sqrt(s2 * ({u}))', 5)} AS statistic FROM v" for term, (b, u) in _AR2_TERMS.items())), digits=5)
+def m22e(t):
+    """Coefficients of an AR(2) with their standard errors."""
+    orders = arima.fixed_order((2, 0, 0), constant=True)
+    models, _ = arima.fit_arima(daily(t), "y", orders)
+    return arima.tidy_arima(models, ["o_orderstatus"], orders)
+
+
+@query("M22_glance_arima", with_ctes(*_AR2_LS, select=f"""SELECT o_orderstatus, n, 2::BIGINT AS order_p, {r('s2', 5)} AS sigma2, {r('-(n * (ln(2 * pi()) + 1) + n * ln(rss / n)) / 2', 5)} AS log_lik,
+    {r('n * ln(rss / n) + 8', 5)} AS aic, {r('n * ln(rss / n) + 8 + 40.0 / (n - 5)', 5)} AS aicc, {r('n * ln(rss / n) + 4 * ln(n)', 5)} AS bic FROM v"""), digits=5)
+def m22f(t):
+    """The summary row of the same model."""
+    models, _ = arima.fit_arima(daily(t), "y", arima.fixed_order((2, 0, 0), constant=True))
+    return arima.glance_arima(models, ["o_orderstatus"]).select("o_orderstatus", "n", "order_p", "sigma2", "log_lik", "aic", "aicc", "bic")
+
+
 @query(
     "M22_tidy",
     with_ctes(OW, "w AS (SELECT o_orderpriority, count(*) AS n, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, regr_syy(y, t) - regr_slope(y, t) * regr_sxy(y, t) AS rss, regr_sxx(y, t) AS sxx, avg(t) AS mt FROM ow GROUP BY 1)",
