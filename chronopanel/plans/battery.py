@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators import arima, baseline, neural, regression as reg, shape, splits
 from chronopanel.panel import Panel
+from chronopanel.session import written
 
 SHARES = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3)
 FLAGS = ("home", "covid", "holiday", "ice_present")
@@ -57,11 +58,21 @@ def regression_pairs(split: Panel, y: str) -> DataFrame:
 
 
 def arima_pairs(split: Panel, y: str, orders: arima.Orders = arima.Orders(2, 2)) -> DataFrame:
-    """Stepwise searches: seasonal orders for the plain and the full model, none where the season is in the regression."""
+    """Stepwise searches: seasonal orders for the plain and the full model, none where the season is in the regression.
+
+    Series too short for seasonal lags are searched without them.
+    """
     key = list(split.key)
     test = splits.test(split).df.select(*key, "h", F.col(y).cast("double").alias("actual"))
-    models, designed = arima.fit_arima(splits.train(split), y, orders)
+    train = splits.train(split)
+    models, designed = arima.fit_arima(train, y, orders)
+    models = written(models, "models")
     plain = arima.forecast_arima(models, designed, y, arima.horizons(split), orders)
+    short = train.df.select(*key).distinct().join(models, key, "left_anti")
+    if not short.isEmpty():
+        small = orders.nonseasonal()
+        rest, lags = arima.fit_arima(train.on(train.df.join(short, key, "left_semi")), y, small)
+        plain = plain.unionByName(arima.forecast_arima(rest, lags, y, arima.horizons(split), small))
     plain = plain.drop(split.index).join(test, [*key, "h"])
     full = arima.arima_regression(split, y, ["t", *FLAGS], orders)
     sdif = arima.arima_regression(split, y, ["t", "home", "covid", "holiday"], orders.nonseasonal())
