@@ -10,6 +10,7 @@ from chronopanel.panel import Panel
 from chronopanel.plans.inputs import EH, LM, OD, OW, PM, daily, hourly, monthly, parts_monthly, weekly
 from chronopanel.plans.q_windows import LMK, classical_sql
 from chronopanel.plans.registry import d, query, r, with_ctes
+from chronopanel.plans.stl_sql import stl_ctes
 from chronopanel.session import written
 from chronopanel.sources.noise import noise_ctes, white_noise
 
@@ -215,7 +216,22 @@ def x9(t):
     return a.groupBy("o_orderpriority").agg(F.sum(F.col("acf") * F.col("acf")).alias("acf10"))
 
 
-@query("X10_feat_stl")
+@query(
+    "X10_feat_stl",
+    with_ctes(
+        LM, *stl_ctes("lm", LMK, "month", 12),
+        *acf_ctes("st_parts", LMK, "month", "remainder", L10),
+        f"su AS (SELECT *, t - (count(*) OVER g + 1) / 2.0 AS c, CAST(count(*) OVER g AS DOUBLE) AS m, avg(remainder) OVER g AS mu, var_samp(remainder) OVER g AS va, (t - 1) % 12 AS s FROM st_parts WINDOW g AS (PARTITION BY {LMK}))",
+        "sv AS (SELECT *, c * c - (m * m - 1) / 12 AS b, (va * (m - 1) - (remainder - mu) * (remainder - mu) * m / (m - 1)) / (m - 2) AS loo FROM su)",
+        f"sh AS (SELECT {LMK}, greatest(0, least(1, 1 - var_samp(remainder) / var_samp(remainder + trend))) AS trend_strength, greatest(0, least(1, 1 - var_samp(remainder) / var_samp(remainder + seasonal))) AS seasonal_strength, "
+        f"var_samp(loo) AS spikiness, sum(trend * c) / sqrt(sum(c * c)) AS linearity, sum(trend * b) / sqrt(sum(b * b)) AS curvature FROM sv GROUP BY {LMK})",
+        f"sf AS (SELECT {LMK}, s, avg(seasonal) AS f FROM sv GROUP BY {LMK}, s)",
+        f"tu AS (SELECT {LMK}, (arg_max(s, f) + 1) % 12 AS seasonal_peak, (arg_min(s, f) + 1) % 12 AS seasonal_trough FROM sf GROUP BY {LMK})",
+        select=f"SELECT {LMK}, " + ", ".join(f"{r(c, 3)} AS {c}" for c in ("trend_strength", "seasonal_strength", "spikiness", "linearity", "curvature"))
+        + f", seasonal_peak, seasonal_trough, {r('r1', 3)} AS rest_acf1, {r(_SQ, 3)} AS rest_acf10 FROM sh JOIN tu USING ({LMK}) JOIN ac USING ({LMK})",
+    ),
+    digits=3,
+)
 def x10(t):
     """Features of the STL components of every monthly series."""
     p = stl.stl(monthly(t), "y").written("stl")

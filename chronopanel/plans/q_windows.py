@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from chronopanel.plans.inputs import (
     EH, LM, OD, OW, daily, hourly, monthly, parts_monthly, raw_weekly, weekly,
 )
 from chronopanel.plans.registry import d, query, r, with_ctes
+from chronopanel.plans.stl_sql import mstl_ctes, stl_ctes
 
 W_OW = "WINDOW w AS (PARTITION BY o_orderpriority ORDER BY week)"
 W_OD = "WINDOW w AS (PARTITION BY o_orderstatus ORDER BY day)"
@@ -296,7 +298,14 @@ def d4c(t):
     return p.df.select("o_orderpriority", "week", "denoised", "season_adjust")
 
 
-@query("D5_stl")
+def _stl_cols(digits: int = 6) -> str:
+    return ", ".join(f"{r(c, digits)} AS {c}" for c in ("y", "trend", "seasonal", "remainder", "season_adjust"))
+
+
+_ROBUST = {"trend_window": 7, "robust": True}
+
+
+@query("D5_stl", with_ctes(LM, *stl_ctes("lm", LMK, "month", 12), select=f"SELECT {LMK}, {d('month')} AS month, {_stl_cols()} FROM st_parts"))
 def d5(t):
     """STL of the monthly panel, default windows."""
     return stl.stl(monthly(t), "y")
@@ -304,19 +313,36 @@ def d5(t):
 
 @query(
     "D5_stl_identity",
-    with_ctes(LM, select=f"SELECT {LMK}, count(*) AS n, {r('sum(y)')} AS total, 0.0::DOUBLE AS worst FROM lm GROUP BY {LMK}"),
+    with_ctes(
+        LM, *stl_ctes("lm", LMK, "month", 12, season_window=None, **_ROBUST),
+        select=f"""SELECT {LMK}, count(*) AS n, {r('sum(y)')} AS total, 0.0::DOUBLE AS worst, {r('max(seasonal) - min(seasonal)', 4)} AS swing,
+    {r('max(trend) - min(trend)', 4)} AS rise, {r('sum(abs(remainder))', 4)} AS rest FROM st_parts GROUP BY {LMK}""",
+    ),
 )
 def d5b(t):
-    """Robust periodic STL: the components add up to the series."""
+    """Robust periodic STL: the components add up to the series, and how far each goes."""
     p = stl.stl(monthly(t), "y", season_window=None, trend_window=7, robust=True)
     gap = F.abs(F.col("y") - F.col("trend") - F.col("seasonal") - F.col("remainder"))
     total = F.col("trend") + F.col("seasonal") + F.col("remainder")
     return p.df.groupBy(*p.key).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(total).alias("total"), F.max(gap).alias("worst")
+        F.count(F.lit(1)).alias("n"), F.sum(total).alias("total"), F.max(gap).alias("worst"),
+        F.round(F.max("seasonal") - F.min("seasonal"), 4).alias("swing"),
+        F.round(F.max("trend") - F.min("trend"), 4).alias("rise"),
+        F.round(F.sum(F.abs("remainder")), 4).alias("rest"),
     )
 
 
-@query("D5_mstl")
+@query(
+    "D5_stl_robust",
+    with_ctes(LM, *stl_ctes("lm", LMK, "month", 12, **_ROBUST), select=f"SELECT {LMK}, {d('month')} AS month, {_stl_cols(4)} FROM st_parts"),
+    digits=4,
+)
+def d5d(t):
+    """Robust STL with a changing season: fifteen rounds of weights from the remainders."""
+    return stl.stl(monthly(t), "y", trend_window=7, robust=True)
+
+
+@query("D5_mstl", with_ctes(EH, *mstl_ctes("eh", "event_type", "hour", (24, 168)), select=f"SELECT event_type, CAST(hour AS VARCHAR) AS hour, {_stl_cols()} FROM ms_parts"))
 def d5c(t):
     """Two periods (day and week) on the hourly panel."""
     return stl.stl(hourly(t), "y", periods=(24, 168))
@@ -336,20 +362,23 @@ _BY_M = f"PARTITION BY {LMK} ORDER BY month"
 _BY_S = f"PARTITION BY {LMK}, season ORDER BY month"
 _LEVEL = [0.5] + [1.0] * 11 + [0.5]
 _H13 = decompose.henderson_weights(13)
+_X11 = [
+    f"x1 AS (SELECT *, y / trend AS si FROM s1)",
+    f"x2 AS (SELECT *, {_wmean('si', decompose.MA_3X3, _BY_S)} AS raw FROM x1)",
+    f"x3 AS (SELECT *, y / (raw / {_wmean('raw', _LEVEL, _BY_M)}) AS a1 FROM x2)",
+    f"x4 AS (SELECT *, y / {_wmean('a1', _H13, _BY_M)} AS si2 FROM x3)",
+    f"x5 AS (SELECT *, {_wmean('si2', decompose.MA_3X5, _BY_S)} AS raw2 FROM x4)",
+    f"x6 AS (SELECT *, raw2 / {_wmean('raw2', _LEVEL, _BY_M)} AS seasonal FROM x5)",
+    f"x7 AS (SELECT *, y / seasonal AS sa FROM x6)",
+    f"x8 AS (SELECT *, {_wmean('sa', _H13, _BY_M)} AS tr FROM x7)",
+]
 
 
 @query(
     "D6_x11_filters",
     with_ctes(
         *classical_sql(LM, LMK, "month", 12, "additive", "lm")[:2],
-        f"x1 AS (SELECT *, y / trend AS si FROM s1)",
-        f"x2 AS (SELECT *, {_wmean('si', decompose.MA_3X3, _BY_S)} AS raw FROM x1)",
-        f"x3 AS (SELECT *, y / (raw / {_wmean('raw', _LEVEL, _BY_M)}) AS a1 FROM x2)",
-        f"x4 AS (SELECT *, y / {_wmean('a1', _H13, _BY_M)} AS si2 FROM x3)",
-        f"x5 AS (SELECT *, {_wmean('si2', decompose.MA_3X5, _BY_S)} AS raw2 FROM x4)",
-        f"x6 AS (SELECT *, raw2 / {_wmean('raw2', _LEVEL, _BY_M)} AS seasonal FROM x5)",
-        f"x7 AS (SELECT *, y / seasonal AS sa FROM x6)",
-        f"x8 AS (SELECT *, {_wmean('sa', _H13, _BY_M)} AS tr FROM x7)",
+        *_X11,
         select=f"SELECT {LMK}, {d('month')} AS month, {r('tr')} AS trend, {r('seasonal')} AS seasonal, {r('sa / tr')} AS random, {r('sa')} AS season_adjust FROM x8",
     ),
 )
@@ -358,7 +387,17 @@ def d6(t):
     return p.df.select(*p.key, "month", "trend", "seasonal", "random", "season_adjust")
 
 
-@query("D7_decomposition_forecast")
+def _decomposed_forecast(parts: str) -> tuple[str, str]:
+    """A CTE and a SELECT: last adjusted value plus the last seasonal cycle."""
+    last = f"e AS (SELECT {LMK}, max(t) AS n, max(month) AS last_at, arg_max(season_adjust, month) AS level FROM {parts} GROUP BY {LMK})"
+    cycle = f"(SELECT seasonal FROM {parts} p WHERE p.l_returnflag = e.l_returnflag AND p.l_linestatus = e.l_linestatus AND p.t = e.n - 11 + (h - 1) % 12)"
+    return last, f"SELECT {LMK}, CAST(h AS BIGINT) AS h, {d('last_at + INTERVAL (h) MONTH')} AS month, {r('level + ' + cycle)} AS mean FROM e, range(1, 25) g(h)"
+
+
+_D7_LAST, _D7_SELECT = _decomposed_forecast("st_parts")
+
+
+@query("D7_decomposition_forecast", with_ctes(LM, *stl_ctes("lm", LMK, "month", 12, **_ROBUST), _D7_LAST, select=_D7_SELECT))
 def d7(t):
     """Naive forecast of the adjusted series plus the last seasonal cycle."""
     return stl.seasonal_forecast(stl.stl(monthly(t), "y", trend_window=7, robust=True), 24)
@@ -377,7 +416,36 @@ def d7b(t):
     return stl.seasonal_forecast(decompose.classical(monthly(t), "y"), 24)
 
 
-@query("D8_all_decompositions")
+def _renamed(ctes: list[str], names: dict[str, str]) -> list[str]:
+    """The CTEs under other names, so that several decompositions fit in one statement."""
+    for old, new in names.items():
+        ctes = [re.sub(rf"\b{old}\b", new, c) for c in ctes]
+    return ctes
+
+
+def _long(method: str, table: str, rest: str, season_adjust: str = "season_adjust", trend: str = "trend") -> str:
+    return f"""SELECT {LMK}, {d('month')} AS month, '{method}' AS method, {r(trend)} AS trend, {r('seasonal')} AS seasonal, {r(rest)} AS rest, {r(season_adjust)} AS season_adjust FROM {table}"""
+
+
+_SMOOTH = f"sm AS MATERIALIZED (SELECT {LMK}, month, y, row_number() OVER ({PART_LM}) AS t, count(*) OVER (PARTITION BY {LMK}) AS n FROM (SELECT {LMK}, month, {frame(PART_LM, 1, 1)} AS y FROM lm) WHERE y IS NOT NULL)"
+
+
+def _classical_as(kind: str, p: str) -> list[str]:
+    names = {c: p + c for c in ("s1", "s2", "s3", "s4", "parts")}
+    return _renamed(classical_sql(LM, LMK, "month", 12, kind, "sm")[1:], names)
+
+
+@query(
+    "D8_all_decompositions",
+    with_ctes(
+        LM, _SMOOTH, *stl_ctes("sm", LMK, "month", 12), *_classical_as("multiplicative", "mu"), *_classical_as("additive", "ad"),
+        *classical_sql(LM, LMK, "month", 12, "additive", "sm")[1:2], *_X11,
+        select=" UNION ALL ".join([
+            _long("stl", "st_parts", "remainder"), _long("multiplicative", "muparts", "random"),
+            _long("x11", "x8", "sa / tr", "sa", "tr"), _long("additive", "adparts", "random"),
+        ]),
+    ),
+)
 def d8(t):
     """Four decompositions of the smoothed series in one long table."""
     p = windows.centred_ma(monthly(t), "y", 3, "ma")
