@@ -120,6 +120,26 @@ def cramer(key: str, src: str, y: str, xs: list[str], name: str = "ls") -> list[
     ]
 
 
+def ols_ctes(key: str, src: str, y: str, xs: list[str], name: str = "ls") -> list[str]:
+    """CTEs ending in ``name``: least squares on any number of columns as b0 (the constant), b1, ...; n and rss.
+
+    The centred products are eliminated column by column and solved backwards.
+    """
+    cols, k = [*xs, y], len(xs)
+    sums = ", ".join(f"count(*) * covar_pop({cols[i]}, {cols[j]}) AS a{i}_{j}" for i in range(k + 1) for j in range(i, k + 1))
+    out = [f"{name}e0 AS (SELECT {key}, count(*) AS n, {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate(cols))}, {sums} FROM {src} GROUP BY {key})"]
+    for s in range(k):
+        rest = ", ".join(f"a{i}_{j} - a{s}_{i} * a{s}_{j} / a{s}_{s} AS a{i}_{j}" for i in range(s + 1, k + 1) for j in range(i, k + 1))
+        out.append(f"{name}e{s + 1} AS (SELECT * REPLACE ({rest}) FROM {name}e{s})")
+    last = f"{name}e{k}"
+    for i in reversed(range(k)):
+        known = "".join(f" - a{i}_{j} * b{j + 1}" for j in range(i + 1, k))
+        out.append(f"{name}b{i} AS (SELECT *, (a{i}_{k}{known}) / a{i}_{i} AS b{i + 1} FROM {last})")
+        last = f"{name}b{i}"
+    out.append(f"{name} AS (SELECT {key}, n, a{k}_{k} AS rss, m{k}{''.join(f' - b{i + 1} * m{i}' for i in range(k))} AS b0, {', '.join(f'b{i + 1}' for i in range(k))} FROM {last})")
+    return out
+
+
 def _tslm_sql(forward: str, median: str, bend: str) -> str:
     """Trend and one pair of waves on a transformed response, with the leverage by cofactors."""
     waves = "sin({0} * pi() / 6) AS x2, cos({0} * pi() / 6) AS x3"
@@ -374,7 +394,37 @@ def m15d(t):
     return arima.forecast_arima(models, designed, "y", 12, orders).drop("sd")
 
 
-@query("M15_arima_401")
+_OVER_T = "OVER (PARTITION BY o_orderstatus ORDER BY t)"
+
+
+def _two_regressions() -> list[str]:
+    """CTEs: a long autoregression gives innovations, a second one on four lags and the last innovation gives the model."""
+    lags = [f"x{k}" for k in range(1, 11)]
+    rows = "OVER (PARTITION BY o_orderstatus ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+    fitted = " + ".join(["b0", *(f"b{k} * x{k}" for k in range(1, 11))])
+    return [
+        OD,
+        f"sm AS (SELECT o_orderstatus, day, w, row_number() OVER (PARTITION BY o_orderstatus ORDER BY day) AS t FROM (SELECT o_orderstatus, day, CASE WHEN count(y) {rows} = 7 THEN avg(y) {rows} END AS w FROM od) WHERE w IS NOT NULL)",
+        f"lg AS (SELECT *, {', '.join(f'lag(w, {k}) {_OVER_T} AS x{k}' for k in range(1, 11))} FROM sm)",
+        *ols_ctes("o_orderstatus", "(SELECT * FROM lg WHERE x10 IS NOT NULL)", "w", lags, "la"),
+        f"iv AS (SELECT lg.*, w - ({fitted}) AS e FROM lg JOIN la USING (o_orderstatus))",
+        f"el AS (SELECT *, lag(e) {_OVER_T} AS e1 FROM iv)",
+        *ols_ctes("o_orderstatus", "(SELECT * FROM el WHERE e1 IS NOT NULL)", "w", ["x1", "x2", "x3", "x4", "e1"], "hr"),
+        """en AS (SELECT o_orderstatus, max(el.day) AS last_at, arg_max(w, t) AS y1, arg_max(x1, t) AS y2, arg_max(x2, t) AS y3, arg_max(x3, t) AS y4,
+    arg_max(w - (b0 + b1 * x1 + b2 * x2 + b3 * x3 + b4 * x4 + b5 * e1), t) AS u FROM el JOIN hr USING (o_orderstatus) GROUP BY o_orderstatus)""",
+        """fc AS (SELECT o_orderstatus, last_at, 1 AS h, b0 + b1 * y1 + b2 * y2 + b3 * y3 + b4 * y4 + b5 * u AS f, y1 AS f1, y2 AS f2, y3 AS f3, 1.0::DOUBLE AS psi, 0.0::DOUBLE AS p1, 0.0::DOUBLE AS p2, 0.0::DOUBLE AS p3, 1.0::DOUBLE AS acc
+    FROM en JOIN hr USING (o_orderstatus)
+  UNION ALL SELECT o_orderstatus, last_at, h + 1, b0 + b1 * f + b2 * f1 + b3 * f2 + b4 * f3, f, f1, f2, nx, psi, p1, p2, acc + nx * nx
+    FROM (SELECT fc.*, hr.* EXCLUDE (o_orderstatus), CASE WHEN h = 1 THEN b5 ELSE 0 END + b1 * psi + b2 * p1 + b3 * p2 + b4 * p3 AS nx FROM fc JOIN hr USING (o_orderstatus) WHERE h < 30))""",
+    ]
+
+
+@query(
+    "M15_arima_401",
+    with_ctes(*_two_regressions(), select=f"""SELECT o_orderstatus, CAST(h AS BIGINT) AS h, {d('last_at + h')} AS day, {r('f', 4)} AS mean,
+    {r('sqrt(rss / (n - 6) * acc)', 4)} AS sd FROM fc JOIN hr USING (o_orderstatus)""").replace("WITH", "WITH RECURSIVE", 1),
+    digits=4,
+)
 def m15b(t):
     """The fixed (4,0,1) model on the smoothed daily series."""
     from chronopanel.operators.windows import centred_ma
