@@ -120,14 +120,16 @@ def cramer(key: str, src: str, y: str, xs: list[str], name: str = "ls") -> list[
     ]
 
 
-def ols_ctes(key: str, src: str, y: str, xs: list[str], name: str = "ls") -> list[str]:
+def ols_ctes(key: str, src: str, y: str, xs: list[str], name: str = "ls", constant: bool = True) -> list[str]:
     """CTEs ending in ``name``: least squares on any number of columns as b0 (the constant), b1, ...; n and rss.
 
-    The centred products are eliminated column by column and solved backwards.
+    The centred products are eliminated column by column and solved backwards;
+    without a constant the products are plain.
     """
     cols, k = [*xs, y], len(xs)
-    sums = ", ".join(f"count(*) * covar_pop({cols[i]}, {cols[j]}) AS a{i}_{j}" for i in range(k + 1) for j in range(i, k + 1))
-    out = [f"{name}e0 AS (SELECT {key}, count(*) AS n, {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate(cols))}, {sums} FROM {src} GROUP BY {key})"]
+    moment, mean = ("count(*) * covar_pop({}, {})", "avg({})") if constant else ("sum(({}) * ({}))", "0.0 * min({})")
+    sums = ", ".join(f"{moment.format(cols[i], cols[j])} AS a{i}_{j}" for i in range(k + 1) for j in range(i, k + 1))
+    out = [f"{name}e0 AS (SELECT {key}, count(*) AS n, {', '.join(f'{mean.format(c)} AS m{i}' for i, c in enumerate(cols))}, {sums} FROM {src} GROUP BY {key})"]
     for s in range(k):
         rest = ", ".join(f"a{i}_{j} - a{s}_{i} * a{s}_{j} / a{s}_{s} AS a{i}_{j}" for i in range(s + 1, k + 1) for j in range(i, k + 1))
         out.append(f"{name}e{s + 1} AS (SELECT * REPLACE ({rest}) FROM {name}e{s})")
@@ -443,6 +445,50 @@ def m16(t):
     return arima.arima_regression(s, "y", ["t", "covid", "holiday", "ice_present"], arima.Orders(2, 2, 0, 0))
 
 
+def _regression_ar1(xs: list[str]) -> list[str]:
+    """CTEs: season means out, least squares, AR(1) of the residuals, slopes again on filtered columns, errors ahead."""
+    cols = ["yy", *xs]
+    z = [f"z_{c}" for c in cols]
+    by_t = "OVER (PARTITION BY o_orderpriority ORDER BY t)"
+
+    def rest(name: str) -> str:
+        return "z_yy" + "".join(f" - {name}.b{i + 1} * z_{c}" for i, c in enumerate(xs))
+
+    ar = "sum({0} * {0}1) / sum({0}1 * {0}1) AS phi"
+    return [
+        MODEL, MP_SEASON,
+        "sp AS (SELECT *, CAST(floor(0.8 * n) AS BIGINT) AS k FROM mps)",
+        demeaned(cols, "dm", "(SELECT * FROM sp WHERE t <= k)"),
+        *ols_ctes("o_orderpriority", "dm", "z_yy", z[1:], "l1", constant=False),
+        f"u1 AS (SELECT dm.*, {rest('l1')} AS u FROM dm JOIN l1 USING (o_orderpriority))",
+        f"u2 AS (SELECT *, lag(u) {by_t} AS u1 FROM u1)",
+        f"a1 AS (SELECT o_orderpriority, {ar.format('u')} FROM u2 GROUP BY 1)",
+        f"qf AS (SELECT o_orderpriority, t, {', '.join(f'{c} - phi * lag({c}) {by_t} AS q{i}' for i, c in enumerate(z))} FROM dm JOIN a1 USING (o_orderpriority))",
+        *ols_ctes("o_orderpriority", "(SELECT * FROM qf WHERE q0 IS NOT NULL)", "q0", [f"q{i + 1}" for i in range(len(xs))], "l2", constant=False),
+        f"v1 AS (SELECT dm.o_orderpriority, t, {rest('l2')} AS v FROM dm JOIN l2 USING (o_orderpriority))",
+        f"v2 AS (SELECT *, lag(v) {by_t} AS v1 FROM v1)",
+        f"a2 AS (SELECT o_orderpriority, {ar.format('v')}, arg_max(v, t) AS last_v, sum(v * v) - pow(sum(v * v1), 2) / sum(v1 * v1) AS raw, count(v1) AS m FROM v2 WHERE v1 IS NOT NULL GROUP BY 1)",
+        f"me AS (SELECT o_orderpriority, season, {', '.join(f'avg({c}) AS m_{c}' for c in cols)} FROM dm GROUP BY 1, 2)",
+    ]
+
+
+_AR1_XS = ["t", "covid"]
+
+
+@query(
+    "M16_regression_ar1_errors",
+    with_ctes(*_regression_ar1(_AR1_XS), select=f"""SELECT o_orderpriority, t - k AS h, {d('week')} AS week, CAST(yy AS DOUBLE) AS actual,
+    {r('m_yy' + ''.join(f' + b{i + 1} * ({c} - m_{c})' for i, c in enumerate(_AR1_XS)) + ' + pow(phi, t - k) * last_v', 5)} AS mean,
+    {r('sqrt(raw / (m - 1) * (1 - pow(phi, 2 * (t - k))) / (1 - phi * phi))', 5)} AS sd
+    FROM sp JOIN a2 USING (o_orderpriority) JOIN l2 USING (o_orderpriority) JOIN me USING (o_orderpriority, season) WHERE t > k"""),
+    digits=5,
+)
+def m16b(t):
+    """Trend, season and one covariate with AR(1) errors: the order is fixed, so every step has a closed form."""
+    s = splits.split_by_share(model_panel(t), 0.2).with_season("season").written("split")
+    return arima.arima_regression(s, "y", _AR1_XS, arima.fixed_order((1, 0, 0), constant=False))
+
+
 @query("M17_neural_net")
 def m17(t):
     """Ten averaged networks on lags and covariates per series."""
