@@ -78,6 +78,19 @@ def pacf_wide(panel: Panel, x: str, lag_max: int) -> DataFrame:
     return wide.select(*panel.key, _partials(F.array(*[f"r{k}" for k in lags])).alias("pacf"))
 
 
+def ar_order(partials: Column, n: Column) -> Column:
+    """Order of least AIC, from the partial autocorrelations: each takes its square off the residual variance."""
+    empty = F.array().cast("array<struct<aic:double,k:bigint>>")
+    start = F.struct(F.lit(0.0).alias("logs"), F.lit(0).cast("long").alias("k"), empty.alias("all"))
+
+    def step(state: Column, f: Column) -> Column:
+        logs, k = state["logs"] + F.log(F.greatest(1 - f * f, F.lit(1e-12))), state["k"] + 1
+        return F.struct(logs.alias("logs"), k.alias("k"), F.concat(state["all"], F.array(F.struct((n * logs + 2 * k).alias("aic"), k.alias("k")))).alias("all"))
+
+    orders = F.aggregate(F.transform(partials, lambda f: F.coalesce(F.nanvl(f, F.lit(0.0)), F.lit(0.0))), start, step, lambda s: s["all"])
+    return F.coalesce(F.array_min(orders)["k"], F.lit(1)).cast("long")
+
+
 def pacf(panel: Panel, x: str, lag_max: int) -> DataFrame:
     """Long partial autocorrelation table (key, lag, pacf)."""
     out = pacf_wide(panel, x, lag_max).select(*panel.key, F.posexplode("pacf").alias("lag", "pacf"))

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronopanel.operators import features
 from chronopanel.panel import Panel, shift
 from chronopanel.session import spread
 
@@ -49,48 +50,83 @@ def _apply(w, row):
     return float((act @ w[2] + w[3]).mean())
 
 
+def automatic_lags(panel: Panel, y: str, lag_max: int = 10, period: int | None = None) -> DataFrame:
+    """(key, lags): the order of the autoregression with the least AIC, at least one.
+
+    The season's means are taken out of series of two periods or more, and
+    their partial autocorrelations give the residual variances of all orders.
+    """
+    m, key = period or panel.period, list(panel.key)
+    p = panel.with_position("__t").with_season("__s", m, "__t")
+    v, n = F.col(y).cast("double"), F.count(F.lit(1)).over(panel.whole())
+    season = F.when(n >= 2 * m, F.avg(v).over(Window.partitionBy(*key, "__s"))).otherwise(F.lit(0.0)) if m > 1 else F.lit(0.0)
+    wide = features.pacf_wide(p.on(p.df.withColumn("__a", v - season)), "__a", lag_max)
+    sizes = panel.df.groupBy(*key).agg(F.count(y).alias("__n"))
+    return wide.join(sizes, key).select(*key, features.ar_order(F.col("pacf"), F.col("__n")).alias("lags"))
+
+
 def forecast_nnet(
     split: Panel,
     y: str,
     xs: Sequence[str] = (),
-    lags: int = 7,
+    lags: int | None = 7,
     seasonal_lags: int = 1,
     hidden: int | None = None,
     networks: int = 10,
     rounds: int = 300,
     seed: int = 1,
     period: int | None = None,
-    lam: float | None = None,
+    lam: float | str | None = None,
     residuals: bool = False,
+    lag_max: int = 10,
 ) -> DataFrame:
     """Forecast the test rows of a split: (key, h, index, actual, mean).
 
     Inputs are lags, seasonal lags and the covariates of the forecast row.
-    ``lam`` is an optional Box-Cox parameter.  With ``residuals`` the fitted training
+    ``lags=None`` takes each series' autoregressive order, at most ``lag_max``
+    (`automatic_lags`).  ``lam`` is an optional Box-Cox parameter, ``"auto"`` the
+    most stable one of each series; a series without one, or with values outside
+    its domain, stays as it is.  ``networks`` repeats are averaged.  With ``residuals`` the fitted training
     rows instead: (key, index, resid).
     """
     split.need_whole("forecast_nnet")
     m = period or split.period
     index, key = split.index, list(split.key)
-    at = [*range(1, lags + 1), *[m * j for j in range(1, seasonal_lags + 1)]]
-    at = sorted(set(at))
-    units = hidden or int(round((len(at) + len(xs) + 1) / 2))
     df = split.df.select(*key, index, "part", "h", F.col(y).cast("double").alias("__y"), *xs)
+    past_rows = split.on(split.df.where("part = 'train'").select(*key, index, F.col(y).cast("double").alias("__y")))
+    if lags is None:
+        df = df.join(automatic_lags(past_rows, "__y", lag_max, m).withColumnRenamed("lags", "__p"), key, "left")
+    else:
+        df = df.withColumn("__p", F.lit(lags).cast("long"))
+    if lam == "auto":
+        df = df.join(features.guerrero(past_rows, "__y", m).withColumnRenamed("lambda_guerrero", "__lam"), key, "left")
+    else:
+        df = df.withColumn("__lam", F.lit(lam).cast("double"))
     fields = [f for f in df.schema.fields if f.name in (*key, index, "h")]
     schema = T.StructType([*fields, T.StructField("actual", T.DoubleType()), T.StructField("mean", T.DoubleType())])
     if residuals:
         schema = T.StructType([*[f for f in fields if f.name != "h"], T.StructField("resid", T.DoubleType())])
 
-    def link(v):
+    def link(v, lam):
         if lam is None:
             return v
         return np.log(v) if lam == 0 else (np.power(v, lam) - 1) / lam
 
-    def unlink(v):
+    def unlink(v, lam):
         if lam is None:
             return v
         return np.exp(v) if lam == 0 else np.power(np.maximum(v * lam + 1, 0), 1 / lam)
 
+    def settings(pdf: pd.DataFrame, past: np.ndarray) -> tuple[list[int], float | None]:
+        order, power = pdf["__p"].iloc[0], pdf["__lam"].iloc[0]
+        at = {*range(1, (1 if pd.isna(order) else int(order)) + 1), *(m * j for j in range(1, seasonal_lags + 1))}
+        # The grid's zero is a rounding error away from zero.
+        power = None if pd.isna(power) else 0.0 if abs(power) < 1e-9 else float(power)
+        if lam == "auto" and power is not None:
+            least = np.nanmin(past, initial=np.inf)
+            power = None if least < 0 or (power <= 0 and least <= 0) else power
+        return sorted(at), power
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(index)
         fut = pdf[pdf["part"] == "test"]
@@ -98,7 +134,9 @@ def forecast_nnet(
         past = pdf[pdf["part"] == "train"]
         if residuals:
             out = past[[*key, index]].assign(resid=np.nan)
-        raw = link(past["__y"].to_numpy(float))
+        at, power = settings(pdf, past["__y"].to_numpy(float))
+        units = hidden or int(round((len(at) + len(xs) + 1) / 2))
+        raw = link(past["__y"].to_numpy(float), power)
         mu, sd = np.nanmean(raw) if len(raw) else 0.0, np.nanstd(raw) if len(raw) else 0.0
         if len(raw) <= max(at) + 5 or not sd > 0:
             return out[[f.name for f in schema]]
@@ -116,7 +154,7 @@ def forecast_nnet(
         w = _train(x[ok], z[deep:][ok], units, networks, rounds, rng)
         if residuals:
             act = 1 / (1 + np.exp(-(x[ok][None] @ w[0] + w[1])))
-            fitted = unlink((act @ w[2] + w[3]).mean(0)[:, 0] * sd + mu)
+            fitted = unlink((act @ w[2] + w[3]).mean(0)[:, 0] * sd + mu, power)
             out.iloc[np.flatnonzero(ok) + deep, -1] = past["__y"].to_numpy(float)[deep:][ok] - fitted
             return out[[f.name for f in schema]]
         run_z, preds = list(z), []
@@ -124,7 +162,7 @@ def forecast_nnet(
             row = np.array([run_z[-k] for k in at] + list(reg_new[i] if len(xs) else []))
             run_z.append(_apply(w, row))
             preds.append(run_z[-1])
-        out["mean"] = unlink(np.array(preds) * sd + mu)
+        out["mean"] = unlink(np.array(preds) * sd + mu, power)
         return out[[f.name for f in schema]]
 
     return spread(df, key).groupBy(*key).applyInPandas(run, schema)

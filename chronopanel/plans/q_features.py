@@ -397,7 +397,7 @@ def x12h(t):
     return features.phillips_perron(monthly(t), "y")
 
 
-def _pacf_ctes(kmax: int, src: str, tag: str) -> list[str]:
+def pacf_ctes(kmax: int, src: str, tag: str) -> list[str]:
     """Durbin-Levinson in SQL: the last CTE, <tag>p<kmax>, has the partial autocorrelations as f<k>_<k>."""
     ctes = [f"{tag}p1 AS (SELECT *, r1 AS f1_1 FROM {src})"]
     for k in range(2, kmax + 1):
@@ -419,7 +419,7 @@ _LM_T = f"OVER (PARTITION BY {LMK} ORDER BY t)"
         LM,
         f"e1 AS (SELECT {LMK}, t, y - lag(y) {_LM_T} AS y FROM lm)", f"e2 AS (SELECT {LMK}, t, y - lag(y) {_LM_T} AS y FROM e1)",
         *acf_ctes("lm", LMK, "t", "y", list(range(1, 13)), "a0"), *acf_ctes("e1", LMK, "t", "y", list(range(1, 6)), "a1"), *acf_ctes("e2", LMK, "t", "y", list(range(1, 6)), "a2"),
-        *_pacf_ctes(12, "a0", "u"), *_pacf_ctes(5, "a1", "v"), *_pacf_ctes(5, "a2", "w"),
+        *pacf_ctes(12, "a0", "u"), *pacf_ctes(5, "a1", "v"), *pacf_ctes(5, "a2", "w"),
         f"s0 AS (SELECT {LMK}, {r(_FIVE)} AS pacf5, {r('f12_12')} AS season_pacf FROM up12)", f"s1 AS (SELECT {LMK}, {r(_FIVE)} AS diff1_pacf5 FROM vp5)", f"s2 AS (SELECT {LMK}, {r(_FIVE)} AS diff2_pacf5 FROM wp5)",
         select=f"SELECT * FROM s0 JOIN s1 USING ({LMK}) JOIN s2 USING ({LMK})",
     ),

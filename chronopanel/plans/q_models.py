@@ -11,6 +11,7 @@ from chronopanel.operators import arima, baseline, joins, neural, regression as
 from chronopanel.operators.windows import framed
 from chronopanel.panel import Panel, future_rows
 from chronopanel.plans.inputs import LM, MODEL, OD, OW, PM, daily, model_panel, monthly, parts_monthly, weekly
+from chronopanel.plans.q_features import acf_ctes, pacf_ctes
 from chronopanel.plans.q_windows import LMK
 from chronopanel.sources.noise import draw_sql
 from chronopanel.plans.projection import projected
@@ -502,6 +503,31 @@ def m17b(t):
     return neural.forecast_nnet_ahead(daily(t), "y", 30, lags=7, rounds=100, networks=5)
 
 
+@query("M17_neural_net_auto")
+def m17c(t):
+    """Automatic order and Box-Cox parameter, ten units, twenty repeats."""
+    return neural.forecast_nnet_ahead(daily(t), "y", 30, lags=None, lam="auto", hidden=10, networks=20, rounds=100)
+
+
+def _ar_order_sql(lag_max: int) -> str:
+    """AIC of every order as columns, the least one's number."""
+    aic = [f"n * ({' + '.join(f'ln(1 - f{j}_{j} * f{j}_{j})' for j in range(1, k + 1))}) + {2 * k}" for k in range(1, lag_max + 1)]
+    return f"list_position([{', '.join(aic)}], least({', '.join(aic)}))"
+
+
+@query(
+    "M17_automatic_lags",
+    with_ctes(
+        OW, "ad AS (SELECT o_orderpriority, week, y - avg(y) OVER (PARTITION BY o_orderpriority, (t - 1) % 52) AS a FROM ow)",
+        *acf_ctes("ad", "o_orderpriority", "week", "a", list(range(1, 11))), *pacf_ctes(10, "ac", "u"),
+        select=f"SELECT o_orderpriority, CAST({_ar_order_sql(10)} AS BIGINT) AS lags FROM up10",
+    ),
+)
+def m17d(t):
+    """The autoregressive order that a network takes when none is given."""
+    return neural.automatic_lags(weekly(t), "y")
+
+
 @query(
     "M18_model_table",
     with_ctes(

@@ -319,6 +319,40 @@ def test_network_learns_a_cycle(spark):
     assert len(a) == 8 and math.sqrt(np.mean([(r.actual - r["mean"]) ** 2 for r in a])) < 0.25
 
 
+def test_network_settings_of_each_series(spark):
+    rng = np.random.default_rng(12)
+    noise, two = rng.normal(0, 1, 400), [0.0, 0.0]
+    for e in noise:
+        two.append(0.5 * two[-1] + 0.4 * two[-2] + e)
+    series = {"two": two, "white": rng.normal(0, 1, 400), "short": [1.0, 2.0], "flat": [3.0] * 50}
+    p = panel_of(spark, series)
+    got = {r.k: r.lags for r in neural.automatic_lags(p, "y", 8, period=1).collect()}
+    assert got["two"] >= 2 and got["flat"] == got["short"] == 1 and all(1 <= v <= 8 for v in got.values())
+
+    def brute(y):
+        y = np.array(y) - np.mean(y)
+        r = [float(y[k:] @ y[: len(y) - k]) for k in range(9)]
+        best = []
+        for k in range(1, 9):
+            m = np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)])
+            phi = np.linalg.solve(m, r[1 : k + 1])
+            best.append((len(y) * np.log(1 - phi @ np.array(r[1 : k + 1]) / r[0]) + 2 * k, k))
+        return min(best)[1]
+
+    assert got["two"] == brute(two) and got["white"] == brute(series["white"])
+    # A series with a negative value is not transformed; the automatic order is the given one.
+    s = splits.split_last_rows(panel_of(spark, {"two": two}), 5)
+    order = neural.automatic_lags(splits.train(s), "y", 8, period=1).first().lags
+    opts = {"seasonal_lags": 0, "networks": 2, "rounds": 20, "period": 1}
+    auto = neural.forecast_nnet(s, "y", lags=None, lag_max=8, lam="auto", **opts).orderBy("h").collect()
+    given = neural.forecast_nnet(s, "y", lags=order, **opts).orderBy("h").collect()
+    assert [r["mean"] for r in auto] == pytest.approx([r["mean"] for r in given])
+    up = splits.split_last_rows(panel_of(spark, {"up": (100 + np.arange(60) ** 1.5 * (1 + 0.1 * np.cos(np.arange(60)))).tolist()}), 4)
+    lam = features.guerrero(splits.train(up), "y", 2).first().lambda_guerrero
+    pair = [[r["mean"] for r in neural.forecast_nnet(up, "y", lags=3, lam=x, **{**opts, "period": 2}).orderBy("h").collect()] for x in ("auto", lam)]
+    assert pair[0] == pytest.approx(pair[1]) and np.isfinite(pair[0]).all()
+
+
 @pytest.mark.parametrize("p,train", [(0.2, 8), (0.0, 10), (1.0, 0)])
 def test_split_edges(spark, p, train):
     s = splits.split_by_share(panel_of(spark, {"a": range(10)}), p)
