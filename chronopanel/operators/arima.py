@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from chronopanel.operators import features
 from chronopanel.operators.decompose import classical
 from chronopanel.operators.regression import fit_ols, fit_seasonal, gram_sums, unpack
+from chronopanel.operators.stl import stl
 from chronopanel.operators.windows import framed
 from chronopanel.panel import Panel, shift
 
@@ -42,6 +43,7 @@ class Orders:
     fixed: bool = False
     long_ar: int = 10
     stepwise: bool = True
+    loess_season: bool = False  # the seasonal strength comes from STL, not from season means
 
     def nonseasonal(self) -> Orders:
         return replace(self, P=0, Q=0, D=0)
@@ -82,8 +84,10 @@ def with_differencing(panel: Panel, y: str, orders: Orders, m: int) -> Panel:
     if orders.D is not None or m <= 1:
         df = df.withColumn("order_ds", F.lit(orders.D or 0).cast("long"))
     else:
-        parts = classical(panel, y, period=m)
-        strong = features.seasonal_strength(parts, "seasonal", "random")
+        if orders.loess_season:
+            strong = features.seasonal_strength(stl(panel, y, periods=(m,)), "seasonal", "remainder")
+        else:
+            strong = features.seasonal_strength(classical(panel, y, period=m), "seasonal", "random")
         table = features.nsdiffs(strong, key).withColumnRenamed("nsdiffs", "order_ds")
         df = df.join(table, key, "left").fillna(0, subset=["order_ds"])
     if orders.d is not None:

@@ -13,6 +13,8 @@ from chronopanel.session import written
 
 SHARES = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3)
 FLAGS = ("home", "covid", "holiday", "ice_present")
+# Covariates of the interaction model, whose trend differs by season.
+INTER = ("home", "covid", "ice_present")
 
 # The names under which results are reported.
 FAMILIES = {
@@ -42,18 +44,18 @@ def baseline_pairs(split: Panel, y: str, period: int | None = None, models=("nai
     return fc.select(*key, "model", "h", "actual", "mean", "sd")
 
 
-def regression_pairs(split: Panel, y: str) -> DataFrame:
+def regression_pairs(split: Panel, y: str, inter: Sequence[str] = INTER) -> DataFrame:
     key = list(split.key)
     train, test = splits.train(split).df, splits.test(split).df
     base = reg.predict_seasonal(test, reg.fit_seasonal(train, key, y, ["t"]), key, ["t"])
-    some = ["home", "covid", "ice_present"]
-    inter = reg.predict_seasonal(
+    some = list(inter)
+    crossed = reg.predict_seasonal(
         test, reg.fit_seasonal(train, key, y, some, slope_on="t"), key, some, slope_on="t"
     )
     full = ["t", *FLAGS]
     flags = reg.predict_seasonal(test, reg.fit_seasonal(train, key, y, full), key, full)
     plain = reg.predict_ols(test, reg.fit_ols(train, key, y, list(FLAGS)), key, list(FLAGS))
-    named = {"tslm_base": base, "tslm_inter": inter, "tslm_vars": flags, "tslm_vars_no_comp": plain}
+    named = {"tslm_base": base, "tslm_inter": crossed, "tslm_vars": flags, "tslm_vars_no_comp": plain}
     return shape.bind_rows(*[_pairs(df, key, m, y) for m, df in named.items()])
 
 
@@ -87,11 +89,11 @@ def neural_pairs(split: Panel, y: str, networks: int = 10, rounds: int = 150) ->
     return shape.bind_rows(_pairs(base, key, "nn_base"), _pairs(flags, key, "nn_vars"))
 
 
-def all_residuals(split: Panel, y: str, orders: arima.Orders = arima.Orders(2, 2), networks: int = 10, rounds: int = 150) -> DataFrame:
+def all_residuals(split: Panel, y: str, orders: arima.Orders = arima.Orders(2, 2), networks: int = 10, rounds: int = 150, inter: Sequence[str] = INTER) -> DataFrame:
     """(key, model, index, resid): one-step residuals of all twelve models on the training rows of every split."""
     key, index = list(split.key), split.index
     train = splits.train(split)
-    some, full = ["home", "covid", "ice_present"], ["t", *FLAGS]
+    some, full = list(inter), ["t", *FLAGS]
     base = baseline.fitted_baselines(train, y).where("model <> 'mean'").select(*key, "model", index, "resid")
     fits = {
         "tslm_base": reg.predict_seasonal(train.df, reg.fit_seasonal(train.df, key, y, ["t"]), key, ["t"]),
@@ -111,11 +113,11 @@ def all_residuals(split: Panel, y: str, orders: arima.Orders = arima.Orders(2, 2
     return shape.bind_rows(base, *rows).where("resid IS NOT NULL")
 
 
-def all_pairs(split: Panel, y: str) -> DataFrame:
+def all_pairs(split: Panel, y: str, inter: Sequence[str] = INTER) -> DataFrame:
     """Forecast and actual of every model, split and test row."""
     key = list(split.key)
     base = baseline_pairs(split, y).select(*key, "model", "h", "actual", "mean")
-    return shape.bind_rows(base, regression_pairs(split, y), arima_pairs(split, y), neural_pairs(split, y))
+    return shape.bind_rows(base, regression_pairs(split, y, inter), arima_pairs(split, y), neural_pairs(split, y))
 
 
 def result_table(scores: DataFrame) -> DataFrame:

@@ -155,6 +155,13 @@ def ev3c(t):
     return battery.result_table(scores)
 
 
+@query("EV3_regressions_with_holiday")
+def ev3h(t):
+    """The four regressions over six splits, the interaction model with the holiday flag too."""
+    s = battery.prepared(model_panel(t)).written("splits")
+    return evaluate.accuracy(battery.regression_pairs(s, "y", battery.FLAGS), ["p", K, "model"])
+
+
 def _denoised_battery(p):
     """All twelve models on a denoised target, with the covariates of the original panel."""
     s = battery.prepared(p).written("splits")

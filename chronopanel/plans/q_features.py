@@ -171,6 +171,21 @@ def x6(t):
     return features.ndiffs(monthly(t).written("monthly"), "y")
 
 
+@query(
+    "X7_nsdiffs_stl",
+    with_ctes(
+        LM, *stl_ctes("lm", LMK, "month", 12),
+        f"ss AS (SELECT {LMK}, greatest(0, least(1, 1 - var_samp(remainder) / var_samp(remainder + seasonal))) AS strength FROM st_parts GROUP BY {LMK})",
+        select=f"SELECT {LMK}, {r('strength')} AS seasonal_strength, CAST(CASE WHEN strength > 0.64 THEN 1 ELSE 0 END AS BIGINT) AS nsdiffs FROM ss",
+    ),
+)
+def x7s(t):
+    """Seasonal differences that the strength of the STL season asks for."""
+    p = monthly(t)
+    s = features.seasonal_strength(stl.stl(p, "y"), "seasonal", "remainder")
+    return s.join(features.nsdiffs(s, p.key), list(p.key)).select(*p.key, "seasonal_strength", "nsdiffs")
+
+
 @query(
     "X7_nsdiffs",
     with_ctes(*classical_sql(LM, LMK, "month", 12, "additive", "lm"),

@@ -319,6 +319,15 @@ def test_network_learns_a_cycle(spark):
     assert len(a) == 8 and math.sqrt(np.mean([(r.actual - r["mean"]) ** 2 for r in a])) < 0.25
 
 
+def test_seasonal_difference_from_stl(spark):
+    rng = np.random.default_rng(8)
+    t = np.arange(96)
+    p = panel_of(spark, {"season": 10 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 1, 96), "noise": rng.normal(0, 1, 96), "short": [1.0] * 20})
+    orders = arima.Orders(1, 1, 1, 1, d=0, loess_season=True)
+    df = arima.with_differencing(p, "y", orders, 12).df
+    assert {r.k: r.order_ds for r in df.select("k", "order_ds").distinct().collect()} == {"season": 1, "noise": 0, "short": 0}
+
+
 def test_network_settings_of_each_series(spark):
     rng = np.random.default_rng(12)
     noise, two = rng.normal(0, 1, 400), [0.0, 0.0]
