@@ -5,11 +5,16 @@ vector is the average of its distinct words' mean embeddings, missing words
 counting as zero, and a two-class softmax on it gives the window's probability.  Embeddings and softmax are trained jointly, in
 numpy, on labelled texts: a text's loss goes to its windows by a sharpened
 maximum over them, since a few words make a text toxic however long it is.
+Training windows start every six words.
 Every text also comes with misspelled words; they share n-grams with the words they come from.
 
-Scoring gives the largest window probability over the whole text.  As the layers
-are linear, each bucket's embedding is folded into one number first.  Row by
-row, no shuffle; the model is that table and a constant.
+Scoring gives the largest probability over all windows of the whole text, one from
+every word on, so words before or after a passage do not change its score.  A
+text shorter than a window is one window.  More windows than in training can only
+raise a maximum, so the constant is lowered, if need be, to fit the training labels.
+As the layers are linear, each bucket's embedding is folded into one number first,
+and the sums of all windows are running sums.  Row by row, no shuffle; the model is
+that table and a constant.
 
 Defined results: a text without words, null included, has the score of an empty
 bag, which the softmax's constant sets and is below one half; without labelled
@@ -33,6 +38,7 @@ from chronopanel.llm import spans
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 WINDOW = 12
+STEP = 6
 
 
 def word_bags(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +90,46 @@ def _chunk_words(texts: pa.Array):
 
 
 def _windows(first: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (window, word) pairs as two columns, and each window's text."""
+    """Training windows: the distinct (window, word) pairs as two columns, and each window's text."""
     words = np.diff(first)
-    count = -(-words // WINDOW)
+    count = np.where(words > 0, np.maximum(1, -(-(words - WINDOW) // STEP) + 1), 0)
     inside = np.arange(len(code)) - np.repeat(first[:-1], words)
-    window = np.repeat(np.cumsum(count) - count, words) + inside // WINDOW
+    start, most = np.repeat(np.cumsum(count) - count, words), np.repeat(count, words)
+    window, held = [], []
+    for back in range(WINDOW // STEP):
+        own = inside // STEP - back
+        ok = (own >= 0) & (own < most)
+        window.append(start[ok] + own[ok])
+        held.append(code[ok])
     kinds = int(code.max()) + 1 if len(code) else 1
-    pair = pd.unique(window * kinds + code)
+    pair = pd.unique(np.concatenate(window) * kinds + np.concatenate(held))
     return pair // kinds, pair % kinds, np.repeat(np.arange(len(words)), count)
 
 
+def _largest(first: np.ndarray, code: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Each text's largest sum of `word` over the distinct words of a window, over all starts; minus infinity without words.
+
+    A word counts in the windows that begin after its previous occurrence: one
+    step up where they begin, one down behind them, and a running sum.
+    """
+    words = np.diff(first)
+    text, at = np.repeat(np.arange(len(words)), words), np.arange(len(code))
+    key = text * (int(code.max()) + 1 if len(code) else 1) + code
+    order = np.argsort(key, kind="stable")
+    again = key[order][1:] == key[order][:-1]
+    before = np.full(len(code), -1)
+    before[order[1:][again]] = order[:-1][again]
+    value = word[code].astype(float)
+    begin = np.maximum(np.maximum(first[text], at - WINDOW + 1), before + 1)
+    steps = np.bincount(begin, weights=value, minlength=len(code) + 1)
+    steps[1:] -= value
+    sums = np.cumsum(steps[:-1])
+    whole = at <= np.maximum(first[text], first[text + 1] - WINDOW)
+    best = np.full(len(words), -np.inf)
+    np.maximum.at(best, text[whole], sums[whole])
+    return best
+
+
 def misspelled(text: str, rng: np.random.Generator, share: float = 0.3) -> str:
     """One letter replaced, dropped or doubled in a share of the longer words."""
     words = text.split(" ")
@@ -105,21 +141,36 @@ def misspelled(text: str, rng: np.random.Generator, share: float = 0.3) -> str:
     return " ".join(words)
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _shift(z: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
+    """What is added to the log odds for the least weighted log loss, zero at most."""
+    move = 0.0
+    for _ in range(50):
+        p = _sigmoid(z + move)
+        move += float(np.clip(weight @ (labels - p) / max(float(weight @ (p * (1 - p))), 1e-6), -1, 1))
+    return min(move, 0.0)
+
+
 @dataclass
 class Model:
     table: np.ndarray | None
     constant: float
 
+    def logits(self, bags: np.ndarray, bounds: np.ndarray, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log odds of the words of a chunk's texts."""
+        if not len(code):
+            return np.full(len(first) - 1, self.constant)
+        word = np.add.reduceat(self.table[bags], bounds[:-1], dtype=float) / np.diff(bounds)
+        best = _largest(first, code, word) / WINDOW
+        return np.where(np.isfinite(best), best, 0.0) + self.constant
+
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.table is None:
             return np.full(len(texts), self.constant)
-        bags, bounds, code, first = _chunk_words(texts)
-        best = np.full(len(first) - 1, self.constant)
-        if len(code):
-            word = np.add.reduceat(self.table[bags], bounds[:-1]) / np.diff(bounds)
-            window, own, text = _windows(first, code)
-            np.maximum.at(best, text, np.bincount(window, weights=word[own], minlength=len(text)) / WINDOW + self.constant)
-        return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
+        return _sigmoid(self.logits(*_chunk_words(texts)))
 
 
 def fit(sample: list[tuple[str, int]], dim: int = 4, rounds: int = 25, rate: float = 0.5, least_texts: int = 3, seed: int = 7) -> Model:
@@ -152,7 +203,7 @@ def fit(sample: list[tuple[str, int]], dim: int = 4, rounds: int = 25, rate: flo
     trained = slot[bags] >= 0
     slots = slot[bags[trained]].astype(np.int32)
     owner = np.repeat(np.arange(len(bag_size), dtype=np.int32), bag_size)[trained]
-    del bags, trained
+    del trained
     softmax = rng.normal(0, 0.5, (2, dim))
     along = softmax[1] - softmax[0]
     embed = rng.normal(0, 0.01, (len(used), dim)) + WINDOW * np.outer(odds[used], along / (along @ along))
@@ -188,7 +239,12 @@ def fit(sample: list[tuple[str, int]], dim: int = 4, rounds: int = 25, rate: flo
             value -= lr * (m / (1 - 0.9**step)) / (scale + 0.05 * scale.max() + 1e-12)
     table = np.zeros(BUCKETS)
     table[used] = embed @ (softmax[1] - softmax[0])
-    return Model(table.astype(np.float32), float(bias[1] - bias[0]))
+    model = Model(table.astype(np.float32), float(bias[1] - bias[0]))
+    # The texts as they are; their misspelled copies come behind them.
+    given = len(sample)
+    half = labels[:given], weight[:given]
+    model.constant += _shift(model.logits(bags, bounds, code[: first[given]], first[: given + 1]), *half)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

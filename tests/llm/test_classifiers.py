@@ -79,6 +79,33 @@ def test_toxicity_held_out_and_misspelled():
     assert model.scores(pa.array([prose(rng, TONGUES["ee"], 3000) + " blorgun zwackel " + prose(rng, TONGUES["ee"], 3000), None])).round().tolist() == [1, 0]
 
 
+def test_toxicity_equals_brute_force_over_all_windows():
+    rng = random.Random(9)
+    model = toxicity.fit(toxic_rows(rng, 200))
+    texts = [t for t, _ in toxic_rows(rng, 40)] + ["one", "a a a b a", "", prose(rng, ["ka", "to"], 400)]
+
+    def value(word):
+        bags, bounds, code, _ = toxicity._chunk_words(pa.array([word]))
+        return float(model.table[bags].astype(float).mean())
+
+    def brute(text):
+        words = text.lower().split()
+        starts = range(max(1, len(words) - toxicity.WINDOW + 1)) if words else []
+        sums = [sum(value(w) for w in set(words[s : s + toxicity.WINDOW])) / toxicity.WINDOW for s in starts]
+        return 1 / (1 + np.exp(-(max(sums, default=0.0) + model.constant)))
+
+    assert model.scores(pa.array(texts)) == pytest.approx([brute(t) for t in texts], abs=1e-6)
+
+
+def test_toxicity_does_not_depend_on_the_place():
+    rng = random.Random(10)
+    model = toxicity.fit(toxic_rows(rng, 200))
+    passage = "blorgun " + prose(rng, TONGUES["ee"], 4) + " zwackel " + prose(rng, TONGUES["ee"], 3)
+    before, after = prose(rng, TONGUES["ee"], 24).split(" "), prose(rng, TONGUES["ee"], 24)
+    p = model.scores(pa.array([" ".join([*before[k:], passage, after]) for k in range(13)]))
+    assert p.min() > 0.5 and np.ptp(p) < 1e-9
+
+
 def test_toxicity_of_odd_rows(odd_docs, no_docs):
     model = toxicity.fit(toxic_rows(random.Random(4), 60))
     rows = toxicity.score(odd_docs, model).collect()
