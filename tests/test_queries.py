@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "S8_partitioned_results", "S9_holiday_calendar", "S12_reindex", "S13_fill_gaps", "J2_full_outer_merge",
     "A11_describe", "A20_histogram", "W1_blocked_series", "W6_seasonal_difference", "D2_classical_multiplicative",
-    "D5_stl_robust", "D5_mstl", "D6_x11_filters", "D8_all_decompositions", "X3_ljung_box", "X5_kpss", "M3_snaive", "M9_trend_season_covariates", "M15_ar2_forecast",
+    "D5_stl_robust", "D5_mstl", "D6_x11_filters", "D8_all_decompositions", "X3_ljung_box", "X5_kpss", "M3_snaive", "M9_trend_season_covariates", "M15_ar2_forecast", "M15_arima_401", "M16_regression_ar1_errors", "X7_nsdiffs_stl",
     "M22_leave_one_out", "EV3_share_sweep", "EV6_accuracy", "EV7_ensemble_rmse", "EV10_crps", "flagship_best_model",
 ]
 
