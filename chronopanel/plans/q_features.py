@@ -242,15 +242,15 @@ def x9(t):
         f"var_samp(loo) AS spikiness, sum(trend * c) / sqrt(sum(c * c)) AS linearity, sum(trend * b) / sqrt(sum(b * b)) AS curvature FROM sv GROUP BY {LMK})",
         f"sf AS (SELECT {LMK}, s, avg(seasonal) AS f FROM sv GROUP BY {LMK}, s)",
         f"tu AS (SELECT {LMK}, (arg_max(s, f) + 1) % 12 AS seasonal_peak, (arg_min(s, f) + 1) % 12 AS seasonal_trough FROM sf GROUP BY {LMK})",
-        select=f"SELECT {LMK}, " + ", ".join(f"{r(c, 3)} AS {c}" for c in ("trend_strength", "seasonal_strength", "spikiness", "linearity", "curvature"))
-        + f", seasonal_peak, seasonal_trough, {r('r1', 3)} AS rest_acf1, {r(_SQ, 3)} AS rest_acf10 FROM sh JOIN tu USING ({LMK}) JOIN ac USING ({LMK})",
+        select=f"SELECT {LMK}, " + ", ".join(f"{r(c, 0 if c == 'spikiness' else 6)} AS {c}" for c in ("trend_strength", "seasonal_strength", "spikiness", "linearity", "curvature"))
+        + f", seasonal_peak, seasonal_trough, {r('r1')} AS rest_acf1, {r(_SQ)} AS rest_acf10 FROM sh JOIN tu USING ({LMK}) JOIN ac USING ({LMK})",
     ),
-    digits=3,
 )
 def x10(t):
-    """Features of the STL components of every monthly series."""
+    """Features of the STL components of every monthly series; spikiness, a variance of variances, in whole numbers."""
     p = stl.stl(monthly(t), "y").written("stl")
-    return features.strengths(p, "trend", "seasonal", "remainder")
+    out = features.strengths(p, "trend", "seasonal", "remainder")
+    return out.withColumn("spikiness", F.round("spikiness"))
 
 
 @query(

@@ -424,9 +424,8 @@ def _two_regressions() -> list[str]:
 
 @query(
     "M15_arima_401",
-    with_ctes(*_two_regressions(), select=f"""SELECT o_orderstatus, CAST(h AS BIGINT) AS h, {d('last_at + h')} AS day, {r('f', 4)} AS mean,
-    {r('sqrt(rss / (n - 6) * acc)', 4)} AS sd FROM fc JOIN hr USING (o_orderstatus)""").replace("WITH", "WITH RECURSIVE", 1),
-    digits=4,
+    with_ctes(*_two_regressions(), select=f"""SELECT o_orderstatus, CAST(h AS BIGINT) AS h, {d('last_at + h')} AS day, {r('f')} AS mean,
+    {r('sqrt(rss / (n - 6) * acc)')} AS sd FROM fc JOIN hr USING (o_orderstatus)""").replace("WITH", "WITH RECURSIVE", 1),
 )
 def m15b(t):
     """The fixed (4,0,1) model on the smoothed daily series."""
