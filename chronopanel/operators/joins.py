@@ -1,7 +1,8 @@
 """Joins of a panel with covariates, forecasts and drill-back tables.
 
 No broadcast is forced: Spark measures a side at run time and broadcasts it
-only below its size threshold, otherwise it shuffles both sides.
+only below its size threshold, otherwise it shuffles both sides.  Observations
+that are drilled back to are always shuffled.
 """
 
 from __future__ import annotations
@@ -35,8 +36,12 @@ def outer_merge(
 
 
 def drill_back(selected: DataFrame, observations: DataFrame, key: Sequence[str]) -> DataFrame:
-    """All observations of the selected series (many to many)."""
-    return selected.join(observations, list(key), "left")
+    """All observations of the selected series (many to many).
+
+    Observations are never broadcast, however small their files: a few bytes on disk
+    can be millions of rows in the driver.
+    """
+    return selected.join(observations.hint("merge"), list(key), "left")
 
 
 def pair_forecasts(forecasts: DataFrame, actuals: DataFrame, on: Sequence[str]) -> DataFrame:
