@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators import aggregate, joins
 from chronopanel.panel import Panel, fill_gaps, floor_to
-from chronopanel.session import written
+from chronopanel.session import dealt, written
 from chronopanel.sources.calendar import holiday_calendar
 
 Tables = Callable[[str], DataFrame]
@@ -99,11 +99,18 @@ EH = _filled("eh", EH_RAW, "event_type", "hour", "1 HOUR", "TIMESTAMP")
 
 
 def parts_monthly(t: Tables) -> Panel:
-    """Shipped quantity per part and month: many short, gappy series."""
+    """Shipped quantity per part and month: many short, gappy series.
+
+    Both the rolled up and the gap-free rows are dealt by their number, the latter
+    stored once, so that a task holds the same number of series' rows at any size.
+    """
     raw = aggregate.roll_up(
         t("lineitem"), "l_shipdate", "month", ["l_partkey"], "month", y=F.sum("l_quantity")
     )
-    return fill_gaps(raw, {"y": 0.0})
+    # A roll-up has no more rows than its table, whose files tell their number.
+    raw = raw.on(dealt(raw.df, raw.key, t("lineitem").count()))
+    p = fill_gaps(raw, {"y": 0.0}).written("parts")
+    return p.on(dealt(p.df, p.key, p.df.count()))
 
 
 PM = _filled(

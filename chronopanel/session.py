@@ -76,6 +76,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+# Rows of a large table that one task sorts or groups at a time.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
+    """Hash a large table by key over as many tasks as its ``rows`` rows fill.
+
+    Adaptive execution merges partitions, and broadcasts a side of a join, by bytes.
+    Gap-free rows take a byte each in files and some hundred in the sorts of a task, so
+    neither measure bounds memory.  Here the number of tasks follows the rows; windows and
+    groups on the key use this partitioning, and joins on the key merge inside it.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.repartition(tasks, *key).hint("merge")
+
+
 def spread(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Hash rows by key over all shuffle partitions.
 
