@@ -521,11 +521,12 @@ _PC_CTES = [
 
 
 def _part_scores(t):
-    p = parts_monthly(t).written("parts")
+    p = parts_monthly(t)
     f = features.intermittency(p, "y").join(
         p.df.groupBy("l_partkey").agg(F.avg("y").alias("mean"), F.stddev_samp("y").alias("sd"), F.max("y").alias("top")), "l_partkey"
     )
-    return p, features.principal_scores(f, _PC)
+    # Spread, correlations and scores each read the features: stored once.
+    return p, features.principal_scores(written(f, "features"), _PC)
 
 
 @query("A23_principal_scores", with_ctes(*_PC_CTES, select="SELECT l_partkey, " + ", ".join(f"{r(c, 5)} AS {c}" for c in [*_PC, "pc1", "pc2"]) + " FROM sc").replace("WITH", "WITH RECURSIVE", 1), digits=5)
