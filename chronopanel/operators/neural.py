@@ -79,6 +79,7 @@ def forecast_nnet(
     lam: float | str | None = None,
     residuals: bool = False,
     lag_max: int = 10,
+    series: int | None = None,
 ) -> DataFrame:
     """Forecast the test rows of a split: (key, h, index, actual, mean).
 
@@ -87,7 +88,7 @@ def forecast_nnet(
     (`automatic_lags`).  ``lam`` is an optional Box-Cox parameter, ``"auto"`` the
     most stable one of each series; a series without one, or with values outside
     its domain, stays as it is.  ``networks`` repeats are averaged.  With ``residuals`` the fitted training
-    rows instead: (key, index, resid).
+    rows instead: (key, index, resid).  ``series`` is their number, if known: no task starts without one.
     """
     split.need_whole("forecast_nnet")
     m = period or split.period
@@ -165,7 +166,7 @@ def forecast_nnet(
         out["mean"] = unlink(np.array(preds) * sd + mu, power)
         return out[[f.name for f in schema]]
 
-    return spread(df, key).groupBy(*key).applyInPandas(run, schema)
+    return spread(df, key, series).groupBy(*key).applyInPandas(run, schema)
 
 
 def forecast_nnet_ahead(panel: Panel, y: str, h: int, **options) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators import arima, baseline, neural, regression as reg, shape, splits
 from chronopanel.panel import Panel
-from chronopanel.session import written
+from chronopanel.session import together, written
 
 SHARES = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3)
 FLAGS = ("home", "covid", "holiday", "ice_present")
@@ -62,8 +62,20 @@ def regression_pairs(split: Panel, y: str, inter: Sequence[str] = INTER) -> Data
 def arima_pairs(split: Panel, y: str, orders: arima.Orders = arima.Orders(2, 2)) -> DataFrame:
     """Stepwise searches: seasonal orders for the plain and the full model, none where the season is in the regression.
 
-    Series too short for seasonal lags are searched without them.
+    Series too short for seasonal lags are searched without them.  The three models
+    store their lags and residuals on the way and do not depend on each other.
     """
+    key = list(split.key)
+    plain, full, sdif = together(
+        lambda: _plain_arima(split, y, orders),
+        lambda: arima.arima_regression(split, y, ["t", *FLAGS], orders),
+        lambda: arima.arima_regression(split, y, ["t", "home", "covid", "holiday"], orders.nonseasonal()),
+    )
+    named = {"arima_plain": plain, "arima_full": full, "arima_sdif": sdif}
+    return shape.bind_rows(*[_pairs(df, key, m) for m, df in named.items()])
+
+
+def _plain_arima(split: Panel, y: str, orders: arima.Orders) -> DataFrame:
     key = list(split.key)
     test = splits.test(split).df.select(*key, "h", F.col(y).cast("double").alias("actual"))
     train = splits.train(split)
@@ -75,17 +87,15 @@ def arima_pairs(split: Panel, y: str, orders: arima.Orders = arima.Orders(2, 2))
         small = orders.nonseasonal()
         rest, lags = arima.fit_arima(train.on(train.df.join(short, key, "left_semi")), y, small)
         plain = plain.unionByName(arima.forecast_arima(rest, lags, y, arima.horizons(split), small))
-    plain = plain.drop(split.index).join(test, [*key, "h"])
-    full = arima.arima_regression(split, y, ["t", *FLAGS], orders)
-    sdif = arima.arima_regression(split, y, ["t", "home", "covid", "holiday"], orders.nonseasonal())
-    named = {"arima_plain": plain, "arima_full": full, "arima_sdif": sdif}
-    return shape.bind_rows(*[_pairs(df, key, m) for m, df in named.items()])
+    return plain.drop(split.index).join(test, [*key, "h"])
 
 
 def neural_pairs(split: Panel, y: str, networks: int = 10, rounds: int = 150) -> DataFrame:
     key = list(split.key)
-    base = neural.forecast_nnet(split, y, lags=4, networks=networks, rounds=rounds)
-    flags = neural.forecast_nnet(split, y, list(FLAGS), lags=4, networks=networks, rounds=rounds)
+    # The splits are stored, so counting their series reads one column.
+    nets = {"lags": 4, "networks": networks, "rounds": rounds, "series": split.df.select(*key).distinct().count()}
+    base = neural.forecast_nnet(split, y, **nets)
+    flags = neural.forecast_nnet(split, y, list(FLAGS), **nets)
     return shape.bind_rows(_pairs(base, key, "nn_base"), _pairs(flags, key, "nn_vars"))
 
 

@@ -6,10 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def get_session(cpus: int | str = "*", name: str = "chronopanel") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -76,6 +81,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def together(*steps: Callable[[], T]) -> list[T]:
+    """Results of independent steps, run side by side.
+
+    For steps that store tables on their way: one step's small jobs leave most of a
+    cluster idle, and the next step would wait for them.
+    """
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return list(pool.map(lambda step: step(), [inheritable_thread_target(s) for s in steps]))
+
+
 # Rows of a large table that one task sorts or groups at a time.
 TASK_ROWS = 250_000
 
@@ -92,12 +107,12 @@ def dealt(df: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
     return df.repartition(tasks, *key).hint("merge")
 
 
-def spread(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Hash rows by key over all shuffle partitions.
+def spread(df: DataFrame, key: Sequence[str], groups: int | None = None) -> DataFrame:
+    """Hash rows by key over all shuffle partitions, or as many as the ``groups`` if these are known to be fewer.
 
     Adaptive execution merges partitions by their bytes.  A kernel that computes
     long on few bytes needs them kept apart; the grouping that follows uses this
     partitioning, so it adds no shuffle.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *key)
+    return df.repartition(parts if groups is None else max(1, min(parts, groups)), *key)
